@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import bpe, packing
+from loomline.llm import bpe, packing, warc
 from loomline.llm.common import table
 
 
+def op1_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_facts(spark, table(spark, sf_dir, "pages"))
+
+
 def op7_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"))
 
@@ -16,5 +20,5 @@ def op8_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_forced_boundary_bpe, op8_minimum_bin_slack)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_content_addressed_warc, op7_forced_boundary_bpe, op8_minimum_bin_slack)}
+ORACLES: dict[str, str] = {"op1_content_addressed_warc": warc.ORACLE}
