@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import bpe, packing, warc
+from loomline.llm import bpe, packing, simhash, warc
 from loomline.llm.common import table
 
 
@@ -20,5 +20,9 @@ def op8_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_content_addressed_warc, op7_forced_boundary_bpe, op8_minimum_bin_slack)}
+def op9_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(spark, table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_content_addressed_warc, op7_forced_boundary_bpe, op8_minimum_bin_slack, op9_simhash_bk_trees)}
 ORACLES: dict[str, str] = {"op1_content_addressed_warc": warc.ORACLE}
