@@ -13,7 +13,9 @@ Each task packs its own partition, so nothing is shuffled and no plan grows with
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -28,14 +30,22 @@ from loomline.llm.common import narrow, tokenizer_path
 CAPACITY = 2048
 END_ID = 1
 BLOCK = 6_000_000
-MEMO = 400_000
+MEMO = 800_000
 LONG = 48
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+_PIECE = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^a-z0-9]+")
+
+
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
 class WordEncoder:
-    """The library's ids of a whole text. White space separates words for good in this vocabulary, so each run of other
-    characters is encoded once by the library and remembered."""
+    """The library's ids of a whole text. White space separates words for good in this vocabulary, and case does not
+    count, so each lower-cased run of other characters is encoded once and remembered. An unknown run of visible ASCII
+    is cut as the vocabulary's pre-tokenizer cuts it and its letters are looked up apart from the marks around them."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -44,18 +54,31 @@ class WordEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.memo: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    @staticmethod
+    def _remember(memo: dict, key: bytes | str, data: bytes) -> bytes:
+        if len(key) <= LONG:
+            if len(memo) >= MEMO:
+                memo.clear()
+            memo[key] = data
+        return data
+
+    def _piece(self, piece: str) -> bytes:
+        return self._remember(self.pieces, piece, _packed([t.id for t in self.library.model.tokenize(piece)]))
 
     def _word(self, word: bytes) -> bytes:
-        ids = np.array(self.library.encode(word.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(word) <= LONG:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[word] = ids
-        return ids
+        text = word.decode()
+        if text.isascii() and text.isprintable() and "<|" not in text:
+            found = _PIECE.findall(text.lower())
+            return self._remember(self.memo, word, b"".join([self.pieces.get(p) or self._piece(p) for p in found]))
+        return self._remember(self.memo, word, _packed(self.library.encode(text, add_special_tokens=False).ids))
 
     def encode(self, text: str | None) -> bytes:
-        memo, out = self.memo, []
-        for word in (text or "").encode().split():
+        data, memo, out = (text or "").encode(), self.memo, []
+        if b"<|" not in data:  # a special token counts only as it is spelled
+            data = data.lower()
+        for word in data.split():
             ids = memo.get(word)
             out.append(self._word(word) if ids is None else ids)
         return b"".join(out)
