@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import bpe, packing, simhash, warc
+from loomline.llm import bpe, packing, rules, simhash, warc
 from loomline.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_facts(spark, table(spark, sf_dir, "pages"))
 
 
+def op6_kneser_ney_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.verdicts(spark, table(spark, sf_dir, "documents"))
+
+
 def op7_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"))
 
@@ -24,5 +28,5 @@ def op9_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_content_addressed_warc, op7_forced_boundary_bpe, op8_minimum_bin_slack, op9_simhash_bk_trees)}
+QUERIES = {f.__name__: f for f in (op1_content_addressed_warc, op6_kneser_ney_rules, op7_forced_boundary_bpe, op8_minimum_bin_slack, op9_simhash_bk_trees)}
 ORACLES: dict[str, str] = {"op1_content_addressed_warc": warc.ORACLE}
