@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import bpe, packing, rules, simhash, warc
+from loomline.llm import bpe, crf, packing, rules, simhash, warc
 from loomline.llm.common import table
 
 
@@ -28,5 +28,9 @@ def op9_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_content_addressed_warc, op6_kneser_ney_rules, op7_forced_boundary_bpe, op8_minimum_bin_slack, op9_simhash_bk_trees)}
+def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_content_addressed_warc, op6_kneser_ney_rules, op7_forced_boundary_bpe, op8_minimum_bin_slack, op9_simhash_bk_trees, op10_line_crf)}
 ORACLES: dict[str, str] = {"op1_content_addressed_warc": warc.ORACLE}
