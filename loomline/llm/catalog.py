@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import bpe, crf, packing, rules, simhash, warc
+from loomline.llm import bpe, crf, lines, packing, rules, simhash, warc
 from loomline.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_facts(spark, table(spark, sf_dir, "pages"))
 
 
+def op2_three_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(spark, table(spark, sf_dir, "documents"))
+
+
 def op6_kneser_ney_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.verdicts(spark, table(spark, sf_dir, "documents"))
 
@@ -32,5 +36,5 @@ def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_content_addressed_warc, op6_kneser_ney_rules, op7_forced_boundary_bpe, op8_minimum_bin_slack, op9_simhash_bk_trees, op10_line_crf)}
-ORACLES: dict[str, str] = {"op1_content_addressed_warc": warc.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_content_addressed_warc, op2_three_line_windows, op6_kneser_ney_rules, op7_forced_boundary_bpe, op8_minimum_bin_slack, op9_simhash_bk_trees, op10_line_crf)}
+ORACLES: dict[str, str] = {"op1_content_addressed_warc": warc.ORACLE, "op2_three_line_windows": lines.ORACLE}
