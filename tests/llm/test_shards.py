@@ -1,0 +1,69 @@
+import hashlib
+
+import pytest
+
+from loomline.llm import shards
+from loomline.llm.common import work_path
+from loomline.llm.shards import Conflict, Shard, ShardStore
+
+
+def store(spark, **sizes):
+    return ShardStore(spark, work_path(spark, "shards"), **({"target": 60_000, "smallest": 2_000, "fan": 3} | sizes))
+
+
+def rows(spark, start, n):
+    return spark.range(start, start + n).selectExpr("id as doc_id", "sha2(cast(id as string), 512) as text", "cast(null as string) as path", "id % 3 as rows")
+
+
+def test_tiers_and_runs():
+    assert [shards.tier_of(x, 10, 4) for x in (1, 10, 11, 40, 41, 160)] == [0, 0, 1, 1, 2, 2]
+    runs = shards.runs_of([Shard(str(k), 1, s) for k, s in enumerate([30, 30, 30, 30, 100, 5])], 100)
+    assert [[s.size for s in r] for r in runs] == [[30, 30, 30], [30, 100], [5]]
+    assert shards.runs_of([], 5) == []
+
+
+def test_append_compact_read(spark):
+    s = store(spark)
+    for k in range(7):
+        s.append(rows(spark, k * 100, 100).repartition(3))
+    before = s.manifest()
+    assert before.version == 7 and len(before.shards) == 21
+    after = s.compact()
+    assert after.version > 7 and len(after.shards) < 6
+    want = sorted(map(tuple, rows(spark, 0, 700).collect()))
+    assert sorted(map(tuple, s.read().collect())) == want == sorted(map(tuple, s.read(7).collect()))
+    assert sum(x.rows for x in after.shards) == 700
+    assert not s.plan(after.shards) and s.compact().version == after.version
+    assert all(x.size < 2 * 60_000 for x in after.shards)
+    assert s.vacuum() > 0 and sorted(map(tuple, s.read().collect())) == want
+
+
+def test_one_of_two_writers_wins(spark):
+    s = store(spark)
+    base = s.manifest()
+    first = s.commit(base, [Shard("a", 1, 1)])
+    with pytest.raises(Conflict):
+        s.commit(base, [Shard("b", 1, 1)])
+    assert s.manifest() == first and s.manifest().shards == [Shard("a", 1, 1)]
+
+
+def test_uncommitted_files_are_not_read(spark):
+    s = store(spark)
+    s.append(rows(spark, 0, 10))
+    s._written(rows(spark, 50, 10))
+    assert s.read().count() == 10
+    with pytest.raises(ValueError):
+        store(spark).read()
+
+
+def test_query(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = docs.unionByName(docs.limit(3)).unionByName(spark.createDataFrame([(None, None, None, None, None), (10**9, "x" * 400_000, "", "", 0)], docs.schema))
+    got = shards.shard_documents(spark, odd, per_file=9, target=200_000, smallest=10_000).collect()
+    digest = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    assert sorted(((r.doc_id, r.text_sha256) for r in got), key=str) == sorted(((r.doc_id, digest(r.text)) for r in odd.collect()), key=str)
+    by_shard = {}
+    for r in got:
+        by_shard.setdefault((r.shard, r.shard_rows), []).append(r)
+    assert all(len(v) == n for (_, n), v in by_shard.items())
+    assert shards.shard_documents(spark, docs.limit(0)).count() == 0
