@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import bpe, crf, lines, packing, rules, shards, simhash, warc
+from loomline.llm import ann, bpe, crf, lines, packing, rules, shards, simhash, warc
 from loomline.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op4_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(spark, table(spark, sf_dir, "documents"))
 
 
+def op5_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op6_kneser_ney_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.verdicts(spark, table(spark, sf_dir, "documents"))
 
@@ -40,5 +44,5 @@ def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_content_addressed_warc, op2_three_line_windows, op4_size_tiered_shards, op6_kneser_ney_rules, op7_forced_boundary_bpe, op8_minimum_bin_slack, op9_simhash_bk_trees, op10_line_crf)}
+QUERIES = {f.__name__: f for f in (op1_content_addressed_warc, op2_three_line_windows, op4_size_tiered_shards, op5_cross_polytope, op6_kneser_ney_rules, op7_forced_boundary_bpe, op8_minimum_bin_slack, op9_simhash_bk_trees, op10_line_crf)}
 ORACLES: dict[str, str] = {"op1_content_addressed_warc": warc.ORACLE, "op2_three_line_windows": lines.ORACLE}
