@@ -30,7 +30,7 @@ from loomline.llm.common import narrow, tokenizer_path
 CAPACITY = 2048
 END_ID = 1
 BLOCK = 6_000_000
-MEMO = 800_000
+MEMO = 400_000
 LONG = 48
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
