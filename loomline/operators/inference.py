@@ -62,12 +62,12 @@ def parse_list(answer: Column | str, schema: str) -> Column:
 
 
 def infer(prompts: DataFrame, responder: Responder, size: int = 20, retries: int = 2, epochs: int = 1) -> DataFrame:
-    """(id, epoch, status, answer): batches of ``size`` prompts in the order of their ids.
+    """(id, epoch, status, answer): batches of ``size`` prompts in the order of their ids, each epoch on its own.
 
     A batch whose responder fails or returns another number of answers is tried again; then its rows have status 400.
     """
-    many = prompts.select("id", "content", F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("epoch"))
-    dealt = numbered(many, [F.col("epoch"), F.col("id")], "at").withColumn("batch", F.floor(F.col("at") / size))
+    placed = numbered(prompts.select("id", "content"), [F.col("id")], "at").withColumn("batch", F.floor(F.col("at") / size))
+    dealt = placed.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values("at")
@@ -83,7 +83,7 @@ def infer(prompts: DataFrame, responder: Responder, size: int = 20, retries: int
         return pd.DataFrame({"id": batch["id"], "epoch": batch["epoch"], "status": 400 if answers is None else 200, "answer": answers if answers is not None else [None] * len(batch)})
 
     # a group is one batch of at most ``size`` rows
-    return dealt.groupBy("batch").applyInPandas(run, "id long, epoch int, status int, answer string")
+    return dealt.groupBy("epoch", "batch").applyInPandas(run, "id long, epoch int, status int, answer string")
 
 
 def remaining(prompts: DataFrame, done: DataFrame) -> DataFrame:

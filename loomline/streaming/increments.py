@@ -49,23 +49,28 @@ def write_by_date(frame: DataFrame, folder: str, time: str) -> None:
 # -- extensions: windows over a stream of events, which behave alike on a table
 
 
+def _marked(events: DataFrame, late: str) -> DataFrame:
+    """A stream with a watermark, which asks for a time with a zone; a table as it is."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Count and sum by window and type; a stream forgets windows that are older than its watermark."""
-    marked = events.withWatermark("ts", late) if events.isStreaming else events
+    marked = _marked(events, late)
     return marked.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
 
 
 def sliding(events: DataFrame, width: str = "2 hours", step: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    marked = events.withWatermark("ts", late) if events.isStreaming else events
+    marked = _marked(events, late)
     return marked.groupBy(F.window("ts", width, step).alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "n")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Sessions of a user: events no further apart than ``gap``."""
-    marked = events.withWatermark("ts", late) if events.isStreaming else events
+    marked = _marked(events, late)
     return marked.groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("n")).select("user_id", F.col("s.start").alias("session_start"), "n")
 
 
 def distinct_events(events: DataFrame, key: str = "event_id", late: str = "10 minutes") -> DataFrame:
     """Each key once; a stream remembers keys as long as its watermark allows."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
+    return _marked(events, late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
