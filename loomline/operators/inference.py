@@ -86,6 +86,13 @@ def infer(prompts: DataFrame, responder: Responder, size: int = 20, retries: int
     return dealt.groupBy("epoch", "batch").applyInPandas(run, "id long, epoch int, status int, answer string")
 
 
+def batch_text(rows: DataFrame, size: int, mark: str = "\n") -> DataFrame:
+    """(batch, content): the contents of ``size`` rows (id, content) at a time, in the order of their ids, joined."""
+    placed = numbered(rows.select("id", "content"), [F.col("id")], "at").withColumn("batch", F.floor(F.col("at") / size))
+    ordered = F.array_sort(F.collect_list(F.struct("at", "content")))
+    return placed.groupBy("batch").agg(F.array_join(ordered["content"], mark).alias("content"))
+
+
 def remaining(prompts: DataFrame, done: DataFrame) -> DataFrame:
     """Prompts without an answer yet."""
     return prompts.join(done.filter("status = 200"), "id", "left_anti")

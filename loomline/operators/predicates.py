@@ -118,6 +118,16 @@ def pages(frame: DataFrame, keys: list[Column], size: int) -> DataFrame:
     return numbered(frame, keys, "__at").withColumn("page", F.floor(F.col("__at") / size)).drop("__at")
 
 
+def page_of(frame: DataFrame, keys: list[Column], page: int, size: int) -> tuple[DataFrame, int]:
+    """Rows of a page, counted from 1, and the total of rows."""
+    return limit_offset(frame.orderBy(*keys), size, (page - 1) * size), frame.count()
+
+
+def head_sample(frame: DataFrame, keys: list[Column], n: int) -> DataFrame:
+    """The first ``n`` rows; all of them where ``n`` is -1."""
+    return frame if n == -1 else frame.orderBy(*keys).limit(n)
+
+
 # -- validators: true where a value is acceptable
 
 

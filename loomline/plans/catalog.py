@@ -11,8 +11,9 @@ from loomline.functions import arrays, text
 from loomline.operators import clean, dedup, dml, evaluate, inference, predicates
 from loomline.plans import fixtures, runner
 from loomline.plans.fixtures import LEVELS, SQL
-from loomline.session import table
-from loomline.sources import readers
+from loomline.plans.registry import Registry, Transformer
+from loomline.session import table, work_path
+from loomline.sources import readers, writers
 from loomline.streaming import increments
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -526,3 +527,96 @@ def jsn6_requests(spark, d):
     prompts = fixtures.items(spark, d).select("id", F.col("question").alias("content"))
     lines = inference.request_lines(prompts, "openai", "m", "You answer.")
     return lines.select("id", F.get_json_object("line", "$.custom_id").alias("custom_id"), F.get_json_object("line", "$.body.messages[1].content").alias("content"))
+
+
+@query("select (row_number() over (order by c_custkey) - 1) // 20 as batch, c_custkey from customer")
+def lim5_batches(spark, d):
+    rows = predicates.numbered(table(spark, d, "customer").select("c_custkey"), [F.col("c_custkey")], "at")
+    return rows.select(F.floor(F.col("at") / 20).alias("batch"), "c_custkey")
+
+
+@query("with w as (select (row_number() over (order by p_partkey) - 1) // 25 as batch, p_partkey, p_name from part) select batch, string_agg(p_name || ';' || p_partkey, chr(10) order by p_partkey) as content from w group by 1")
+def str13_batch_text(spark, d):
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(";", "p_name", F.col("p_partkey").cast("string")).alias("content"))
+    return inference.batch_text(rows, 25)
+
+
+@query("select c_custkey from customer order by c_acctbal, c_custkey limit 10 offset 20")
+def lim6_page(spark, d):
+    rows, _ = predicates.page_of(table(spark, d, "customer"), [F.col("c_acctbal"), F.col("c_custkey")], 3, 10)
+    return rows.select("c_custkey")
+
+
+@query("select p_partkey from part order by p_partkey limit 40")
+def prd16_head_sample(spark, d):
+    return predicates.head_sample(table(spark, d, "part"), [F.col("p_partkey")], 40).select("p_partkey")
+
+
+# -- duplicate reports
+
+
+@query(f"with {_TERMS} select doc_id as idx, q, [lower(lang), lower(source)] as options from d join documents using (doc_id)")
+def dd1_normalise(spark, d):
+    return dedup.normalise(fixtures.documents(spark, d))
+
+
+@query(f"with {_PAIRS} select p.i, p.j, a.lang = b.lang and a.source = b.source as same_answers, contains(db.q, da.q) as i_in_j, contains(da.q, db.q) as j_in_i from p join d da on da.doc_id = i join d db on db.doc_id = j join documents a on a.doc_id = i join documents b on b.doc_id = j where distance >= 1e-8")
+def dd4_near_report(spark, d):
+    return dedup.near_report(dedup.normalise(fixtures.documents(spark, d))).select("i", "j", "same_answers", "i_in_j", "j_in_i")
+
+
+# -- sources and sinks, by way of the shared folder
+
+
+@query("select n_nationkey, n_name, 'json' as kind from nation")
+def src1_json_view(spark, d):
+    folder = work_path(spark, "json")
+    table(spark, d, "nation").write.option("compression", "bzip2").json(f"{folder}/deep/er")
+    view = readers.JsonView("v", path_glob_filter="*.json.bz2", compress_type="bzip2", recursive_file_lookup=True, filename_field="origin")
+    rows = readers.read_view(spark, folder, view)
+    return rows.select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name", F.regexp_extract("origin", r"\.(json)\.bz2$", 1).alias("kind"))
+
+
+@query("select r_name, count(*) as nations from nation join region on n_regionkey = r_regionkey group by 1")
+def sql1_transformer(spark, d):
+    folder = work_path(spark, "transformer")
+    for name in ("nation", "region"):
+        table(spark, d, name).write.json(f"{folder}/in/2024-02-03/{name}")
+    registry = Registry(spark)
+    views = tuple(readers.JsonView(name, name) for name in ("nation", "region"))
+    template = folder + "/in{{'/' + execution_time.strftime('%Y-%m-%d') if execution_time != '*' else ''}}"
+    made = registry.add_transformer(Transformer("t", template, f"{folder}/out", views, "select r_name, count(*) as nations from nation join region on n_regionkey = r_regionkey group by 1"))
+    return runner.run_transformer(spark, made, "2024-02-03T00:00:00Z")
+
+
+@query("select cast(p_partkey as varchar) as p_partkey, p_name, p_type from part")
+def src11_csv(spark, d):
+    folder = work_path(spark, "csv")
+    writers.write_csv(table(spark, d, "part").select("p_partkey", "p_name", "p_type"), folder)
+    return readers.read_csv(spark, folder, ["p_partkey", "p_name", "p_type"])
+
+
+@query("select cast(r_regionkey as bigint) as r_regionkey, r_name from region")
+def src12_jsonl(spark, d):
+    folder = work_path(spark, "jsonl")
+    writers.write_jsonl(table(spark, d, "region"), folder)
+    return readers.read_jsonl(spark, folder, "r_regionkey long, r_name string")
+
+
+@query("select c_custkey, c_mktsegment from customer")
+def snk4_increments(spark, d):
+    folder = work_path(spark, "increments")
+    rows = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    writers.overwrite_increment(rows, folder, "c_mktsegment")
+    writers.overwrite_increment(rows.filter("c_mktsegment = 'BUILDING'"), folder, "c_mktsegment")
+    return spark.read.parquet(folder).select("c_custkey", "c_mktsegment")
+
+
+@query("select event_type, count(*) as n, count(distinct event_id) as ids from events group by 1")
+def stm3_available_now(spark, d):
+    folder = work_path(spark, "stream")
+    events = table(spark, d, "events")
+    events.repartition(3).write.parquet(f"{folder}/in")
+    stream = increments.read_new_files(spark, f"{folder}/in", events.schema, files=2)
+    increments.run_available(stream, f"{folder}/checkpoint", increments.append_once(f"{folder}/out"))
+    return spark.read.parquet(f"{folder}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
