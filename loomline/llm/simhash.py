@@ -35,6 +35,8 @@ SHARD = 8192
 #: A node of a BK-tree with fewer members keeps them as a list.
 LEAF = 48
 CHUNK = 1 << 17
+#: Rows (a band and a number each) that are broadcast at most.
+FEW = 100_000
 
 
 def shingle_hashes(text: str | None, words: int, seed: int = SEED) -> np.ndarray:
@@ -172,7 +174,10 @@ def link_edges(groups: DataFrame, bands: list[tuple[int, int]], radius: int, sha
     keys = F.array(*[F.lit(k << 24) + F.conv(F.substring(bits, at // 4 + 1, n // 4), 16, 10).cast("long") for k, (at, n) in enumerate(bands)])
     filed = groups.select("fp", F.explode(keys).alias("band"))
     large = filed.groupBy("band").count().filter(F.col("count") > shard_size).select("band", F.ceil(F.col("count") / shard_size).alias("splits"))
-    sized = filed.join(large, "band", "left")
+    large = reread(groups.sparkSession, large, "large")
+    several = large.limit(FEW + 1).count()
+    # without large shards, or with few, the filed fingerprints are shuffled once, to their shards
+    sized = filed.join(F.broadcast(large) if several <= FEW else large, "band", "left") if several else filed.withColumn("splits", F.lit(None).cast("long"))
     whole = sized.filter("splits is null").select(F.col("band").alias("shard"), "fp", F.lit(True).alias("tree"), F.lit(True).alias("query"))
     split = sized.filter("splits is not null").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("splits"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("splits") - 1)))
     of_pair = F.col("band") + F.lit(1 << 32) * (1 + F.least("own", "other") * F.col("splits") + F.greatest("own", "other"))
