@@ -259,9 +259,11 @@ def simhash_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 #: The pipeline's stage: 512-bit fingerprints of the different 5-word shingles. A similarity of 0.8 (Jaccard) is a cosine
-#: of 0.889, at which 0.152 of the bits differ, 78 of 512, with a deviation of 8; the radius lies a little above.
+#: of 0.889, at which 0.152 of the bits differ, 78 of 512, with a deviation of 8; the radius lies above that.
+#: 32 bands stand side by side and 16 across their joints. By simulation a pair is linked with a probability of 0.88 at a
+#: similarity of 0.8, 0.99 at 0.85, and more than 0.999 at 0.9; a wider radius would link pairs below 0.7 too.
 WIDE_LANES = 8
-WIDE_BANDS = [(16 * k, 16) for k in range(32)]
+WIDE_BANDS = [(16 * k, 16) for k in range(32)] + [(32 * k + 8, 16) for k in range(16)]
 WIDE_RADIUS = 88
 
 
