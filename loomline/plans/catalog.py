@@ -12,7 +12,7 @@ from loomline.operators import clean, dedup, dml, evaluate, inference, predicate
 from loomline.plans import fixtures, runner
 from loomline.plans.fixtures import LEVELS, SQL
 from loomline.plans.registry import Registry, Transformer
-from loomline.session import table, work_path
+from loomline.session import spread, table, work_path
 from loomline.sources import readers, writers
 from loomline.streaming import increments
 
@@ -328,12 +328,12 @@ def set6_except(spark, d):
 
 @query(f"select doc_id, {_NORMAL.format(x='text')} normal from documents")
 def str2_normal_form(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.normal_form("text").alias("normal"))
+    return spread(table(spark, d, "documents")).select("doc_id", text.normal_form("text").alias("normal"))
 
 
 @query("select doc_id, replace(replace(strip_accents(text), 'đ', 'd'), 'Đ', 'D') bare from documents")
 def str1_remove_accents(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.remove_accents("text").alias("bare"))
+    return spread(table(spark, d, "documents")).select("doc_id", text.remove_accents("text").alias("bare"))
 
 
 @query("select p_partkey, trim(regexp_replace('cau ' || p_size || ' ' || p_name || ' cau 7', 'cau [0-9]+', '', 'g')) bare, p_name question from part")

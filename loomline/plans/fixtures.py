@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.functions.text import index_letter
-from loomline.session import table
+from loomline.session import spread, table
 
 LEVELS = ["Easy", "Medium", "Hard"]
 
@@ -44,7 +44,7 @@ def answers(spark: SparkSession, d: str) -> DataFrame:
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
     """Documents as questions whose options are language and source."""
-    return table(spark, d, "documents").select(F.col("doc_id").alias("idx"), F.col("text").alias("q"), F.array("lang", "source").alias("options"))
+    return spread(table(spark, d, "documents")).select(F.col("doc_id").alias("idx"), F.col("text").alias("q"), F.array("lang", "source").alias("options"))
 
 
 def responses(spark: SparkSession, d: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no shared folder (tests and local runs).
 LOCAL_SHARED = "/tmp/checkpoints/loomline"
@@ -51,3 +51,10 @@ def reread(spark: SparkSession, frame, label: str):
 
 def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """``frame`` over all cores where it is read in fewer pieces than there are: a small file of one row group would
+    keep one core busy. A large input has more pieces and is not shuffled."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
