@@ -30,6 +30,8 @@ SMALLEST = 1 << 20
 FAN = 4
 #: Runs that one merge job writes.
 JOB = 200
+#: Lines of a manifest that are broadcast at most.
+FEW = 100_000
 
 
 @dataclass(frozen=True)
@@ -200,4 +202,6 @@ def shard_documents(spark: SparkSession, docs: DataFrame, arrivals: int = 4, per
         return spark.createDataFrame([], "doc_id long, text_sha256 string, shard string, shard_rows long, shard_bytes long, tier int")
     facts = spark.createDataFrame([(s.path.rsplit("/", 1)[1], s.rows, s.size, tier_of(s.size, store.smallest, store.fan)) for s in manifest.shards], "shard string, shard_rows long, shard_bytes long, tier int")
     rows = store.read().select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("text_sha256"), F.col("_metadata.file_name").alias("shard"))
-    return rows.join(facts, "shard").select("doc_id", "text_sha256", "shard", "shard_rows", "shard_bytes", "tier")
+    # a line a shard; only a manifest of very many is joined by a shuffle
+    side = F.broadcast(facts) if len(manifest.shards) <= FEW else facts
+    return rows.join(side, "shard").select("doc_id", "text_sha256", "shard", "shard_rows", "shard_bytes", "tier")
