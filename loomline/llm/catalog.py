@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import ann, bpe, crf, lines, packing, quotes, rules, shards, simhash, warc
+from loomline.llm import ann, bpe, crf, lines, packing, quotes, shards, simhash, warc, words
 from loomline.llm.common import table
 
 
@@ -29,7 +29,7 @@ def op5_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_kneser_ney_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.verdicts(spark, table(spark, sf_dir, "documents"))
+    return words.verdicts(spark, table(spark, sf_dir, "documents"))
 
 
 def op7_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
