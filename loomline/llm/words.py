@@ -12,8 +12,9 @@ would look like the most predictable text of all. Each text is therefore scored
 often as other windows have it, a context without others gives way to the lower order, and a word without others counts as
 unseen.
 
-A text's measure is its negative log probability per word, the logarithm of its perplexity. The bands are those of
-``rules``: ``LOWER`` and ``UPPER`` times the median of the texts of that language that pass the base rules.
+A text's measure is its negative log probability per word, the logarithm of its perplexity. The bands of a language come
+from all its texts that pass the base rules: the median, less ``BELOW`` or plus ``ABOVE`` times the distance to the lower or
+upper quartile.
 
 Rows: a null text has no words and fails the base rules; a null language is a language of its own; repeated rows are scored
 alike, and each counts in the model; texts of any length are counted and scored whole; other columns play no part.
@@ -31,8 +32,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm.common import narrow, reread
-from loomline.llm.rules import LOWER, RESULT, UPPER, _boxed, _discounts, _micro, _row_key, _scored, mix
+from loomline.llm.rules import RESULT, _boxed, _discounts, _micro, _row_key, _scored, mix
 
+BELOW, ABOVE = 4.0, 4.0
 #: Bigrams of a task that are held before they are merged.
 HELD = 1 << 21
 
@@ -166,8 +168,10 @@ def judge(spark: SparkSession, docs: DataFrame) -> DataFrame:
     found = reread(spark, measures(boxed, fit(spark, docs)), "measures")
     keyed = _scored(boxed, None).drop("cost").withColumn("row", F.substring(_row_key(), 1, 16))
     scored = reread(spark, keyed.join(found, "row", "left").drop("row"), "scored")
-    middles = scored.filter(~F.col("base_failed")).groupBy(F.col("doc.lang").alias("of_lang")).agg(F.expr("percentile(log_perplexity, 0.5)").alias("middle"))
-    bands = reread(spark, middles.select("of_lang", (LOWER * F.col("middle")).alias("least"), (UPPER * F.col("middle")).alias("most")), "bands")
+    q = F.percentile("log_perplexity", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    quartiles = scored.filter(~F.col("base_failed")).groupBy(F.col("doc.lang").alias("of_lang")).agg(q.alias("q"))
+    low, mid, high = (F.col("q")[k] for k in range(3))
+    bands = reread(spark, quartiles.select("of_lang", (mid - BELOW * (mid - low)).alias("least"), (mid + ABOVE * (high - mid)).alias("most")), "bands")
     side = F.broadcast(bands) if bands.limit(10_001).count() <= 10_000 else bands
     placed = scored.join(side, F.col("doc.lang").eqNullSafe(F.col("of_lang")), "left")
     inside = F.coalesce(F.col("log_perplexity").between(F.col("least"), F.col("most")), F.lit(False))
