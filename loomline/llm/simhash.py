@@ -165,31 +165,53 @@ def shard_edges(shard: np.ndarray, prints: np.ndarray, tree: np.ndarray, query:
     return linked, labels[linked]
 
 
-def link_edges(groups: DataFrame, bands: list[tuple[int, int]], radius: int, shard_size: int = SHARD) -> DataFrame:
+def shard_pairs(shard: np.ndarray, prints: np.ndarray, tree: np.ndarray, query: np.ndarray, label: np.ndarray, radius: int, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (rows a, rows b) of whole shards within the radius whose labels differ; ``shard`` is sorted."""
+    _, first, sizes = np.unique(shard, return_index=True, return_counts=True)
+    small = np.repeat(sizes <= leaf, sizes)
+    ends = [(np.empty(0, int), np.empty(0, int))]
+    for k in range(1, int(sizes[sizes <= leaf].max(initial=1))):
+        a = np.flatnonzero((shard[k:] == shard[:-k]) & small[k:] & (label[k:] != label[:-k]))
+        b = a + k
+        ok = (np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1, dtype=np.int64) <= radius) & (tree[a] & query[b] | query[a] & tree[b])
+        ends.append((a[ok], b[ok]))
+    for start, size in zip(first[sizes > leaf].tolist(), sizes[sizes > leaf].tolist(), strict=True):
+        members = np.arange(start, start + size)
+        for near, member in BKTree(prints, members[tree[members]], leaf).links(members[query[members]], radius):
+            near = near[label[near] != label[member]]
+            ends.append((near, np.full(len(near), member)))
+    a, b = (np.concatenate(x) for x in zip(*ends, strict=True))
+    return a, b
+
+
+def link_edges(groups: DataFrame, bands: list[tuple[int, int]], radius: int, shard_size: int = SHARD, pairs_of_labels: bool = False) -> DataFrame:
     """Spanning edges (``a``, ``b``: fingerprints) of the links among distinct fingerprints of ``groups`` (``fp``).
 
+    ``pairs_of_labels``: instead, every link between fingerprints whose ``label`` (a long of ``groups``) differs.
     ``bands`` are (first bit, number of bits), in whole half-bytes and at most 24 bits each.
     """
     bits = F.hex("fp")
     keys = F.array(*[F.lit(k << 24) + F.conv(F.substring(bits, at // 4 + 1, n // 4), 16, 10).cast("long") for k, (at, n) in enumerate(bands)])
-    filed = groups.select("fp", F.explode(keys).alias("band"))
+    named = ["label"] if pairs_of_labels else []
+    filed = groups.select("fp", *named, F.explode(keys).alias("band"))
     large = filed.groupBy("band").count().filter(F.col("count") > shard_size).select("band", F.ceil(F.col("count") / shard_size).alias("splits"))
     large = reread(groups.sparkSession, large, "large")
     several = large.limit(FEW + 1).count()
     # without large shards, or with few, the filed fingerprints are shuffled once, to their shards
     sized = filed.join(F.broadcast(large) if several <= FEW else large, "band", "left") if several else filed.withColumn("splits", F.lit(None).cast("long"))
-    whole = sized.filter("splits is null").select(F.col("band").alias("shard"), "fp", F.lit(True).alias("tree"), F.lit(True).alias("query"))
+    whole = sized.filter("splits is null").select(F.col("band").alias("shard"), "fp", F.lit(True).alias("tree"), F.lit(True).alias("query"), *named)
     split = sized.filter("splits is not null").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("splits"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("splits") - 1)))
     of_pair = F.col("band") + F.lit(1 << 32) * (1 + F.least("own", "other") * F.col("splits") + F.greatest("own", "other"))
-    pairs = split.select(of_pair.alias("shard"), "fp", (F.col("own") <= F.col("other")).alias("tree"), (F.col("own") >= F.col("other")).alias("query"))
+    pairs = split.select(of_pair.alias("shard"), "fp", (F.col("own") <= F.col("other")).alias("tree"), (F.col("own") >= F.col("other")).alias("query"), *named)
     dealt = whole.unionByName(pairs).repartition("shard").sortWithinPartitions("shard", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
 
-        def edges(shard, prints, tree, query) -> Iterator[pa.RecordBatch]:
-            a, b = shard_edges(shard, prints, tree, query, radius)
-            if len(a):
+        def edges(shard, prints, tree, query, *label) -> Iterator[pa.RecordBatch]:
+            every_a, every_b = shard_pairs(shard, prints, tree, query, *label, radius) if label else shard_edges(shard, prints, tree, query, radius)
+            for at in range(0, len(every_a), CHUNK):
+                a, b = every_a[at : at + CHUNK], every_b[at : at + CHUNK]
                 yield pa.record_batch([pa.array([prints[i].tobytes() for i in x.tolist()], pa.binary()) for x in (a, b)], ["a", "b"])
 
         def joined() -> list[np.ndarray]:
@@ -197,7 +219,7 @@ def link_edges(groups: DataFrame, bands: list[tuple[int, int]], radius: int, sha
 
         for batch in batches:
             fps = batch.column("fp").to_pylist()
-            held.append([batch.column("shard").to_numpy(), np.frombuffer(b"".join(fps), np.uint64).reshape(len(fps), -1), *(batch.column(x).to_numpy(zero_copy_only=False) for x in ("tree", "query"))])
+            held.append([batch.column("shard").to_numpy(), np.frombuffer(b"".join(fps), np.uint64).reshape(len(fps), -1), *(batch.column(x).to_numpy(zero_copy_only=False) for x in ("tree", "query", *named))])
             if sum(len(x[0]) for x in held) > 50_000:
                 rows = joined()
                 start = int(np.searchsorted(rows[0], rows[0][-1]))  # the last shard may go on in the next batch
@@ -259,12 +281,52 @@ def simhash_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 #: The pipeline's stage: 512-bit fingerprints of the different 5-word shingles. A similarity of 0.8 (Jaccard) is a cosine
-#: of 0.889, at which 0.152 of the bits differ, 78 of 512, with a deviation of 8; the radius lies above that.
-#: 32 bands stand side by side and 16 across their joints. By simulation a pair is linked with a probability of 0.88 at a
-#: similarity of 0.8, 0.99 at 0.85, and more than 0.999 at 0.9; a wider radius would link pairs below 0.7 too.
+#: of 0.889, at which 0.152 of the bits differ, 78 of 512, with a deviation of 8. Fingerprints only name candidates, in 125
+#: overlapping bands: by simulation (400 pairs each, of 300 and of 60 shingles) 0.995 and more of the pairs at 0.8 share a
+#: band, and all lie within the radius. What the candidates share is then counted exactly.
 WIDE_LANES = 8
-WIDE_BANDS = [(16 * k, 16) for k in range(32)] + [(32 * k + 8, 16) for k in range(16)]
-WIDE_RADIUS = 88
+WIDE_BANDS = [(4 * k, 16) for k in range(125)]
+WIDE_RADIUS = 108
+WIDE_WORDS = 5
+#: Links this close are confirmed first, so that large groups of copies are one before all other pairs are listed.
+TIGHT_RADIUS = 64
+SIMILAR = (4, 5)
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """``fp`` and ``shingles`` (the hashes of the different shingles, sorted, packed) of every text."""
+
+    def make():
+        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [np.unique(shingle_hashes(text.as_py(), WIDE_WORDS)) for text in batch.column("text")]
+            return pa.record_batch([pa.array([fingerprint(x, WIDE_LANES) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["fp", "shingles"])
+
+        return apply
+
+    return arrow_map(narrow(docs, text="string"), make, "fp binary, shingles binary")
+
+
+def similar(one: bytes, other: bytes) -> bool:
+    """Whether two packed sets have a Jaccard similarity of at least ``SIMILAR``."""
+    a, b = np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    part, whole = SIMILAR
+    return whole * both >= part * (len(a) + len(b) - both)
+
+
+def confirmed(spark: SparkSession, edges: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of ``edges`` (a, b: fingerprints) whose texts' shingles are similar, counted exactly."""
+    edges = reread(spark, edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    ends = edges.select(F.col("a").alias("fp")).unionByName(edges.select(F.col("b").alias("fp"))).distinct()
+    sets = reread(spark, shingle_sets(docs).join(ends, "fp", "left_semi").groupBy("fp").agg(F.min("shingles").alias("shingles")), "sets")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [similar(x.as_py(), y.as_py()) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    of_a, of_b = (sets.select(F.col("fp").alias(k), F.col("shingles").alias(n)) for k, n in (("a", "x"), ("b", "y")))
+    return reread(spark, edges.join(of_a, "a").join(of_b, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary"), "confirmed")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -273,8 +335,14 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     Of each group the smallest doc_id stays; of rows that repeat this id, one stays. Rows with a null id all stay. Blank
     texts are copies of one another.
     """
-    prints = fingerprints(docs, words=5, lanes=WIDE_LANES, distinct=True)
-    groups = near_groups(spark, prints, WIDE_BANDS, WIDE_RADIUS)
-    kept = groups.filter("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct()
+    prints = reread(spark, fingerprints(docs, words=WIDE_WORDS, lanes=WIDE_LANES, distinct=True), "prints")
+    groups = reread(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "groups")
+    tight = confirmed(spark, link_edges(groups, WIDE_BANDS, TIGHT_RADIUS), docs)
+    roots = components(spark, tight)
+    labelled = groups.join(roots, groups.fp == roots.node, "left").select("fp", F.xxhash64(F.coalesce("root", "fp")).alias("label"))
+    others = confirmed(spark, link_edges(reread(spark, labelled, "labelled"), WIDE_BANDS, WIDE_RADIUS, pairs_of_labels=True), docs)
+    linked = components(spark, tight.unionByName(others).unionByName(_shared_ids(prints, groups)))
+    smallest = groups.join(linked, groups.fp == linked.node, "left").groupBy(F.coalesce("root", "fp")).agg(F.min("first_id").alias("doc_id"))
+    kept = smallest.filter("doc_id is not null").select("doc_id").distinct()
     named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.filter("doc_id is null"))

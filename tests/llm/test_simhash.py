@@ -122,3 +122,27 @@ def test_keep_one(spark):
     assert got.columns == docs.columns
     ids = sorted((r.doc_id for r in got.collect()), key=str)
     assert ids == sorted([d for d, _ in rows if d not in copies] + [None], key=str)
+
+
+def test_keep_one_at_the_limit(spark):
+    """Pairs just above a similarity of 0.8 go, those below stay, by the exact count of their shingles."""
+    rng = random.Random(5)
+    rows, gone = [], set()
+
+    def sets(text):
+        words = text.split()
+        return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+
+    for k in range(160):
+        base = [f"w{rng.getrandbits(30)}" for _ in range(rng.choice([104, 304]))]
+        n = len(base) - 4
+        tail = round(n * (0.195, 0.25, 0.3, 0.36)[k % 4] / (2 - (0.195, 0.25, 0.3, 0.36)[k % 4]))
+        near = base[: len(base) - tail] + [f"w{rng.getrandbits(30)}" for _ in range(tail)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(near))]
+        a, b = sets(rows[-2][1]), sets(rows[-1][1])
+        if len(a & b) >= 0.8 * len(a | b):
+            gone.add(2 * k + 1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.keep_one(spark, docs).collect()}
+    assert len(gone) == 40
+    assert kept >= {d for d, _ in rows} - gone and len(gone & kept) <= 1
