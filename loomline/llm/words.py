@@ -1,189 +1,589 @@
-"""Quality rules with a model of word bigrams: base counts of a text, and perplexity bands of its language.
-
-The model is an interpolated, modified Kneser-Ney model of words, order 2, for each language, counted over all texts. It
-grows with the corpus, so it is never collected or broadcast: counts, contexts and continuations are tables keyed by 64-bit
-hashes of words, and texts are scored by joining their bigrams with them. The word before the first is hash 0.
-
-A bigram's count is that of the different windows it stands in, itself with a word on either side. Copies of a text add
-nothing, so a copied text is no more predictable than an original.
-
-A text is part of the corpus it is scored against, and would be predicted by itself: random words, which occur nowhere else,
-would look like the most predictable text of all. Each text is therefore scored without its own windows: a bigram counts as
-often as other windows have it, a context without others gives way to the lower order, and a word without others counts as
-unseen.
-
-A text's measure is its negative log probability per word, the logarithm of its perplexity. The bands of a language come
-from all its texts that pass the base rules: the median, less ``BELOW`` or plus ``ABOVE`` times the distance to the lower or
-upper quartile.
-
-Rows: a null text has no words and fails the base rules; a null language is a language of its own; repeated rows are scored
-alike, and each counts in the model; texts of any length are counted and scored whole; other columns play no part.
+"""A modified Kneser-Ney model of word bigrams, counted by Spark and kept in sorted arrays of hashes.
+
+The model is interpolated, of order 2, one for each language, and counts all texts that pass the base rules. A bigram's count
+is the number of different copy classes that hold it: texts share a class where the smallest hash of their windows is the
+same, so exact copies always do and near copies mostly. There are ``VIEWS`` ways to hash windows, each with classes of its
+own, and the least of their counts is taken: near copies that share a class in any view count once. A text is part of the
+corpus it is scored against and would be predicted by itself; each count is therefore taken without the text's own class,
+that is, less one. Words without a letter or digit are context, but are not themselves scored.
+
+First every text's words are counted. A word that two classes hold is known and gets a number, its place in the sorted array
+of the words' hashes; the others are unknown words of their language, of which only the number is kept. At most
+``VOCABULARY`` words are known, the most frequent ones, so the array is small enough to send to every task.
+
+Then a task sends the bigrams of a block of texts to their shards. A shard gets, for each block, one packed array of sorted
+bigrams beside the texts of the block that hold them, so a bigram costs four bytes or so where a row would cost thirty. It
+counts the classes of each bigram, and what the counts say of contexts and continuations is added up by word. Once that has
+been sent to all, the same shards (the shuffle is kept, not repeated) add up what their bigrams cost each text. Costs are
+whole numbers, in millionths, whose sums do not depend on their order.
+
+Bigrams go by the hash of their first word, those of a very frequent first word by that of both, and those of two very
+frequent words, which may stand in every text, by the class of the text in the first view, their counts in it being added up
+afterwards. So no shard has to take what one word, or one pair of words, brings.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.common import narrow, reread
-from loomline.llm.rules import RESULT, _boxed, _discounts, _micro, _row_key, _scored, mix
-
-BELOW, ABOVE = 4.0, 4.0
-#: Bigrams of a task that are held before they are merged.
-HELD = 1 << 21
-
-
-class Hashes(dict):
-    """64-bit hash of a word, never zero; remembers a bounded number of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word, 42) or 1
-        return found
-
-
-def text_grams(text: str | None, hashes: Hashes) -> np.ndarray:
-    """(words, 3): each word with the one before it, and a hash of both with the words around them; before u and v."""
-    words = (text or "").encode().split()
-    codes = np.zeros(len(words) + 3, np.uint64)
-    codes[2:-1] = np.fromiter((hashes[w] for w in words), np.uint64, len(words))
-    window = np.zeros(len(words), np.uint64)
-    for k in range(4):
-        window = mix(window + codes[k : k + len(words)] + np.uint64(k + 1))
-    return np.stack([window, codes[1:-2], codes[2:-1]], axis=1).view(np.int64) if words else np.empty((0, 3), np.int64)
-
-
-def merged(grams: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows, and the sum of the times of each."""
-    order = np.lexsort(grams.T)
-    grams = grams[order]
-    first = np.flatnonzero(np.concatenate([[True], (grams[1:] != grams[:-1]).any(axis=1)])[: len(grams)])
-    return grams[first], np.add.reduceat(times[order], first) if len(first) else times
-
-
-def count_bigrams(docs: DataFrame) -> DataFrame:
-    """``lang``, ``u``, ``v`` and the number ``n`` of different windows over all texts; each task
-    drops its own repeats first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, found, held = Hashes(), defaultdict(list), 0
+from loomline.llm.common import reread
+
+VIEWS = 3
+#: Words that have a number at most, and how many of the most frequent count as very frequent.
+VOCABULARY, COMMON = 1 << 22, 1024
+#: Pairs of a bigram and a text that a shard gets, about.
+PAIRS = 4_000_000
+#: A block ends behind so many words, or texts.
+BLOCK_WORDS, BLOCK_TEXTS = 2_000_000, 1 << 16
+#: Words that a task holds before it merges them.
+HELD = 1_000_000
+#: Bytes of texts that are cut into words at once.
+SLICE = 1 << 20
+#: Numbers of words have so many bits; classes inside a shard, and texts inside a block, have ``SMALL``.
+ID_BITS, SMALL = 24, 16
+ID_MASK, SMALL_MASK = np.uint64((1 << ID_BITS) - 1), np.uint64((1 << SMALL) - 1)
+#: Words whose numbers share the upper bits are added up together.
+RANGE = 1 << 16
+#: Numbers of classes that are checked in all views.
+FINE = 16
+START, UNKNOWN = 0x5BD1E995A5A4, 0x2545F4914F6C
+FIELDS = ("total", "types", "n1", "n2", "n3", "n4", "before")
+
+
+def mix(keys: np.ndarray) -> np.ndarray:
+    """A bijective 64-bit hash."""
+    x = keys.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+# -- packed arrays
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Arrays of one dimension, byte planes apart: the upper bytes of small numbers take next to no room."""
+    planes = [(c.dtype.str, len(c), np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T.tobytes()) for c in columns]
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(planes))
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    planes = pickle.loads(zstandard.ZstdDecompressor().decompress(data))
+    return [np.ascontiguousarray(np.frombuffer(p, np.uint8).reshape(-1, n).T).view(kind).ravel() if n else np.empty(0, kind) for kind, n, p in planes]
+
+
+# -- words of texts
+
+
+def _powers(of: int, n: int) -> np.ndarray:
+    factors = np.full(n + 1, of, np.uint64)
+    factors[0] = 1
+    return np.cumprod(factors, dtype=np.uint64)
+
+
+FACTOR = 0x9E3779B97F4A7C15
+DOWN, UP = _powers(FACTOR, 2 * SLICE), _powers(pow(FACTOR, -1, 1 << 64), 2 * SLICE)
+#: A number for each byte, whether it is white space, and whether it makes a word a proper one: letters, digits, all beyond ASCII.
+BYTES = mix(np.arange(1, 257, dtype=np.uint64))
+SPACE, PROPER = np.zeros(256, bool), np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+PROPER[[k for k in range(256) if k > 127 or chr(k).isalnum()]] = True
+
+
+def _slice_codes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start and code of every word. A word's hash is a sum over its bytes, each times a power of its place, so all words'
+    sums come from the running sum of the whole."""
+    raw = np.frombuffer(data, np.uint8)
+    edge = np.diff(np.concatenate([[False], ~SPACE[raw], [False]]).view(np.int8))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    down, up = (DOWN, UP) if len(raw) < len(DOWN) else (_powers(FACTOR, len(raw)), _powers(pow(FACTOR, -1, 1 << 64), len(raw)))
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(BYTES[raw] * down[: len(raw)], out=sums[1:])
+    proper = np.concatenate([[0], np.cumsum(PROPER[raw], dtype=np.int32)])
+    hashes = mix((sums[ends] - sums[starts]) * up[starts])
+    return starts, hashes & ~np.uint64(1) | (proper[ends] > proper[starts]).astype(np.uint64)
+
+
+def word_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit codes of the words of texts, one behind the other, odd if the word has a letter or digit; and how many words
+    each text has. Long texts are cut at white space, so that memory stays bounded."""
+    codes, counts, at = [], np.zeros(len(texts), np.int64), 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (size == 0 or size + len(texts[end]) < SLICE):
+            size, end = size + len(texts[end]) + 1, end + 1
+        if end == at + 1:
+            rest = texts[at]
+            while rest:
+                here = len(rest)
+                if here > SLICE:
+                    here = next((k for k in range(SLICE, here) if SPACE[rest[k]]), here)
+                starts, found = _slice_codes(rest[:here])
+                codes.append(found)
+                counts[at] += len(found)
+                rest = rest[here:]
+        else:
+            starts, found = _slice_codes(b"\n".join(texts[at:end]))
+            codes.append(found)
+            begin = np.cumsum([0, *(len(x) + 1 for x in texts[at:end])])
+            counts[at:end] = np.diff(np.searchsorted(starts, begin))
+        at = end
+    return np.concatenate(codes) if codes else np.empty(0, np.uint64), counts
+
+
+def lang_code(lang: str | None) -> int:
+    """An even number of 48 bits."""
+    return 0 if lang is None else xxhash.xxh64_intdigest(lang.encode(), 7) >> 17 << 1
+
+
+def lang_words(codes: np.ndarray, langs: np.ndarray) -> np.ndarray:
+    """48-bit numbers of words that differ from language to language; ``langs``: the code of each word's language."""
+    return (codes >> np.uint64(17) << np.uint64(1) | codes & np.uint64(1)) ^ langs
+
+
+def copy_classes(codes: np.ndarray, counts: np.ndarray, views: int = VIEWS) -> np.ndarray:
+    """In each view 32 bits that texts share which are copies: the smallest hash of four consecutive words. (texts, views)"""
+    out = np.zeros((len(counts), views), np.uint32)
+    ends = np.cumsum(counts)
+    for k in np.flatnonzero((counts > 0) & (counts < 4)).tolist():
+        out[k] = int(mix(codes[ends[k] - counts[k] : ends[k]].sum(keepdims=True))[0]) >> 32
+    long = np.flatnonzero(counts >= 4)
+    if len(long):
+        windows = np.append(codes[:-3] + np.uint64(3) * codes[1:-2] + np.uint64(5) * codes[2:-1] + np.uint64(7) * codes[3:], np.uint64(0))
+        bounds = np.stack([ends[long] - counts[long], ends[long] - 3], axis=1).ravel()
+        for view in range(views):
+            out[long, view] = (np.minimum.reduceat(mix(windows + np.uint64(view)), bounds)[::2] >> np.uint64(32)).astype(np.uint32)
+    return out
+
+
+def _texts(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[list, list[bytes], list]]:
+    """(languages, texts, rows of the other columns) of about ``SLICE`` bytes at a time."""
+    for batch in batches:
+        langs, texts, rest = [], [], []
+        size = 0
+        for k in range(batch.num_rows):
+            data = (batch.column("text")[k].as_py() or "").encode()
+            langs.append(batch.column("lang")[k].as_py())
+            texts.append(data)
+            rest.append(tuple(batch.column(n)[k].as_py() for n in names))
+            size += len(data)
+            if size >= SLICE:
+                yield langs, texts, rest
+                langs, texts, rest, size = [], [], [], 0
+        if texts:
+            yield langs, texts, rest
+
+
+# -- vocabulary
+
+
+def _merge_words(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Different words, sorted, with a class of theirs, whether they have several, and the number of their texts."""
+    words, of, several, texts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(words, kind="stable")
+    words, of = words[order], of[order]
+    first = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]])[: len(words)])
+    if not len(first):
+        return words, of, several, texts
+    low, high = np.minimum.reduceat(of, first), np.maximum.reduceat(of, first)
+    return words[first], low, (low != high) | np.logical_or.reduceat(several[order], first), np.add.reduceat(texts[order], first)
+
+
+def count_words(docs: DataFrame) -> DataFrame:
+    """``lang``, ``word`` and ``n``, its texts, of every word that two classes hold; a null word beside the number of the
+    others. Each task merges its own words first. Of a class 16 bits are compared."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = defaultdict(list), 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for lang, parts in found.items():
-                every = np.concatenate(parts)
-                grams, _ = merged(every, np.ones(len(every), np.int64))
-                for at in range(0, len(grams), 100_000):
-                    part = grams[at : at + 100_000]
-                    yield pa.record_batch([pa.array([lang] * len(part), pa.string()), *map(pa.array, part.T)], ["lang", "around", "u", "v"])
+            for lang, ((words, of, several, texts),) in found.items():
+                ends = np.searchsorted(words >> np.uint64(40), np.arange(257))
+                for k in np.flatnonzero(np.diff(ends)).tolist():
+                    s = slice(ends[k], ends[k + 1])
+                    data = packed(np.diff(words[s], prepend=np.uint64(0)), np.where(several[s], 0, of[s]).astype(np.uint16), several[s], texts[s])
+                    yield pa.record_batch([pa.array([lang], pa.string()), pa.array([k], pa.int32()), pa.array([data], pa.binary())], ["lang", "part", "data"])
             found.clear()
 
-        for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                grams = text_grams(text, hashes)
-                found[lang].append(grams)
-                held += len(grams)
-                if held >= HELD:
+        for langs, texts, _ in _texts(batches):
+            codes, counts = word_codes(texts)
+            classes = mix(copy_classes(codes, counts, 1)[:, 0]) & SMALL_MASK
+            by_lang = np.array([lang_code(x) for x in langs], np.uint64)
+            text = np.repeat(np.arange(len(texts), dtype=np.uint64), counts)
+            some = np.flatnonzero(counts)
+            words = np.append(lang_words(codes, by_lang[text]), by_lang[some] ^ np.uint64(START))
+            text = np.append(text, some.astype(np.uint64))
+            # a text is no longer than SLICE, or alone, so its number fits beside the word
+            order = np.lexsort((words, text)) if len(texts) > SMALL_MASK else np.argsort(text << np.uint64(48) | words)
+            words, text = words[order], text[order]
+            first = np.flatnonzero(np.concatenate([[True], (words[1:] != words[:-1]) | (text[1:] != text[:-1])])[: len(words)])
+            words, text = words[first], text[first]
+            kinds = {x: k for k, x in enumerate(dict.fromkeys(langs))}
+            kind = np.array([kinds[x] for x in langs])[text.astype(np.int64)]
+            for lang, k in kinds.items():
+                at = np.flatnonzero(kind == k)
+                if len(at):
+                    found[lang].append((words[at], classes[text[at].astype(np.int64)].astype(np.uint16), np.zeros(len(at), bool), np.ones(len(at), np.uint32)))
+                    held += len(at)
+            if held >= HELD:
+                for lang, parts in found.items():
+                    found[lang] = [_merge_words(parts)]
+                held = sum(len(x[0][0]) for x in found.values())
+                if held >= HELD // 2:
                     yield from flush()
                     held = 0
+        for lang, parts in found.items():
+            found[lang] = [_merge_words(parts)]
         yield from flush()
 
-    counted = docs.select("lang", "text").mapInArrow(run, "lang string, around long, u long, v long")
-    return counted.distinct().groupBy("lang", "u", "v").agg(F.count("*").alias("n"))
-
-
-def _with(frame: DataFrame, side: DataFrame, *keys: str) -> DataFrame:
-    """``frame`` joined with what ``side`` has of its language and ``keys``; null is a language."""
-    side = side.withColumnsRenamed({k: f"s_{k}" for k in ("lang", *keys)})
-    on = F.col("lang").eqNullSafe(F.col("s_lang"))
-    for k in keys:
-        on = on & (F.col(k) == F.col(f"s_{k}"))
-    return frame.join(side, on).drop("s_lang", *[f"s_{k}" for k in keys])
-
-
-def _cut(n: Column, prefix: str) -> Column:
-    """The discount of a count."""
-    return F.when(n == 1, F.col(f"{prefix}1")).when(n == 2, F.col(f"{prefix}2")).otherwise(F.col(f"{prefix}3"))
-
-
-def fit(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """A row for each bigram of each language: lang, u, v, its windows n, the count ``total`` and the weight ``back`` of its
-    context, the count ``n_v`` and the lower-order probability ``p_v`` of its word, ``types`` and the discounts b1 to b3."""
-    bi = reread(spark, count_bigrams(docs), "bigrams")
-    uni = reread(spark, bi.groupBy("lang", "v").agg(F.sum("n").alias("n_v"), F.count("*").alias("n")), "words")
-    cuts = {p: _discounts(x).select(F.col("of_lang").alias("lang"), *[F.col(f"d{k}").alias(f"{p}{k}") for k in (1, 2, 3)], *(["types"] if p == "a" else [])) for p, x in (("a", uni), ("b", bi))}
-    cuts = {p: reread(spark, x, "discounts") for p, x in cuts.items()}
-    low = _with(uni, cuts["a"])
-    sums = low.groupBy("lang").agg(F.sum("n").alias("all"), F.sum(_cut(F.col("n"), "a")).alias("cut"))
-    p_v = (F.col("n") - _cut(F.col("n"), "a")) / F.col("all") + F.col("cut") / F.col("all") / (F.col("types") + 1)
-    low = _with(low, sums).select("lang", "v", "n_v", p_v.alias("p_v"), (F.col("cut") / F.col("all") / (F.col("types") + 1)).alias("p_new"))
-    cut = _with(bi, cuts["b"])
-    context = cut.groupBy("lang", "u").agg(F.sum("n").alias("total"), (F.sum(_cut(F.col("n"), "b")) / F.sum("n")).alias("back"))
-    return _with(_with(cut, context, "u"), low, "v")
-
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, parts = None, []
 
-def text_bigrams(boxed: DataFrame) -> DataFrame:
-    """``row``, ``lang`` and the bigrams of each text: how often it has them, and its windows ``own`` with them, ``own_u``
-    with their context and ``own_v`` with their word."""
+        def done() -> Iterator[pa.RecordBatch]:
+            words, _, known, texts = _merge_words(parts)
+            yield pa.record_batch([pa.array([key[0]] * (int(known.sum()) + 1), pa.string()), pa.array([*words[known].tolist(), None], pa.int64()), pa.array([*texts[known].tolist(), int((~known).sum())], pa.int64())], ["lang", "word", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for batch in batches:
-            for row, lang, text in zip(*(batch.column(x).to_pylist() for x in ("row", "lang", "text")), strict=True):
-                every = text_grams(text, hashes)
-                if not len(every):
-                    continue
-                windows, times = merged(every, np.ones(len(every), np.int64))
-                grams, own = merged(windows[:, 1:], np.ones(len(windows), np.int64))
-                _, times = merged(windows[:, 1:], times)
-                sums = []
-                for k in (0, 1):
-                    _, where = np.unique(grams[:, k], return_inverse=True)
-                    sums.append(np.bincount(where, own)[where].astype(np.int64))
-                yield pa.record_batch([pa.array([row] * len(own), pa.binary()), pa.array([lang] * len(own), pa.string()), *map(pa.array, (*grams.T, times, own, *sums))], ["row", "lang", "u", "v", "times", "own", "own_u", "own_v"])
-
-    return boxed.select(F.substring(_row_key(), 1, 16).alias("row"), "doc.lang", "doc.text").mapInArrow(run, "row binary, lang string, u long, v long, times long, own long, own_u long, own_v long")
-
-
-def measures(boxed: DataFrame, model: DataFrame) -> DataFrame:
-    """``row`` and ``log_perplexity`` of every text with words. Rows of one text add up alike, so their mean is its own."""
-    others = F.col("n") - F.col("own")
-    low = F.when(F.col("n_v") > F.col("own_v"), F.col("p_v")).otherwise(F.col("p_new"))
-    seen = F.when(others > 0, (others - _cut(others, "b")) / (F.col("total") - F.col("own_u"))).otherwise(F.lit(0.0))
-    p = F.when(F.col("total") > F.col("own_u"), seen + F.col("back") * low).otherwise(low)
-    priced = _with(text_bigrams(boxed), model, "u", "v").select("row", "times", (F.col("times") * _micro(p)).alias("cost"))
-    return priced.groupBy("row").agg(F.round(F.sum("cost") / F.sum("times") / 1e6, 3).alias("log_perplexity"))
-
-
-def judge(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``doc``, the base counts, base_failed, log_perplexity (null without words) and kept for every row of ``docs``."""
-    boxed = _boxed(docs)
-    # keys and measures alone go to the shared folder; texts are shuffled once, to their measures
-    found = reread(spark, measures(boxed, fit(spark, docs)), "measures")
-    keyed = _scored(boxed, None).drop("cost").withColumn("row", F.substring(_row_key(), 1, 16))
-    scored = reread(spark, keyed.join(found, "row", "left").drop("row"), "scored")
-    q = F.percentile("log_perplexity", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    quartiles = scored.filter(~F.col("base_failed")).groupBy(F.col("doc.lang").alias("of_lang")).agg(q.alias("q"))
-    low, mid, high = (F.col("q")[k] for k in range(3))
-    bands = reread(spark, quartiles.select("of_lang", (mid - BELOW * (mid - low)).alias("least"), (mid + ABOVE * (high - mid)).alias("most")), "bands")
-    side = F.broadcast(bands) if bands.limit(10_001).count() <= 10_000 else bands
-    placed = scored.join(side, F.col("doc.lang").eqNullSafe(F.col("of_lang")), "left")
-    inside = F.coalesce(F.col("log_perplexity").between(F.col("least"), F.col("most")), F.lit(False))
-    return placed.withColumn("kept", ~F.col("base_failed") & inside).drop("of_lang", "least", "most")
-
-
-def verdicts(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, the base counts, base_failed, kept and log_perplexity of every row."""
-    plain = narrow(docs, doc_id="long", lang="string", text="string")
-    return judge(spark, plain).select("doc.doc_id", *[x for x in RESULT if x != "cost"], "kept", "log_perplexity")
-
-
-def keep_good(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that the rules reject; the columns stay as they are."""
-    return judge(spark, docs).filter("kept").select("doc.*")
+            for lang, part, data in zip(*(batch.column(c).to_pylist() for c in ("lang", "part", "data")), strict=True):
+                if parts and key != (lang, part):
+                    yield from done()
+                    parts = []
+                step, of, several, texts = unpacked(data)
+                key, parts = (lang, part), [*parts, (np.cumsum(step, dtype=np.uint64), np.where(several, 0, of).astype(np.uint16), several, texts)]
+                if sum(len(x[0]) for x in parts) > 2 * HELD:
+                    parts = [_merge_words(parts)]
+        if parts:
+            yield from done()
+
+    sent = docs.select("lang", "text").mapInArrow(gather, "lang string, part int, data binary")
+    return sent.repartition("lang", "part").sortWithinPartitions("lang", "part").mapInArrow(settle, "lang string, word long, n long")
+
+
+def _empty(kind) -> np.ndarray:
+    return field(default_factory=lambda: np.empty(0, kind))
+
+
+@dataclass
+class Vocabulary:
+    """Known words, sorted, and their numbers, the most frequent first; the other arrays are in the order of the numbers.
+    Every language that has a known word also has a start and an unknown word."""
+
+    words: np.ndarray = _empty(np.uint64)
+    number: np.ndarray = _empty(np.int64)
+    lang: np.ndarray = _empty(np.int32)
+    unknown: np.ndarray = _empty(bool)
+    proper: np.ndarray = _empty(bool)
+    n_unknown: np.ndarray = _empty(np.int64)
+    langs: dict = field(default_factory=dict)
+    pairs: int = 0
+    common: int = COMMON
+
+    def numbers(self, words: np.ndarray, unknown: np.ndarray) -> np.ndarray:
+        """Numbers of words; ``unknown``: for each the number that stands in where it has none."""
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, self.number[at], unknown)
+
+    def special(self, lang: str | None, which: int) -> int:
+        return int(self.number[np.searchsorted(self.words, np.uint64(lang_code(lang) ^ which))])
+
+
+def vocabulary(spark: SparkSession, docs: DataFrame, most: int = VOCABULARY, common: int = COMMON) -> Vocabulary:
+    counted = reread(spark, count_words(docs), "words")
+    known = counted.filter("word is not null")
+    if (n := known.count()) > most:
+        known = reread(spark, known.orderBy(F.desc("n"), "word").limit(most), "words")
+    by_lang = counted.groupBy("lang").agg(F.sum(F.when(F.col("word").isNull(), F.col("n")).otherwise(1)).alias("types"), F.sum("n").alias("texts"), F.count("word").alias("known")).filter("known > 0")
+    rows = known.toArrow()
+    if not n:
+        return Vocabulary()
+    sides = by_lang.collect()
+    langs = {r.lang: k for k, r in enumerate(sorted(sides, key=lambda r: (r.lang is not None, r.lang)))}
+    words = rows["word"].to_numpy().astype(np.uint64)
+    texts = rows["n"].to_numpy()
+    of = np.array([langs[x] for x in rows["lang"].to_pylist()], np.int32)
+    kept = np.bincount(of, minlength=len(langs))
+    markers = np.array([lang_code(x) ^ which for x in langs for which in (START, UNKNOWN)], np.uint64)
+    new = ~np.isin(markers, words)
+    words, of, texts = np.append(words, markers[new]), np.append(of, np.repeat(np.arange(len(langs), dtype=np.int32), 2)[new]), np.append(texts, np.full(new.sum(), np.iinfo(np.int64).max))
+    order = np.lexsort((words, -texts))
+    words, of = words[order], of[order]
+    unknown = np.isin(words, np.array([lang_code(x) ^ UNKNOWN for x in langs], np.uint64))
+    proper = (words & np.uint64(1)).astype(bool) | unknown
+    n_unknown = np.zeros(len(langs), np.int64)
+    for r in sides:
+        n_unknown[langs[r.lang]] = r.types - kept[langs[r.lang]]
+    number = np.argsort(words)
+    return Vocabulary(words[number], number, of, unknown, proper, n_unknown, langs, int(sum(r.texts for r in sides)), common)
+
+
+# -- bigrams, to their shards
+
+
+class Block:
+    """Texts of a task whose bigrams leave it together."""
+
+    def __init__(self, number: int, words: Vocabulary, shards: int, common_shards: int):
+        self.number, self.words, self.shards, self.common_shards = number, words, shards, common_shards
+        self.codes, self.sizes, self.langs, self.classes, self.facts = [], [], [], [], []
+        self.held = 0
+
+    def add(self, codes: np.ndarray, counts: np.ndarray, langs: list, facts: list[tuple]) -> None:
+        """Texts; those with a count of 0 have no bigrams to be counted."""
+        self.codes.append(codes)
+        self.sizes.append(counts)
+        self.langs += langs
+        self.classes.append(copy_classes(codes, counts))
+        self.facts += facts
+        self.held += len(codes)
+
+    @property
+    def full(self) -> bool:
+        return self.held >= BLOCK_WORDS or len(self.facts) >= BLOCK_TEXTS // 2
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bigram, text and how often the text holds it, sorted by both."""
+        sizes = np.concatenate(self.sizes)
+        place = {x: (lang_code(x), self.words.special(x, START), self.words.special(x, UNKNOWN)) for x in set(self.langs) & set(self.words.langs)}
+        code, start, unknown = (np.array([place[x][k] if x in place else 0 for x in self.langs], kind) for k, kind in enumerate((np.uint64, np.int64, np.int64)))
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        v = self.words.numbers(lang_words(np.concatenate(self.codes), code[text]), unknown[text])
+        u = np.empty_like(v)
+        u[1:] = v[:-1]
+        begin = (np.cumsum(sizes) - sizes)[sizes > 0]
+        u[begin] = start[sizes > 0]
+        key = np.sort(((u << ID_BITS | v) << SMALL | text).astype(np.uint64))
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        return key[first] >> np.uint64(SMALL), key[first] & SMALL_MASK, np.diff(np.append(first, len(key)))
+
+    def shard_of(self, gram: np.ndarray, of: np.ndarray) -> np.ndarray:
+        u, most = gram >> np.uint64(ID_BITS), np.uint64(self.words.common)
+        first, n = u < most, np.uint64(self.shards)
+        return np.where(first & (gram & ID_MASK < most), n + of % np.uint64(self.common_shards), mix(np.where(first, gram, u)) % n).astype(np.int32)
+
+    def rows(self) -> pa.RecordBatch:
+        """shard, block and data: the facts of the texts, and for each shard its bigrams."""
+        facts = [(-1 - self.number % self.shards, pickle.dumps(self.facts))]
+        if self.held:
+            gram, text, times = self.pairs()
+            classes = mix(np.concatenate(self.classes))
+            shard = self.shard_of(gram, classes[text, 0] >> np.uint64(SMALL))
+            # small counts are checked in the other views, so there eight bits do
+            small = [(classes[:, k] & (SMALL_MASK if not k else np.uint64(255))).astype(np.uint8 if k else np.uint16) for k in range(VIEWS)]
+            order = np.argsort(shard, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+                here = np.zeros(len(classes), bool)
+                here[text[at]] = True
+                facts.append((int(shard[at[0]]), packed(np.diff(gram[at], prepend=np.uint64(0)), text[at].astype(np.uint16), (times[at] - 1).astype(np.uint32), *(np.where(here, c, 0).astype(c.dtype) for c in small))))
+        shards, data = zip(*facts, strict=True)
+        return pa.record_batch([pa.array(shards, pa.int32()), pa.array([self.number] * len(shards), pa.int64()), pa.array(data, pa.binary())], ["shard", "block", "data"])
+
+
+# -- shards
+
+
+def counted(blocks: list[list[np.ndarray]], views: int = VIEWS) -> tuple[np.ndarray, np.ndarray]:
+    """The bigrams of a shard, sorted, and in how many classes each is. Classes are told apart by 16 bits, and their number
+    is estimated from how many of these occur: exact for small numbers, up to ``FINE`` of which the other views check."""
+    n = None
+    for k in range(views):
+        keys = np.concatenate([g << np.uint64(SMALL) | c[k][t] for g, t, _, *c in blocks])
+        keys.sort()
+        gram = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] >> np.uint64(SMALL)
+        del keys
+        first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+        seen = np.diff(np.append(first, len(gram)))
+        gram = gram[first]
+        full = 1 << (8 if k else SMALL)
+        seen = np.rint(-full * np.log1p(-np.minimum(seen, full - 1) / full)).astype(np.int64)
+        n = seen if n is None else np.where(n <= FINE, np.minimum(n, seen), n)
+    return gram, n
+
+
+def tallies(gram: np.ndarray, n: np.ndarray, unknown: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, of ``FIELDS`` the numbers of each): of a context its bigrams, by count; of a word those that end in it.
+    An unknown word is a different one each time."""
+    u, v = (gram >> np.uint64(ID_BITS)).astype(np.int64), (gram & ID_MASK).astype(np.int64)
+    many = unknown[v]
+    rows = []
+    for words, values in ((u, [n, np.where(many, n, 1), np.where(many, n, n == 1), *(~many & (n == k) for k in (2, 3, 4)), np.zeros_like(n)]), (v, [*[np.zeros_like(n)] * 6, np.where(unknown[u], n, 1)])):
+        ids, where = np.unique(words, return_inverse=True)
+        rows.append((ids, np.stack([np.bincount(where, x, len(ids)).astype(np.int64) for x in values])))
+    return np.concatenate([x for x, _ in rows]), np.hstack([x for _, x in rows])
+
+
+def _shards(rows: Iterator) -> Iterator[tuple[int, list[tuple[int, list[np.ndarray]]]]]:
+    """(shard, its blocks) of a partition's rows."""
+    found = defaultdict(list)
+    for r in rows:
+        if r.shard >= 0:
+            found[r.shard].append((r.block, bytes(r.data)))
+    for shard in list(found):
+        blocks = []
+        for block, data in sorted(found.pop(shard)):
+            step, text, times, *classes = unpacked(data)
+            blocks.append((block, [np.cumsum(step, dtype=np.uint64), text, times, *(c.astype(np.uint64) for c in classes)]))
+        yield shard, blocks
+
+
+def added_up(rows: Iterator) -> Iterator[tuple[int, bytes]]:
+    """(part, packed sums) of rows (part, packed ids and values)."""
+    sums: dict[int, np.ndarray] = {}
+    for part, data in rows:
+        ids, *values = unpacked(data)
+        size = COMMON * COMMON if part < 0 else RANGE
+        if part not in sums:
+            sums[part] = np.zeros((len(values), size), np.int64)
+        for total, x in zip(sums[part], values, strict=True):
+            np.add.at(total, ids, x)
+    for part, total in sums.items():
+        yield part, packed(*total)
+
+
+@dataclass
+class Model:
+    """What contexts and words say, by number."""
+
+    total: np.ndarray
+    back: np.ndarray
+    low: np.ndarray
+    cuts: np.ndarray
+    both_common: np.ndarray
+
+    def cost(self, words: Vocabulary, gram: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Negative log probabilities, in millionths, of bigrams that ``n`` classes hold, one of them the text's own."""
+        u, v = gram >> np.uint64(ID_BITS), gram & ID_MASK
+        others = n - 1
+        cut = self.cuts[words.lang[u], np.clip(others, 0, 3)]
+        seen = np.where((others > 0) & ~words.unknown[v], (others - cut) / np.maximum(self.total[u], 1), 0.0)
+        p = np.where(words.unknown[u], self.low[v], seen + self.back[u] * self.low[v])
+        return np.where(words.proper[v], np.rint(-1e6 * np.log(np.maximum(p, 1e-12))), 0).astype(np.int64)
+
+
+def discounts(n: np.ndarray) -> np.ndarray:
+    """(0, D1, D2, D3) of each row of (n1, n2, n3, n4); where counts of counts are missing, half below the count."""
+    n = n.astype(float)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        y = n[:, 0] / (n[:, 0] + 2 * n[:, 1])
+        raw = [k - (k + 1) * y * n[:, k] / n[:, k - 1] for k in (1, 2, 3)]
+    return np.stack([np.zeros(len(n)), *(np.clip(np.where(np.isfinite(d), d, k - 0.5), 0.1, k - 0.1) for k, d in enumerate(raw, 1))], axis=1)
+
+
+def settle(words: Vocabulary, sums: np.ndarray, both_common: np.ndarray) -> Model:
+    """The model from the sums of all shards; ``sums``: of ``FIELDS`` the numbers of each word."""
+    grid = np.flatnonzero(both_common)
+    gram = (grid // COMMON << ID_BITS | grid % COMMON).astype(np.uint64)
+    at, more = tallies(gram, both_common[grid], words.unknown)
+    sums = sums.copy()
+    for total, x in zip(sums, more, strict=True):
+        np.add.at(total, at, x)
+    total, types, n1, n2, n3, n4, before = sums
+    n_langs, lang, real = len(words.langs), words.lang, ~words.unknown
+    by_lang = lambda x: np.bincount(lang, x, n_langs)
+    cuts = discounts(np.stack([by_lang(x) for x in (n1, n2, n3, n4)], axis=1))
+    low_cuts = discounts(np.stack([by_lang(real & (before == k)) + (k == 1) * words.n_unknown for k in (1, 2, 3, 4)], axis=1))
+    whole = by_lang(np.where(real, before, 0)) + words.n_unknown
+    part = np.where(real, before - low_cuts[lang, np.clip(before, 0, 3)], 0.0)
+    n_types = by_lang(real & (before > 0)) + words.n_unknown
+    new = (1 - by_lang(part) / np.maximum(whole, 1)) / (n_types + 1)
+    mass = cuts[lang, 1] * n1 + cuts[lang, 2] * n2 + cuts[lang, 3] * (types - n1 - n2)
+    back = np.where(total > 0, mass / np.maximum(total, 1), 1.0)
+    return Model(total.astype(float), back, part / np.maximum(whole, 1)[lang] + new[lang], cuts, both_common)
+
+
+def text_costs(spark: SparkSession, docs: DataFrame, facts_of, most: int = VOCABULARY, pairs: int = PAIRS) -> DataFrame:
+    """``data``: pickled lists of the facts of texts, each with the number of words scored and their cost behind it: null
+    where it has no language model.
+
+    ``docs`` has ``lang``, ``text`` and other columns; ``facts_of(texts, codes, counts, rows)`` gives, for texts with the
+    codes of their words and the rows of their other columns, facts and whether each text counts.
+    """
+    words = vocabulary(spark, docs, most)
+    shards = max(spark.sparkContext.defaultParallelism, -(-words.pairs // pairs))
+    common_shards = -(-shards // 2)
+    sent = spark.sparkContext.broadcast(words)
+    names = [c for c in docs.columns if c not in ("lang", "text")]
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, number = sent.value, TaskContext.get().partitionId() << 32
+        block = Block(number, known, shards, common_shards)
+        for langs, texts, rows in _texts(batches, *names):
+            codes, counts = word_codes(texts)
+            facts, fine = facts_of(texts, codes, counts, rows)
+            counts_of = np.where(fine & np.array([x in known.langs for x in langs], bool), counts, 0)
+            codes = codes[np.repeat(counts_of > 0, counts)]
+            scored = np.diff(np.concatenate([[0], np.cumsum(codes & np.uint64(1))])[np.concatenate([[0], np.cumsum(counts_of)])].astype(np.int64))
+            block.add(codes, counts_of, langs, [(lang, *f, n) for lang, f, n in zip(langs, facts, scored.tolist(), strict=True)])
+            if block.full:
+                yield block.rows()
+                block = Block(block.number + 1, known, shards, common_shards)
+        if block.facts:
+            yield block.rows()
+
+    # an RDD, so that both jobs below read one shuffle
+    dealt = docs.mapInArrow(gather, "shard int, block long, data binary").repartition(shards + common_shards, "shard").rdd
+
+    def count(rows: Iterator) -> Iterator[tuple[int, bytes]]:
+        known = sent.value
+        for shard, blocks in _shards(rows):
+            gram, n = counted([x for _, x in blocks], VIEWS if shard < shards else 1)
+            if shard >= shards:
+                yield -1, packed((gram >> np.uint64(ID_BITS)) * np.uint64(COMMON) + (gram & ID_MASK), n)
+                continue
+            ids, values = tallies(gram, n, known.unknown)
+            order = np.argsort(ids, kind="stable")
+            ids, values = ids[order], values[:, order]
+            for at in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(ids // RANGE)) + 1):
+                yield int(ids[at[0]] // RANGE), packed((ids[at] % RANGE).astype(np.uint16), *values[:, at])
+
+    ranges = -(-max(1, len(words.words)) // RANGE)
+    sums, both_common = np.zeros((len(FIELDS), ranges * RANGE), np.int64), np.zeros(COMMON * COMMON, np.int64)
+    for part, data in dealt.mapPartitions(count).partitionBy(ranges + 1).mapPartitions(added_up).collect():
+        if part < 0:
+            both_common = unpacked(data)[0]
+        else:
+            sums[:, part * RANGE : (part + 1) * RANGE] = np.stack(unpacked(data))
+    model = spark.sparkContext.broadcast(settle(words, sums[:, : len(words.words)], both_common))
+
+    def price(rows: Iterator) -> Iterator[tuple[int, tuple]]:
+        known, m = sent.value, model.value
+        rows = list(rows)
+        for r in rows:
+            if r.shard < 0:
+                yield r.block, ("facts", bytes(r.data))
+        for shard, blocks in _shards(rows):
+            if shard >= shards:
+                gram = np.unique(np.concatenate([x[0] for _, x in blocks]))
+                n = m.both_common[(gram >> np.uint64(ID_BITS)) * np.uint64(COMMON) + (gram & ID_MASK)]
+            else:
+                gram, n = counted([x for _, x in blocks])
+            each = m.cost(known, gram, n)
+            for block, (own, text, times, *classes) in blocks:
+                cost = each[np.searchsorted(gram, own)] * (times.astype(np.int64) + 1)
+                out = np.zeros(len(classes[0]), np.int64)
+                np.add.at(out, text, cost)
+                yield block, ("cost", packed(out))
+
+    def meet(rows: Iterator[tuple[int, tuple]]) -> Iterator[tuple[bytes]]:
+        facts, costs = {}, {}
+        for block, (kind, data) in rows:
+            if kind == "facts":
+                facts[block] = pickle.loads(data)
+            else:
+                more = unpacked(data)[0]
+                costs[block] = costs[block] + more if block in costs else more
+        for block, texts in facts.items():
+            cost = costs[block].tolist() if block in costs else [0] * len(texts)
+            yield (pickle.dumps([(*f, c if f[-1] else None) for f, c in zip(texts, cost, strict=True)]),)
+
+    return spark.createDataFrame(dealt.mapPartitions(price).partitionBy(shards).mapPartitions(meet), "data binary")
