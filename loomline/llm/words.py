@@ -43,9 +43,9 @@ VIEWS = 3
 #: Words that have a number at most, and how many of the most frequent count as very frequent.
 VOCABULARY, COMMON = 1 << 22, 1024
 #: Pairs of a bigram and a text that a shard gets, about.
-PAIRS = 4_000_000
+PAIRS = 2_500_000
 #: A block ends behind so many words, or texts.
-BLOCK_WORDS, BLOCK_TEXTS = 2_000_000, 1 << 16
+BLOCK_WORDS, BLOCK_TEXTS = 1_500_000, 1 << 16
 #: Words that a task holds before it merges them.
 HELD = 1_000_000
 #: Bytes of texts that are cut into words at once.
@@ -413,13 +413,18 @@ def counted(blocks: list[list[np.ndarray]], views: int = VIEWS) -> tuple[np.ndar
 def tallies(gram: np.ndarray, n: np.ndarray, unknown: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words, of ``FIELDS`` the numbers of each): of a context its bigrams, by count; of a word those that end in it.
     An unknown word is a different one each time."""
-    u, v = (gram >> np.uint64(ID_BITS)).astype(np.int64), (gram & ID_MASK).astype(np.int64)
+    u, v = (gram >> np.uint64(ID_BITS)).astype(np.int32), (gram & ID_MASK).astype(np.int32)
     many = unknown[v]
-    rows = []
-    for words, values in ((u, [n, np.where(many, n, 1), np.where(many, n, n == 1), *(~many & (n == k) for k in (2, 3, 4)), np.zeros_like(n)]), (v, [*[np.zeros_like(n)] * 6, np.where(unknown[u], n, 1)])):
-        ids, where = np.unique(words, return_inverse=True)
-        rows.append((ids, np.stack([np.bincount(where, x, len(ids)).astype(np.int64) for x in values])))
-    return np.concatenate([x for x, _ in rows]), np.hstack([x for _, x in rows])
+    out = []
+    for words, fields in ((u, {0: lambda: n, 1: lambda: np.where(many, n, 1), 2: lambda: np.where(many, n, n == 1), **{k + 1: lambda k=k: ~many & (n == k) for k in (2, 3, 4)}}), (v, {6: lambda: np.where(unknown[u], n, 1)})):
+        order = np.argsort(words, kind="stable")
+        ids = words[order]
+        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])[: len(ids)])
+        sums = np.zeros((len(FIELDS), len(first)), np.int64)
+        for k, values in fields.items():
+            sums[k] = np.add.reduceat(values()[order], first, dtype=np.int64) if len(first) else 0
+        out.append((ids[first].astype(np.int64), sums))
+    return np.concatenate([x for x, _ in out]), np.hstack([x for _, x in out])
 
 
 def _shards(rows: Iterator) -> Iterator[tuple[int, list[tuple[int, list[np.ndarray]]]]]:
@@ -427,7 +432,7 @@ def _shards(rows: Iterator) -> Iterator[tuple[int, list[tuple[int, list[np.ndarr
     found = defaultdict(list)
     for r in rows:
         if r.shard >= 0:
-            found[r.shard].append((r.block, bytes(r.data)))
+            found[r.shard].append((r.block, r.data))
     for shard in list(found):
         blocks = []
         for block, data in sorted(found.pop(shard)):
@@ -541,6 +546,7 @@ def text_costs(spark: SparkSession, docs: DataFrame, facts_of, most: int = VOCAB
                 yield -1, packed((gram >> np.uint64(ID_BITS)) * np.uint64(COMMON) + (gram & ID_MASK), n)
                 continue
             ids, values = tallies(gram, n, known.unknown)
+            del gram, n, blocks
             order = np.argsort(ids, kind="stable")
             ids, values = ids[order], values[:, order]
             for at in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(ids // RANGE)) + 1):
