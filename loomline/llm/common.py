@@ -27,7 +27,8 @@ def narrow(docs: DataFrame, **kinds: str) -> DataFrame:
 
 def row_key(*names: str) -> Column:
     """A 128-bit key of a row's content; equal rows share it, which is what the operators want of repeated rows."""
-    parts = [F.when(F.col(n).isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.octet_length(F.col(n).cast("string")).cast("string"), F.lit(":"), F.col(n).cast("string"))) for n in names]
+    said = lambda n: F.col(f"`{n}`").cast("string")
+    parts = [F.when(said(n).isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.octet_length(said(n)).cast("string"), F.lit(":"), said(n))) for n in names]
     return F.unhex(F.md5(F.concat(*parts).cast("binary")))
 
 
