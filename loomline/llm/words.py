@@ -28,6 +28,7 @@ import pickle
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -83,6 +84,16 @@ def unpacked(data: bytes) -> list[np.ndarray]:
     return [np.ascontiguousarray(np.frombuffer(p, np.uint8).reshape(-1, n).T).view(kind).ravel() if n else np.empty(0, kind) for kind, n, p in planes]
 
 
+class Sent:
+    """Arrays travel packed: every executor and its workers keep a copy of what is broadcast on disk."""
+
+    def __getstate__(self) -> dict:
+        return {k: (True, packed(v)) if isinstance(v, np.ndarray) and v.ndim == 1 else (False, v) for k, v in self.__dict__.items()}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update({k: unpacked(v)[0] if is_packed else v for k, (is_packed, v) in state.items()})
+
+
 # -- words of texts
 
 
@@ -275,12 +286,12 @@ def _empty(kind) -> np.ndarray:
 
 
 @dataclass
-class Vocabulary:
-    """Known words, sorted, and their numbers, the most frequent first; the other arrays are in the order of the numbers.
-    Every language that has a known word also has a start and an unknown word."""
+class Vocabulary(Sent):
+    """Known words, sorted, as steps from one to the next, and their numbers, the most frequent first; the other arrays are in
+    the order of the numbers. Every language that has a known word also has a start and an unknown word."""
 
-    words: np.ndarray = _empty(np.uint64)
-    number: np.ndarray = _empty(np.int64)
+    steps: np.ndarray = _empty(np.uint64)
+    number: np.ndarray = _empty(np.int32)
     lang: np.ndarray = _empty(np.int32)
     unknown: np.ndarray = _empty(bool)
     proper: np.ndarray = _empty(bool)
@@ -289,10 +300,18 @@ class Vocabulary:
     pairs: int = 0
     common: int = COMMON
 
+    @cached_property
+    def words(self) -> np.ndarray:
+        return np.cumsum(self.steps, dtype=np.uint64)
+
+    def __getstate__(self) -> dict:
+        self.__dict__.pop("words", None)
+        return super().__getstate__()
+
     def numbers(self, words: np.ndarray, unknown: np.ndarray) -> np.ndarray:
         """Numbers of words; ``unknown``: for each the number that stands in where it has none."""
         at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return np.where(self.words[at] == words, self.number[at], unknown)
+        return np.where(self.words[at] == words, self.number[at], unknown).astype(np.int64)
 
     def special(self, lang: str | None, which: int) -> int:
         return int(self.number[np.searchsorted(self.words, np.uint64(lang_code(lang) ^ which))])
@@ -324,7 +343,7 @@ def vocabulary(spark: SparkSession, docs: DataFrame, most: int = VOCABULARY, com
     for r in sides:
         n_unknown[langs[r.lang]] = r.types - kept[langs[r.lang]]
     number = np.argsort(words)
-    return Vocabulary(words[number], number, of, unknown, proper, n_unknown, langs, int(sum(r.texts for r in sides)), common)
+    return Vocabulary(np.diff(words[number], prepend=np.uint64(0)), number.astype(np.int32), of.astype(np.int32), unknown, proper, n_unknown, langs, int(sum(r.texts for r in sides)), common)
 
 
 # -- bigrams, to their shards
@@ -456,7 +475,7 @@ def added_up(rows: Iterator) -> Iterator[tuple[int, bytes]]:
 
 
 @dataclass
-class Model:
+class Model(Sent):
     """What contexts and words say, by number."""
 
     total: np.ndarray
@@ -503,7 +522,8 @@ def settle(words: Vocabulary, sums: np.ndarray, both_common: np.ndarray) -> Mode
     new = (1 - by_lang(part) / np.maximum(whole, 1)) / (n_types + 1)
     mass = cuts[lang, 1] * n1 + cuts[lang, 2] * n2 + cuts[lang, 3] * (types - n1 - n2)
     back = np.where(total > 0, mass / np.maximum(total, 1), 1.0)
-    return Model(total.astype(float), back, part / np.maximum(whole, 1)[lang] + new[lang], cuts, both_common)
+    low = part / np.maximum(whole, 1)[lang] + new[lang]
+    return Model(total, back.astype(np.float32), low.astype(np.float32), cuts, both_common)
 
 
 def text_costs(spark: SparkSession, docs: DataFrame, facts_of, most: int = VOCABULARY, pairs: int = PAIRS) -> DataFrame:
