@@ -1,6 +1,10 @@
 import hashlib
+import threading
+import time
 
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from loomline.llm import shards
 from loomline.llm.common import work_path
@@ -8,7 +12,7 @@ from loomline.llm.shards import Conflict, Shard, ShardStore
 
 
 def store(spark, **sizes):
-    return ShardStore(spark, work_path(spark, "shards"), **({"target": 60_000, "smallest": 2_000, "fan": 3} | sizes))
+    return ShardStore(spark, work_path(spark, "shards"), **({"target": 60_000, "smallest": 2_000, "fan": 3, "cut": 6_000} | sizes))
 
 
 def rows(spark, start, n):
@@ -24,46 +28,135 @@ def test_tiers_and_runs():
 
 def test_append_compact_read(spark):
     s = store(spark)
-    for k in range(7):
+    for k in range(12):
         s.append(rows(spark, k * 100, 100).repartition(3))
     before = s.manifest()
-    assert before.version == 7 and len(before.shards) == 21
+    assert before.version == 12 and len(before.shards) == 36
     after = s.compact()
-    assert after.version > 7 and len(after.shards) < 6
-    want = sorted(map(tuple, rows(spark, 0, 700).collect()))
-    assert sorted(map(tuple, s.read().collect())) == want == sorted(map(tuple, s.read(7).collect()))
-    assert sum(x.rows for x in after.shards) == 700
+    assert after.version > 12 and len(after.shards) < 9
+    want = sorted(map(tuple, rows(spark, 0, 1200).collect()))
+    assert sorted(map(tuple, s.read().collect())) == want == sorted(map(tuple, s.read(12).collect()))
+    assert sorted(map(tuple, s.read(7).collect())) == sorted(map(tuple, rows(spark, 0, 700).collect()))
+    assert sum(x.rows for x in after.shards) == 1200
     assert not s.plan(after.shards) and s.compact().version == after.version
     assert all(x.size < 2 * 60_000 for x in after.shards)
-    assert s.vacuum() > 0 and sorted(map(tuple, s.read().collect())) == want
+    assert s.vacuum() == 0 and s.vacuum(0) >= 36 and sorted(map(tuple, s.read().collect())) == want
+
+
+def files(s):
+    return {f"{x.getPath().getName()}" for x in s.fs.listStatus(s._path(f"{s.root}/manifests"))}
 
 
 def test_one_of_two_writers_wins(spark):
     s = store(spark)
+    s.append(rows(spark, 0, 1))
     base = s.manifest()
     first = s.commit(base, [Shard("a", 1, 1)])
     with pytest.raises(Conflict):
         s.commit(base, [Shard("b", 1, 1)])
-    assert s.manifest() == first and s.manifest().shards == [Shard("a", 1, 1)]
+    assert s.manifest() == first and s.manifest().shards[1:] == [Shard("a", 1, 1)]
+    assert not any(x.startswith("draft") for x in files(s))
+
+
+def test_racing_appends_all_come_in(spark):
+    s = store(spark)
+    threads = [threading.Thread(target=ShardStore(spark, s.root, cut=6_000).append, args=(rows(spark, 10 * k, 10),)) for k in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert s.manifest().version == 4 and sorted(r.doc_id for r in s.read().collect()) == list(range(40))
+
+
+def test_a_dead_writers_claim_runs_out(spark):
+    s = store(spark)
+    s.append(rows(spark, 0, 10))
+    s.fs.create(s._path(f"{s.root}/manifests/claim-0000000002.0000"), False).close()
+    with pytest.raises(Conflict):
+        s.commit(s.manifest(), [])
+    time.sleep(0.05)
+    s.lease = 0.01
+    s.append(rows(spark, 10, 10))
+    assert s.manifest().version == 2 and s.read().count() == 20 and "manifest-0000000002.0001" in files(s)
+    # the writer who was only slow finds its version taken
+    with pytest.raises(Conflict):
+        s.commit(s.manifest(1), [Shard("late", 1, 1)])
+
+
+def test_slow_writers_manifest_does_not_count(spark):
+    s = store(spark)
+    s.append(rows(spark, 0, 10))
+    s.lease = 0.0
+    s.fs.create(s._path(f"{s.root}/manifests/claim-0000000002.0000"), False).close()
+    second = s.commit(s.manifest(), [Shard("x", 1, 1)])
+    late = s.fs.create(s._path(f"{s.root}/manifests/manifest-0000000002.0000"), False)
+    late.write(bytearray(b"{}"))
+    late.close()
+    assert s.manifest() == second
+
+
+def test_arrivals_with_other_columns(spark):
+    s = store(spark)
+    s.append(rows(spark, 0, 30))
+    s.append(rows(spark, 30, 30).drop("path"))
+    for k in range(2, 6):
+        s.append(rows(spark, 30 * k, 30).withColumn("more", F.col("doc_id") + 1).withColumn("piece", F.lit("p")).withColumn("arrival", F.lit(None).cast("int")))
+    after = s.compact()
+    assert len(after.shards) < 6 and s.read().columns == ["doc_id", "text", "path", "rows", "more", "piece", "arrival"]
+    got = {r.doc_id: (r.more, r.piece, r.path) for r in s.read().collect()}
+    assert got == {k: (k + 1, "p", None) if k >= 60 else (None, None, None) for k in range(180)}
+    with pytest.raises(ValueError, match="rows"):
+        s.append(rows(spark, 0, 1).withColumn("rows", F.lit("text")))
+    with pytest.raises(ValueError, match="TEXT"):
+        s.append(rows(spark, 0, 1).withColumnRenamed("text", "TEXT"))
+    assert s.manifest().version == after.version and s.read().count() == 180
+
+
+def test_cut_by_bytes(spark):
+    frame = spark.createDataFrame([("x" * n,) for n in [10, 50, 3000, 10, 40, 40, 40, 100]], "text string").coalesce(1)
+    assert [r.piece for r in shards.cut_by_bytes(frame, "piece", 100).collect()] == [0, 0, 0, 1, 1, 1, 1, 2]
+    s = store(spark, cut=1000)
+    s.append(spark.createDataFrame([(k, "y" * (200_000 if k == 5 else 10)) for k in range(200)], "doc_id long, text string").coalesce(1))
+    assert s.read().count() == 200 and 3 <= len(s.manifest().shards) < 20
 
 
-def test_uncommitted_files_are_not_read(spark):
+def test_failed_and_uncommitted_files(spark):
     s = store(spark)
     s.append(rows(spark, 0, 10))
-    s._written(rows(spark, 50, 10))
+    rows(spark, 50, 10).write.parquet(f"{s.root}/shards/orphan")
     assert s.read().count() == 10
+    assert s.vacuum(0) > 0 and s.read().count() == 10
+    with pytest.raises(Exception, match="broken"):
+        s.append(rows(spark, 0, 10).withColumn("text", F.raise_error(F.lit("broken")).cast("string")))
+    assert s.vacuum(0) == 0 and s.read().count() == 10
     with pytest.raises(ValueError):
         store(spark).read()
+    empty = store(spark)
+    empty.append(rows(spark, 0, 0))
+    assert empty.manifest().version == 0
 
 
 def test_query(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     odd = docs.unionByName(docs.limit(3)).unionByName(spark.createDataFrame([(None, None, None, None, None), (10**9, "x" * 400_000, "", "", 0)], docs.schema))
-    got = shards.shard_documents(spark, odd, per_file=9, target=200_000, smallest=10_000).collect()
+    got = shards.shard_documents(spark, odd, target=200_000, smallest=10_000, cut=20_000).collect()
     digest = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
     assert sorted(((r.doc_id, r.text_sha256) for r in got), key=str) == sorted(((r.doc_id, digest(r.text)) for r in odd.collect()), key=str)
     by_shard = {}
     for r in got:
-        by_shard.setdefault((r.shard, r.shard_rows), []).append(r)
-    assert all(len(v) == n for (_, n), v in by_shard.items())
+        by_shard.setdefault((r.shard, r.shard_rows, r.shard_bytes, r.tier), []).append(r)
+    assert all(len(v) == n for (_, n, _, _), v in by_shard.items())
+    import glob
+
+    from loomline.session import shared_dir
+
+    for (name, n, size, tier), _ in by_shard.items():
+        (path,) = glob.glob(f"{shared_dir(spark).removeprefix('file://')}/shards-*/shards/**/{name}", recursive=True)
+        data = open(path, "rb").read()
+        want = 0
+        while len(data) > 10_000 * 4**want:
+            want += 1
+        assert (len(data), pq.read_metadata(path).num_rows, want) == (size, n, tier)
+    # no tier below the target is left full
+    assert not ShardStore(spark, "/tmp", 200_000, 10_000).plan([Shard(*k[:3]) for k in by_shard])
     assert shards.shard_documents(spark, docs.limit(0)).count() == 0
