@@ -43,10 +43,10 @@ from loomline.llm.common import reread
 VIEWS = 3
 #: Words that have a number at most, and how many of the most frequent count as very frequent.
 VOCABULARY, COMMON = 1 << 22, 1024
-#: Pairs of a bigram and a text that a shard gets, about.
-PAIRS = 2_500_000
+#: Pairs of a bigram and a text that a shard gets, about, and how many shards travel together.
+PAIRS, TOGETHER = 1_000_000, 4
 #: A block ends behind so many words, or texts.
-BLOCK_WORDS, BLOCK_TEXTS = 1_500_000, 1 << 16
+BLOCK_WORDS, BLOCK_TEXTS = 1_000_000, 1 << 16
 #: Words that a task holds before it merges them.
 HELD = 1_000_000
 #: Bytes of texts that are cut into words at once.
@@ -330,7 +330,9 @@ def vocabulary(spark: SparkSession, docs: DataFrame, most: int = VOCABULARY, com
     langs = {r.lang: k for k, r in enumerate(sorted(sides, key=lambda r: (r.lang is not None, r.lang)))}
     words = rows["word"].to_numpy().astype(np.uint64)
     texts = rows["n"].to_numpy()
-    of = np.array([langs[x] for x in rows["lang"].to_pylist()], np.int32)
+    names = rows["lang"].combine_chunks().dictionary_encode(null_encoding="encode")
+    of = np.array([langs[x] for x in names.dictionary.to_pylist()], np.int32)[names.indices.to_numpy()]
+    del rows, names
     kept = np.bincount(of, minlength=len(langs))
     markers = np.array([lang_code(x) ^ which for x in langs for which in (START, UNKNOWN)], np.uint64)
     new = ~np.isin(markers, words)
@@ -391,8 +393,8 @@ class Block:
         return np.where(first & (gram & ID_MASK < most), n + of % np.uint64(self.common_shards), mix(np.where(first, gram, u)) % n).astype(np.int32)
 
     def rows(self) -> pa.RecordBatch:
-        """shard, block and data: the facts of the texts, and for each shard its bigrams."""
-        facts = [(-1 - self.number % self.shards, pickle.dumps(self.facts))]
+        """part, block and data: the facts of the texts, and for each part the classes of the texts and its shards' bigrams."""
+        rows = [(-1 - self.number % self.shards, pickle.dumps(self.facts))]
         if self.held:
             gram, text, times = self.pairs()
             classes = mix(np.concatenate(self.classes))
@@ -400,12 +402,13 @@ class Block:
             # small counts are checked in the other views, so there eight bits do
             small = [(classes[:, k] & (SMALL_MASK if not k else np.uint64(255))).astype(np.uint8 if k else np.uint16) for k in range(VIEWS)]
             order = np.argsort(shard, kind="stable")
+            parts = defaultdict(dict)
             for at in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-                here = np.zeros(len(classes), bool)
-                here[text[at]] = True
-                facts.append((int(shard[at[0]]), packed(np.diff(gram[at], prepend=np.uint64(0)), text[at].astype(np.uint16), (times[at] - 1).astype(np.uint32), *(np.where(here, c, 0).astype(c.dtype) for c in small))))
-        shards, data = zip(*facts, strict=True)
-        return pa.record_batch([pa.array(shards, pa.int32()), pa.array([self.number] * len(shards), pa.int64()), pa.array(data, pa.binary())], ["shard", "block", "data"])
+                own = int(shard[at[0]])
+                parts[own // TOGETHER][own] = packed(np.diff(gram[at], prepend=np.uint64(0)), text[at].astype(np.uint16), (times[at] - 1).astype(np.uint32))
+            rows += [(part, pickle.dumps((packed(*small), found))) for part, found in parts.items()]
+        parts, data = zip(*rows, strict=True)
+        return pa.record_batch([pa.array(parts, pa.int32()), pa.array([self.number] * len(parts), pa.int64()), pa.array(data, pa.binary())], ["part", "block", "data"])
 
 
 # -- shards
@@ -447,16 +450,18 @@ def tallies(gram: np.ndarray, n: np.ndarray, unknown: np.ndarray) -> tuple[np.nd
 
 
 def _shards(rows: Iterator) -> Iterator[tuple[int, list[tuple[int, list[np.ndarray]]]]]:
-    """(shard, its blocks) of a partition's rows."""
+    """(shard, its blocks) of a partition's rows; one shard at a time is unpacked."""
     found = defaultdict(list)
     for r in rows:
-        if r.shard >= 0:
-            found[r.shard].append((r.block, r.data))
+        if r.part >= 0:
+            classes, shards = pickle.loads(r.data)
+            for shard, data in shards.items():
+                found[shard].append((r.block, classes, data))
     for shard in list(found):
         blocks = []
-        for block, data in sorted(found.pop(shard)):
-            step, text, times, *classes = unpacked(data)
-            blocks.append((block, [np.cumsum(step, dtype=np.uint64), text, times, *(c.astype(np.uint64) for c in classes)]))
+        for block, classes, data in sorted(found.pop(shard), key=lambda x: x[0]):
+            step, text, times = unpacked(data)
+            blocks.append((block, [np.cumsum(step, dtype=np.uint64), text, times, *(c.astype(np.uint64) for c in unpacked(classes))]))
         yield shard, blocks
 
 
@@ -504,11 +509,10 @@ def discounts(n: np.ndarray) -> np.ndarray:
 
 
 def settle(words: Vocabulary, sums: np.ndarray, both_common: np.ndarray) -> Model:
-    """The model from the sums of all shards; ``sums``: of ``FIELDS`` the numbers of each word."""
+    """The model from the sums of all shards; ``sums``: of ``FIELDS`` the numbers of each word, to which is added."""
     grid = np.flatnonzero(both_common)
     gram = (grid // COMMON << ID_BITS | grid % COMMON).astype(np.uint64)
     at, more = tallies(gram, both_common[grid], words.unknown)
-    sums = sums.copy()
     for total, x in zip(sums, more, strict=True):
         np.add.at(total, at, x)
     total, types, n1, n2, n3, n4, before = sums
@@ -534,7 +538,7 @@ def text_costs(spark: SparkSession, docs: DataFrame, facts_of, most: int = VOCAB
     codes of their words and the rows of their other columns, facts and whether each text counts.
     """
     words = vocabulary(spark, docs, most)
-    shards = max(spark.sparkContext.defaultParallelism, -(-words.pairs // pairs))
+    shards = max(TOGETHER * spark.sparkContext.defaultParallelism, -(-words.pairs // pairs))
     common_shards = -(-shards // 2)
     sent = spark.sparkContext.broadcast(words)
     names = [c for c in docs.columns if c not in ("lang", "text")]
@@ -556,7 +560,7 @@ def text_costs(spark: SparkSession, docs: DataFrame, facts_of, most: int = VOCAB
             yield block.rows()
 
     # an RDD, so that both jobs below read one shuffle
-    dealt = docs.mapInArrow(gather, "shard int, block long, data binary").repartition(shards + common_shards, "shard").rdd
+    dealt = docs.mapInArrow(gather, "part int, block long, data binary").repartition(-(-(shards + common_shards) // TOGETHER), "part").rdd
 
     def count(rows: Iterator) -> Iterator[tuple[int, bytes]]:
         known = sent.value
@@ -585,7 +589,7 @@ def text_costs(spark: SparkSession, docs: DataFrame, facts_of, most: int = VOCAB
         known, m = sent.value, model.value
         rows = list(rows)
         for r in rows:
-            if r.shard < 0:
+            if r.part < 0:
                 yield r.block, ("facts", bytes(r.data))
         for shard, blocks in _shards(rows):
             if shard >= shards:
@@ -612,4 +616,7 @@ def text_costs(spark: SparkSession, docs: DataFrame, facts_of, most: int = VOCAB
             cost = costs[block].tolist() if block in costs else [0] * len(texts)
             yield (pickle.dumps([(*f, c if f[-1] else None) for f, c in zip(texts, cost, strict=True)]),)
 
-    return spark.createDataFrame(dealt.mapPartitions(price).partitionBy(shards).mapPartitions(meet), "data binary")
+    found = reread(spark, spark.createDataFrame(dealt.mapPartitions(price).partitionBy(shards).mapPartitions(meet), "data binary"), "costs")
+    for held in (sent, model):
+        held.unpersist()
+    return found
