@@ -449,14 +449,19 @@ def tallies(gram: np.ndarray, n: np.ndarray, unknown: np.ndarray) -> tuple[np.nd
     return np.concatenate([x for x, _ in out]), np.hstack([x for _, x in out])
 
 
-def _shards(rows: Iterator) -> Iterator[tuple[int, list[tuple[int, list[np.ndarray]]]]]:
-    """(shard, its blocks) of a partition's rows; one shard at a time is unpacked."""
+def _rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield tuple(batch.column(n)[k].as_py() for n in names)
+
+
+def _shards(rows: Iterator[tuple]) -> Iterator[tuple[int, list[tuple[int, list[np.ndarray]]]]]:
+    """(shard, its blocks) of rows (block, data); one shard at a time is unpacked."""
     found = defaultdict(list)
-    for r in rows:
-        if r.part >= 0:
-            classes, shards = pickle.loads(r.data)
-            for shard, data in shards.items():
-                found[shard].append((r.block, classes, data))
+    for block, data in rows:
+        classes, shards = pickle.loads(data)
+        for shard, own in shards.items():
+            found[shard].append((block, classes, own))
     for shard in list(found):
         blocks = []
         for block, classes, data in sorted(found.pop(shard), key=lambda x: x[0]):
@@ -465,18 +470,24 @@ def _shards(rows: Iterator) -> Iterator[tuple[int, list[tuple[int, list[np.ndarr
         yield shard, blocks
 
 
-def added_up(rows: Iterator) -> Iterator[tuple[int, bytes]]:
+def added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(part, packed sums) of rows (part, packed ids and values)."""
     sums: dict[int, np.ndarray] = {}
-    for part, data in rows:
+    for part, data in _rows(batches, "part", "data"):
         ids, *values = unpacked(data)
         size = COMMON * COMMON if part < 0 else RANGE
         if part not in sums:
             sums[part] = np.zeros((len(values), size), np.int64)
         for total, x in zip(sums[part], values, strict=True):
             np.add.at(total, ids, x)
-    for part, total in sums.items():
-        yield part, packed(*total)
+    if sums:
+        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([packed(*x) for x in sums.values()], pa.binary())], ["part", "data"])
+
+
+def shuffled_once(frame: DataFrame) -> DataFrame:
+    """``frame``, whose last shuffle is made now and read by every job that uses the result, instead of once a job."""
+    session = frame.sparkSession
+    return DataFrame(session._jsparkSession.internalCreateDataFrame(frame._jdf.queryExecution().toRdd(), frame._jdf.schema(), False), session)
 
 
 @dataclass
@@ -559,39 +570,42 @@ def text_costs(spark: SparkSession, docs: DataFrame, facts_of, most: int = VOCAB
         if block.facts:
             yield block.rows()
 
-    # an RDD, so that both jobs below read one shuffle
-    dealt = docs.mapInArrow(gather, "part int, block long, data binary").repartition(-(-(shards + common_shards) // TOGETHER), "part").rdd
+    dealt = shuffled_once(docs.mapInArrow(gather, "part int, block long, data binary").repartition(-(-(shards + common_shards) // TOGETHER), "part"))
 
-    def count(rows: Iterator) -> Iterator[tuple[int, bytes]]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
-        for shard, blocks in _shards(rows):
+        for shard, blocks in _shards((block, data) for part, block, data in _rows(batches, "part", "block", "data") if part >= 0):
             gram, n = counted([x for _, x in blocks], VIEWS if shard < shards else 1)
             if shard >= shards:
-                yield -1, packed((gram >> np.uint64(ID_BITS)) * np.uint64(COMMON) + (gram & ID_MASK), n)
-                continue
-            ids, values = tallies(gram, n, known.unknown)
-            del gram, n, blocks
-            order = np.argsort(ids, kind="stable")
-            ids, values = ids[order], values[:, order]
-            for at in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(ids // RANGE)) + 1):
-                yield int(ids[at[0]] // RANGE), packed((ids[at] % RANGE).astype(np.uint16), *values[:, at])
+                out = [(-1, packed((gram >> np.uint64(ID_BITS)) * np.uint64(COMMON) + (gram & ID_MASK), n))]
+            else:
+                ids, values = tallies(gram, n, known.unknown)
+                del gram, n, blocks
+                order = np.argsort(ids, kind="stable")
+                ids, values = ids[order], values[:, order]
+                out = [(int(ids[at[0]] // RANGE), packed((ids[at] % RANGE).astype(np.uint16), *values[:, at])) for at in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(ids // RANGE)) + 1)]
+            parts, data = zip(*out, strict=True)
+            yield pa.record_batch([pa.array(parts, pa.int32()), pa.array(data, pa.binary())], ["part", "data"])
 
     ranges = -(-max(1, len(words.words)) // RANGE)
     sums, both_common = np.zeros((len(FIELDS), ranges * RANGE), np.int64), np.zeros(COMMON * COMMON, np.int64)
-    for part, data in dealt.mapPartitions(count).partitionBy(ranges + 1).mapPartitions(added_up).collect():
+    for part, data in dealt.mapInArrow(count, "part int, data binary").repartition(ranges + 1, "part").mapInArrow(added_up, "part int, data binary").collect():
         if part < 0:
             both_common = unpacked(data)[0]
         else:
             sums[:, part * RANGE : (part + 1) * RANGE] = np.stack(unpacked(data))
     model = spark.sparkContext.broadcast(settle(words, sums[:, : len(words.words)], both_common))
-
-    def price(rows: Iterator) -> Iterator[tuple[int, tuple]]:
-        known, m = sent.value, model.value
-        rows = list(rows)
-        for r in rows:
-            if r.part < 0:
-                yield r.block, ("facts", bytes(r.data))
-        for shard, blocks in _shards(rows):
+    del sums, both_common
+
+    def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, m, held = sent.value, model.value, []
+        row = lambda block, facts, data: pa.record_batch([pa.array([block], pa.int64()), pa.array([facts]), pa.array([data], pa.binary())], ["block", "facts", "data"])
+        for part, block, data in _rows(batches, "part", "block", "data"):
+            if part < 0:
+                yield row(block, True, data)
+            else:
+                held.append((block, data))
+        for shard, blocks in _shards(held):
             if shard >= shards:
                 gram = np.unique(np.concatenate([x[0] for _, x in blocks]))
                 n = m.both_common[(gram >> np.uint64(ID_BITS)) * np.uint64(COMMON) + (gram & ID_MASK)]
@@ -602,21 +616,22 @@ def text_costs(spark: SparkSession, docs: DataFrame, facts_of, most: int = VOCAB
                 cost = each[np.searchsorted(gram, own)] * (times.astype(np.int64) + 1)
                 out = np.zeros(len(classes[0]), np.int64)
                 np.add.at(out, text, cost)
-                yield block, ("cost", packed(out))
+                yield row(block, False, packed(out))
 
-    def meet(rows: Iterator[tuple[int, tuple]]) -> Iterator[tuple[bytes]]:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         facts, costs = {}, {}
-        for block, (kind, data) in rows:
-            if kind == "facts":
+        for block, is_facts, data in _rows(batches, "block", "facts", "data"):
+            if is_facts:
                 facts[block] = pickle.loads(data)
             else:
                 more = unpacked(data)[0]
                 costs[block] = costs[block] + more if block in costs else more
         for block, texts in facts.items():
             cost = costs[block].tolist() if block in costs else [0] * len(texts)
-            yield (pickle.dumps([(*f, c if f[-1] else None) for f, c in zip(texts, cost, strict=True)]),)
+            yield pa.record_batch([pa.array([pickle.dumps([(*f, c if f[-1] else None) for f, c in zip(texts, cost, strict=True)])], pa.binary())], ["data"])
 
-    found = reread(spark, spark.createDataFrame(dealt.mapPartitions(price).partitionBy(shards).mapPartitions(meet), "data binary"), "costs")
+    priced = dealt.mapInArrow(price, "block long, facts boolean, data binary").repartition("block")
+    found = reread(spark, priced.mapInArrow(meet, "data binary"), "costs")
     for held in (sent, model):
         held.unpersist()
     return found
