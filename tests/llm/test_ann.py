@@ -60,15 +60,55 @@ def test_recall(spark, sf):
     assert recall >= 0.9
 
 
+def test_candidates_are_few(spark, monkeypatch):
+    """On sf0.1 the index names well below a tenth of the vectors, in one pass over them."""
+    tables, filed = {}, []
+    keep, file = ann.reread, ann._filed
+    monkeypatch.setattr(ann, "reread", lambda s, frame, label: tables.setdefault(label, keep(s, frame, label)))
+    monkeypatch.setattr(ann, "_filed", lambda rows, name, *a: filed.append(name) or file(rows, name, *a))
+    ann.search(spark, spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")).collect()
+    share = tables["candidates"].count() / tables["asked"].count() / tables["vectors"].count()
+    print("share of candidates", share)
+    assert share < 0.085 and filed == ["vid", "query_id"] and tables["short"].count() == 0
+    assert tables["index"].count() == 64 * tables["vectors"].count()
+
+
+def test_settings_follow_the_number_of_vectors():
+    found = [ann.settings(n, 64)[0] for n in (10, 10**4, 10**6, 10**8, 10**10)]
+    assert found == sorted(found) and found[0] == 1 and found[-1] >= 4
+
+
 def test_rows(spark):
     rng = np.random.default_rng(3)
     rows = [(k, rng.normal(size=8).tolist()) for k in range(205)]
     rows += [(300, rows[0][1]), (301, rows[0][1]), (400, None), (401, [0.0] * 8), (402, [1.0] * 7 + [None]), (403, [1.0] * 7 + [float("nan")]), (404, [float("inf")] + [1.0] * 7), (500, [1.0, 2.0]), (None, rows[1][1]), (100, rows[5][1]), (7, rows[0][1]), (501, [])]
     frame = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<double>, label int, score string").repartition(4)
-    got = ann.search(spark, frame, probes=16, tables=30, block=2)
     want = brute(rows)
-    assert sorted((r.query_id, r.rank, r.vec_id) for r in got.collect()) == sorted((q, k + 1, i) for q, near in want.items() for k, (_, i) in enumerate(near))
+    full = sorted((q, k + 1, i) for q, near in want.items() for k, (_, i) in enumerate(near))
+    for chosen in ((1, 30, 16, 1), (2, 1, 1, 1)):
+        got = ann.search(spark, frame, chosen=chosen, block=2)
+        found = sorted((r.query_id, r.rank, r.vec_id) for r in got.collect())
+        if chosen[1] == 30:
+            assert found == full
+        assert {q: sum(x[0] == q for x in found) for q in want} == {q: len(near) for q, near in want.items()}
+    got = ann.search(spark, frame)
     assert [r.vec_id for r in got.filter("query_id = 0 and rank <= 3").orderBy("rank").collect()] == [7, 300, 301]
     assert ann.search(spark, frame.limit(0)).count() == 0
     assert ann.search(spark, frame.filter("vec_id in (1, 2)")).count() == 0
-    assert [r.vec_id for r in ann.search(spark, frame.filter("vec_id in (0, 300)"), tables=30).filter("query_id = 0").collect()] == [300]
+    assert [r.vec_id for r in ann.search(spark, frame.filter("vec_id in (0, 300)")).filter("query_id = 0").collect()] == [300]
+
+
+def test_small_and_repeated_tables(spark):
+    """With the settings in use: all candidates where there are few, and any number of copies of one vector."""
+    rng = np.random.default_rng(5)
+    rows = [(k * 100, rng.normal(size=64).tolist()) for k in range(6)]
+    got = ann.search(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    want = brute(rows)
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in got.collect()) == sorted((q, k + 1, i) for q, near in want.items() for k, (_, i) in enumerate(near))
+    copies = [(k, rows[0][1]) for k in range(1, 400)] + rows
+    found = ann.search(spark, spark.createDataFrame(copies, "vec_id long, embedding array<double>").repartition(5)).collect()
+    assert sorted((r.rank, r.vec_id, r.score) for r in found if r.query_id == 0) == [(k, k, 0.0) for k in range(1, 11)]
+    assert all(sum(r.query_id == q for r in found) == 10 for q in range(0, 600, 100))
+    many = [(7, (np.array(rows[0][1]) + rng.normal(size=64) / 100).tolist()) for _ in range(60)] + rows
+    got = ann.search(spark, spark.createDataFrame(many, "vec_id long, embedding array<double>"))
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in got.collect()) == sorted((q, k + 1, i) for q, near in brute(many).items() for k, (_, i) in enumerate(near))
