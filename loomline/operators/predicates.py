@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from loomline.session import reread
 
+#: The comparisons that a condition may name.
 OPERATORS = ("IS", "IS NOT", "IN", "NOT IN", "LIKE", "NOT LIKE", "=", "!=", ">", "<", ">=", "<=")
 
 
@@ -98,19 +99,18 @@ def since(field: str, value, mode: str = ">") -> Column:
 
 
 def numbered(frame: DataFrame, keys: list[Column], name: str, start: int = 0) -> DataFrame:
-    """Consecutive numbers in the order of ``keys``, without bringing all rows to one task: rows are range-partitioned
-    once and written, counted by partition, and numbered behind the counts of the partitions before."""
-    ordered = reread(frame.sparkSession, frame.orderBy(*keys).withColumn("__part", F.spark_partition_id()), "ordered")
-    sizes = {r["__part"]: r["count"] for r in ordered.groupBy("__part").count().collect()}
-    before, total = {}, start
-    for part in sorted(sizes):
-        before[part] = total
-        total += sizes[part]
-    if not before:
-        return frame.withColumn(name, F.lit(0).cast("long"))
-    offsets = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-    inner = F.row_number().over(W.partitionBy("__part").orderBy(*keys)) - 1
-    return ordered.withColumn(name, (F.try_element_at(offsets, F.col("__part")) + inner).cast("long")).drop("__part")
+    """Consecutive numbers in the order of ``keys``, without bringing all rows to one task: rows are range-partitioned once
+    and written with their place in their partition, behind which the counts of the partitions before are added.
+
+    Rows of equal keys are told apart by a hash of their content and their place in the input, so that no key, however
+    frequent, has to fit in one partition; among equal rows any order will do."""
+    tie = [F.xxhash64(*[quoted(c) for c in frame.columns]).alias("__tie"), F.monotonically_increasing_id().alias("__from")]
+    placed = frame.select("*", *tie).orderBy(*keys, "__tie", "__from").drop("__tie", "__from").withColumn("__at", F.monotonically_increasing_id())
+    ordered = reread(frame.sparkSession, placed, "ordered").withColumn("__part", F.shiftright("__at", 33))
+    # a row a partition
+    counts = ordered.groupBy("__part").agg(F.count("*").alias("__n")).select(F.col("__part").alias("__of"), (F.sum("__n").over(W.orderBy("__part")) - F.col("__n") + start).alias("__before"))
+    joined = ordered.join(F.broadcast(counts), F.col("__part") == F.col("__of"))
+    return joined.withColumn(name, F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at", "__part", "__of", "__before")
 
 
 def pages(frame: DataFrame, keys: list[Column], size: int) -> DataFrame:
