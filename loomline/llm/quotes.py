@@ -9,11 +9,13 @@ of these. A thread is what hangs together by answers, and its root is its earlie
 
 Result, one row a message: ``content``, the text without quoted lines and the lines that introduce them, and blank lines
 around them trimmed; ``quote_depth``; ``n_quotes``, its passages; ``reply_to``, the turn it answers, null if it quotes no
-earlier message; ``thread``, the turn of the root. A conversation in reply order is its rows by thread and turn: every
-answer stands behind what it answers, in its thread.
+earlier message; ``thread``, the turn of the root; ``position``, its place, from 0, in the conversation in reply order. That
+is the order of a walk through the tree of answers: a message, then each of its answers, the earliest first, with all that
+answers these. A message carries the turns from its root to itself, so places cost the sum of the depths; all messages are
+sorted and numbered together, so a conversation of any length may span tasks.
 
 Rows: a null text has null content and no quotes; a null conv_id is a conversation of its own; a null turn comes after
-all others and is never answered; rows that repeat are linked alike; other columns are ignored.
+all others and is never answered; rows that repeat are linked alike and stand behind one another; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm.common import narrow, reread, row_key
+from loomline.operators.predicates import numbered
 
 _MARKS = r"^[ \t]*>(?:[ \t]*>)*"
 _INTRODUCTION = r"(?i)^on .{1,300} wrote:[ \t\r]*$"
@@ -88,33 +91,44 @@ def link(parsed: DataFrame) -> DataFrame:
     return found.groupBy("row").agg(best["origin"].alias("reply_to"))
 
 
+#: Where a null turn stands.
+LAST = 2**63 - 1
+
+
 def threads(spark: SparkSession, links: DataFrame) -> DataFrame:
-    """(conv_id, turn, root) of every turn that answers another, by pointer jumping: the distance to the root that is
-    covered doubles each round. Rows that share a turn follow the earliest turn that any of them answers."""
-    up = links.groupBy("conv_id", "turn").agg(F.min("reply_to").alias("root"))
+    """(conv_id, turn, way) of every turn that answers another: the turns from its root to itself, by pointer jumping, which
+    doubles each round what is known of the way. Rows that share a turn follow the earliest turn that any of them answers."""
+    up = links.groupBy("conv_id", "turn").agg(F.min("reply_to").alias("top")).withColumn("way", F.array("turn"))
     while True:
         up = reread(spark, up, "threads")
-        higher = up.select(F.col("conv_id").alias("h_conv"), F.col("turn").alias("h_turn"), F.col("root").alias("higher"))
-        step = up.join(higher, F.col("conv_id").eqNullSafe(F.col("h_conv")) & (F.col("root") == F.col("h_turn")), "left")
+        higher = up.select(F.col("conv_id").alias("h_conv"), F.col("turn").alias("h_turn"), F.col("top").alias("higher"), F.col("way").alias("before"))
+        step = up.join(higher, F.col("conv_id").eqNullSafe(F.col("h_conv")) & (F.col("top") == F.col("h_turn")), "left")
         if not step.filter("higher is not null").limit(1).count():
-            return up
-        up = step.select("conv_id", "turn", F.coalesce("higher", "root").alias("root"))
+            return up.select("conv_id", "turn", F.concat(F.array("top"), F.col("way")).alias("way"))
+        up = step.select("conv_id", "turn", F.coalesce("higher", "top").alias("top"), F.concat(F.coalesce("before", F.array().cast("array<long>")), F.col("way")).alias("way"))
 
 
 def conversations(spark: SparkSession, messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, content, quote_depth, n_quotes, reply_to and thread of every message."""
+    """conv_id, turn, role, content, quote_depth, n_quotes, reply_to, thread and position of every message."""
     parsed = parse(messages)
     links = reread(spark, link(parsed), "links")
     named = parsed.join(links, "row", "left").select("conv_id", "turn", "role", "content", "quote_depth", F.coalesce(F.size("passages"), F.lit(0)).alias("n_quotes"), "reply_to")
-    if not links.limit(1).count():
-        return named.withColumn("thread", F.col("turn"))
-    answers = parsed.join(links, "row").select("conv_id", "turn", "reply_to")
-    roots = threads(spark, answers.filter("turn is not null")).select(F.col("conv_id").alias("r_conv"), F.col("turn").alias("r_turn"), "root")
-    top = F.coalesce("reply_to", "turn")
-    placed = named.withColumn("top", top).join(roots, F.col("conv_id").eqNullSafe(F.col("r_conv")) & (F.col("top") == F.col("r_turn")), "left")
-    return placed.withColumn("thread", F.coalesce("root", "top")).drop("top", "r_conv", "r_turn", "root")
+    own = F.array(F.coalesce("turn", F.lit(LAST)))
+    if links.limit(1).count():
+        answers = parsed.join(links, "row").filter("turn is not null").select("conv_id", "turn", "reply_to")
+        ways = threads(spark, answers).select(F.col("conv_id").alias("w_conv"), F.col("turn").alias("w_turn"), F.col("way").alias("above"))
+        placed = named.join(ways, F.col("conv_id").eqNullSafe(F.col("w_conv")) & (F.col("reply_to") == F.col("w_turn")), "left")
+        above = F.coalesce("above", F.when(F.col("reply_to").isNotNull(), F.array("reply_to")).otherwise(F.array().cast("array<long>")))
+        named = placed.withColumn("way", F.concat(above, own)).drop("w_conv", "w_turn", "above")
+    else:
+        named = named.withColumn("way", own)
+    numbers = numbered(named, [F.asc_nulls_last("conv_id"), F.asc("way"), F.asc("role"), F.asc("content")], "number")
+    first = numbers.groupBy(F.col("conv_id").alias("f_conv")).agg(F.min("number").alias("first"))
+    found = numbers.join(first, F.col("conv_id").eqNullSafe(F.col("f_conv")))
+    thread = F.when(F.col("turn").isNull() & F.col("reply_to").isNull(), None).otherwise(F.col("way")[0])
+    return found.select("conv_id", "turn", "role", "content", "quote_depth", "n_quotes", "reply_to", thread.alias("thread"), (F.col("number") - F.col("first")).alias("position"))
 
 
 def in_reply_order(linked: DataFrame) -> DataFrame:
-    """Messages of each conversation behind one another, threads together; a long conversation may span tasks."""
-    return linked.orderBy(F.asc_nulls_last("conv_id"), F.asc_nulls_last("thread"), F.asc_nulls_last("turn"), "role", "content")
+    """Messages of each conversation behind one another, in reply order."""
+    return linked.orderBy(F.asc_nulls_last("conv_id"), "position")

@@ -57,7 +57,15 @@ def brute(rows):
             t = up[conv, t]
         return t
 
-    return sorted(((c, t, role, content, d, len(p), r, root(c, t if r is None else r)) for (c, t, role, content, d, p), r in zip(parsed, replies)), key=str)
+    def way(conv, t):
+        return [*way(conv, up[conv, t]), t] if (conv, t) in up else [t]
+
+    out = [(c, t, role, content, d, len(p), r, root(c, t if r is None else r)) for (c, t, role, content, d, p), r in zip(parsed, replies)]
+    walk = lambda x: ([] if x[6] is None else way(x[0], x[6])) + [2**63 - 1 if x[1] is None else x[1]]
+    by_conv = defaultdict(list)
+    for row in sorted(out, key=lambda x: (walk(x), x[2] is not None, x[2] or "", x[3] is not None, x[3] or "")):
+        by_conv[row[0]].append(row)
+    return sorted(((*row, k) for rows in by_conv.values() for k, row in enumerate(rows)), key=str)
 
 
 ROWS = [
@@ -73,6 +81,7 @@ ROWS = [
     (3, 0, None, None), (3, 1, "user", ""), (3, None, "user", "> x\n> y"), (3, 2, "user", "x\ny"), (None, 1, "user", "> hi\nho"), (None, 0, "user", "hi"),
     (1, 2, "user", "> > How do I bake bread?\n> Use flour and water.\n> Then wait.\n\nHow long?"),
     (4, 0, "user", "long line"), (4, 1, "user", "> long line\n" * 20000 + "end"),
+    (6, 0, "user", "first"), (6, 1, "user", "> first\nsecond"), (6, 2, "user", "> first\nthird"), (6, 3, "user", "> second\nfourth"), (6, 4, "user", "> fourth\nfifth"),
     (5, 3, "user", "self\n> self"), (5, 4, "user", "> later"), (5, 5, "user", "later"),
 ]
 
@@ -90,6 +99,7 @@ def test_against_brute_force(spark):
     assert [by[1, k].thread for k in range(7)] == [0, 0, 0, 3, 0, 5, 3]
     assert by[1, 1].content == "Use flour and water.\nThen wait." and by[1, 2].quote_depth == 2
     assert [r.turn for r in quotes.in_reply_order(got.filter("conv_id = 1")).collect()] == [0, 1, 2, 2, 4, 3, 6, 5]
+    assert [r.turn for r in quotes.in_reply_order(got.filter("conv_id = 6")).collect()] == [0, 1, 3, 4, 2]
 
 
 def test_random_conversations(spark):
