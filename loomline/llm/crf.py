@@ -5,12 +5,13 @@ it; two neighbouring labels have a weight of their own. Forward-backward gives e
 the mean over lines, weighted by length, is the text's score.
 
 Training: each line of a labelled document takes the document's label. At most ``SAMPLE`` labelled documents are used,
-those with the smallest hash of their id, so the sample is spread evenly and the same at each run; only their measures
-reach the driver. The model is a fixed number of weights. Every text is scored whole, on its own partition.
+those with the smallest hash of their id, so the sample is spread evenly and the same at each run, and of each at most
+``LINES`` lines that follow one another, from a place that its id's hash names; only their measures reach the driver, 125 MB
+at most. The model is a fixed number of weights. Every text is scored whole, on its own partition.
 
-Rows: null and empty texts are one empty line; repeated rows get equal scores; a null id is not held out; labels that are
-null are ignored and of several labels of an id the largest counts; without a label of each kind the score is the share
-of good labels, or one half without any; other columns play no part.
+Rows: null and empty texts are one empty line; repeated rows get equal scores, and of rows that repeat an id the smallest text
+trains; a null id is not held out; labels that are null are ignored and of several labels of an id the largest counts;
+without a label of each kind the score is the share of good labels, or one half without any; other columns play no part.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from loomline.llm.common import narrow
 
 #: Labelled documents that training uses at most.
 SAMPLE = 4000
-#: Training cuts longer texts into runs of so many lines.
-RUN = 200
+#: Lines of a document that training uses at most.
+LINES = 100
 STEPS, RATE, RIDGE = 150, 0.1, 1e-4
 
 UPPER = bytes(range(65, 91))
@@ -157,13 +158,12 @@ def objective(x: np.ndarray, labels: np.ndarray, starts: np.ndarray, weights: np
 
 def train(samples: list[tuple[np.ndarray, int]]) -> LineModel:
     """Fit by gradient steps with adaptive rates; ``samples``: (lines, measures) and label of each document."""
-    runs = [(rows[at : at + RUN], label) for rows, label in samples for at in range(0, len(rows), RUN)]
-    kinds = {label for _, label in runs}
+    kinds = {label for _, label in samples}
     if len(kinds) < 2:
         return LineModel(np.zeros(N_MEASURES), np.ones(N_MEASURES), np.zeros(3 * N_MEASURES + 3), np.zeros((2, 2)), float(next(iter(kinds), 0.5)))
-    rows = np.concatenate([r for r, _ in runs])
-    starts = np.cumsum([0, *(len(r) for r, _ in runs)])
-    labels = np.concatenate([np.full(len(r), label) for r, label in runs])
+    rows = np.concatenate([r for r, _ in samples])
+    starts = np.cumsum([0, *(len(r) for r, _ in samples)])
+    labels = np.concatenate([np.full(len(r), label) for r, label in samples])
     centre, scale = rows.mean(axis=0), np.maximum(rows.std(axis=0), 1e-3)
     x = with_neighbours((rows - centre) / scale, starts)
     theta = np.zeros(x.shape[1] + 4)
@@ -187,13 +187,17 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [text_measures(t.as_py())[0].tobytes() for t in batch.column("text")]
+            data = []
+            for text, place in zip(batch.column("text"), batch.column("place").to_pylist(), strict=True):
+                rows = text_measures(text.as_py())[0]
+                start = place % max(1, len(rows) - LINES + 1)
+                data.append(rows[start : start + LINES].tobytes())
             yield pa.record_batch([batch.column("doc_id"), batch.column("quality"), pa.array(data, pa.binary())], ["doc_id", "quality", "data"])
 
     # ``chosen`` has at most ``sample`` rows of two numbers, so every task can hold it
-    found = narrow(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
-    rows = found.mapInArrow(run, "doc_id long, quality int, data binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.data)))
+    found = narrow(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = found.withColumn("place", F.crc32(F.col("doc_id").cast("string").cast("binary"))).mapInArrow(run, "doc_id long, quality int, data binary").collect()
+    rows.sort(key=lambda r: r.doc_id)
     return train([(np.frombuffer(r.data).reshape(-1, N_MEASURES), r.quality) for r in rows])
 
 

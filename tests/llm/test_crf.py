@@ -86,3 +86,34 @@ def test_long_text_equals_its_lines():
     model = crf.train([(crf.text_measures("good words are here.\nyes they are.")[0], 1), (crf.text_measures("X!! X!! X!!\nX!!")[0], 0)])
     texts = ["a b c.\n" * 500, "", None, "X!! X!!", "one line"]
     assert model.scores(texts) == pytest.approx([model.scores([t])[0] for t in texts])
+
+
+def test_query_scores_against_enumeration(spark, tmp_path):
+    """Scores of the registered query: all labellings of short texts, weighted by the trained weights, and line lengths."""
+    from loomline.llm import catalog
+
+    rng = np.random.default_rng(4)
+    good, bad = ["fine words here.", "and so it goes on,", "to the end."], ["BAD!! BAD!!", "### $$$ ###", "x x x x x x"]
+    rows = [(k, "\n".join(rng.choice(good if k % 2 else bad, rng.integers(1, 8)).tolist() + ["same line"] * (k % 3 == 0))) for k in range(60)]
+    docs = spark.createDataFrame([*rows, (100, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in catalog.op10_line_crf(spark, str(tmp_path)).collect()}
+    model = crf.fit(spark, docs, labels)
+    for d, text in [*rows, (100, "")]:
+        measures, sizes = crf.text_measures(text)
+        gain = crf.with_neighbours((measures - model.centre) / model.scale, np.array([0, len(measures)])) @ model.weights
+        marginals, _, _ = enumerate_all(gain, model.pair)
+        assert got[d].score == pytest.approx(np.dot(marginals, sizes) / sizes.sum(), abs=1e-9)
+        assert got[d].predicted == (got[d].score >= 0.5) and got[d].held_out == (zlib.crc32(str(d).encode()) % 3 == 1)
+
+
+def test_fit_is_bounded(spark, monkeypatch):
+    """Long texts, and rows that repeat an id, add no more than ``LINES`` lines a document."""
+    seen = []
+    train = crf.train
+    monkeypatch.setattr(crf, "train", lambda samples: seen.extend(len(r) for r, _ in samples) or train(samples))
+    docs = spark.createDataFrame([(k % 7, "\n".join(f"line {i}" for i in range(k * 40))) for k in range(70)], "doc_id long, text string")
+    crf.fit(spark, docs, spark.createDataFrame([(k, k % 2) for k in range(7)], "doc_id long, quality int"))
+    assert 0 < len(seen) <= 7 and max(seen) <= crf.LINES
