@@ -1,26 +1,31 @@
 """Content-addressed WARC archive.
 
-An archive is a folder of two tables. ``payloads`` holds each distinct payload once under its SHA-256. ``records`` holds
-one row a record: the exact header block as bytes and the payload's digest. The record with the smallest page id of
-equal payloads is a response; the others are revisits that refer to it. Reading joins the two by digest, after every
-stored payload has been hashed anew and compared with its address, and gives the records back byte for byte.
+An archive is a folder of three tables. ``payloads`` holds each distinct payload once under its SHA-256; ``responses`` and
+``revisits`` hold the exact header block of each record beside its payload's digest. The record with the smallest page id of
+equal payloads is a response; the others are revisits that refer to it. Payloads and responses are filed in buckets by digest,
+so reading joins the two without shuffling a payload: every stored payload is hashed anew and compared with its address, every
+response is put together byte for byte, and the length and digest that its header states are compared with those of its block.
+What a revisit's payload is comes from the response of its digest; a payload that a third of all records share is joined as
+a line of facts, whose large partitions Spark splits.
 
 Rows: a null html is an empty payload. A row with a null page id is archived with an empty id and is a response only
-where no equal payload has an id. Rows that repeat both page id and payload are all of the same kind. Payloads smaller
-than ``least`` bytes are always responses. Other columns are ignored, however they are called.
+where no equal payload has an id. Rows that repeat both page id and payload are all of the same kind and have the same record
+id. Payloads smaller than ``least`` bytes are always responses. Other columns are ignored, however they are called.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.common import narrow, work_path
+from loomline.llm.common import narrow, reread, work_path
 
 CRLF = "\r\n"
+END = b"\r\n\r\n"
 #: Records carry a fixed date: an archive of the same pages is the same, byte for byte.
 DATE = "1970-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -40,70 +45,102 @@ def _line(name: str, value: Column) -> Column:
     return F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
 
 
-def _header(least: int) -> Column:
+def _identity(page: Column, sha1: Column) -> Column:
+    return F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(":"), sha1, F.lit(">"))
+
+
+def _header() -> Column:
     revisit = F.col("refers_to").isNotNull()
-    identity = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     return F.concat(
         F.lit(f"WARC/1.1{CRLF}"),
         _line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        _line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), identity, F.lit(">"))),
+        _line("WARC-Record-ID", _identity(F.col("page_id"), F.col("sha1"))),
         _line("WARC-Date", F.lit(DATE)),
         F.when(F.col("url").isNull(), "").otherwise(_line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", ""))),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
-        F.when(revisit, F.concat(_line("WARC-Profile", F.lit(REVISIT_PROFILE)), _line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))))).otherwise(""),
+        F.when(revisit, F.concat(_line("WARC-Profile", F.lit(REVISIT_PROFILE)), _line("WARC-Refers-To", _identity(F.col("refers_to"), F.col("sha1"))))).otherwise(""),
         _line("Content-Type", F.lit("text/html; charset=utf-8")),
         _line("Content-Length", F.when(revisit, F.lit(0)).otherwise(F.col("payload_bytes")).cast("string")),
         F.lit(CRLF),
     ).cast("binary")
 
 
+def _store(frame: DataFrame, path: str, buckets: int) -> None:
+    """Files in buckets by digest, sorted; the catalog's entry goes again, the files stay."""
+    name = f"archive_{uuid.uuid4().hex}"
+    frame.write.bucketBy(buckets, "sha256").sortBy("sha256").format("parquet").option("path", path).saveAsTable(name)
+    frame.sparkSession.sql(f"drop table {name}")
+
+
+def _stored(spark: SparkSession, path: str, columns: str, buckets: int) -> DataFrame:
+    name = f"archive_{uuid.uuid4().hex}"
+    spark.sql(f"create table {name} ({columns}) using parquet clustered by (sha256) sorted by (sha256) into {buckets} buckets location '{path}'")
+    frame = spark.table(name)
+    spark.sql(f"drop table {name}")
+    return frame
+
+
 def write_archive(pages: DataFrame, path: str, least: int = 0) -> None:
     """Archive ``pages`` (page_id, url, html) below ``path``.
 
     Only digests are shuffled to find the responses; payloads are shuffled once, after equal ones of a task have become
     one, so a payload that a third of all rows share costs a task no more than one copy.
     """
+    spark = pages.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = narrow(pages, page_id="long", url="string", html="string").select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumn("sha256", F.unhex(F.sha2("payload", 256)))
-    rows.select("sha256", "payload").dropDuplicates(["sha256"]).write.parquet(f"{path}/payloads")
+    _store(rows.select("sha256", "payload").dropDuplicates(["sha256"]), f"{path}/payloads", buckets)
     facts = rows.select("page_id", "url", "sha256", sha1_base32(F.col("payload")).alias("sha1"), F.octet_length("payload").cast("long").alias("payload_bytes"))
     first = facts.groupBy("sha256").agg(F.min("page_id").alias("first_id"))
     revisit = (F.col("payload_bytes") >= least) & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     named = facts.join(first, "sha256").withColumn("refers_to", F.when(revisit, F.col("first_id")))
-    named.select("page_id", "sha256", _header(least).alias("header")).write.parquet(f"{path}/records")
+    records = reread(spark, named.select("sha256", _header().alias("header"), F.col("refers_to").isNull().alias("response")), "records")
+    _store(records.filter("response").drop("response"), f"{path}/responses", buckets)
+    records.filter("not response").drop("response").write.parquet(f"{path}/revisits")
+    spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(f"{path}/layout")
+
 
+def read_responses(spark: SparkSession, path: str) -> DataFrame:
+    """``sha256``, ``header``, ``payload`` and ``record``, the exact bytes of header, block and end, of every response."""
+    buckets = spark.read.parquet(f"{path}/layout").first().buckets
+    stored = _stored(spark, f"{path}/payloads", "sha256 binary, payload binary", buckets)
+    sound = F.when(F.unhex(F.sha2("payload", 256)) == F.col("sha256"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload does not match its digest "), F.hex("sha256"))).cast("binary"))
+    joined = _stored(spark, f"{path}/responses", "sha256 binary, header binary", buckets).join(stored.withColumn("payload", sound), "sha256")
+    return joined.withColumn("record", F.concat("header", "payload", F.lit(END)))
 
-def _payloads(spark: SparkSession, path: str) -> DataFrame:
-    """Stored payloads, each checked against its address."""
-    stored = spark.read.parquet(f"{path}/payloads")
-    return stored.withColumn("payload", F.when(F.unhex(F.sha2("payload", 256)) == F.col("sha256"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload does not match its digest "), F.hex("sha256"))).cast("binary")))
+
+def read_revisits(spark: SparkSession, path: str) -> DataFrame:
+    """``sha256``, ``header`` and ``record`` of every revisit, whose block is empty."""
+    return spark.read.parquet(f"{path}/revisits").withColumn("record", F.concat("header", F.lit(END)))
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Original records: ``page_id``, ``header``, ``payload`` (of a revisit: that of its response) and ``record``, the
-    exact bytes of header, block and end."""
-    joined = spark.read.parquet(f"{path}/records").join(_payloads(spark, path), "sha256")
-    block = F.when(F.decode("header", "UTF-8").startswith(f"WARC/1.1{CRLF}WARC-Type: revisit{CRLF}"), F.lit(b"")).otherwise(F.col("payload"))
-    return joined.select("page_id", "header", "payload", F.concat("header", block, F.lit(f"{CRLF}{CRLF}".encode())).alias("record"))
+    """All records with the payloads that they stand for: header, payload and record."""
+    responses = read_responses(spark, path)
+    payloads = responses.select("sha256", "payload").dropDuplicates(["sha256"])
+    return responses.select("header", "payload", "record").unionByName(read_revisits(spark, path).join(payloads, "sha256").select("header", "payload", "record"))
 
 
 def read_facts(spark: SparkSession, path: str) -> DataFrame:
-    """Per record what its header says, beside length and digest recomputed from the stored payload.
+    """Per record what its header says, beside length and digest taken from the rebuilt response of its payload.
 
-    The join carries the facts of a payload, not its bytes. A header that disagrees with the payload is an error.
-    """
-    facts = _payloads(spark, path).select("sha256", F.octet_length("payload").cast("long").alias("payload_bytes"), sha1_base32(F.col("payload")).alias("payload_digest"))
+    A response whose block has not the length or the digest that its header states is an error, and so is a revisit that
+    states another digest than its payload's."""
     head = F.decode("header", "UTF-8")
     field = lambda name: F.nullif(F.regexp_extract(head, rf"\n{name}: (.*)\r\n", 1), F.lit(""))
-    page = lambda name: F.regexp_extract(field(name), r"^<urn:page:(-?\d+)>$", 1)
-    records = spark.read.parquet(f"{path}/records").select(
-        "sha256",
-        F.nullif(page("WARC-Record-ID"), F.lit("")).cast("long").alias("page_id"),
-        field("WARC-Type").alias("record_type"),
-        F.nullif(page("WARC-Refers-To"), F.lit("")).cast("long").alias("refers_to"),
-        F.regexp_extract(field("WARC-Payload-Digest"), r"^sha1:(\w+)$", 1).alias("stated"),
-    )
-    sound = F.when(F.col("stated") == F.col("payload_digest"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a record's header states another digest")).cast("string"))
-    return records.join(facts, "sha256").select("page_id", "payload_bytes", sound.alias("payload_digest"), "record_type", "refers_to")
+    page = lambda name: F.nullif(F.regexp_extract(field(name), r"^<urn:page:(-?\d*):\w+>$", 1), F.lit("")).cast("long")
+    states = F.regexp_extract(field("WARC-Payload-Digest"), r"^sha1:(\w+)$", 1)
+    said = ["sha256", page("WARC-Record-ID").alias("page_id"), field("WARC-Type").alias("record_type"), page("WARC-Refers-To").alias("refers_to"), states.alias("stated")]
+    block = F.substring(F.col("record"), F.octet_length("header") + 1, F.octet_length("record") - F.octet_length("header") - len(END))
+    rebuilt = read_responses(spark, path).select(*said, field("Content-Length").cast("long").alias("length"), block.alias("block"))
+    wrong = lambda what: F.raise_error(F.lit(f"a record's header states another {what}"))
+    size = F.octet_length("block").cast("long")
+    facts = rebuilt.select("sha256", "page_id", "record_type", "refers_to", "stated", F.when(size == F.col("length"), size).otherwise(wrong("length").cast("long")).alias("payload_bytes"), sha1_base32(F.col("block")).alias("digest"))
+    same = F.when(F.col("stated") == F.col("digest"), F.col("digest")).otherwise(wrong("digest").cast("string")).alias("payload_digest")
+    found = reread(spark, facts.select("sha256", "page_id", "payload_bytes", same, "record_type", "refers_to"), "responses")
+    known = reread(spark, found.groupBy("sha256").agg(F.min("payload_bytes").alias("payload_bytes"), F.min("payload_digest").alias("digest")), "facts")
+    revisits = read_revisits(spark, path).select(*said).join(known, "sha256").select("page_id", "payload_bytes", same, "record_type", "refers_to")
+    return found.drop("sha256").unionByName(revisits)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[bytes, bytes]]:

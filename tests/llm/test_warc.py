@@ -35,8 +35,10 @@ def test_round_trip(spark, tmp_path):
     path = work_path(spark, "warc")
     warc.write_archive(spark.createDataFrame(ROWS, SCHEMA), path)
     rows = warc.read_records(spark, path).collect()
-    assert sorted((r.page_id, bytes(r.payload)) for r in rows if r.page_id) == sorted((p, (h or "").encode()) for p, _, h, _ in ROWS if p)
+    ids = [bytes(r.header).split(b"<urn:page:")[1].split(b":")[0].decode() for r in rows]
+    assert sorted((i, bytes(r.payload)) for i, r in zip(ids, rows)) == sorted(("" if p is None else str(p), (h or "").encode()) for p, _, h, _ in ROWS)
     assert spark.read.parquet(f"{path}/payloads").count() == len({h or "" for _, _, h, _ in ROWS})
+    assert len({bytes(r.header).split(b"Record-ID: ")[1].split(b"\r")[0] for r in rows}) == len({(p, h or "") for p, _, h, _ in ROWS})
     data = b"".join(bytes(r.record) for r in rows)
     parsed = list(warc.parse_warc(data))
     assert [h for h, _ in parsed] == [bytes(r.header) for r in rows]
@@ -49,16 +51,33 @@ def test_round_trip(spark, tmp_path):
     assert sorted(lines) == sorted(bytes(r.record) for r in rows)
 
 
-def test_damage_is_found(spark):
+@pytest.mark.parametrize(("table", "change", "what"), [
+    ("payloads", "cast(concat(cast(payload as string), '!') as binary) payload", "does not match its digest"),
+    ("responses", "cast(replace(cast(header as string), 'Length: ', 'Length: 1') as binary) header", "another length"),
+    ("responses", "cast(replace(cast(header as string), 'sha1:', 'sha1:A') as binary) header", "another digest"),
+])
+def test_damage_is_found(spark, table, change, what):
     path = work_path(spark, "warc")
     warc.write_archive(spark.createDataFrame(ROWS, SCHEMA), path)
-    bad = spark.read.parquet(f"{path}/payloads").selectExpr("sha256", "cast(concat(cast(payload as string), '!') as binary) payload")
-    bad.write.parquet(f"{path}/bad")
-    spark.read.parquet(f"{path}/bad").write.mode("overwrite").parquet(f"{path}/payloads")
-    with pytest.raises(Exception, match="digest"):
+    bad = spark.createDataFrame(spark.read.parquet(f"{path}/{table}").selectExpr("sha256", change).collect())
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{table}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    warc._store(bad, f"{path}/{table}", spark.read.parquet(f"{path}/layout").first().buckets)
+    with pytest.raises(Exception, match=what):
         warc.read_facts(spark, path).collect()
 
 
+def test_payloads_are_joined_where_they_lie(spark):
+    path = work_path(spark, "warc")
+    warc.write_archive(spark.createDataFrame(ROWS, SCHEMA), path)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = warc.read_responses(spark, path)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
 def test_empty(spark):
     assert warc.archive_facts(spark, spark.createDataFrame([], SCHEMA)).count() == 0
 
