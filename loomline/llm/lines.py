@@ -6,7 +6,9 @@ its three positions. Covered positions of a text, merged, are removed. Windows w
 text of fewer than three lines stays as it is.
 
 Windows are shuffled as 16-byte hashes and positions; equal ones of a task are counted before they are shuffled, and the
-join that finds the later occurrences is one whose large partitions Spark splits. Texts are shuffled once, at the end.
+join that finds the later occurrences is one whose large partitions Spark splits. What has to go from which text is sent to
+all tasks as long as it is no more than ``FEW`` positions, and texts stay where they are; beyond that texts are shuffled once,
+with the same result.
 
 Rows: a null text stays null; rows with a null id come after all others; rows that repeat id and text are one document,
 and each gets its result; lines are split at line feeds and compared byte for byte; other columns are carried along.
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 from loomline.llm.common import reread
 
 WIDTH = 3
+#: Positions of windows that are broadcast at most.
+FEW = 4_000_000
 
 
 def windows_of(text: str, width: int = WIDTH) -> Iterator[tuple[int, bytes]]:
@@ -67,13 +71,14 @@ def _later(spark: SparkSession, keyed: DataFrame, width: int) -> DataFrame:
     return later.groupBy("id", "row").agg(F.collect_set("at").alias("starts"))
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def dedup_lines(spark: SparkSession, docs: DataFrame, width: int = WIDTH, few: int = FEW) -> DataFrame:
     """``doc``: every row of ``docs`` as it was; ``text``: its text without repeated passages; n_lines and n_removed."""
     text = docs["text"].cast("string")
     keyed = docs.select(F.struct(*[docs[f"`{name}`"] for name in docs.columns]).alias("doc"), docs["doc_id"].cast("long").alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
-    later = _later(spark, keyed, width).select(F.col("id").alias("l_id"), F.col("row").alias("l_row"), "starts")
+    later = reread(spark, _later(spark, keyed, width).select(F.col("id").alias("l_id"), F.col("row").alias("l_row"), "starts"), "later")
+    size = later.agg(F.sum(F.size("starts") + 8)).first()[0] or 0
     # most rows have nothing to remove: their texts go through the join but not through Python
-    joined = keyed.drop("text").join(later, F.col("id").eqNullSafe(F.col("l_id")) & (F.col("row") == F.col("l_row")), "left").select("doc", "starts")
+    joined = keyed.drop("text").join(F.broadcast(later) if size <= few else later, F.col("id").eqNullSafe(F.col("l_id")) & (F.col("row") == F.col("l_row")), "left").select("doc", "starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

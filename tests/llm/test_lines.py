@@ -31,7 +31,9 @@ def corpus():
     return rows + [(200, None), (201, ""), (202, "a\na\na\na\na"), (203, "\n\n\n\n"), (204, "\n \n\n"), (205, "x\ny\nz\n" * 3000), rows[3], rows[100 - 30]]
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("few", [0, lines.FEW])
+def test_against_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(lines.dedup_lines, "__defaults__", (lines.WIDTH, few))
     rows = corpus()
     docs = spark.createDataFrame([(d, t, "e", 3) for d, t in rows], "doc_id long, text string, starts string, row int").repartition(5)
     got = lines.report(spark, docs)
