@@ -181,14 +181,16 @@ def star_edges(shard: np.ndarray, prints: np.ndarray, tree: np.ndarray, query: n
     return members[other], middle[other]
 
 
-def pair_edges(shard: np.ndarray, prints: np.ndarray, tree: np.ndarray, query: np.ndarray, radius: int, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All links (rows a, rows b) inside whole shards between members whose labels differ."""
+def pair_edges(shard: np.ndarray, prints: np.ndarray, tree: np.ndarray, query: np.ndarray, radius: int, label: np.ndarray, size: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (rows a, rows b) inside whole shards between members whose labels differ and that can be similar: of two sets
+    as similar as ``SIMILAR``, each has at least so many members that some other set has too, and neither is much larger."""
+    part, whole = SIMILAR
     inside, asked = np.flatnonzero(tree), np.flatnonzero(query)
     found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
     for q, m in Forest(shard[inside], prints[inside]).links(shard[asked], prints[asked], radius):
         a, b = asked[q], inside[m]
-        other = label[a] < label[b]
-        back = label[a] > label[b]
+        can = ((part + whole) * np.minimum(shared[a], shared[b]) >= part * (size[a] + size[b])) & (whole * np.minimum(size[a], size[b]) >= part * np.maximum(size[a], size[b]))
+        other, back = can & (label[a] < label[b]), can & (label[a] > label[b])
         found += [(a[other], b[other]), (b[back], a[back])]
     a, b = (np.concatenate(x) for x in zip(*found, strict=True))
     both = np.unique(np.stack([a, b], axis=1), axis=0)
@@ -224,6 +226,17 @@ def sampled_keys(n: int, bits: int, agree: float, lost: float = 0.005, mean: int
     return keys
 
 
+def _digits(prints: np.ndarray) -> np.ndarray:
+    raw = np.ascontiguousarray(prints).view(np.uint8).reshape(len(prints), -1)
+    return np.stack([raw >> 4, raw & 15], axis=2).reshape(len(raw), -1).astype(np.uint64)
+
+
+def _bands(digits: np.ndarray, nth: np.ndarray | int, keys: int) -> np.ndarray:
+    """The shard of each row's digits under the key of that number."""
+    value = digits @ (np.uint64(1) << np.arange(0, 4 * digits.shape[1], 4, dtype=np.uint64))
+    return mix(value * np.uint64(keys) + np.asarray(nth, np.uint64)).view(np.int64)
+
+
 def filed(groups: DataFrame, keys: list[list[int]]) -> DataFrame:
     """A row for every key of every row of ``groups`` (``fp``, and others, which stay): ``band``."""
     places = [np.array(k) for k in keys]
@@ -234,15 +247,24 @@ def filed(groups: DataFrame, keys: list[list[int]]) -> DataFrame:
             step = max(1, CHUNK // len(places))
             for at in range(0, whole.num_rows, step):
                 batch = whole.slice(at, step)
-                raw = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-                digits = np.stack([raw >> 4, raw & 15], axis=2).reshape(len(raw), -1).astype(np.uint64)
-                band = np.stack([mix(digits[:, p] @ (np.uint64(1) << np.arange(0, 4 * len(p), 4, dtype=np.uint64)) * np.uint64(len(places)) + np.uint64(k)) for k, p in enumerate(places)], axis=1)
-                again = pa.array(np.repeat(np.arange(len(raw)), len(places)))
-                yield pa.record_batch([pa.array(band.ravel().view(np.int64)), *(batch.column(c).take(again) for c in ("fp", *(f.name for f in others)))], ["band", "fp", *(f.name for f in others)])
+                digits = _digits(_lanes(batch.column("fp").to_pylist()))
+                band = np.stack([_bands(digits[:, p], k, len(places)) for k, p in enumerate(places)], axis=1)
+                again = pa.array(np.repeat(np.arange(len(digits)), len(places)))
+                yield pa.record_batch([pa.array(band.ravel()), *(batch.column(c).take(again) for c in ("fp", *(f.name for f in others)))], ["band", "fp", *(f.name for f in others)])
 
     return groups.select("fp", *(f.name for f in others)).mapInArrow(run, ", ".join(["band long", "fp binary", *(f"{f.name} {f.dataType.simpleString()}" for f in others)]))
 
 
+def first_meeting(prints: np.ndarray, a: np.ndarray, b: np.ndarray, keys: list[list[int]]) -> np.ndarray:
+    """The shard of the first key that the fingerprints of each pair share; keys of one length."""
+    places, out = np.array(keys), []
+    for at in range(0, len(a), 1 << 13):
+        one, other = _digits(prints[a[at : at + (1 << 13)]]), _digits(prints[b[at : at + (1 << 13)]])
+        nth = (one == other)[:, places].all(axis=2).argmax(axis=1)
+        out.append(_bands(np.take_along_axis(one, places[nth], axis=1), nth, len(places)))
+    return np.concatenate(out) if out else np.empty(0, np.int64)
+
+
 # -- links
 
 
@@ -288,9 +310,9 @@ def _broadcast_edges(spark: SparkSession, members: DataFrame, radius: int) -> Da
 
 def link_edges(groups: DataFrame, keys: list[list[int]], radius: int, find=forest_edges, shard_size: int = SHARD, trees: int = TREES) -> DataFrame:
     """Edges (``a``, ``b``: fingerprints) that ``find`` makes of the links among distinct fingerprints of ``groups`` (``fp``
-    and, for ``pair_edges``, ``label``)."""
+    and, for ``pair_edges``, ``label``, ``size`` and ``shared``)."""
     spark = groups.sparkSession
-    named = ["label"] if find is pair_edges else []
+    named = ["label", "size", "shared"] if find is pair_edges else []
     rows = filed(groups.select("fp", *named), keys)
     large = rows.groupBy("band").count().filter(F.col("count") > shard_size).select("band", F.col("count").alias("size"), F.ceil(F.col("count") / shard_size).alias("splits"))
     large = reread(spark, large, "large")
@@ -314,8 +336,13 @@ def link_edges(groups: DataFrame, keys: list[list[int]], radius: int, find=fores
         def joined() -> list[np.ndarray]:
             return [np.concatenate(x) for x in zip(*held, strict=True)]
 
-        def edges(shard, prints, tree, query, *label) -> Iterator[pa.RecordBatch]:
-            yield from _edge_rows(prints, *find(shard, prints, tree, query, radius, *label))
+        def edges(shard, prints, tree, query, *more) -> Iterator[pa.RecordBatch]:
+            a, b = find(shard, prints, tree, query, radius, *more)
+            if find is pair_edges:
+                # a pair meets in several shards; unless some are split, that of the first key gives it
+                first = (shard[a] == first_meeting(prints, a, b, keys)) | bool(several)
+                a, b = a[first], b[first]
+            yield from _edge_rows(prints, a, b)
 
         for batch in batches:
             held.append([batch.column("shard").to_numpy(), _lanes(batch.column("fp").to_pylist()), *(batch.column(x).to_numpy(zero_copy_only=False) for x in ("tree", "query", *named))])
@@ -439,12 +466,20 @@ def similar(one: bytes, other: bytes) -> bool:
     return whole * both >= part * (len(a) + len(b) - both)
 
 
-def confirmed(spark: SparkSession, edges: DataFrame, prints: DataFrame) -> DataFrame:
-    """Those of ``edges`` (a, b: fingerprints) whose texts' shingles, in ``prints``, are similar, counted exactly."""
-    edges = reread(spark, edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "candidates")
+def candidates(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """Each edge (a, b) once, the smaller end first."""
+    return reread(spark, edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "candidates")
+
+
+def sets_of(spark: SparkSession, edges: DataFrame, prints: DataFrame) -> DataFrame:
+    """``fp`` and ``shingles`` of the ends of ``edges``."""
     ends = reread(spark, edges.select(F.col("a").alias("fp")).unionByName(edges.select(F.col("b").alias("fp"))).distinct(), "ends")
     wanted = prints.select("fp", "shingles").join(_small(ends), "fp", "left_semi")
-    sets = reread(spark, wanted.groupBy("fp").agg(F.min("shingles").alias("shingles")), "sets")
+    return reread(spark, wanted.groupBy("fp").agg(F.min("shingles").alias("shingles")), "sets")
+
+
+def confirmed(spark: SparkSession, edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``edges`` (a, b: fingerprints) whose texts' shingles, in ``sets``, are similar, counted exactly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -455,6 +490,26 @@ def confirmed(spark: SparkSession, edges: DataFrame, prints: DataFrame) -> DataF
     return reread(spark, edges.join(of_a, "a").join(of_b, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary"), "confirmed")
 
 
+def shared_counts(spark: SparkSession, sets: DataFrame) -> DataFrame:
+    """``fp``, ``size`` and ``shared``: how many shingles a set has, and how many of them another set has too."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for of, data in zip(batch.column("of").to_pylist(), batch.column("shingles"), strict=True):
+                hashes = np.cumsum(unpacked(data.as_py())[0], dtype=np.uint32).view(np.int32)
+                yield pa.record_batch([pa.array(np.full(len(hashes), of, np.int64)), pa.array(hashes)], ["of", "shingle"])
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([batch.column("fp"), batch.column("of"), pa.array([len(unpacked(x.as_py())[0]) for x in batch.column("shingles")], pa.int64())], ["fp", "of", "size"])
+
+    keyed = sets.withColumn("of", F.xxhash64("fp"))
+    said = keyed.select("of", "shingles").mapInArrow(each, "of long, shingle int").groupBy("shingle").agg(F.min("of").alias("of"), F.max("of").alias("last"))
+    alone = reread(spark, said.filter("of = last").groupBy("of").agg(F.count("*").alias("alone")), "alone")
+    sized = keyed.select("fp", "of", "shingles").mapInArrow(sizes, "fp binary, of long, size long")
+    return sized.join(alone, "of", "left").select("fp", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
+
+
 def _small(frame: DataFrame) -> DataFrame:
     """``frame``, to be broadcast if it has few rows; larger ones are joined by a shuffle, with the same result."""
     return F.broadcast(frame) if frame.limit(FEW + 1).count() <= FEW else frame
@@ -465,7 +520,8 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     5-word shingles. That with the smallest doc_id stays, of several the one whose content hashes lowest.
 
     First every fingerprint is compared with the middle of what it shares a shard with, which links a group of copies
-    without listing its pairs. Then all candidate pairs that are still apart are listed and counted.
+    without listing its pairs. Then all candidate pairs that are still apart are listed and counted, but for those that
+    cannot be similar because too much of one of the texts is in no other.
 
     Rows: different texts of one doc_id are different rows, which stay unless they are near copies; rows that are equal in
     all columns are copies; rows with a null id all stay; null and blank texts are copies of one another; texts of fewer than
@@ -477,12 +533,13 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key")))
     groups = reread(spark, prints.groupBy("fp").agg(first.alias("first"), F.count("*").alias("rows")), "groups")
     keys = sampled_keys(groups.count(), 64 * LANES, AGREE)
-    stars = reread(spark, link_edges(groups.select("fp"), keys, WIDE, star_edges), "stars")
-    close = confirmed(spark, stars, prints)
+    stars = candidates(spark, link_edges(groups.select("fp"), keys, WIDE, star_edges))
+    sets = sets_of(spark, stars, prints)
+    close = confirmed(spark, stars, sets)
     roots = components(spark, close)
-    met = stars.select(F.col("a").alias("fp")).unionByName(stars.select(F.col("b").alias("fp"))).distinct()
-    labelled = reread(spark, met.join(roots, met.fp == roots.node, "left").select("fp", F.xxhash64(F.coalesce("root", "fp")).alias("label")), "labelled")
-    others = confirmed(spark, link_edges(labelled, keys, WIDE, pair_edges), prints)
+    met = shared_counts(spark, sets)
+    labelled = met.join(roots, met.fp == roots.node, "left").select("fp", F.xxhash64(F.coalesce("root", "fp")).alias("label"), "size", "shared")
+    others = confirmed(spark, candidates(spark, link_edges(reread(spark, labelled, "labelled"), keys, WIDE, pair_edges)), sets)
     linked = components(spark, close.unionByName(others))
     rooted = reread(spark, groups.join(_small(linked), groups.fp == linked.node, "left").select("fp", "first", "rows", F.coalesce("root", "fp").alias("root")), "rooted")
     chosen = rooted.groupBy("root").agg(F.min("first").alias("chosen"), F.sum("rows").alias("rows")).filter("rows > 1").select("root", "chosen")

@@ -80,8 +80,10 @@ def test_shards_against_brute_force(radius):
     assert (got == want).all() and len(a) == 400 - len(np.unique(want))
     every = np.ones(400, bool)
     label = rng.integers(0, 5, 400)
-    a, b = simhash.pair_edges(shard, prints, every, every, radius, label)
-    near = (np.bitwise_count(prints ^ prints.T) <= radius) & (shard[:, None] == shard) & (label[:, None] < label)
+    size, shared = rng.integers(1, 100, 400), rng.integers(0, 100, 400)
+    a, b = simhash.pair_edges(shard, prints, every, every, radius, label, size, shared)
+    can = (9 * np.minimum(shared[:, None], shared) >= 4 * (size[:, None] + size)) & (5 * np.minimum(size[:, None], size) >= 4 * np.maximum(size[:, None], size))
+    near = can & (np.bitwise_count(prints ^ prints.T) <= radius) & (shard[:, None] == shard) & (label[:, None] < label)
     assert {*zip(a.tolist(), b.tolist())} == {*zip(*(x.tolist() for x in np.nonzero(near)))}
     a, b = simhash.star_edges(shard, prints, every, every, radius)
     want = brute_labels(prints, shard, every, every, radius)
@@ -235,3 +237,20 @@ def test_a_group_hangs_together_by_its_middle(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     kept = {r.doc_id for r in simhash.keep_one(spark, docs).collect()}
     assert 0 in kept and len(kept) <= 7
+
+
+def test_shared_counts(spark):
+    sets = {b"a": [1, 2, 3], b"b": [3, 4], b"c": [5], b"d": [], b"e": [4, 3, 2**32 - 1]}
+    rows = [(fp, simhash.packed(np.diff(np.array(sorted(x), np.uint32), prepend=np.uint32(0)).astype(np.uint32))) for fp, x in sets.items()]
+    got = {bytes(r.fp): (r.size, r.shared) for r in simhash.shared_counts(spark, spark.createDataFrame(rows, "fp binary, shingles binary")).collect()}
+    assert got == {b"a": (3, 1), b"b": (2, 2), b"c": (1, 0), b"d": (0, 0), b"e": (3, 2)}
+
+
+def test_pairs_come_from_one_shard(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, (40, 4), dtype=np.uint64)
+    prints = np.concatenate([base, base ^ (np.uint64(1) << rng.integers(0, 64, (40, 4), dtype=np.uint64)), base ^ np.uint64(1)])
+    rows = [(p.tobytes(), k, 100, 100) for k, p in enumerate(prints)]
+    keys = simhash.sampled_keys(120, 256, simhash.AGREE)
+    got = [(bytes(r.a), bytes(r.b)) for r in simhash.link_edges(spark.createDataFrame(rows, "fp binary, label long, size long, shared long").repartition(3), keys, 30, simhash.pair_edges).collect()]
+    assert len(got) == len(set(got)) == 120
