@@ -15,13 +15,12 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomline.llm.common import arrow_map, narrow, tokenizer_path
+from loomline.llm.common import arrow_map, narrow, tokenizer_path, worker_state
 
 MEMO = 400_000
 LONG = 48
@@ -120,10 +119,9 @@ class ForcedBoundaryEncoder:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode(errors="replace")
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> ForcedBoundaryEncoder:
     """One encoder a worker and vocabulary."""
-    return ForcedBoundaryEncoder(path)
+    return worker_state((ForcedBoundaryEncoder, path), lambda: ForcedBoundaryEncoder(path))
 
 
 def encode_texts(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -10,7 +10,22 @@ from pyspark.sql import functions as F
 
 from loomline.session import reread, shared_dir, table, work_path
 
-__all__ = ["arrow_map", "narrow", "reread", "row_key", "shared_dir", "spans", "table", "tokenizer_path", "work_path"]
+__all__ = ["arrow_map", "forget", "narrow", "reread", "row_key", "shared_dir", "spans", "table", "tokenizer_path", "work_path", "worker_state"]
+
+_STATE: dict = {}
+
+
+def worker_state(key, make: Callable):
+    """What ``make()`` gives, kept in this worker from task to task. A worker keeps one such thing: the next drops it."""
+    if key not in _STATE:
+        _STATE.clear()
+        _STATE[key] = make()
+    return _STATE[key]
+
+
+def forget() -> None:
+    """Drop what earlier tasks have left in this worker."""
+    _STATE.clear()
 
 
 def tokenizer_path(name: str) -> str:

@@ -18,18 +18,17 @@ import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from loomline.llm.common import narrow, tokenizer_path
+from loomline.llm.common import narrow, tokenizer_path, worker_state
 
 CAPACITY = 2048
 END_ID = 1
-BLOCK = 6_000_000
+BLOCK = 3_000_000
 MEMO = 400_000
 LONG = 48
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -84,9 +83,9 @@ class WordEncoder:
         return b"".join(out)
 
 
-@lru_cache(maxsize=2)
 def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    """One encoder a worker and vocabulary."""
+    return worker_state((WordEncoder, path), lambda: WordEncoder(path))
 
 
 def best_fill(counts: dict[int, int], room: int) -> dict[int, int]:

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.common import reread
+from loomline.llm.common import forget, reread
 
 VIEWS = 3
 #: Words that have a number at most, and how many of the most frequent count as very frequent.
@@ -216,6 +216,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     others. Each task merges its own words first. Of a class 16 bits are compared."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         found, held = defaultdict(list), 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -555,6 +556,7 @@ def text_costs(spark: SparkSession, docs: DataFrame, facts_of, most: int = VOCAB
     names = [c for c in docs.columns if c not in ("lang", "text")]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         known, number = sent.value, TaskContext.get().partitionId() << 32
         block = Block(number, known, shards, common_shards)
         for langs, texts, rows in _texts(batches, *names):
