@@ -6,23 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.functions import arrays, text
+from loomline.operators.predicates import numbered
 
 OPTIONS = [f"option{x}" for x in "ABCDEFG"]
 #: Levels that a clean item may have.
 VALID_LEVELS = ["Easy", "Medium", "Hard", "Challenging"]
-ITEM = ["id", "difficulty_level", "medical_topic", "question", "options", "option_map", "answer", "answer_index"]
 
 
 def clean_items(raw: DataFrame) -> DataFrame:
-    """Raw rows (question, optionA..optionG, correctOption, medicalTopic, difficultLevel: text) as items and ``is_valid``.
+    """Raw rows (question, optionA..optionG, correctOption, medicalTopic, difficultLevel: text) as items, ``is_valid`` and
+    ``raw``, the row as it came.
 
-    Invalid are rows without question, with an unknown level, or whose correct option is not one of those given.
+    Invalid are rows without question, with an unknown level, or whose correct option is not one of those given. An id is the
+    hash of the row's content and of how many equal rows have been numbered before it, so every row has its own.
     """
     given = [F.col(x) if x in raw.columns else F.lit(None).cast("string") for x in OPTIONS]
     options = F.filter(F.array(*given), lambda o: o.isNotNull() & (o != ""))
-    made = raw.select(
-        F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(raw.columns)])).alias("id"),
-        arrays.remap("difficultLevel").alias("difficulty_level"),
+    content = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(raw.columns)])
+    # equal rows follow one another when all are numbered by their content, so a row's place among them is a difference
+    keyed = numbered(raw.withColumn("__content", F.md5(content)), [F.col("__content")], "__number")
+    first = keyed.groupBy("__content").agg(F.min("__number").alias("__first"))
+    keyed = keyed.join(first, "__content")
+    made = keyed.select(
+        F.md5(F.concat_ws("\x1f", "__content", (F.col("__number") - F.col("__first")).cast("string"))).alias("id"),
+        F.to_json(F.struct(*raw.columns), {"ignoreNullFields": "false"}).alias("raw"),
+        arrays.remap(F.trim("difficultLevel")).alias("difficulty_level"),
         text.split_trimmed("medicalTopic").alias("medical_topic"),
         text.better_question("question").alias("question"),
         text.better_options(options).alias("options"),
@@ -35,8 +43,8 @@ def clean_items(raw: DataFrame) -> DataFrame:
 
 
 def split_valid(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(items, rejects)."""
-    return items.filter("is_valid").drop("is_valid"), items.filter("not is_valid").drop("is_valid")
+    """(items, rejects): rejects are the raw rows, as JSON."""
+    return items.filter("is_valid").drop("is_valid", "raw"), items.filter("not is_valid").select("raw")
 
 
 def shuffle_options(items: DataFrame, seed: int) -> DataFrame:

@@ -171,6 +171,10 @@ def words_as_tokens(items: DataFrame, prompt_words: int = 0) -> DataFrame:
     return items.agg(((F.avg(word_count("question")) + F.avg(options) + prompt_words) * 4 / 3).alias("tokens_in"))
 
 
+#: Models of a price list that is broadcast at most.
+FEW = 100_000
+
+
 def accuracy_and_cost(scores: DataFrame, costs: DataFrame) -> DataFrame:
     """Scores with the cost of their model, null where it has none; ``costs`` is a price list, a row a model."""
-    return scores.join(F.broadcast(costs), "model", "left")
+    return scores.join(F.broadcast(costs) if costs.limit(FEW + 1).count() <= FEW else costs, "model", "left")

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.operators.predicates import numbered
+from loomline.session import reread
 
 Responder = Callable[[list[str]], list[str]]
 #: What a request body of the provider's batch format calls its version.
@@ -62,7 +65,7 @@ def parse_list(answer: Column | str, schema: str) -> Column:
 
 
 def infer(prompts: DataFrame, responder: Responder, size: int = 20, retries: int = 2, epochs: int = 1) -> DataFrame:
-    """(id, epoch, status, answer): batches of ``size`` prompts in the order of their ids, each epoch on its own.
+    """(id, epoch, status, answer, batch): batches of ``size`` prompts in the order of their ids, each epoch on its own.
 
     A batch whose responder fails or returns another number of answers is tried again; then its rows have status 400.
     """
@@ -80,10 +83,11 @@ def infer(prompts: DataFrame, responder: Responder, size: int = 20, retries: int
             if answers is not None and len(answers) == len(batch):
                 break
             answers = None
-        return pd.DataFrame({"id": batch["id"], "epoch": batch["epoch"], "status": 400 if answers is None else 200, "answer": answers if answers is not None else [None] * len(batch)})
+        return pd.DataFrame({"id": batch["id"], "epoch": batch["epoch"], "status": 400 if answers is None else 200, "answer": answers if answers is not None else [None] * len(batch), "batch": batch["batch"]})
 
     # a group is one batch of at most ``size`` rows
-    return dealt.groupBy("epoch", "batch").applyInPandas(run, "id long, epoch int, status int, answer string")
+    kind = dict(prompts.dtypes)["id"]
+    return dealt.groupBy("epoch", "batch").applyInPandas(run, f"id {kind}, epoch int, status int, answer string, batch long")
 
 
 def batch_text(rows: DataFrame, size: int, mark: str = "\n") -> DataFrame:
@@ -111,10 +115,114 @@ def fake_responder(prompts: list[str]) -> list[str]:
     return [json.dumps({"answer": "ABCD"[hashlib.md5(p.encode()).digest()[0] % 4]}) for p in prompts]
 
 
+#: Services whose responders have to be registered before they can be used; calling them needs a network.
+SERVICES = ("groq", "azure", "aws", "gemini", "deepseek")
 RESPONDERS: dict[str, Responder] = {"fake": fake_responder}
 
 
+def register(name: str, made: Responder) -> None:
+    RESPONDERS[name] = made
+
+
 def responder(name: str) -> Responder:
     if name not in RESPONDERS:
-        raise ValueError(f"no responder {name}")
+        raise ValueError(f"no responder {name}" + (": the service is known, but nothing is registered for it" if name in SERVICES else ""))
     return RESPONDERS[name]
+
+
+def infer_resumable(spark: SparkSession, prompts: DataFrame, responder: Responder, folder: str, size: int = 25, retries: int = 5, flush: int = 10, stop_after: int = 3) -> bool:
+    """Answer prompts (id, content) and append the answers to ``folder``, ``flush`` batches at a time; whether all are done.
+
+    What the folder has is not asked again, so a run goes on where the last one ended; that is the only progress kept. After
+    ``stop_after`` batches in a row that failed the run stops, and what had been answered before stays."""
+    schema = "id string, epoch int, status int, answer string"
+    system = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    failed = 0
+    while True:
+        done = spark.read.schema(schema).json(folder) if system.exists(spark._jvm.org.apache.hadoop.fs.Path(folder)) else spark.createDataFrame([], schema)
+        todo = prompts.withColumn("id", F.col("id").cast("string")).join(done.filter("status = 200").select("id").distinct(), "id", "left_anti")
+        wave = reread(spark, todo.orderBy("id").limit(size * flush), "wave")
+        if not wave.limit(1).count():
+            return True
+        answers = reread(spark, infer(wave, responder, size, retries), "answers")
+        answers.filter("status = 200").select("id", "epoch", "status", "answer").write.mode("append").json(folder)
+        # a wave has ``flush`` batches, which is what the driver looks at
+        for row in answers.groupBy("batch").agg(F.min("status").alias("status")).orderBy("batch").collect():
+            failed = failed + 1 if row.status != 200 else 0
+            if failed >= stop_after:
+                return False
+
+
+def write_epochs(answers: DataFrame, folder: str) -> None:
+    """A folder of JSON lines for each epoch."""
+    answers.write.mode("overwrite").partitionBy("epoch").json(folder)
+
+
+def forced_choices(prompts: DataFrame, think: Responder, choose: Responder, samples: int = 1, guide: str = "So the final choice (A, B, C, D,...) is: ") -> DataFrame:
+    """(id, answer0, thought0, answer1, ...): each prompt is thought about ``samples`` times, and each thought, with the guide
+    behind it, is completed by a choice."""
+    names = [f"{what}{k}" for k in range(samples) for what in ("answer", "thought")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = {"id": frame["id"]}
+            content = frame["content"].tolist()
+            for k in range(samples):
+                thoughts = [t + guide for t in think(content)]
+                out[f"answer{k}"] = [a.strip() for a in choose([f"{c}\n{t}" for c, t in zip(content, thoughts, strict=True)])]
+                out[f"thought{k}"] = thoughts
+            yield pd.DataFrame(out)
+
+    kind = dict(prompts.dtypes)["id"]
+    return prompts.select("id", "content").mapInPandas(run, ", ".join([f"id {kind}", *(f"{n} string" for n in names)]))
+
+
+class BatchProvider(Protocol):
+    """A service that answers files of request lines in its own time."""
+
+    def upload(self, path: str) -> str: ...
+    def create(self, uploaded: str) -> str: ...
+    def status(self, job: str) -> str: ...
+    def download(self, job: str) -> list[str]: ...
+
+
+#: How a job may end.
+ENDED = ("completed", "failed", "expired", "cancelled")
+
+
+def run_batch_job(requests: DataFrame, provider: BatchProvider, folder: str, wait: float = 30.0, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """Save request lines (line), upload them, create a job, ask until it has ended, and give its response lines as
+    ``value``. A job that has not been completed is an error."""
+    spark = requests.sparkSession
+    requests.select("line").write.mode("overwrite").text(folder)
+    job = provider.create(provider.upload(folder))
+    while (status := provider.status(job)) not in ENDED:
+        sleep(wait)
+    if status != "completed":
+        raise RuntimeError(f"job {job} {status}")
+    return spark.createDataFrame([(x,) for x in provider.download(job)], "value string")
+
+
+class LocalProvider:
+    """A stand-in for a service: answers a folder's requests with a responder when its status has been asked for ``delay``
+    times."""
+
+    def __init__(self, spark: SparkSession, made: Responder, delay: int = 1):
+        self.spark, self.made, self.delay, self.jobs = spark, made, delay, {}
+
+    def upload(self, path: str) -> str:
+        return path
+
+    def create(self, uploaded: str) -> str:
+        self.jobs[uploaded] = self.delay
+        return uploaded
+
+    def status(self, job: str) -> str:
+        self.jobs[job] -= 1
+        return "in_progress" if self.jobs[job] >= 0 else "completed"
+
+    def download(self, job: str) -> list[str]:
+        # a test's worth of requests
+        lines = [json.loads(r.value) for r in self.spark.read.text(job).collect()]
+        answers = self.made([x["body"]["messages"][-1]["content"] for x in lines])
+        return [json.dumps({"custom_id": x["custom_id"], "response": {"status_code": 200, "body": {"model": x["body"]["model"], "choices": [{"message": {"content": a}}]}}}) for x, a in zip(lines, answers, strict=True)]

@@ -105,12 +105,12 @@ def numbered(frame: DataFrame, keys: list[Column], name: str, start: int = 0) ->
     Rows of equal keys are told apart by a hash of their content and their place in the input, so that no key, however
     frequent, has to fit in one partition; among equal rows any order will do."""
     tie = [F.xxhash64(*[quoted(c) for c in frame.columns]).alias("__tie"), F.monotonically_increasing_id().alias("__from")]
-    placed = frame.select("*", *tie).orderBy(*keys, "__tie", "__from").drop("__tie", "__from").withColumn("__at", F.monotonically_increasing_id())
-    ordered = reread(frame.sparkSession, placed, "ordered").withColumn("__part", F.shiftright("__at", 33))
+    placed = frame.select("*", *tie).orderBy(*keys, "__tie", "__from").drop("__tie", "__from").withColumn("__place", F.monotonically_increasing_id())
+    ordered = reread(frame.sparkSession, placed, "ordered").withColumn("__part", F.shiftright("__place", 33))
     # a row a partition
     counts = ordered.groupBy("__part").agg(F.count("*").alias("__n")).select(F.col("__part").alias("__of"), (F.sum("__n").over(W.orderBy("__part")) - F.col("__n") + start).alias("__before"))
     joined = ordered.join(F.broadcast(counts), F.col("__part") == F.col("__of"))
-    return joined.withColumn(name, F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at", "__part", "__of", "__before")
+    return joined.withColumn(name, F.col("__before") + F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))).drop("__place", "__part", "__of", "__before")
 
 
 def pages(frame: DataFrame, keys: list[Column], size: int) -> DataFrame:

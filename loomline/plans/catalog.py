@@ -214,47 +214,61 @@ def jn11_config_assembly(spark, d):
 
 
 def _staged(spark, d):
-    changed = table(spark, d, "customer").filter("c_custkey % 10 = 0").select("c_custkey", (F.col("c_acctbal") + 1).alias("c_acctbal"), F.when(F.col("c_custkey") % 20 == 0, None).otherwise("CHANGED").alias("c_mktsegment"))
-    return changed.unionByName(changed.selectExpr("-c_custkey - 1 as c_custkey", "c_acctbal", "c_mktsegment"))
+    """Changes to the customers of one segment, some of them twice, and rows of new keys."""
+    chosen = table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'")
+    once = chosen.select("c_custkey", (F.col("c_acctbal") + 1).alias("c_acctbal"), F.when(F.col("c_acctbal") < 0, None).otherwise("CHANGED").alias("c_mktsegment"), F.lit(1).alias("version"))
+    twice = chosen.filter("c_nationkey < 10").select("c_custkey", (F.col("c_acctbal") + 2).alias("c_acctbal"), F.lit("TWICE").alias("c_mktsegment"), F.lit(2).alias("version"))
+    both = once.unionByName(twice)
+    return both.unionByName(both.withColumn("c_custkey", -F.col("c_custkey") - 1))
 
 
-_STAGED = "s as (select c_custkey, c_acctbal + 1 c_acctbal, case when c_custkey % 20 <> 0 then 'CHANGED' end c_mktsegment from customer where c_custkey % 10 = 0), n as (select -c_custkey - 1 c_custkey, c_acctbal, c_mktsegment from s)"
+_STAGED = "b as (select c_custkey, c_acctbal + 1 c_acctbal, case when c_acctbal >= 0 then 'CHANGED' end c_mktsegment, 1 v from customer where c_mktsegment = 'BUILDING' union all select c_custkey, c_acctbal + 2, 'TWICE', 2 from customer where c_mktsegment = 'BUILDING' and c_nationkey < 10), s as (select c_custkey, c_acctbal, c_mktsegment from (select *, row_number() over (partition by c_custkey order by v desc) k from b) where k = 1), n as (select -c_custkey - 1 c_custkey, c_acctbal, c_mktsegment from s)"
 _UPDATED = "select t.c_custkey, t.c_name, t.c_nationkey, coalesce(s.c_acctbal, t.c_acctbal) c_acctbal, case when s.c_custkey is null then t.c_mktsegment else s.c_mktsegment end c_mktsegment from customer t left join s on s.c_custkey = t.c_custkey"
 
 
 @query(f"with {_STAGED} {_UPDATED}")
 def jn12_update_join(spark, d):
-    return dml.update(table(spark, d, "customer"), _staged(spark, d), ["c_custkey"])
+    return dml.update(table(spark, d, "customer"), _staged(spark, d), ["c_custkey"], order=["version"])
 
 
 @query(f"with {_STAGED} {_UPDATED} union all select c_custkey, null, null, c_acctbal, c_mktsegment from n")
 def jn13_upsert(spark, d):
-    return dml.upsert(table(spark, d, "customer"), _staged(spark, d), ["c_custkey"])
+    return dml.upsert(table(spark, d, "customer"), _staged(spark, d), ["c_custkey"], order=["version"])
 
 
 @query(f"with {_STAGED} select * from customer union all select c_custkey, null, null, c_acctbal, c_mktsegment from n")
 def dml3_insert_or_ignore(spark, d):
-    return dml.insert_or_ignore(table(spark, d, "customer"), _staged(spark, d), ["c_custkey"])
+    return dml.insert_or_ignore(table(spark, d, "customer"), _staged(spark, d), ["c_custkey"], ["version"])
 
 
 # -- predicates, order, pages
 
 
-@query("select o_orderkey from orders where o_orderstatus in ('F', 'O') and (o_totalprice > 100000 or o_orderpriority like '1-%') and o_custkey is not null and o_orderkey % 3 = 0")
+@query("select o_orderkey from orders where o_orderstatus in ('F', 'O') and (o_totalprice > 100000 or o_orderpriority like '1-%' or o_orderpriority not like '%-%') and o_custkey is not null and o_custkey < o_orderkey + 100 and o_orderstatus not in ('P', 'X') and o_totalprice >= 1000 and o_totalprice <= 300000 and o_orderpriority <> '5-LOW' and o_orderstatus is distinct from 'Z' and o_orderkey = o_orderkey")
 def prd1_predicate_tree(spark, d):
     tree = {"logical": "and", "conditions": [
         {"field": "o_orderstatus", "operator": "=", "value": ["F", "O"]},
-        {"logical": "or", "conditions": [{"field": "o_totalprice", "operator": ">", "value": 100000}, {"field": "o_orderpriority", "operator": "LIKE", "value": "1-%"}]},
+        {"logical": "or", "conditions": [
+            {"field": "o_totalprice", "operator": ">", "value": 100000},
+            {"field": "o_orderpriority", "operator": "LIKE", "value": "1-%"},
+            {"field": "o_orderpriority", "operator": "NOT LIKE", "value": "%-%"},
+        ]},
         {"field": "o_custkey", "operator": "!=", "value": None},
-        {"field": "o_orderkey", "operator": "=", "value": predicates.Sql("o_orderkey - o_orderkey % 3")},
+        {"field": "o_custkey", "operator": "<", "value": predicates.Sql("o_orderkey + 100")},
+        {"field": "o_orderstatus", "operator": "NOT IN", "value": ["P", "X"]},
+        {"field": "o_totalprice", "operator": ">=", "value": 1000},
+        {"field": "o_totalprice", "operator": "<=", "value": 300000},
+        {"field": "o_orderpriority", "operator": "!=", "value": "5-LOW"},
+        {"field": "o_orderstatus", "operator": "IS NOT", "value": "Z"},
+        {"field": "o_orderkey", "operator": "IN", "value": predicates.Sql("(o_orderkey)")},
     ]}
     return table(spark, d, "orders").filter(predicates.where(tree)).select("o_orderkey")
 
 
-@query("select event_id, ts, value from events where ts > (select max(ts) from events where event_id % 5000 = 7 and event_id < 5000) and event_type <> 'click'")
+@query("select event_id, ts, value from events where ts > (select max(ts) from events where cast(ts as date) < date '2024-01-16') and event_type <> 'click'")
 def prd8_incremental(spark, d):
     events = table(spark, d, "events")
-    mark = readers.high_water_mark(events.filter("event_id % 5000 = 7 and event_id < 5000"), "ts")
+    mark = readers.high_water_mark(events.filter("to_date(ts) < date'2024-01-16'"), "ts")
     return readers.scan_table(events, ["event_id", "value"], "ts", mark, filters={"field": "event_type", "operator": "!=", "value": "click"})
 
 
@@ -264,18 +278,19 @@ def prd9_off_topic(spark, d):
     return docs.filter(~F.col("source").eqNullSafe(dedup.OFF_TOPIC))
 
 
-@query("select page_id, regexp_full_match(cast(page_id as varchar), '[0-9]+') digits, length(url) <= 60 short, url like 'http%' allowed from pages")
+@query("select page_id, regexp_full_match(cast(page_id as varchar), '[0-9]+') digits, length(trim(url)) > 0 and length(url) <= 64 named, url like 'http%' allowed, length(url) >= 8 and regexp_matches(url, '[A-Za-z]') and regexp_matches(url, '[0-9]') as password, page_id < 10000000000 as email, page_id % 3 < 2 as chosen, page_id % 2 = 0 as timed, false as uuid from pages")
 def prd13_validators(spark, d):
-    pages = table(spark, d, "pages")
-    return pages.select("page_id", predicates.is_digits(F.col("page_id").cast("string")).alias("digits"), (F.char_length("url") <= 60).alias("short"), F.startswith("url", F.lit("http")).alias("allowed"))
+    pages, key = table(spark, d, "pages"), F.col("page_id").cast("string")
+    return pages.select(
+        "page_id", predicates.is_digits(key).alias("digits"), predicates.is_name(F.col("url")).alias("named"), F.startswith("url", F.lit("http")).alias("allowed"), predicates.is_password(F.col("url")).alias("password"),
+        predicates.is_email(F.concat(key, F.lit("@example.org"))).alias("email"), predicates.is_one_of(F.col("page_id") % 3, [0, 1]).alias("chosen"),
+        predicates.is_time(F.concat(F.lit("2024-02-"), F.when(F.col("page_id") % 2 == 0, "28").otherwise("31"), F.lit("T00:00:00Z"))).alias("timed"), predicates.is_uuid4(key).alias("uuid"),
+    )
 
 
 @query("select i.item_id, d.doc_id from benchmark i join documents d on contains(d.text, i.text)")
 def prd14_containment(spark, d):
-    # containment has no equal key: the shared word behind the first one narrows it to an equi-join
-    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("said"), F.split("text", r"\s+")[1].alias("word"))
-    docs = table(spark, d, "documents").select("doc_id", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
-    return docs.join(items, "word").filter(F.contains("text", "said")).select("item_id", "doc_id")
+    return dedup.containments(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", "text")).select("item_id", "doc_id")
 
 
 @query("select o_orderkey, o_custkey, o_totalprice from orders order by o_orderdate desc, o_orderkey limit 50 offset 20")
@@ -459,8 +474,7 @@ def cl1_clean_items(spark, d):
         F.concat(F.lit("option"), text.index_letter(F.col("p_partkey") % 3)).alias("correctOption"), F.lit("a, b").alias("medicalTopic"), level.alias("difficultLevel"),
     )
     made = clean.clean_items(raw)
-    keyed = raw.select(F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(c), F.lit("")) for c in sorted(raw.columns)])).alias("id"), F.col("key").cast("long").alias("p_partkey"))
-    return made.join(keyed, "id").select("p_partkey", "difficulty_level", "question", "options", "answer_index", "is_valid")
+    return made.select(F.get_json_object("raw", "$.key").cast("long").alias("p_partkey"), "difficulty_level", "question", "options", "answer_index", "is_valid")
 
 
 # -- duplicate removal

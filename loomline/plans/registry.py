@@ -21,8 +21,9 @@ class ConfigError(ValueError):
 CONNECTIONS = {"aws": ["accessKey", "secretKey"], "gcp": ["serviceAccount"], "huggingFace": ["token"], "spark": ["dns"], "sqlServer": ["dsn"], "clickHouse": ["dsn"], "postgres": ["dsn"], "local": []}
 EXTRACTORS = {"awsStorage": ["prefix"], "sqlServer": ["table", "batchSize", "orderSql"], "postgres": ["table"], "mongo": ["collection"]}
 LOADERS = {"huggingFace": ["folder"], "clickHouse": ["table"], "local": ["folder"]}
-OPTIONAL = {"awsStorage": ["bucketName", "pathGlobFilter", "removePrefix", "fileType", "compressType", "root"], "sqlServer": ["schema", "filterSql", "incrementalField", "selectedFields"], "postgres": ["schema", "filterSql", "batchSize", "incrementalField"], "mongo": ["match", "sort", "project", "incrementalField"], "huggingFace": ["repoId", "root"], "clickHouse": ["batchSize", "fileType"], "local": [], "aws": ["endpoint", "region"], "gcp": [], "spark": [], "clickhouse": []}
+OPTIONAL = {"awsStorage": ["bucketName", "pathGlobFilter", "removePrefix", "removePrefixPath", "recursive", "fileType", "compressType", "root"], "sqlServer": ["schema", "filterSql", "incrementalField", "selectedFields", "url", "partition"], "postgres": ["schema", "filterSql", "batchSize", "incrementalField", "selectedFields", "url", "partition"], "mongo": ["match", "sort", "project", "incrementalField"], "huggingFace": ["repoId", "root"], "clickHouse": ["batchSize", "fileType"], "local": [], "aws": ["endpoint", "region"], "gcp": [], "spark": []}
 MODES = ("copyFile", "transform")
+INCREMENTAL_MODES = (">", ">=")
 
 
 @dataclass(frozen=True)
@@ -47,6 +48,7 @@ class Pipeline:
     include_private_fields: bool = False
     private_field_prefix: str = "__etl_private_field__"
     tag: str | None = None
+    incremental_mode: str = ">"
 
 
 @dataclass(frozen=True)
@@ -128,6 +130,8 @@ class Registry:
             errors["loader"] = f"no loader {pipeline.loader}"
         if pipeline.mode not in MODES:
             errors["mode"] = f"unknown mode {pipeline.mode}"
+        if pipeline.incremental_mode not in INCREMENTAL_MODES:
+            errors["incrementalMode"] = f"unknown mode {pipeline.incremental_mode}"
         if pipeline.mode == "copyFile" and not errors and (pipeline.transform_sql or self.extractors[pipeline.extractor].kind != "awsStorage"):
             errors["mode"] = "files can only be copied from storage, and without SQL"
         if errors:
@@ -147,6 +151,13 @@ class Registry:
         self.transformers[made.name] = made
         return made
 
+    def all(self, table: str, **wanted) -> list:
+        """Configurations of a table, by name; with ``wanted``, those whose fields have these values."""
+        return [c for _, c in sorted(getattr(self, table).items()) if all(getattr(c, k) == v for k, v in wanted.items())]
+
+    def exists(self, table: str, name: str) -> bool:
+        return name in getattr(self, table)
+
     def get(self, table: str, name: str):
         found = getattr(self, table).get(name)
         if found is None:

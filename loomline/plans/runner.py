@@ -48,17 +48,25 @@ def run_transformer(spark: SparkSession, transformer: Transformer, execution_tim
     return spark.read.schema(result.schema).parquet(destination)
 
 
-def extract(spark: SparkSession, registry: Registry, name: str, execution_time=None, mark=None) -> DataFrame:
-    """Rows of an extractor: storage files as a table, or a table by way of JDBC or of a view of that name."""
+def _rendered(config: dict, name: str, execution_time, default=None):
+    return render(config[name], execution_time) if config.get(name) else default
+
+
+def extract(spark: SparkSession, registry: Registry, name: str, execution_time=None, mark=None, mode: str = ">") -> DataFrame:
+    """Rows of an extractor: storage files as a table, a database's table by JDBC where the extractor has a ``url`` or its
+    connection a ``dsn``, or a table or view that the session knows by name."""
     ext = registry.get("extractors", name)
     config = ext.config
     if ext.kind == "awsStorage":
-        prefix = render(config["prefix"], execution_time)
-        root = f"{config.get('root', '').rstrip('/')}/{prefix}"
-        return readers.read_table_files(spark, root, config.get("fileType", "parquet"), config.get("pathGlobFilter"))
-    frame = spark.table(config.get("table") or config["collection"])
-    frame = readers.scan_table(frame, config.get("selectedFields"), config.get("incrementalField"), mark)
-    return frame.filter(config["filterSql"]) if config.get("filterSql") else frame
+        return readers.read_table_files(spark, config.get("root", "").rstrip("/") or "/", config.get("fileType", "parquet"), render(config["prefix"], execution_time), _rendered(config, "pathGlobFilter", execution_time), config.get("compressType"), config.get("recursive", True))
+    dsn = config.get("url") or next((c.config["dsn"] for c in registry.dependencies("extractors", name) if "dsn" in c.config), None)
+    if ext.kind != "mongo" and dsn:
+        return readers.jdbc_table(spark, dsn, readers.jdbc_query(config, mark, mode), config.get("partition"), config.get("batchSize"))
+    if ext.kind == "mongo":
+        return readers.scan_documents(spark.table(config["collection"]), config, mark, mode)
+    frame = readers.scan_table(spark.table(config["table"]), None, config.get("incrementalField"), mark, mode)
+    frame = frame.filter(config["filterSql"]) if config.get("filterSql") else frame
+    return readers.scan_table(frame, config.get("selectedFields"), config.get("incrementalField"))
 
 
 def run_pipeline(spark: SparkSession, registry: Registry, name: str, execution_time=None, mark=None) -> DataFrame | int:
@@ -68,9 +76,10 @@ def run_pipeline(spark: SparkSession, registry: Registry, name: str, execution_t
     folder = f"{loader.config.get('root', '').rstrip('/')}/{render(loader.config['folder'], execution_time)}" if "root" in loader.config else render(loader.config["folder"], execution_time)
     if pipeline.mode == "copyFile":
         config = registry.get("extractors", pipeline.extractor).config
-        blocks = readers.read_blocks(spark, config["root"], render(config["prefix"], execution_time), render(config.get("pathGlobFilter", "**"), execution_time), config.get("removePrefix"))
+        remove = _rendered(config, "removePrefixPath", execution_time) or _rendered(config, "removePrefix", execution_time)
+        blocks = readers.read_blocks(spark, config["root"], render(config["prefix"], execution_time), _rendered(config, "pathGlobFilter", execution_time, "**"), remove)
         return writers.copy_files(blocks, folder)
-    data = transform(spark, extract(spark, registry, pipeline.extractor, execution_time, mark), pipeline.transform_sql)
+    data = transform(spark, extract(spark, registry, pipeline.extractor, execution_time, mark, pipeline.incremental_mode), pipeline.transform_sql)
     if pipeline.include_private_fields:
         data = private_columns(data, pipeline.private_field_prefix, {"incrementalValue": None if mark is None else str(mark), "extNameValue": pipeline.extractor, "pipelineNameValue": pipeline.name})
     if pipeline.tag:

@@ -74,12 +74,31 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | None = None, skip_b
     return lines.filter(F.trim("value") != "") if skip_blank else lines
 
 
-def read_table_files(spark: SparkSession, path: str, file_type: str = "parquet", glob: str | None = None) -> DataFrame:
+def _key(spark: SparkSession, root: str, path) -> F.Column:
+    """What stands behind ``root`` in a file's path."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath()
+    return F.regexp_replace(path, f"^(?:\\w+:/*)?/?{re.escape(base.strip('/'))}/", "")
+
+
+def read_table_files(spark: SparkSession, root: str, file_type: str = "parquet", prefix: str = "", glob: str | None = None, compress_type: str | None = None, recursive: bool = True, schema: str | None = None) -> DataFrame:
+    """Rows of the files below ``root``/``prefix`` whose key, prefix and all, matches; the filter on the path prunes files.
+
+    Without ``recursive`` ``**`` stands for one folder. Compressed JSON whose names don't tell is decompressed first."""
     if file_type not in ("parquet", "json"):
         raise ValueError(f"unknown file type {file_type}")
+    if compress_type not in (None, "bzip2"):
+        raise ValueError(f"unknown compression {compress_type}")
+    glob = glob if glob is None or recursive else glob.replace("**", "*")
+    if compress_type:
+        if file_type != "json":
+            raise ValueError("only JSON files are decompressed")
+        content = read_blocks(spark, root, prefix, glob or "**", compress_type=compress_type).select(F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("value"))
+        lines = content.filter(F.trim("value") != "")
+        return lines.select(F.from_json("value", schema).alias("row")).select("row.*") if schema else spark.read.json(lines.rdd.map(lambda r: r.value))
     reader = spark.read.option("recursiveFileLookup", "true")
-    reader = reader.option("pathGlobFilter", glob) if glob else reader
-    return getattr(reader, file_type)(path)
+    reader = reader.schema(schema) if schema else reader
+    frame = getattr(reader, file_type)(f"{root.rstrip('/')}/{prefix}".rstrip("/"))
+    return frame.filter(_key(spark, root, F.col("_metadata.file_path")).rlike(glob_pattern(prefix, glob))) if glob else frame
 
 
 def glob_pattern(prefix: str, glob: str) -> str:
@@ -107,10 +126,8 @@ def glob_pattern(prefix: str, glob: str) -> str:
 
 def read_blocks(spark: SparkSession, root: str, prefix: str = "", glob: str = "**", remove_prefix: str | None = None, compress_type: str | None = None) -> DataFrame:
     """Files below ``root`` whose key, the path behind it, matches: path, key, content (decompressed where asked)."""
-    base = spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath()
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    key = F.regexp_replace(F.col("path"), f"^(?:\\w+:/*)?/?{re.escape(base.strip('/'))}/", "")
-    found = files.select("path", key.alias("key"), "content").filter(F.col("key").rlike(glob_pattern(prefix, glob)))
+    found = files.select("path", _key(spark, root, F.col("path")).alias("key"), "content").filter(F.col("key").rlike(glob_pattern(prefix, glob)))
     if remove_prefix:
         found = found.withColumn("key", F.replace("key", F.lit(f"{remove_prefix}/"), F.lit("")))
     if compress_type == "bzip2":
@@ -164,13 +181,64 @@ def scan_table(table: DataFrame, select: list[str] | None = None, incremental: s
     return frame
 
 
-def jdbc_table(spark: SparkSession, url: str, query: str, partition: tuple[str, int, int, int] | None = None, **options: str) -> DataFrame:
-    """A database table or query; ``partition``: column, lower, upper bound and number of partitions."""
-    reader = spark.read.format("jdbc").option("url", url).options(**options)
+#: What a filter of a document store calls a comparison.
+MATCHES = {"$eq": "=", "$ne": "!=", "$gt": ">", "$gte": ">=", "$lt": "<", "$lte": "<=", "$in": "IN", "$nin": "NOT IN"}
+
+
+def match_tree(match: dict) -> dict:
+    """A document store's filter as a condition tree."""
+    conditions = []
+    for field, value in match.items():
+        if field in ("$and", "$or"):
+            conditions.append({"logical": field[1:], "conditions": [match_tree(x) for x in value]})
+        elif isinstance(value, dict):
+            if unknown := set(value) - set(MATCHES):
+                raise ValueError(f"unknown comparison {sorted(unknown)[0]}")
+            conditions += [{"field": field, "operator": MATCHES[k], "value": v} for k, v in value.items()]
+        else:
+            conditions.append({"field": field, "operator": "=", "value": value})
+    return {"logical": "and", "conditions": conditions}
+
+
+def scan_documents(table: DataFrame, config: dict, mark=None, mode: str = ">") -> DataFrame:
+    """A collection by its extractor's ``project``, ``sort`` ([field, 1 or -1] each) and ``match``, from a mark on."""
+    select = [k for k, on in config["project"].items() if on] if config.get("project") else None
+    order = [{"field": f, "direction": "DESC" if way < 0 else "ASC"} for f, way in config.get("sort") or []]
+    return scan_table(table, select, config.get("incrementalField"), mark, mode, match_tree(config["match"]) if config.get("match") else None, order)
+
+
+def literal(value) -> str:
+    """A value as SQL text."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool) or not isinstance(value, (int, float)):
+        return "'" + str(value).replace("'", "''") + "'"
+    return repr(value)
+
+
+def jdbc_query(config: dict, mark=None, mode: str = ">") -> str:
+    """The query of a database extractor: its columns and the incremental one, past the mark and by its own filter."""
+    name = f"{config['schema']}.{config['table']}" if config.get("schema") else config["table"]
+    fields = config.get("selectedFields")
+    columns = ", ".join(dict.fromkeys([*fields, *([config["incrementalField"]] if config.get("incrementalField") else [])])) if fields else "*"
+    conditions = [f"{config['incrementalField']} {'>=' if mode == '>=' else '>'} {literal(mark)}"] if mark is not None and config.get("incrementalField") else []
+    conditions += [f"({config['filterSql']})"] if config.get("filterSql") else []
+    return f"SELECT {columns} FROM {name}" + (f" WHERE {' AND '.join(conditions)}" if conditions else "")
+
+
+def jdbc_source(url: str, query: str, partition: tuple[str, int, int, int] | None = None, batch: int | None = None, **options: str) -> dict[str, str]:
+    """Options of a database read; ``partition``: column, lower, upper bound and number of partitions. Pages of the database
+    are what its driver fetches at once, so rows need no order."""
+    out = {"url": url, **({"fetchsize": str(batch)} if batch else {}), **options}
     if partition:
         column, low, high, n = partition
-        return reader.option("dbtable", f"({query}) q").option("partitionColumn", column).option("lowerBound", low).option("upperBound", high).option("numPartitions", n).load()
-    return reader.option("query", query).load()
+        return out | {"dbtable": f"({query}) q", "partitionColumn": column, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(n)}
+    return out | {"query": query}
+
+
+def jdbc_table(spark: SparkSession, url: str, query: str, partition: tuple[str, int, int, int] | None = None, batch: int | None = None, **options: str) -> DataFrame:
+    """A database table or query."""
+    return spark.read.format("jdbc").options(**jdbc_source(url, query, partition, batch, **options)).load()
 
 
 def run_of_file(name) -> dict:

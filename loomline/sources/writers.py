@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import gzip
+import io
+import json
+import posixpath
+import tarfile
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomline.operators.predicates import numbered
+from loomline.session import work_path
+
 
 def overwrite_parquet(frame: DataFrame, folder: str) -> None:
     frame.write.mode("overwrite").parquet(folder)
@@ -33,23 +45,115 @@ def write_csv(frame: DataFrame, folder: str, mode: str = "overwrite") -> None:
 
 
 def write_valid(items: DataFrame, good: str, rejects: str) -> None:
-    """Valid rows to one folder, the others, as they are, to another."""
-    write_jsonl(items.filter("is_valid").drop("is_valid"), good)
-    write_jsonl(items.filter("not is_valid").drop("is_valid"), rejects)
+    """Valid rows to one folder, the others to another: as they came, where ``raw`` holds them, else as they are."""
+    write_jsonl(items.filter("is_valid").drop("is_valid", "raw"), good)
+    bad = items.filter("not is_valid")
+    if "raw" in items.columns:
+        bad.select("raw").write.mode("overwrite").text(rejects)
+    else:
+        write_jsonl(bad.drop("is_valid"), rejects)
+
+
+def write_pretty(frame: DataFrame, folder: str, mode: str = "overwrite") -> None:
+    """JSON objects over several lines, non-ASCII text readable."""
+    frame.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in frame.columns]), {"pretty": "true", "ignoreNullFields": "false"}).alias("value")).write.mode(mode).text(folder)
+
+
+def _file_system(uri: str):
+    """(file system, path) that a task's Python can write to: local, s3, hdfs or gcs addresses."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
 
 
 def copy_files(blocks: DataFrame, folder: str) -> int:
-    """Copy files (path, key) byte for byte to ``folder``/key with the file system's own streams; how many."""
-    spark = blocks.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    """Write files (key, content) byte for byte to ``folder``/key, each in the task that has read it; how many. A task that
+    runs again writes the same files."""
+    root = folder.rstrip("/")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, content in zip(batch.column("key").to_pylist(), batch.column("content"), strict=True):
+                system, path = _file_system(f"{root}/{key}")
+                system.create_dir(posixpath.dirname(path), recursive=True)
+                with system.open_output_stream(path, compression=None) as out:
+                    out.write(content.as_buffer())
+            yield pa.record_batch([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return blocks.select("key", "content").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def archive_files(spark: SparkSession, folder: str, out: str, glob: str = "*.jsonl") -> int:
+    """All files below ``folder`` that match as one tar.gz, whose one stream one task writes; how many."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
+    base = spark._jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath().rstrip("/") + "/"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = _file_system(out)
+        done = 0
+        with system.open_output_stream(path, compression=None) as stream, gzip.GzipFile(fileobj=stream, mode="wb") as packed, tarfile.open(fileobj=packed, mode="w") as archive:
+            for batch in batches:
+                for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                    member = tarfile.TarInfo(name.split(base, 1)[-1])
+                    member.size = len(content.as_buffer())
+                    archive.addfile(member, io.BytesIO(content.as_py()))
+                    done += 1
+        yield pa.record_batch([pa.array([done], pa.int64())], ["n"])
+
+    return files.select("path", "content").orderBy("path").coalesce(1).mapInArrow(run, "n long").first()[0]
+
+
+def append_to_json_array(spark: SparkSession, path: str, items: list[dict]) -> int:
+    """Add objects to a JSON array file; how many it has then. A file that is missing or blank is an empty array; the new
+    file takes the old one's place when it is whole."""
+    jvm = spark._jvm
+    file = jvm.org.apache.hadoop.fs.Path(path)
+    system = file.getFileSystem(spark._jsc.hadoopConfiguration())
+    said = ""
+    if system.exists(file):
+        stream = system.open(file)
+        try:
+            said = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+    known = json.loads(said) if said.strip() else []
+    draft = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    out = system.create(draft, False)
+    out.write(bytearray(("[\n" + ",\n".join(json.dumps(x, ensure_ascii=False) for x in [*known, *items]) + "\n]").encode()))
+    out.close()
+    system.delete(file, False)
+    if not system.rename(draft, file):
+        raise OSError(f"could not write {path}")
+    return len(known) + len(items)
+
+
+def write_named_batches(frame: DataFrame, folder: str, etl: str, field: str, kind: str = "json", size: int = 10_000, mark: str | None = None, replace: bool = False) -> list[str]:
+    """Files of ``size`` rows in the order of ``field``, named ``ETL_<etl>_IV_<value>_<uuid>.<kind>`` by the value up to which
+    data had been written before; their names. ``replace``: files of an earlier run from the same mark go first."""
+    if kind not in ("json", "csv"):
+        raise ValueError(f"unknown kind {kind}")
+    spark = frame.sparkSession
+    jvm = spark._jvm
     path = lambda x: jvm.org.apache.hadoop.fs.Path(x)
-    done = 0
-    for row in blocks.select("path", "key").toLocalIterator():
-        source, target = path(row["path"]), path(f"{folder.rstrip('/')}/{row['key']}")
-        if not jvm.org.apache.hadoop.fs.FileUtil.copy(source.getFileSystem(conf), source, target.getFileSystem(conf), target, False, True, conf):
-            raise OSError(f"could not copy {row['path']}")
-        done += 1
-    return done
+    system = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(path(folder))
+    if replace:
+        for status in system.listStatus(path(folder)):
+            if status.getPath().getName().startswith(f"ETL_{etl}_IV_{mark or ''}_"):
+                system.delete(status.getPath(), False)
+    staged = work_path(spark, "batches")
+    paged = numbered(frame, [F.col(field)], "__at").withColumn("__page", F.floor(F.col("__at") / size)).drop("__at")
+    ends = paged.groupBy("__page").agg(F.max(field).cast("string").alias("last")).orderBy("__page").collect()
+    writer = paged.repartition("__page").sortWithinPartitions("__page", field).write.partitionBy("__page")
+    (writer.option("header", "true").csv(staged) if kind == "csv" else writer.option("ignoreNullFields", "false").json(staged))
+    names, before = [], mark or ""
+    for end in ends:
+        (found,) = [s.getPath() for s in system.listStatus(path(f"{staged}/__page={end['__page']}")) if s.getPath().getName().startswith("part-")]
+        names.append(f"ETL_{etl}_IV_{before}_{uuid.uuid4()}.{kind}")
+        if not system.rename(found, path(f"{folder}/{names[-1]}")):
+            raise OSError(f"could not write {names[-1]}")
+        before = end["last"]
+    return names
 
 
 def report(scores: DataFrame, counted: DataFrame) -> DataFrame:
@@ -60,5 +164,10 @@ def report(scores: DataFrame, counted: DataFrame) -> DataFrame:
     return both.agg((F.sum(of("score", F.col("cnt_correct"))) / F.sum(of("score", F.col("cnt_total")))).alias("accuracy"), *entries)
 
 
+def jdbc_sink(url: str, table: str, size: int = 10_000, **options: str) -> dict[str, str]:
+    """Options of a bulk insert."""
+    return {"url": url, "dbtable": table, "batchsize": str(size), **options}
+
+
 def write_jdbc(frame: DataFrame, url: str, table: str, size: int = 10_000, **options: str) -> None:
-    frame.write.mode("append").format("jdbc").option("url", url).option("dbtable", table).option("batchsize", size).options(**options).save()
+    frame.write.mode("append").format("jdbc").options(**jdbc_sink(url, table, size, **options)).save()

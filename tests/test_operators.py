@@ -1,0 +1,211 @@
+import bz2
+import json
+import tarfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from loomline.functions import arrays
+from loomline.operators import clean, dedup, dml, evaluate, inference, predicates
+from loomline.plans import runner
+from loomline.plans.registry import ConfigError, Pipeline, Registry
+from loomline.sources import readers, writers
+
+
+def test_numbers_of_a_hot_key(spark):
+    frame = spark.range(5000).select(F.floor(F.col("id") % 7 / 6).alias("k"), F.lit("same").alias("s")).repartition(6)
+    rows = predicates.numbered(frame, [F.col("k")], "n", 10).collect()
+    assert sorted(r.n for r in rows) == list(range(10, 5010)) and [r.k for r in sorted(rows, key=lambda r: r.n)] == sorted(r.k for r in rows)
+    assert predicates.numbered(frame.limit(0), [F.col("k")], "n").columns == ["k", "s", "n"]
+
+
+def test_staged_keys_change_a_row_once(spark):
+    table = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "k long, s string, v double")
+    staged = spark.createDataFrame([(1, "x", 1), (1, None, 3), (1, "y", 2), (9, "new", 1), (9, "newer", 2)], "k long, s string, version int").repartition(3)
+    assert sorted(map(tuple, dml.update(table, staged, ["k"], order=["version"]).collect())) == [(1, None, 1.0), (2, "b", 2.0)]
+    assert sorted(map(tuple, dml.upsert(table, staged, ["k"], order=["version"]).collect())) == [(1, None, 1.0), (2, "b", 2.0), (9, "newer", None)]
+    assert sorted(map(tuple, dml.insert_or_ignore(table, staged, ["k"], ["version"]).collect())) == [(1, "a", 1.0), (2, "b", 2.0), (9, "newer", None)]
+    unordered = {tuple(map(tuple, sorted(dml.update(table, staged.drop("version").repartition(n), ["k"]).collect()))) for n in (1, 2, 5)}
+    assert len(unordered) == 1
+    made, ids = dml.insert(table, table.limit(1), ["k"])
+    assert made.count() == 3 and ids.columns == ["k"]
+    with pytest.raises(ValueError):
+        dml.insert(table, table.limit(0))
+
+
+def test_staging_and_collections(spark):
+    rows = [{"id": k, "config": None} for k in range(25)]
+    frame = dml.stage(rows, "id long, config string", spark, "#staged", chunk=10)
+    assert frame.count() == 25 == spark.table("staged").count()
+    with pytest.raises(ValueError):
+        dml.stage(rows, "id long, config string", spark, "staged")
+    held = dml.Collection(frame)
+    held.insert({"id": 100, "config": "x"})
+    assert held.find("id = 100").count() == 0 and held.commit() == 1 and held.find(F.col("id") == 100).count() == 1
+    held.insert_many([{"id": 101, "config": None}])
+    held.rollback()
+    assert held.commit() == 0 and held.find().count() == 26
+    assert dml.first_or_missing(frame, "id = 3").id == 3
+    with pytest.raises(LookupError):
+        dml.first_or_missing(frame, "id = 300")
+    nested = spark.range(1).select(F.struct(F.lit(1).alias("a")).alias("c"))
+    text = dml.json_columns(nested, ["c"])
+    assert text.first().c == '{"a":1}' and dml.parsed_columns(text, {"c": "struct<a: int>"}).first().c.a == 1
+
+
+def test_items_have_ids_of_their_own_and_rejects_stay_verbatim(spark, tmp_path):
+    columns = "question string, optionA string, optionB string, correctOption string, medicalTopic string, difficultLevel string"
+    good, bad = ("Câu 1. Why?", "A. x", "B. y", "optionB", "a, b", " Easy "), ("", "p ", None, "optionC", "t", "nope")
+    raw = spark.createDataFrame([good, good, bad], columns).repartition(2)
+    made = clean.clean_items(raw)
+    rows = made.collect()
+    assert len({r.id for r in rows}) == 3 and sorted(r.is_valid for r in rows) == [False, True, True]
+    assert {r.difficulty_level for r in rows if r.is_valid} == {"Easy"}
+    assert sorted(r.id for r in clean.clean_items(raw.repartition(3)).collect()) == sorted(r.id for r in rows)
+    writers.write_valid(made, f"file://{tmp_path}/good", f"file://{tmp_path}/bad")
+    assert [json.loads(r.value) for r in spark.read.text(f"file://{tmp_path}/bad").collect()] == [dict(zip(raw.columns, bad))]
+    assert clean.split_valid(made)[1].columns == ["raw"]
+
+
+def test_containments(spark):
+    docs = spark.createDataFrame([(1, "the quick brown fox"), (2, "a xquick browny thing"), (3, None), (4, "fox"), (5, "the  quick brown fox")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "quick brown fox"), (2, "fox"), (3, "quick brown"), (4, "ick brown fo"), (5, ""), (6, None), (7, "thing "), (8, "fox")], "item_id long, text string")
+    want = sorted((i.item_id, d.doc_id) for i in items.collect() for d in docs.collect() if i.text and i.text.strip() and d.text and i.text in d.text)
+    assert sorted(map(tuple, dedup.containments(docs, items).collect())) == want and len(want) > 8
+
+
+def test_json_and_nulls(spark):
+    frame = spark.createDataFrame([('{"qid": "1", "answer": "B"}', float("nan")), ("no", float("inf")), (None, 1.5)], "line string, x double")
+    got = frame.select(arrays.flat_answer("line").alias("a"), arrays.null_if_not_finite("x").alias("x")).collect()
+    assert [(r.a and (r.a.qid, r.a.answer), r.x) for r in got] == [(("1", "B"), None), ((None, None), None), (None, 1.5)]
+    scores = spark.createDataFrame([("o3-mini", 1), ("none", 2)], "model string, n int")
+    assert {r.model: r.price_in for r in evaluate.accuracy_and_cost(scores, evaluate.price_list(spark)).collect()} == {"o3-mini": 0.55, "none": None}
+
+
+def test_files_and_archives(spark, tmp_path):
+    for k, name in enumerate(["a/x.jsonl", "a/b/y.jsonl", "a/z.txt"]):
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(bytes([k, 255]) * 1000)
+    blocks = readers.read_blocks(spark, f"file://{tmp_path}/in", "a", "**/*")
+    assert writers.copy_files(blocks, f"file://{tmp_path}/out") == 3
+    assert (tmp_path / "out/a/b/y.jsonl").read_bytes() == (tmp_path / "in/a/b/y.jsonl").read_bytes()
+    assert writers.archive_files(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/all.tar.gz") == 2
+    with tarfile.open(tmp_path / "all.tar.gz") as found:
+        assert sorted(found.getnames()) == ["a/b/y.jsonl", "a/x.jsonl"] and found.extractfile("a/b/y.jsonl").read() == bytes([1, 255]) * 1000
+    path = f"file://{tmp_path}/list.json"
+    assert writers.append_to_json_array(spark, path, [{"a": "é"}]) == 1 and writers.append_to_json_array(spark, path, [{"b": 1}, {"c": None}]) == 3
+    assert json.loads((tmp_path / "list.json").read_text()) == [{"a": "é"}, {"b": 1}, {"c": None}] and "é" in (tmp_path / "list.json").read_text()
+    writers.write_pretty(spark.createDataFrame([(1, "é")], "a int, b string"), f"file://{tmp_path}/pretty")
+    said = "".join(p.read_text() for p in (tmp_path / "pretty").glob("*.txt"))
+    assert json.loads(said) == {"a": 1, "b": "é"} and said.count("\n") > 2
+
+
+@pytest.mark.parametrize("kind", ["json", "csv"])
+def test_named_batches(spark, tmp_path, kind):
+    frame = spark.range(25).select("id", F.concat(F.lit("v"), F.lpad(F.col("id").cast("string"), 3, "0")).alias("inc")).repartition(3)
+    folder = f"file://{tmp_path}/out"
+    names = writers.write_named_batches(frame, folder, "7", "inc", kind, 10)
+    assert [n[: n.rindex("_")] for n in names] == ["ETL_7_IV_", "ETL_7_IV_v009", "ETL_7_IV_v019"] and all(n.endswith(f".{kind}") for n in names)
+    reader = spark.read.option("header", "true")
+    assert getattr(reader, kind)(folder).count() == 25
+    assert getattr(reader, kind)(f"{folder}/{names[2]}").count() == 5
+    again = writers.write_named_batches(frame.limit(5), folder, "7", "inc", kind, 10, replace=True)
+    assert len(again) == 1 and {p.name for p in (tmp_path / "out").glob("ETL*")} == {again[0], *names[1:]}
+
+
+def test_storage_extractors(spark, tmp_path):
+    root = tmp_path / "store"
+    for day, n in (("2024-02-03", 3), ("2024-02-04", 5)):
+        for name in ("deep/er/a.data", "b.data", "c.other"):
+            file = root / "raw" / day / name
+            file.parent.mkdir(parents=True, exist_ok=True)
+            file.write_bytes(bz2.compress("".join(json.dumps({"id": k, "of": name}) + "\n" for k in range(n)).encode()))
+    registry = Registry(spark)
+    common = {"prefix": "raw/{{ execution_time.strftime('%Y-%m-%d') }}", "root": f"file://{root}", "fileType": "json", "compressType": "bzip2", "removePrefixPath": "raw/{{ execution_time.strftime('%Y-%m-%d') }}"}
+    registry.add_ext("deep", "awsStorage", {**common, "pathGlobFilter": "**/*.data", "recursive": True})
+    registry.add_ext("flat", "awsStorage", {**common, "pathGlobFilter": "*.data", "recursive": False})
+    got = lambda name, day: sorted((r.of, r.id) for r in runner.extract(spark, registry, name, f"{day}T00:00:00Z").collect())
+    assert got("deep", "2024-02-03") == [(x, k) for x in ("b.data", "deep/er/a.data") for k in range(3)]
+    assert got("flat", "2024-02-04") == [("b.data", k) for k in range(5)]
+    registry.add_loader("copies", "local", {"folder": f"file://{tmp_path}/copies"})
+    registry.add_pipeline(Pipeline("copy", "deep", "copies", mode="copyFile"))
+    assert runner.run_pipeline(spark, registry, "copy", "2024-02-03T00:00:00Z") == 2
+    assert sorted(str(p.relative_to(tmp_path / "copies")) for p in (tmp_path / "copies").rglob("*.data")) == ["b.data", "deep/er/a.data"]
+    spark.range(4).write.parquet(f"file://{root}/tables/x/y.parquet")
+    spark.range(9).write.parquet(f"file://{root}/tables/x/z")
+    assert readers.read_table_files(spark, f"file://{root}", "parquet", "tables", "x/y.parquet/*.parquet").count() == 4
+
+
+def test_database_extractors(spark, monkeypatch):
+    registry = Registry(spark)
+    registry.add_conn("db", "sqlServer", {"dsn": "jdbc:sqlserver://host"})
+    registry.add_ext("rows", "sqlServer", {"schema": "dbo", "table": "t", "batchSize": 500, "orderSql": "id", "filterSql": "a = 1 or b = 2", "incrementalField": "ts", "selectedFields": ["id", "ts"], "partition": ["id", 0, 100, 4]}, ["db"])
+    registry.add_loader("out", "local", {"folder": "f"})
+    seen = []
+    monkeypatch.setattr(readers, "jdbc_table", lambda s, *a: seen.append(readers.jdbc_source(*a)) or spark.range(1))
+    registry.add_pipeline(Pipeline("p", "rows", "out", incremental_mode=">="))
+    for mark, mode in ((None, ">"), ("2024'x", ">"), (7, registry.get("pipelines", "p").incremental_mode)):
+        runner.extract(spark, registry, "rows", mark=mark, mode=mode)
+    where = ["(a = 1 or b = 2)", "ts > '2024''x' AND (a = 1 or b = 2)", "ts >= 7 AND (a = 1 or b = 2)"]
+    assert [x["dbtable"] for x in seen] == [f"(SELECT id, ts FROM dbo.t WHERE {w}) q" for w in where]
+    assert all((x["url"], x["fetchsize"], x["partitionColumn"], x["numPartitions"]) == ("jdbc:sqlserver://host", "500", "id", "4") for x in seen)
+    assert readers.jdbc_source("u", readers.jdbc_query({"table": "t"})) == {"url": "u", "query": "SELECT * FROM t"}
+    assert writers.jdbc_sink("u", "t", 5, user="x") == {"url": "u", "dbtable": "t", "batchsize": "5", "user": "x"}
+    with pytest.raises(ConfigError) as error:
+        registry.add_pipeline(Pipeline("q", "rows", "out", incremental_mode="<"))
+    assert "incrementalMode" in error.value.errors
+    assert [c.name for c in registry.all("extractors", kind="sqlServer")] == ["rows"] and registry.exists("pipelines", "p") and not registry.exists("pipelines", "q")
+
+
+def test_document_extractor(spark):
+    spark.createDataFrame([(k, f"s{k % 3}", k * 10) for k in range(12)], "id long, s string, at long").createOrReplaceTempView("docs_of_test")
+    registry = Registry(spark)
+    registry.add_ext("m", "mongo", {"collection": "docs_of_test", "match": {"s": {"$in": ["s0", "s1"]}, "$or": [{"id": {"$gte": 9}}, {"id": 1}]}, "sort": [["id", -1]], "project": {"id": 1, "s": 0}, "incrementalField": "at"})
+    assert [tuple(r) for r in runner.extract(spark, registry, "m").collect()] == [(10, 100), (9, 90), (1, 10)]
+    assert [r.id for r in runner.extract(spark, registry, "m", mark=90).collect()] == [10] and [r.id for r in runner.extract(spark, registry, "m", mark=90, mode=">=").collect()] == [10, 9]
+    with pytest.raises(ValueError):
+        readers.match_tree({"a": {"$near": 1}})
+
+
+def test_resumable_inference(spark, tmp_path):
+    prompts = spark.createDataFrame([(f"q{k:03d}", f"prompt {k}") for k in range(60)], "id string, content string")
+    folder = f"file://{tmp_path}/answers"
+    asked = lambda bad: lambda batch: (_ for _ in ()).throw(RuntimeError("limit")) if any(int(p.split()[1]) >= bad for p in batch) else [p.upper() for p in batch]
+    assert not inference.infer_resumable(spark, prompts, asked(25), folder, size=5, retries=1, flush=4, stop_after=3)
+    assert spark.read.json(folder).count() == 25
+    assert inference.infer_resumable(spark, prompts, asked(10**6), folder, size=5, retries=1, flush=4)
+    rows = spark.read.json(folder).collect()
+    assert sorted(r.id for r in rows) == [f"q{k:03d}" for k in range(60)] and all(r.answer == f"PROMPT {int(r.id[1:])}" for r in rows)
+
+
+def test_answers_of_the_fake_responder(spark, sf_dir):
+    from loomline.plans.catalog import QUERIES
+
+    got = {r.id: (r.status, r.answer) for r in QUERIES["inf3_infer"](spark, sf_dir).collect()}
+    from loomline.functions import text
+    from loomline.plans import fixtures
+
+    prompts = {r.id: r.content for r in fixtures.items(spark, sf_dir).select("id", text.options_prompt("question", "options").alias("content")).collect()}
+    assert got == {k: (200, inference.fake_responder([c])[0]) for k, c in prompts.items()}
+
+
+def test_forced_choices_and_batch_jobs(spark, tmp_path):
+    prompts = spark.createDataFrame([(1, "one"), (2, "two")], "id long, content string")
+    think = lambda batch: [f"hm {p}. " for p in batch]
+    choose = lambda batch: [" A " if "one" in p else "B" for p in batch]
+    rows = inference.forced_choices(prompts, think, choose, 2, "So: ").orderBy("id").collect()
+    assert [tuple(r) for r in rows] == [(1, "A", "hm one. So: ", "A", "hm one. So: "), (2, "B", "hm two. So: ", "B", "hm two. So: ")]
+    waits = []
+    lines = inference.request_lines(prompts, "openai", "m", "You answer.")
+    got = inference.run_batch_job(lines, inference.LocalProvider(spark, inference.fake_responder, 2), f"file://{tmp_path}/requests", sleep=waits.append)
+    assert waits == [30.0, 30.0] and got.count() == 2 and all(r.a in "ABCD" for r in got.select(arrays.answer_of_envelope("value").alias("a")).collect())
+    failing = inference.LocalProvider(spark, inference.fake_responder)
+    failing.status = lambda job: "failed"
+    with pytest.raises(RuntimeError):
+        inference.run_batch_job(lines, failing, f"file://{tmp_path}/requests")
+    inference.write_epochs(inference.infer(prompts, inference.fake_responder, epochs=2), f"file://{tmp_path}/epochs")
+    assert sorted(p.name for p in (tmp_path / "epochs").iterdir() if p.is_dir()) == ["epoch=1", "epoch=2"]
+    with pytest.raises(ValueError, match="registered"):
+        inference.responder("groq")
+    inference.register("mine", choose)
+    assert inference.responder("mine") is choose
