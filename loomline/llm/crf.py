@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomline.llm.common import narrow
 
@@ -213,7 +214,7 @@ def _scored(spark: SparkSession, docs: DataFrame, model: LineModel) -> DataFrame
                 texts = doc.field("text").to_pylist()
                 yield pa.record_batch([doc, pa.array(sent.value.scores(texts))], ["doc", "score"])
 
-    return boxed.mapInArrow(run, f"doc {boxed.schema['doc'].dataType.simpleString()}, score double")
+    return boxed.mapInArrow(run, T.StructType([boxed.schema["doc"], T.StructField("score", T.DoubleType())]))
 
 
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomline.llm.common import reread
 
@@ -92,7 +93,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, width: int = WIDTH, few: i
             columns = zip(*out, strict=True)
             yield pa.record_batch([batch.column("doc"), *(pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True))], ["doc", "text", "n_lines", "n_removed"])
 
-    return joined.mapInArrow(run, f"doc {joined.schema['doc'].dataType.simpleString()}, text string, n_lines long, n_removed long")
+    return joined.mapInArrow(run, T.StructType([joined.schema["doc"], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())]))
 
 
 def report(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -79,3 +79,43 @@ def test_run(spark, steps):
 
     got = corpus_pipeline.run(spark, D)
     assert sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in got.collect())[0] and {r.doc_id for r in got.select("doc_id").distinct().collect()} == {p["doc_id"] for p in steps[0][5]}
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, row string, fp string, kept string, `a.b` int, score int"
+
+
+def odd_rows():
+    """Prose of two languages, and nulls, blank and long texts, copies, repeated rows and ids."""
+    rng = np.random.default_rng(3)
+    known = ["".join(rng.choice(list("aeinrst"), 5)) for _ in range(300)]
+    prose = lambda n: "\n".join(" ".join(rng.choice(known, 12)) + "." for _ in range(n))
+    rows = [(k, prose(8), ["en", "de", None][k % 3], "s", 1, "r", None, "x", k, None) for k in range(90)]
+    add = lambda d, t, *rest: rows.append((d, t, "en", "s", None, "r", "f", None, None, 1))
+    for d, t in [(100, None), (101, ""), (102, " \n\t"), (None, prose(8)), (None, rows[0][1]), (103, rows[0][1]), (103, rows[1][1]), (104, prose(3000)), (105, "one two"), (106, "x " * 200)]:
+        add(d, t)
+    return rows + [rows[5], rows[5], rows[-4]]
+
+
+def test_stages_with_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = odd_rows()
+    docs = spark.createDataFrame(rows, COLUMNS).repartition(4)
+    labels = [(k, int(k % 9 > 0)) for k in range(90)] + [(0, None), (None, 1), (1, 1), (1, 0), (7777, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    got = {}
+    for name in ("quality_rules", "quality_classifier", "line_dedup", "near_dedup"):
+        frame = stages[name](spark, docs, str(tmp_path))
+        assert frame.columns == docs.columns and frame.dtypes == docs.dtypes
+        got[name] = frame.collect()
+        assert stages[name](spark, docs.limit(0), str(tmp_path)).count() == 0
+    texts = lambda name: [(r.doc_id, r.text) for r in got[name]]
+    assert not {100, 101, 102, 105, 106} & {d for d, _ in texts("quality_rules")} and texts("quality_rules").count((5, rows[5][1])) in (0, 3)
+    assert sorted(map(str, [r.doc_id for r in got["line_dedup"]])) == sorted(str(r[0]) for r in rows)
+    assert (100, None) in texts("line_dedup") and (103, "") in texts("line_dedup")
+    near = texts("near_dedup")
+    assert near.count((5, rows[5][1])) == 1 and (103, rows[0][1]) not in near and (103, rows[1][1]) not in near and sum(d is None for d, _ in near) == 2
+    assert sum(not (t or "").strip() for _, t in near) == 1 and (100, None) in near
+    packed = stages["packing"](spark, docs, str(tmp_path)).collect()
+    assert sum(p.doc_tokens == 1 for p in packed) >= 3 and stages["packing"](spark, docs.limit(0), str(tmp_path)).count() == 0
