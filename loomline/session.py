@@ -29,17 +29,36 @@ def build_session(app: str = "loomline", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+_MADE: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset a session on one machine uses
+    a local folder, and one on a cluster, whose machines would each write to their own, is told to set it."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
     return f"file://{LOCAL_SHARED}"
 
 
 def work_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder; tables written there survive lost executors."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def clear_work(spark: SparkSession) -> int:
+    """Delete what this process has written to the shared folder, when no result that reads it is needed any more; how many
+    paths there were."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    gone = 0
+    while _MADE:
+        made = path(_MADE.pop())
+        gone += made.getFileSystem(spark._jsc.hadoopConfiguration()).delete(made, True)
+    return gone
 
 
 def reread(spark: SparkSession, frame, label: str):

@@ -15,6 +15,9 @@ def spark():
     session = build_session("tests", "local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from loomline.session import clear_work
+
+    clear_work(session)
     session.stop()
 
 
