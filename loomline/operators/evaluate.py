@@ -120,6 +120,17 @@ def pivot_levels(scores: DataFrame, keys: list[str], levels: list[str]) -> DataF
     return scores.groupBy(*keys).pivot("difficulty_level", [*levels, ALL]).agg(F.first("accuracy"))
 
 
+def in_list_order(frame: DataFrame, column: str, wanted: list) -> DataFrame:
+    """The rows whose value is in the list, in its order, with their ``place`` from 0."""
+    place = F.array_position(F.array(*map(F.lit, wanted)), F.col(column)).cast("int") - 1
+    return frame.filter(F.col(column).isin(wanted)).withColumn("place", place).orderBy("place")
+
+
+def model_of_run(name) -> Column:
+    """The model in a run's name: what stands before the first ``__``."""
+    return F.split_part(name, F.lit("__"), F.lit(1))
+
+
 def run_numbers(files: DataFrame) -> DataFrame:
     """Run numbers of a model's and shuffle's files in the order of their names."""
     return files.withColumn("run", F.dense_rank().over(W.partitionBy("model", "shuffle").orderBy("file")))

@@ -175,6 +175,13 @@ def jn3_positional_join(spark, d):
     return left.join(right, "pos").select("pos", "c_custkey", "o_orderkey")
 
 
+@query("with a as (select c_custkey, c_mktsegment, row_number() over (order by c_custkey) - 1 pos from customer), b as (select n_name, row_number() over (order by n_nationkey) - 1 pos from nation) select c_custkey, c_mktsegment, n_name from a left join b using (pos)")
+def jn2_base_with_run(spark, d):
+    base = predicates.numbered(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), [F.col("c_custkey")], "pos")
+    run = predicates.numbered(table(spark, d, "nation").select("n_name", "n_nationkey"), [F.col("n_nationkey")], "pos")
+    return base.join(run, "pos", "left").select("c_custkey", "c_mktsegment", "n_name")
+
+
 @query("select id, max_by(answer, run) answer from grid where answer is not null group by id", grid=True)
 def jn4_last_wins_lookup(spark, d):
     known = fixtures.answers(spark, d).filter("answer is not null").groupBy("id").agg(F.max_by("answer", "run").alias("answer"))
@@ -323,9 +330,23 @@ def set1_union(spark, d):
     return runner.concat([table(spark, d, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")), table(spark, d, "region").select(F.col("r_name").alias("name"))])
 
 
-@query("select o_custkey as custkey from orders intersect select c_custkey from customer where c_acctbal > 0")
+@query("select o_custkey as custkey from orders intersect select c_custkey from customer where c_acctbal > 0 intersect select o_custkey from orders where o_orderstatus = 'F'")
 def set3_intersect(spark, d):
-    return table(spark, d, "orders").select(F.col("o_custkey").alias("custkey")).intersect(table(spark, d, "customer").filter("c_acctbal > 0").select("c_custkey"))
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("custkey"), "o_orderstatus")
+    rich = table(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("custkey"))
+    return runner.intersection([orders.select("custkey"), rich, orders.filter("o_orderstatus = 'F'").select("custkey")])
+
+
+@query("select lvl as level, count(*) cnt, case lvl when 'Hard' then 0 else 1 end place from items where lvl in ('Hard', 'Easy') group by lvl", grid=True)
+def srt5_list_order(spark, d):
+    counted = fixtures.items(spark, d).groupBy("level").agg(F.count("*").alias("cnt"))
+    return evaluate.in_list_order(counted, "level", ["Hard", "Easy"])
+
+
+@query("select distinct model || '__sf0__run' || (run - 1) as file, model from grid", grid=True)
+def str14_model_of_run(spark, d):
+    named = fixtures.answers(spark, d).select(F.concat("model", F.lit("__sf0__run"), (F.col("run") - 1).cast("string")).alias("file")).distinct()
+    return named.select("file", evaluate.model_of_run(F.col("file")).alias("model"))
 
 
 @query("select distinct l_returnflag, l_linestatus from lineitem")

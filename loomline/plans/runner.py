@@ -34,6 +34,16 @@ def concat(frames: list[DataFrame]) -> DataFrame:
     return first
 
 
+def intersection(frames: list[DataFrame]) -> DataFrame:
+    """Rows that every frame has, each once: one shuffle of what is left of each frame's own different rows."""
+    first, *rest = frames
+    names = [F.col(f"`{c}`") for c in first.columns]
+    tagged = first.distinct().withColumn("__of", F.lit(0))
+    for k, frame in enumerate(rest, 1):
+        tagged = tagged.unionByName(frame.distinct().withColumn("__of", F.lit(k)))
+    return tagged.groupBy(*names).agg(F.count("*").alias("__n")).filter(F.col("__n") == len(frames)).drop("__n")
+
+
 def run_transformer(spark: SparkSession, transformer: Transformer, execution_time=None) -> DataFrame | None:
     """Read the views, run the SQL, overwrite the destination; None, and nothing written, where a folder is missing."""
     folder = render(transformer.src_folder, execution_time)
