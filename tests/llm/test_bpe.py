@@ -61,6 +61,8 @@ def test_query(spark, sf_dir, library):
 def test_whole_table(spark, sf_dir, library):
     from loomline.llm import catalog
 
-    got = {r.doc_id: r.ids_sha256 for r in catalog.QUERIES["op7_forced_boundary_bpe"](spark, sf_dir).collect()}
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in catalog.QUERIES["op7_forced_boundary_bpe"](spark, sf_dir).collect()}
     for d, t in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect():
-        assert got[d] == hashlib.sha256(np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()).hexdigest()
+        want = library.encode(t, add_special_tokens=False).ids
+        decoded = library.decode(want, skip_special_tokens=False)
+        assert got[d] == (len(want), hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())

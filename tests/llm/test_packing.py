@@ -79,9 +79,17 @@ def test_query(spark, sf_dir):
     words = packing.word_encoder(PATH)
     got = catalog.QUERIES["op8_minimum_bin_slack"](spark, sf_dir).collect()
     end = np.array([1], "<u4").tobytes()
-    docs = {d: words.encode(t) + end for d, t in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    ids_of = lambda t: np.array(words.library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() + end
+    docs = {d: ids_of(t) for d, t in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
     assert check(docs, [tuple(r) for r in got], 2048) == 0
     odd = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, "x " * 9000, 5)], "doc_id long, text string, length int")
     pieces = [tuple(r) for r in packing.pack_documents(odd.repartition(1)).collect()]
     assert check({1: end, 2: end, 3: words.encode("x " * 9000) + end}, pieces, 2048) == 0
     assert packing.pack_documents(odd.limit(0)).count() == 0
+    # null ids and repeated rows: every row's ids are there, each in one piece
+    rows = [(None, "one two"), (None, "three"), (7, "four five six"), (7, "four five six"), (7, "seven")]
+    pieces = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    of = lambda d: sum(p.length for p in pieces if p.doc_id == d)
+    sizes = {t: len(ids_of(t)) // 4 for _, t in rows}
+    assert of(None) == sizes["one two"] + sizes["three"] and of(7) == 2 * sizes["four five six"] + sizes["seven"]
+    assert sorted(p.doc_tokens for p in pieces if p.start == 0) == sorted(sizes[t] for _, t in rows)
