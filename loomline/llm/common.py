@@ -10,11 +10,23 @@ from pyspark.sql import functions as F
 
 from loomline.session import reread, shared_dir, table, work_path
 
-__all__ = ["arrow_map", "forget", "narrow", "reread", "row_key", "shared_dir", "spans", "table", "tokenizer_path", "work_path", "worker_state"]
+__all__ = ["arrow_map", "forget", "narrow", "reread", "row_key", "shared_dir", "small_batches", "spans", "table", "tokenizer_path", "work_path", "worker_state"]
 
 _STATE: dict = {}
 
 
+#: Rows that go to a Python worker at once where they hold texts.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: ten thousand of them, which is a batch by default, would be held several times over by the executor
+    and its worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000")) > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def worker_state(key, make: Callable):
     """What ``make()`` gives, kept in this worker from task to task. A worker keeps one such thing: the next drops it."""
     if key not in _STATE:
@@ -49,6 +61,7 @@ def row_key(*names: str) -> Column:
 
 def arrow_map(docs: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
     """mapInArrow with state made once a task: ``make()`` returns the function applied to each batch."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = make()

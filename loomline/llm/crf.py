@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.llm.common import narrow
+from loomline.llm.common import narrow, small_batches
 
 #: Labelled documents that training uses at most.
 SAMPLE = 4000
@@ -205,6 +205,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
 def _scored(spark: SparkSession, docs: DataFrame, model: LineModel) -> DataFrame:
     """``doc`` (all columns of ``docs``) and ``score``."""
     boxed = docs.select(F.struct(*[docs[f"`{name}`"] for name in docs.columns]).alias("doc"))
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.llm.common import reread
+from loomline.llm.common import reread, small_batches
 
 WIDTH = 3
 #: Positions of windows that are broadcast at most.
@@ -74,6 +74,7 @@ def _later(spark: SparkSession, keyed: DataFrame, width: int) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, width: int = WIDTH, few: int = FEW) -> DataFrame:
     """``doc``: every row of ``docs`` as it was; ``text``: its text without repeated passages; n_lines and n_removed."""
+    small_batches(spark)
     text = docs["text"].cast("string")
     keyed = docs.select(F.struct(*[docs[f"`{name}`"] for name in docs.columns]).alias("doc"), docs["doc_id"].cast("long").alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
     later = reread(spark, _later(spark, keyed, width).select(F.col("id").alias("l_id"), F.col("row").alias("l_row"), "starts"), "later")

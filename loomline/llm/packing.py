@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from loomline.llm.common import narrow, tokenizer_path, worker_state
+from loomline.llm.common import narrow, small_batches, tokenizer_path, worker_state
 
 CAPACITY = 2048
 END_ID = 1
@@ -210,6 +210,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
     Null and empty texts are a document of the end id alone; repeated rows and null ids are packed like any other; a very
     long text fills sequences of its own and only its remainder is packed with others.
     """
+    small_batches(docs.sparkSession)
     path = path or tokenizer_path("word_bpe_49k.json")
     names = [x.split(" ")[0] for x in PIECE_SCHEMA.split(", ")]
     end = np.array([end_id], dtype="<u4").tobytes()

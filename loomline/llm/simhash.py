@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.common import arrow_map, narrow, reread, row_key
+from loomline.llm.common import arrow_map, forget, narrow, reread, row_key, small_batches
 from loomline.llm.words import SLICE, mix, packed, unpacked, word_codes
 
 SEED = 42
@@ -444,6 +444,7 @@ def wide_prints(docs: DataFrame) -> DataFrame:
         return prints, sets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             at = 0
             while at < batch.num_rows:
@@ -527,6 +528,7 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     all columns are copies; rows with a null id all stay; null and blank texts are copies of one another; texts of fewer than
     five words are one shingle; equal fingerprints are copies.
     """
+    small_batches(spark)
     key = row_key(*docs.columns)
     keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), key.alias("key"), docs["text"].cast("string").alias("text"))
     prints = reread(spark, wide_prints(keyed), "prints")

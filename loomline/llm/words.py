@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.common import forget, reread
+from loomline.llm.common import forget, reread, small_batches
 
 VIEWS = 3
 #: Words that have a number at most, and how many of the most frequent count as very frequent.
@@ -50,7 +50,7 @@ BLOCK_WORDS, BLOCK_TEXTS = 1_000_000, 1 << 16
 #: Words that a task holds before it merges them.
 HELD = 1_000_000
 #: Bytes of texts that are cut into words at once.
-SLICE = 1 << 20
+SLICE = 1 << 18
 #: Numbers of words have so many bits; classes inside a shard, and texts inside a block, have ``SMALL``.
 ID_BITS, SMALL = 24, 16
 ID_MASK, SMALL_MASK = np.uint64((1 << ID_BITS) - 1), np.uint64((1 << SMALL) - 1)
@@ -549,6 +549,7 @@ def text_costs(spark: SparkSession, docs: DataFrame, facts_of, most: int = VOCAB
     ``docs`` has ``lang``, ``text`` and other columns; ``facts_of(texts, codes, counts, rows)`` gives, for texts with the
     codes of their words and the rows of their other columns, facts and whether each text counts.
     """
+    small_batches(spark)
     words = vocabulary(spark, docs, most)
     shards = max(TOGETHER * spark.sparkContext.defaultParallelism, -(-words.pairs // pairs))
     common_shards = -(-shards // 2)
