@@ -30,6 +30,26 @@ def test_hadamard_is_the_matrix():
     assert ann.hadamard(x) == pytest.approx(x @ h / 4)
 
 
+def test_rotation_is_the_rounds():
+    index = ann.CrossPolytope(13, 2, 1)
+    x = np.random.default_rng(2).normal(size=(40, 13))
+    assert index.turned(x, 1, 0) == pytest.approx(np.concatenate([index.turned(x[k : k + 9], 1, 0) for k in range(0, 40, 9)]))
+    assert np.linalg.norm(index.turned(x, 0, 0), axis=1) == pytest.approx(np.linalg.norm(x, axis=1))
+
+
+def test_best_probes():
+    """The probes are the best of all combinations of axes."""
+    index = ann.CrossPolytope(8, 1, 2)
+    x = np.random.default_rng(4).normal(size=(30, 8))
+    lost = []
+    for k in range(2):
+        y = np.stack([index.turned(x, 0, k), -index.turned(x, 0, k)], axis=2).reshape(30, -1)
+        lost.append(y.max(axis=1, keepdims=True) - y)
+    total = (lost[0][:, :, None] ** 2 + lost[1][:, None, :] ** 2).reshape(30, -1)
+    got = np.take_along_axis(total, index.probes(x, 0, 12), 1)
+    assert got == pytest.approx(np.sort(total, axis=1)[:, :12])
+
+
 @pytest.mark.parametrize("hashes", [1, 2])
 def test_first_probe_is_the_own_bucket(hashes):
     index = ann.CrossPolytope(13, 3, hashes)
