@@ -39,7 +39,6 @@ EVERY = 100
 BLOCK = 2048
 #: Rows that a task hashes at once, and queries that are broadcast at most.
 BATCH, FEW = 8192, 20_000
-PAIR = "query_id long, vid long, score double"
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -242,18 +241,14 @@ def search(spark: SparkSession, vectors: DataFrame, nearest: int = NEAREST, ever
             for at in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(at, BATCH)
                 far = np.sqrt(((_matrix(batch.column("embedding"), dim) - _matrix(batch.column("query"), dim)) ** 2).sum(axis=1))
-                yield pa.record_batch([batch.column("query_id"), batch.column("vid"), pa.array(far)], ["query_id", "vid", "score"])
-
-    sides = met.join(stored.select("vid", "embedding"), "vid").join(_small(asked.withColumnRenamed("embedding", "query"), n_asked), "query_id")
-    scored = sides.select("query_id", "vid", "embedding", "query").mapInArrow(run, PAIR)
-
-    def named(pairs: DataFrame) -> DataFrame:
-        """Pairs by id, a query's own left out; an id that stands for several vectors counts by its nearest."""
-        each = pairs.join(stored.select("vid", "ids"), "vid").select("query_id", F.explode("ids").alias("vec_id"), "score").filter("vec_id <> query_id")
-        return each.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+                yield pa.record_batch([batch.column("query_id"), batch.column("ids"), pa.array(far)], ["query_id", "ids", "score"])
 
+    sides = met.join(stored, "vid").join(_small(asked.withColumnRenamed("embedding", "query"), n_asked), "query_id")
+    scored = sides.select("query_id", "ids", "embedding", "query").mapInArrow(run, "query_id long, ids array<long>, score double")
+    # a query's own id is left out; an id that stands for several vectors counts by its nearest
+    named = scored.select("query_id", F.explode("ids").alias("vec_id"), "score").filter("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
-    best = reread(spark, named(scored).withColumn("rank", rank).filter(F.col("rank") <= nearest), "nearest")
+    best = reread(spark, named.withColumn("rank", rank).filter(F.col("rank") <= nearest), "nearest")
     full = best.groupBy("query_id").count().filter(F.col("count") >= min(nearest, all_ids - 1)).select("query_id")
     short = reread(spark, asked.join(full, "query_id", "left_anti"), "short")
     if short.limit(1).count():
