@@ -1,0 +1,110 @@
+import hashlib
+import re
+
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from loomline.llm import sketches
+
+SCALE, FEWEST, TOP = sketches.SCALE, sketches.FEWEST, (1 << 63)
+
+
+def shingles(text, words=5):
+    said = re.findall(r"[^\x20\x09-\x0D]+", text)
+    h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in said]
+
+    def chain(part):
+        seed = 42
+        for x in part:
+            seed = xxhash.xxh64_intdigest(x.to_bytes(8, "little"), seed)
+        return seed
+
+    def folded(part):
+        acc = 42
+        for x in part:
+            acc = chain([acc, x])
+        return acc
+
+    if not h:
+        return set()
+    return {folded(h) >> 1} if len(h) < words else {chain(h[i : i + words]) >> 1 for i in range(len(h) - words + 1)}
+
+
+def sketch(found):
+    below = sorted(x for x in found if x < TOP // SCALE)
+    return below if len(below) >= FEWEST else sorted(found)[:FEWEST]
+
+
+def share(a, b):
+    if not a and not b:
+        return 1.0
+    whole = lambda s: TOP - 1 if len(s) < FEWEST else max(s[-1], TOP // SCALE)
+    most = min(whole(a), whole(b))
+    own = [x for x in a if x <= most]
+    return len(set(a) & set(b)) / len(own) if own else 0.0
+
+
+def brute(rows):
+    rows = sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0)))
+    out = []
+    for k, (doc_id, text) in enumerate(rows):
+        following = rows[(k + 1) % len(rows)][1]
+        n = len(text) // 3
+        edited = text[: len(text) - n] + following[:n]
+        a, b, c = (sketch(shingles(x)) for x in (text, edited, following))
+        hexed = lambda s: "".join(f"{x:016x}" for x in s)
+        out.append((doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), hexed(a), hexed(b), max(share(a, b), share(b, a)), max(share(a, c), share(c, a))))
+    return out
+
+
+def plain(frame):
+    return sorted((tuple(round(x, 12) if isinstance(x, float) else x for x in r) for r in frame), key=repr)
+
+
+def test_against_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = brute([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+    got = [tuple(r) for r in sketches.fingerprints(spark, docs).collect()]
+    assert plain(got) == plain(want)
+    assert len({r[3] for r in got}) > 150
+
+
+def test_odd_rows(spark):
+    long = " ".join(f"w{k % 977}" for k in range(200_000))
+    rows = [(9, "a b"), (8, None), (7, ""), (6, "  \t\n"), (5, "one two three four five six"), (4, "one two three four five six"), (None, "déjà vu 𝒳 y z"), (3, long), (3, long), (3, long), (2, "x")]
+    docs = spark.createDataFrame([(*r, "t", 1) for r in rows], "doc_id long, text string, key string, `at` int")
+    got = [tuple(r) for r in sketches.fingerprints(spark, docs).collect()]
+    assert plain(got) == plain(brute(rows))
+
+
+def test_empty_table_and_single_row(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert sketches.fingerprints(spark, docs).collect() == []
+    (row,) = sketches.fingerprints(spark, spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")).collect()
+    assert row.n_chars == 11 and row.near_next == 1.0
+
+
+def test_merging_is_the_sketch_of_the_union(spark):
+    texts = [" ".join(f"{p}{k}" for k in range(n)) for p, n in (("a", 400), ("b", 30), ("c", 3), ("a", 90), ("", 0))]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    made = sketches.with_sketch(frame, "text", "s").collect()
+    sets = {r.k: shingles(r.text) for r in made}
+    both = spark.createDataFrame([(x.k, y.k, x.s, y.s) for x in made for y in made], "a int, b int, x array<long>, y array<long>")
+    for r in both.select("a", "b", sketches.merged(F.col("x"), F.col("y")).alias("m")).collect():
+        assert r.m == sketch(sets[r.a] | sets[r.b])
+
+
+@pytest.mark.parametrize("part", [0.1, 0.5, 1.0])
+def test_containment_of_unequal_texts(spark, part):
+    whole = [f"w{k}" for k in range(20_000)]
+    few = whole[5000 : 5000 + int(2000 * part)] + [f"x{k}" for k in range(int(2000 * (1 - part)))]
+    frame = spark.createDataFrame([(" ".join(whole), " ".join(few))], "a string, b string")
+    made = sketches.with_sketch(sketches.with_sketch(frame, "a", "sa"), "b", "sb")
+    assert abs(made.select(sketches.containment(F.col("sb"), F.col("sa"))).first()[0] - part) < 0.1
+
+
+def test_no_python_in_the_plan(spark, sf_dir):
+    frame = sketches.fingerprints(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
