@@ -1,0 +1,142 @@
+import hashlib
+import itertools
+import random
+import zlib
+
+import duckdb
+import pytest
+
+from loomline.llm import merkle
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def leaf(row, more=0):
+    doc_id, source, lang, n_chars, text = row
+    said = [doc_id, source, lang, None if n_chars is None else n_chars + more, text]
+    return sha("".join("-" if x is None else f"{len(str(x).encode())}:{x}" for x in said))
+
+
+def paths(nodes, arity=2):
+    """The root over nodes, and of each the (before, after) siblings level by level."""
+    beside, at = [[] for _ in nodes], list(range(len(nodes)))
+    while len(nodes) > 1:
+        runs = [nodes[k : k + arity] for k in range(0, len(nodes), arity)]
+        for own in range(len(beside)):
+            k = at[own]
+            run = runs[k // arity]
+            beside[own].append(("".join(run[: k % arity]), "".join(run[k % arity + 1 :])))
+            at[own] = k // arity
+        nodes = [sha("".join(r)) for r in runs]
+    return (nodes[0] if nodes else None), beside
+
+
+def brute(rows, arity=2):
+    trees = {}
+    for r in rows:
+        trees.setdefault(r[2], []).append(r)
+    names = sorted(trees, key=lambda x: (x is not None, (x or "").encode()))
+    for n in names:
+        trees[n].sort(key=lambda r: (r[0] is not None, r[0] or 0, leaf(r)))
+    made = {n: paths([leaf(r) for r in trees[n]], arity) for n in names}
+    root, above = paths([made[n][0] for n in names], arity)
+    out = []
+    for t, n in enumerate(names):
+        subroot, beside = made[n]
+        for r, way in zip(trees[n], beside):
+            way = way + above[t]
+            bad = r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 0
+            folded = leaf(r, 1) if bad else leaf(r)
+            for before, after in way:
+                folded = sha(before + folded + after)
+            out.append((r[0], leaf(r), subroot, root, sha("".join(b + a for b, a in way)), folded, folded == root))
+    return sorted(out, key=repr)
+
+
+SCHEMA = "doc_id long, source string, lang string, n_chars long, text string"
+
+
+def got(spark, rows, arity=2):
+    docs = spark.createDataFrame([(*r, 1, "x", "y") for r in rows], SCHEMA + ", `index` int, name string, siblings string")
+    return sorted((tuple(r) for r in merkle.proofs(spark, docs, arity).collect()), key=repr)
+
+
+@pytest.mark.parametrize("arity", [2, 3])
+def test_odd_rows(spark, arity):
+    rows = [(k, "s", lang, k, f"t{k}") for lang, n in (("en", 7), ("de", 1), (None, 3), ("é", 2), ("", 4), ("z", 5)) for k in range(n)]
+    rows += [(None, None, None, None, None), (None, "s", "en", 3, ""), (2, "s", "en", 2, "t2"), (2, "s", "en", 2, "t2"), (7, "s", "en", None, "x" * 300_000), (-5, "", "en", 0, "żółć")]
+    assert got(spark, rows, arity) == brute(rows, arity)
+
+
+def test_one_row_and_none(spark):
+    one = [(1, "s", "en", 2, "ab")]
+    assert got(spark, one) == brute(one)
+    assert got(spark, []) == []
+
+
+def test_rounds_of_small_forests(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "STRETCH", 50)
+    monkeypatch.setattr(merkle, "NODES", 40)
+    monkeypatch.setattr(merkle, "TREES", 2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        rows = [(k, "s", "abcde"[k % 5] if k % 3 else "a", k, "t") for k in range(1500)]
+        assert got(spark, rows) == brute(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_any_dealing_gives_the_same_root():
+    n, rng = 45, random.Random(4)
+    values = [hashlib.sha256(bytes([k])).digest() for k in range(n)]
+    want = paths([v.hex() for v in values], 3)[0]
+    for _ in range(20):
+        order = list(range(n))
+        rng.shuffle(order)
+        parts = [order[k::4] for k in range(4)]
+        forests = []
+        for part in parts:
+            f = merkle.Forest(1, 3)
+            for k in part:
+                f.add((0, 0, k), n, values[k])
+            forests.append(f)
+        rng.shuffle(forests)
+        whole = merkle.Forest(1, 3)
+        for f in forests:
+            for key, (value, size) in f.open.items():
+                whole.add(key, size, value)
+        assert whole.tops[merkle.ABOVE].hex() == want and not whole.open
+
+
+def test_forest_of_a_stretch_is_small():
+    f = merkle.Forest(1)
+    for k in range(1000, 9000):
+        f.add((0, 0, k), 1 << 20, b"x" * 32)
+    assert len(f.open) <= 2 * 13
+
+
+@pytest.mark.parametrize("sf", ["sf0.001"])
+def test_sql(spark, sf):
+    folder = f"/root/testdata/{sf}"
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from '{folder}/documents.parquet'")
+    found = duck.execute(merkle.ORACLE)
+    names = [x[0] for x in found.description]
+    frame = merkle.proofs(spark, spark.read.parquet(f"{folder}/documents.parquet"))
+    assert frame.columns == names
+    rows = sorted((tuple(r) for r in frame.collect()), key=repr)
+    assert rows == sorted(found.fetchall(), key=repr)
+    assert {r[-1] for r in rows} == {True, False} and len({r[3] for r in rows}) == 1
+    docs = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "source", "lang", "n_chars", "text").collect()]
+    assert rows == brute(docs)
+    assert all(r[-1] == (zlib.crc32(str(r[0]).encode()) % 7 != 0) for r in rows)
+
+
+def test_every_changed_byte_shows(spark):
+    rows = [(k, "s", "en", 1, "t") for k in range(9)]
+    clean = {r[0]: r[3] for r in got(spark, rows)}
+    for k, column in itertools.product(range(0, 9, 4), (1, 3, 4)):
+        changed = [tuple((5 if c == 3 else "u") if (r[0], c) == (k, column) else v for c, v in enumerate(r)) for r in rows]
+        assert brute(changed)[0][3] != clean[0]
