@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import ann, bpe, crf, lines, merkle, packing, quotes, rules, shards, simhash, sketches, warc
+from loomline.llm import ann, bpe, collocations, crf, lines, merkle, packing, quotes, rules, shards, simhash, sketches, warc
 from loomline.llm.common import table
 
 
@@ -52,9 +52,13 @@ def op11_scaled_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.fingerprints(spark, table(spark, sf_dir, "documents"))
 
 
+def op12_pair_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(spark, table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proofs(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_content_addressed_warc, op2_three_line_windows, op3_quotation_links, op4_size_tiered_shards, op5_cross_polytope, op6_kneser_ney_rules, op7_forced_boundary_bpe, op8_minimum_bin_slack, op9_simhash_bk_trees, op10_line_crf, op11_scaled_sketches, op13_merkle_manifest)}
-ORACLES: dict[str, str] = {"op1_content_addressed_warc": warc.ORACLE, "op2_three_line_windows": lines.ORACLE, "op13_merkle_manifest": merkle.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_content_addressed_warc, op2_three_line_windows, op3_quotation_links, op4_size_tiered_shards, op5_cross_polytope, op6_kneser_ney_rules, op7_forced_boundary_bpe, op8_minimum_bin_slack, op9_simhash_bk_trees, op10_line_crf, op11_scaled_sketches, op12_pair_naming, op13_merkle_manifest)}
+ORACLES: dict[str, str] = {"op1_content_addressed_warc": warc.ORACLE, "op2_three_line_windows": lines.ORACLE, "op12_pair_naming": collocations.ORACLE, "op13_merkle_manifest": merkle.ORACLE}
