@@ -14,6 +14,7 @@ from loomline.plans.fixtures import LEVELS, SQL
 from loomline.plans.registry import Registry, Transformer
 from loomline.session import spread, table, work_path
 from loomline.sources import readers, writers
+from loomline.sources.marks import Marks
 from loomline.streaming import increments
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -279,6 +280,16 @@ def prd8_incremental(spark, d):
     return readers.scan_table(events, ["event_id", "value"], "ts", mark, filters={"field": "event_type", "operator": "!=", "value": "click"})
 
 
+@query("with e as (select event_id, cast(ts as date) as day, ts < timestamp '2024-01-16' and event_id % 10 <> 0 early from events), m as (select max(day) mark from e where early) select event_id, day, cast(case when early then 0 else 1 end as bigint) as version from e, m where early or day >= mark")
+def stm1_marks(spark, d):
+    """Two loads: of what was there before a day, and of all that is there later, late rows of the last day among it."""
+    events = table(spark, d, "events").select("event_id", F.to_date("ts").alias("day"), "ts")
+    store = Marks(spark, work_path(spark, "loads"))
+    store.load("events", events.filter("ts < timestamp'2024-01-16' and event_id % 10 <> 0").drop("ts"), "day", ">=")
+    store.load("events", events.drop("ts"), "day", ">=")
+    return store.read("events")
+
+
 @query("select doc_id, source from (select doc_id, case when doc_id % 3 = 0 then null when doc_id % 3 = 1 then 'Other(No Category)' else source end source from documents) where source is distinct from 'Other(No Category)'")
 def prd9_off_topic(spark, d):
     docs = table(spark, d, "documents").selectExpr("doc_id", "case when doc_id % 3 = 0 then null when doc_id % 3 = 1 then 'Other(No Category)' else source end as source")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomline.plans.registry import Pipeline, Registry, Transformer
 from loomline.plans.templates import render
 from loomline.sources import readers, writers
+from loomline.sources.marks import Marks
 
 
 def private_columns(frame: DataFrame, prefix: str, fields: dict) -> DataFrame:
@@ -71,7 +72,10 @@ def extract(spark: SparkSession, registry: Registry, name: str, execution_time=N
         return readers.read_table_files(spark, config.get("root", "").rstrip("/") or "/", config.get("fileType", "parquet"), render(config["prefix"], execution_time), _rendered(config, "pathGlobFilter", execution_time), config.get("compressType"), config.get("recursive", True))
     dsn = config.get("url") or next((c.config["dsn"] for c in registry.dependencies("extractors", name) if "dsn" in c.config), None)
     if ext.kind != "mongo" and dsn:
-        return readers.jdbc_table(spark, dsn, readers.jdbc_query(config, mark, mode), config.get("partition"), config.get("batchSize"))
+        query, options = readers.jdbc_query(config, mark, mode), config.get("options", {})
+        if ext.kind == "sqlServer" and not config.get("partition"):
+            return readers.jdbc_pages(spark, dsn, query, config["orderSql"], config["batchSize"], **options)
+        return readers.jdbc_table(spark, dsn, query, config.get("partition"), config.get("batchSize"), **options)
     if ext.kind == "mongo":
         return readers.scan_documents(spark.table(config["collection"]), config, mark, mode)
     frame = readers.scan_table(spark.table(config["table"]), None, config.get("incrementalField"), mark, mode)
@@ -79,21 +83,65 @@ def extract(spark: SparkSession, registry: Registry, name: str, execution_time=N
     return readers.scan_table(frame, config.get("selectedFields"), config.get("incrementalField"))
 
 
-def run_pipeline(spark: SparkSession, registry: Registry, name: str, execution_time=None, mark=None) -> DataFrame | int:
-    """Run a registered pipeline: rows written, or the number of files copied."""
-    pipeline: Pipeline = registry.get("pipelines", name)
+def _place(config: dict, name: str, execution_time) -> str:
+    """A loader's folder, below its root where it has one."""
+    folder = render(config[name], execution_time)
+    return f"{config['root'].rstrip('/')}/{folder}" if "root" in config else folder
+
+
+def deliver(spark: SparkSession, registry: Registry, pipeline: Pipeline, data: DataFrame, execution_time=None, mark=None, version: int | None = None, field: str | None = None) -> None:
+    """Bring rows to where the pipeline's loader says: a table by JDBC, named files of ``batchSize`` rows, or a folder.
+
+    With a ``version`` only that version's rows are replaced, so that a load that runs again repeats nothing."""
     loader = registry.get("loaders", pipeline.loader)
-    folder = f"{loader.config.get('root', '').rstrip('/')}/{render(loader.config['folder'], execution_time)}" if "root" in loader.config else render(loader.config["folder"], execution_time)
+    config = loader.config
+    if "table" in config:
+        dsn = config.get("url") or next((c.config["dsn"] for c in registry.dependencies("loaders", loader.name) if "dsn" in c.config), None)
+        if dsn is None:
+            raise ValueError(f"loader {loader.name} has a table but neither a url nor a connection with a dsn")
+        if version is None:
+            writers.write_jdbc(data, dsn, config["table"], config.get("batchSize", 10_000), **config.get("options", {}))
+        else:
+            writers.replace_jdbc(data, dsn, config["table"], "etl_version", version, config.get("batchSize", 10_000), **config.get("options", {}))
+    elif "batchSize" in config:
+        order = field if field in data.columns else data.columns[0]
+        writers.write_named_batches(data, _place(config, "folder", execution_time), pipeline.name, order, config.get("fileType", "json"), config["batchSize"], None if mark is None else str(mark), version is None, version)
+    elif version is None:
+        writers.overwrite_parquet(data, _place(config, "folder", execution_time))
+    else:
+        writers.overwrite_parquet(data, f"{_place(config, 'folder', execution_time)}/version={version}")
+
+
+def run_pipeline(spark: SparkSession, registry: Registry, name: str, execution_time=None, mark=None, marks: Marks | None = None) -> DataFrame | int | None:
+    """Run a registered pipeline: rows written, or the number of files copied.
+
+    ``marks``: where the pipeline's loads and their marks are kept. What lies past the last mark is read, and the mark moves when,
+    and only if, the rows have been delivered; None where nothing is new."""
+    pipeline: Pipeline = registry.get("pipelines", name)
     if pipeline.mode == "copyFile":
         config = registry.get("extractors", pipeline.extractor).config
         remove = _rendered(config, "removePrefixPath", execution_time) or _rendered(config, "removePrefix", execution_time)
         blocks = readers.read_blocks(spark, config["root"], render(config["prefix"], execution_time), _rendered(config, "pathGlobFilter", execution_time, "**"), remove)
-        return writers.copy_files(blocks, folder)
-    data = transform(spark, extract(spark, registry, pipeline.extractor, execution_time, mark, pipeline.incremental_mode), pipeline.transform_sql)
-    if pipeline.include_private_fields:
-        data = private_columns(data, pipeline.private_field_prefix, {"incrementalValue": None if mark is None else str(mark), "extNameValue": pipeline.extractor, "pipelineNameValue": pipeline.name})
-    if pipeline.tag:
-        data = private_columns(data, pipeline.private_field_prefix, {"tagNameValue": pipeline.tag})
-    data = data.select([F.col(f"`{n}`").cast("string").alias(n) if t == "void" else F.col(f"`{n}`") for n, t in data.dtypes])
-    writers.overwrite_parquet(data, folder)
-    return spark.read.parquet(folder)
+        return writers.copy_files(blocks, _place(registry.get("loaders", pipeline.loader).config, "folder", execution_time))
+    field = registry.get("extractors", pipeline.extractor).config.get("incrementalField")
+
+    def shaped(data: DataFrame, since) -> DataFrame:
+        data = transform(spark, data, pipeline.transform_sql)
+        if pipeline.include_private_fields:
+            data = private_columns(data, pipeline.private_field_prefix, {"incrementalValue": None if since is None else str(since), "extNameValue": pipeline.extractor, "pipelineNameValue": pipeline.name})
+        if pipeline.tag:
+            data = private_columns(data, pipeline.private_field_prefix, {"tagNameValue": pipeline.tag})
+        return data.select([F.col(f"`{n}`").cast("string").alias(n) if t == "void" else F.col(f"`{n}`") for n, t in data.dtypes])
+
+    if marks is not None:
+        if not field:
+            raise ValueError(f"the extractor of {name} has no incrementalField, which marks need")
+        last = marks.latest(name)
+        since = None if last is None else last.mark
+        changed = pipeline.transform_sql or pipeline.include_private_fields or pipeline.tag
+        source = extract(spark, registry, pipeline.extractor, execution_time)
+        return marks.load(name, source, field, pipeline.incremental_mode, (lambda d: shaped(d, since)) if changed else None, lambda d, version: deliver(spark, registry, pipeline, d, execution_time, since, version, field))
+    data = shaped(extract(spark, registry, pipeline.extractor, execution_time, mark, pipeline.incremental_mode), mark)
+    deliver(spark, registry, pipeline, data, execution_time, mark, field=field)
+    config = registry.get("loaders", pipeline.loader).config
+    return data if "table" in config or "batchSize" in config else spark.read.parquet(_place(config, "folder", execution_time))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.operators.predicates import limit_offset, order_by, since, where
+from loomline.operators.predicates import limit_offset, numbered, order_by, since, where
 from loomline.plans.templates import render
 
 FILENAME = "__filename__"
@@ -241,6 +241,23 @@ def jdbc_table(spark: SparkSession, url: str, query: str, partition: tuple[str,
     return spark.read.format("jdbc").options(**jdbc_source(url, query, partition, batch, **options)).load()
 
 
+def jdbc_pages(spark: SparkSession, url: str, query: str, order: str, size: int, **options: str) -> DataFrame:
+    """A database query in pages of about ``size`` rows, each a partition that a task of its own reads.
+
+    Pages are ranges of the first column that ``order`` names. Its values alone are read first, and every ``size``-th becomes a
+    bound; rows of one value stay together, and those without a value are in the first page. Unlike pages by offset, ranges
+    need no sort in the database for each page, and rows that come in between shift none."""
+    key = re.split(r"[,\s]", order.strip(), maxsplit=1)[0]
+    keys = jdbc_table(spark, url, f"SELECT {key} FROM ({query}) k WHERE {key} IS NOT NULL", batch=size, **options)
+    name = keys.columns[0]
+    bounds = [r[0] for r in numbered(keys, [F.col(f"`{name}`")], "__at").filter((F.col("__at") > 0) & (F.col("__at") % size == 0)).select(name).distinct().orderBy(name).collect()]
+    if not bounds:
+        return jdbc_table(spark, url, query, batch=size, **options)
+    edges = [f"({key} < {literal(bounds[0])} OR {key} IS NULL)"]
+    edges += [f"{key} >= {literal(a)} AND {key} < {literal(b)}" for a, b in zip(bounds, bounds[1:])]
+    return spark.read.jdbc(url, f"({query}) q", predicates=[*edges, f"{key} >= {literal(bounds[-1])}"], properties={"fetchsize": str(size), **options})
+
+
 def run_of_file(name) -> dict:
     """Model, shuffle and run columns of a run file's name, ``<model>__sf<shuffle>__run<run>``."""
     pattern = r"^(.*)__sf(\d+)__run(\d+)"

@@ -127,9 +127,10 @@ def append_to_json_array(spark: SparkSession, path: str, items: list[dict]) -> i
     return len(known) + len(items)
 
 
-def write_named_batches(frame: DataFrame, folder: str, etl: str, field: str, kind: str = "json", size: int = 10_000, mark: str | None = None, replace: bool = False) -> list[str]:
+def write_named_batches(frame: DataFrame, folder: str, etl: str, field: str, kind: str = "json", size: int = 10_000, mark: str | None = None, replace: bool = False, version: int | None = None) -> list[str]:
     """Files of ``size`` rows in the order of ``field``, named ``ETL_<etl>_IV_<value>_<uuid>.<kind>`` by the value up to which
-    data had been written before; their names. ``replace``: files of an earlier run from the same mark go first."""
+    data had been written before; their names. ``replace``: files of an earlier run from the same mark go first. With a
+    ``version`` the last part of a name follows from it and the file's number, and what an earlier try of it has left goes first."""
     if kind not in ("json", "csv"):
         raise ValueError(f"unknown kind {kind}")
     spark = frame.sparkSession
@@ -137,10 +138,13 @@ def write_named_batches(frame: DataFrame, folder: str, etl: str, field: str, kin
     path = lambda x: jvm.org.apache.hadoop.fs.Path(x)
     system = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
     system.mkdirs(path(folder))
-    if replace:
-        for status in system.listStatus(path(folder)):
-            if status.getPath().getName().startswith(f"ETL_{etl}_IV_{mark or ''}_"):
-                system.delete(status.getPath(), False)
+    there = [s.getPath() for s in system.listStatus(path(folder))]
+    named = lambda k: str(uuid.uuid4() if version is None else uuid.uuid5(uuid.NAMESPACE_URL, f"{etl}/{version}/{k}"))
+    earlier = set() if version is None else {f"_{named(k)}.{kind}" for k in range(len(there))}
+    for file in there:
+        name = file.getName()
+        if name.startswith(f"ETL_{etl}_IV_") and (replace and name.startswith(f"ETL_{etl}_IV_{mark or ''}_") or name[-len(f"_{uuid.UUID(int=0)}.{kind}") :] in earlier):
+            system.delete(file, False)
     staged = work_path(spark, "batches")
     paged = numbered(frame, [F.col(field)], "__at").withColumn("__page", F.floor(F.col("__at") / size)).drop("__at")
     ends = paged.groupBy("__page").agg(F.max(field).cast("string").alias("last")).orderBy("__page").collect()
@@ -149,7 +153,7 @@ def write_named_batches(frame: DataFrame, folder: str, etl: str, field: str, kin
     names, before = [], mark or ""
     for end in ends:
         (found,) = [s.getPath() for s in system.listStatus(path(f"{staged}/__page={end['__page']}")) if s.getPath().getName().startswith("part-")]
-        names.append(f"ETL_{etl}_IV_{before}_{uuid.uuid4()}.{kind}")
+        names.append(f"ETL_{etl}_IV_{before}_{named(len(names))}.{kind}")
         if not system.rename(found, path(f"{folder}/{names[-1]}")):
             raise OSError(f"could not write {names[-1]}")
         before = end["last"]
@@ -171,3 +175,24 @@ def jdbc_sink(url: str, table: str, size: int = 10_000, **options: str) -> dict[
 
 def write_jdbc(frame: DataFrame, url: str, table: str, size: int = 10_000, **options: str) -> None:
     frame.write.mode("append").format("jdbc").options(**jdbc_sink(url, table, size, **options)).save()
+
+
+def replace_jdbc(frame: DataFrame, url: str, table: str, column: str, version: int, size: int = 10_000, **options: str) -> None:
+    """Rows of a version, in place of those that an earlier try of it has left: they are deleted by ``column``, which the rows
+    carry, before the new ones are added. A table that is not there yet is made."""
+    spark = frame.sparkSession
+    if options.get("driver"):
+        spark._jvm.java.lang.Thread.currentThread().getContextClassLoader().loadClass(options["driver"])
+    connection = spark._jvm.java.sql.DriverManager.getConnection(url, options.get("user"), options.get("password")) if options.get("user") else spark._jvm.java.sql.DriverManager.getConnection(url)
+    try:
+        schema, name = table.rsplit(".", 1) if "." in table else (None, table)
+        there = any(connection.getMetaData().getTables(None, schema, n, None).next() for n in (name, name.upper(), name.lower()))
+        if there:
+            named = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(column)
+            statement = connection.prepareStatement(f"DELETE FROM {table} WHERE {named} = ?")
+            statement.setLong(1, version)
+            statement.executeUpdate()
+            statement.close()
+    finally:
+        connection.close()
+    write_jdbc(frame.withColumn(column, F.lit(version).cast("long")), url, table, size, **options)
