@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -10,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomline.functions import lcs
+
 #: The white space of Python's ``\s``, which Java's ``\s`` does not cover.
 WHITE = " \\t\\n\\r\\f\\x0b\\x1c-\\x1f\\x85\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: The vowels that may stand in the word that introduces a question's number.
@@ -36,13 +39,18 @@ def accent_table() -> tuple[str, str]:
 
 def remove_accents(text: Column | str) -> Column:
     """Letters without combining marks; đ and Đ become d and D."""
-    return F.translate(_c(text), *accent_table())
+    t = _c(text)
+    return F.when(t.rlike(r"[^\x00-\x7f]"), F.translate(t, *accent_table())).otherwise(t)
 
 
 def normal_form(text: Column | str) -> Column:
     """Accent-free lower case of ASCII letters, digits and single spaces, trimmed; null stays null."""
-    kept = F.regexp_replace(F.lower(remove_accents(text)), f"[^a-zA-Z0-9{WHITE}]", "")
-    return F.trim(F.regexp_replace(kept, f"[{WHITE}]+", " "))
+    # a class of many ranges is slow to match: what ASCII can have is translated, and only what is left is matched
+    white = "".join(map(chr, range(0x3001))).translate({c: None for c in range(0x3001) if not re.match(f"[{WHITE}]", chr(c))})
+    other = "".join(chr(c) for c in range(0x80) if not (chr(c).isalnum() or chr(c) in white))
+    kept = F.translate(F.lower(remove_accents(text)), white + other, " " * len(white))
+    kept = F.when(kept.rlike(r"[^\x00-\x7f]"), F.regexp_replace(kept, r"[^\x00-\x7f]", "")).otherwise(kept)
+    return F.trim(F.when(F.contains(kept, F.lit("  ")), F.regexp_replace(kept, "  +", " ")).otherwise(kept))
 
 
 def strip_numbers_of_questions(text: Column | str) -> Column:
@@ -142,31 +150,21 @@ def word_count(text: Column | str) -> Column:
     return F.size(F.split(_c(text), " "))
 
 
-def lcs_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence, by bit-parallel addition over the positions of ``a``."""
-    where: dict[str, int] = {}
-    for k, char in enumerate(a):
-        where[char] = where.get(char, 0) | 1 << k
-    full = (1 << len(a)) - 1
-    row = full
-    for char in b:
-        hit = row & where.get(char, 0)
-        row = (row + hit) | (row - hit)
-    return (full & ~row).bit_count()
+@F.pandas_udf(T.IntegerType())
+def fuzz_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """100 * 2 * LCS / (|a| + |b|) of two columns, rounded half to even; 100 for two empty texts, 0 where one is null. No built-in
+    function counts insertions and deletions only."""
+    return pd.Series(lcs.ratios(a.tolist(), b.tolist()))
 
 
-def indel_ratio(a: str | None, b: str | None) -> int:
-    """100 * 2 * LCS / (|a| + |b|), rounded half to even; 100 for two empty texts, 0 where one is null."""
-    if a is None or b is None:
-        return 0
-    size = len(a) + len(b)
-    return 100 if not size else round(200 * lcs_length(a, b) / size)
+def fuzz_from(a: Column | str, b: Column | str, least: int) -> Column:
+    """``fuzz_ratio`` where it is ``least`` or more, else 0; pairs are given up as soon as they cannot get there."""
 
+    @F.pandas_udf(T.IntegerType())
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(lcs.ratios(x.tolist(), y.tolist(), least))
 
-@F.pandas_udf(T.IntegerType())
-def fuzz_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """``indel_ratio`` of two columns; no built-in function counts insertions and deletions only."""
-    return pd.Series([indel_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
+    return run(_c(a), _c(b))
 
 
 def fuzz_bound(a: Column | str, b: Column | str) -> Column:
