@@ -523,6 +523,26 @@ def dd2_pair_classes(spark, d):
     return dedup.classify_pairs(pairs).select("i", "j", "kind")
 
 
+_LCS = "with recursive p as (select a.p_partkey id, a.p_name || ' ' || a.p_type x, b.p_name || ' ' || b.p_type y from part a join part b on b.p_partkey = a.p_partkey + 1), l(id, x, y, t, row) as (select id, x, y, 0, list_transform(range(length(x) + 1), lambda k: 0::bigint) from p union all select id, x, y, t + 1, list_transform(range(1, length(x) + 2), lambda k: list_max(list_slice(cand, 1, k))) from (select *, list_transform(range(1, length(x) + 2), lambda k: case when k > 1 and substr(x, k - 1, 1) = substr(y, t + 1, 1) then row[k - 1] + 1 else row[k] end) cand from l where t < length(y)))"
+
+
+@query(f"{_LCS}, r as (select id, cast(round_even(200 * row[-1] / (length(x) + length(y)), 0) as int) fuzz_ratio from l where t = length(y)) select id p_partkey, fuzz_ratio, case when fuzz_ratio >= 70 then fuzz_ratio else 0 end from_70 from r")
+def str16_neighbours(spark, d):
+    """Ratios of every part's name and type to those of the part behind it."""
+    part = table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("x"))
+    behind = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("x").alias("y"))
+    return part.join(behind, "p_partkey").select("p_partkey", text.fuzz_ratio("x", "y").alias("fuzz_ratio"), text.fuzz_from("x", "y", 70).alias("from_70"))
+
+
+@query("with recursive e as (select a.p_partkey i, b.p_partkey j from part a join part b on b.p_partkey - a.p_partkey in (1, 3, 40) and a.p_size % 3 = b.p_size % 3), near as (select i, list(j) js from e group by i), ends as (select max(p_partkey) n from part), g(k, gone) as (select -1::bigint, []::bigint[] union all select k + 1, list_filter(case when js is null or list_contains(gone, k + 1) then gone else list_distinct(list_concat(gone, js)) end, lambda x: x > k) from g join ends on k < n left join near on i = k + 1) select distinct unnest(gone) idx from g")
+def dd5_keep_first(spark, d):
+    """Greedy removal over a graph of parts: neighbours are 1, 3 or 40 keys apart and of sizes that leave the same by 3."""
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("i"), (F.col("p_size") % 3).alias("size"))
+    far = part.select(F.col("i").alias("of"), "size", F.explode(F.array(*[F.lit(k) for k in (1, 3, 40)])).alias("step")).select("of", "size", (F.col("of") + F.col("step")).alias("i"))
+    edges = far.join(part, ["i", "size"]).select(F.col("of").alias("i"), F.col("i").alias("j"))
+    return dedup.keep_first(spark, part.select(F.col("i").alias("idx")), edges)
+
+
 @query()
 def dd5_drop_near(spark, d):
     return dedup.dedup(spark, fixtures.documents(spark, d)).select("idx")
