@@ -534,7 +534,7 @@ def str16_neighbours(spark, d):
     return part.join(behind, "p_partkey").select("p_partkey", text.fuzz_ratio("x", "y").alias("fuzz_ratio"), text.fuzz_from("x", "y", 70).alias("from_70"))
 
 
-@query("with recursive e as (select a.p_partkey i, b.p_partkey j from part a join part b on b.p_partkey - a.p_partkey in (1, 3, 40) and a.p_size % 3 = b.p_size % 3), near as (select i, list(j) js from e group by i), ends as (select max(p_partkey) n from part), g(k, gone) as (select -1::bigint, []::bigint[] union all select k + 1, list_filter(case when js is null or list_contains(gone, k + 1) then gone else list_distinct(list_concat(gone, js)) end, lambda x: x > k) from g join ends on k < n left join near on i = k + 1) select distinct unnest(gone) idx from g")
+@query("with recursive e as (select a.p_partkey i, b.p_partkey j from part a join part b on b.p_partkey - a.p_partkey in (1, 3, 40) and a.p_size % 3 = b.p_size % 3), near as materialized (select i, list(j) js from e group by i), ends as materialized (select max(p_partkey) n from part), g(k, gone) as (select -1::bigint, []::bigint[] union all select k + 1, list_filter(case when js is null or list_contains(gone, k + 1) then gone else list_distinct(list_concat(gone, js)) end, lambda x: x > k) from g join ends on k < n left join near on i = k + 1) select distinct unnest(gone) idx from g")
 def dd5_keep_first(spark, d):
     """Greedy removal over a graph of parts: neighbours are 1, 3 or 40 keys apart and of sizes that leave the same by 3."""
     part = table(spark, d, "part").select(F.col("p_partkey").alias("i"), (F.col("p_size") % 3).alias("size"))
