@@ -662,6 +662,28 @@ def src11_csv(spark, d):
     return readers.read_csv(spark, folder, ["p_partkey", "p_name", "p_type"])
 
 
+@query("select p_partkey, p_name from part where p_brand like 'Brand#1%' and p_size >= 10")
+def src3_pruned_listing(spark, d):
+    """Parts as JSON files in a folder a brand and size group; of all files those are opened whose key matches."""
+    folder = work_path(spark, "brands")
+    part = table(spark, d, "part").withColumn("group", F.when(F.col("p_size") < 10, "small").otherwise("large"))
+    part.select("p_partkey", "p_name", F.col("p_brand").alias("brand"), "group").write.partitionBy("brand", "group").json(folder)
+    lines = readers.read_blocks(spark, folder, "", "brand=Brand%231*/group=large/**/*.json").select(F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("value"))
+    return lines.filter("value <> ''").select(F.from_json("value", "p_partkey long, p_name string").alias("row")).select("row.*")
+
+
+@query("select page_id, url from pages where page_id % 16 >= 8")
+def src8_changed_members(spark, d):
+    """Pages in archives of 16; a change table names archives, and of those past the mark the JSON members are read."""
+    pages, folder = table(spark, d, "pages"), work_path(spark, "archives")
+    name = F.format_string("part/%02d.zip", F.col("page_id") % 16)
+    members = pages.select(name.alias("path"), F.explode(F.array(F.struct(F.concat("page_id", F.lit(".json")).alias("member"), F.to_json(F.struct("page_id", "url")).alias("text")), F.struct(F.concat("page_id", F.lit(".html")).alias("member"), F.coalesce("html", F.lit("")).alias("text")))).alias("m")).select("path", "m.member", "m.text")
+    writers.copy_files(readers.zip_members(members).withColumnRenamed("path", "key"), folder)
+    changes = pages.select((F.col("page_id") % 16).alias("seq"), name.alias("path")).distinct()
+    found = readers.read_members(readers.scan_table(changes, ["path"], "seq", 7), folder, r"\.json$")
+    return found.select(F.from_json("text", "page_id long, url string").alias("row")).select("row.*")
+
+
 @query("select cast(r_regionkey as bigint) as r_regionkey, r_name from region")
 def src12_jsonl(spark, d):
     folder = work_path(spark, "jsonl")

@@ -19,9 +19,9 @@ class ConfigError(ValueError):
 
 #: Kinds of each configuration and the fields that each has to have.
 CONNECTIONS = {"aws": ["accessKey", "secretKey"], "gcp": ["serviceAccount"], "huggingFace": ["token"], "spark": ["dns"], "sqlServer": ["dsn"], "clickHouse": ["dsn"], "postgres": ["dsn"], "local": []}
-EXTRACTORS = {"awsStorage": ["prefix"], "sqlServer": ["table", "batchSize", "orderSql"], "postgres": ["table"], "mongo": ["collection"]}
+EXTRACTORS = {"awsStorage": ["prefix"], "sqlServer": ["table", "batchSize", "orderSql"], "postgres": ["table"], "mongo": ["collection"], "gcpStorageCdc": ["table", "pathField", "members", "root"]}
 LOADERS = {"huggingFace": ["folder"], "clickHouse": ["table"], "local": ["folder"]}
-OPTIONAL = {"awsStorage": ["bucketName", "pathGlobFilter", "removePrefix", "removePrefixPath", "recursive", "fileType", "compressType", "root"], "sqlServer": ["schema", "filterSql", "incrementalField", "selectedFields", "url", "partition", "options"], "postgres": ["schema", "filterSql", "batchSize", "incrementalField", "selectedFields", "url", "partition", "options"], "mongo": ["match", "sort", "project", "incrementalField"], "huggingFace": ["repoId", "root", "batchSize", "fileType"], "clickHouse": ["batchSize", "url", "options"], "local": ["root", "batchSize", "fileType"], "aws": ["endpoint", "region"], "gcp": [], "spark": []}
+OPTIONAL = {"gcpStorageCdc": ["incrementalField", "filterSql", "missing", "url", "options", "schema", "batchSize", "selectedFields"], "awsStorage": ["bucketName", "pathGlobFilter", "removePrefix", "removePrefixPath", "recursive", "fileType", "compressType", "root"], "sqlServer": ["schema", "filterSql", "incrementalField", "selectedFields", "url", "partition", "options"], "postgres": ["schema", "filterSql", "batchSize", "incrementalField", "selectedFields", "url", "partition", "options"], "mongo": ["match", "sort", "project", "incrementalField"], "huggingFace": ["repoId", "root", "batchSize", "fileType"], "clickHouse": ["batchSize", "url", "options"], "local": ["root", "batchSize", "fileType"], "aws": ["endpoint", "region"], "gcp": [], "spark": []}
 MODES = ("copyFile", "transform")
 INCREMENTAL_MODES = (">", ">=")
 

@@ -63,9 +63,14 @@ def _rendered(config: dict, name: str, execution_time, default=None):
     return render(config[name], execution_time) if config.get(name) else default
 
 
+def named_members(changes: DataFrame, config: dict) -> DataFrame:
+    """The members of the archives that rows of a change table name."""
+    return readers.read_members(changes, config["root"], config["members"], config["pathField"], config.get("missing", "fail"))
+
+
 def extract(spark: SparkSession, registry: Registry, name: str, execution_time=None, mark=None, mode: str = ">") -> DataFrame:
     """Rows of an extractor: storage files as a table, a database's table by JDBC where the extractor has a ``url`` or its
-    connection a ``dsn``, or a table or view that the session knows by name."""
+    connection a ``dsn``, or a table or view that the session knows by name. Of a change table, its rows."""
     ext = registry.get("extractors", name)
     config = ext.config
     if ext.kind == "awsStorage":
@@ -125,8 +130,11 @@ def run_pipeline(spark: SparkSession, registry: Registry, name: str, execution_t
         return writers.copy_files(blocks, _place(registry.get("loaders", pipeline.loader).config, "folder", execution_time))
     field = registry.get("extractors", pipeline.extractor).config.get("incrementalField")
 
+    source_of = registry.get("extractors", pipeline.extractor)
+    changes = source_of.kind == "gcpStorageCdc"
+
     def shaped(data: DataFrame, since) -> DataFrame:
-        data = transform(spark, data, pipeline.transform_sql)
+        data = transform(spark, named_members(data, source_of.config) if changes else data, pipeline.transform_sql)
         if pipeline.include_private_fields:
             data = private_columns(data, pipeline.private_field_prefix, {"incrementalValue": None if since is None else str(since), "extNameValue": pipeline.extractor, "pipelineNameValue": pipeline.name})
         if pipeline.tag:
@@ -138,7 +146,7 @@ def run_pipeline(spark: SparkSession, registry: Registry, name: str, execution_t
             raise ValueError(f"the extractor of {name} has no incrementalField, which marks need")
         last = marks.latest(name)
         since = None if last is None else last.mark
-        changed = pipeline.transform_sql or pipeline.include_private_fields or pipeline.tag
+        changed = changes or pipeline.transform_sql or pipeline.include_private_fields or pipeline.tag
         source = extract(spark, registry, pipeline.extractor, execution_time)
         return marks.load(name, source, field, pipeline.incremental_mode, (lambda d: shaped(d, since)) if changed else None, lambda d, version: deliver(spark, registry, pipeline, d, execution_time, since, version, field))
     data = shaped(extract(spark, registry, pipeline.extractor, execution_time, mark, pipeline.incremental_mode), mark)

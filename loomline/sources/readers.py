@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 
 from loomline.operators.predicates import limit_offset, numbered, order_by, since, where
 from loomline.plans.templates import render
+from loomline.sources.writers import _file_system
 
 FILENAME = "__filename__"
 
@@ -95,9 +97,11 @@ def read_table_files(spark: SparkSession, root: str, file_type: str = "parquet",
         content = read_blocks(spark, root, prefix, glob or "**", compress_type=compress_type).select(F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("value"))
         lines = content.filter(F.trim("value") != "")
         return lines.select(F.from_json("value", schema).alias("row")).select("row.*") if schema else spark.read.json(lines.rdd.map(lambda r: r.value))
+    folder, name = listed(root, prefix, glob or "**")
     reader = spark.read.option("recursiveFileLookup", "true")
+    reader = reader.option("pathGlobFilter", name) if name else reader
     reader = reader.schema(schema) if schema else reader
-    frame = getattr(reader, file_type)(f"{root.rstrip('/')}/{prefix}".rstrip("/"))
+    frame = getattr(reader, file_type)(folder)
     return frame.filter(_key(spark, root, F.col("_metadata.file_path")).rlike(glob_pattern(prefix, glob))) if glob else frame
 
 
@@ -124,10 +128,37 @@ def glob_pattern(prefix: str, glob: str) -> str:
     return "^" + "".join(out) + "$"
 
 
+def listed(root: str, prefix: str, glob: str) -> tuple[str, str | None]:
+    """(path, name): what has to be listed for ``prefix/glob``, and the pattern of a file's own name.
+
+    Folders up to the first ``**`` are part of the path, wild cards and all, so that folders that don't match are never listed;
+    below it everything is, and files whose names don't match are passed over."""
+    parts = [p for p in f"{prefix}/{glob}".split("/") if p]
+    head = parts[: next((k for k, p in enumerate(parts) if "**" in p), len(parts))]
+    known = lambda p: re.sub(r"[{}\\]", lambda m: "\\" + m[0], p).replace("[!", "[^")
+    path = "/".join([root.rstrip("/"), *map(known, head)])
+    return path, known(parts[-1]) if len(head) < len(parts) and "**" not in parts[-1] else None
+
+
+def list_blocks(spark: SparkSession, root: str, prefix: str = "", glob: str = "**") -> DataFrame:
+    """Files below ``root`` whose key, the path behind it, matches: path, key, length and content. A file is opened for its content
+    only, and only after its key has matched. None match: no rows."""
+    folder, name = listed(root, prefix, glob)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    try:
+        files = (reader.option("pathGlobFilter", name) if name else reader).load(folder)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "path string, key string, length long, content binary")
+    key = _key(spark, root, F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
+    # a condition on the file's path is decided before any file is read
+    return files.filter(key.rlike(glob_pattern(prefix, glob))).select("path", key.alias("key"), "length", "content")
+
+
 def read_blocks(spark: SparkSession, root: str, prefix: str = "", glob: str = "**", remove_prefix: str | None = None, compress_type: str | None = None) -> DataFrame:
     """Files below ``root`` whose key, the path behind it, matches: path, key, content (decompressed where asked)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    found = files.select("path", _key(spark, root, F.col("path")).alias("key"), "content").filter(F.col("key").rlike(glob_pattern(prefix, glob)))
+    found = list_blocks(spark, root, prefix, glob).select("path", "key", "content")
     if remove_prefix:
         found = found.withColumn("key", F.replace("key", F.lit(f"{remove_prefix}/"), F.lit("")))
     if compress_type == "bzip2":
@@ -157,6 +188,60 @@ def read_json_of_zips(changes: DataFrame, files: DataFrame, members: str | list[
     return joined.mapInPandas(run, "path string, member string, text string")
 
 
+class _Counted(io.RawIOBase):
+    """A file that counts the bytes that are read from it."""
+
+    def __init__(self, file):
+        self.file, self.count = file, 0
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def seek(self, offset: int, whence: int = 0) -> int:
+        return self.file.seek(offset, whence)
+
+    def tell(self) -> int:
+        return self.file.tell()
+
+    def readinto(self, into) -> int:
+        data = self.file.read(len(into))
+        into[: len(data)] = data
+        self.count += len(data)
+        return len(data)
+
+
+def read_members(changes: DataFrame, root: str, members: str | list[str], path: str = "path", missing: str = "fail") -> DataFrame:
+    """The rows of ``changes`` with each JSON member, by pattern or list, of the archive that they name: member, text, and
+    ``archive_read``, the bytes read of the archive so far. An archive is opened once, however many rows name it; of it its
+    directory is read, and then the members that are wanted. ``missing``: ``skip`` passes over archives that are not there."""
+    if missing not in ("fail", "skip"):
+        raise ValueError(f"unknown way {missing}")
+    base = root.rstrip("/")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column("path").to_pylist():
+                system, place = _file_system(f"{base}/{name.lstrip('/')}")
+                try:
+                    file = _Counted(system.open_input_file(place))
+                except FileNotFoundError:
+                    if missing == "skip":
+                        continue
+                    raise
+                with zipfile.ZipFile(file) as archive:
+                    for member in archive.namelist():
+                        if re.search(members, member) if isinstance(members, str) else member in members:
+                            text = archive.read(member).decode()
+                            yield pa.record_batch([pa.array([v], t) for v, t in ((name, pa.string()), (member, pa.string()), (text, pa.string()), (file.count, pa.int64()))], ["of", "member", "text", "archive_read"])
+
+    paths = changes.select(F.col(f"`{path}`").alias("path")).filter("path is not null").distinct()
+    read = paths.mapInArrow(run, "of string, member string, text string, archive_read long")
+    return changes.join(read, F.col(f"`{path}`") == F.col("of")).drop("of")
+
+
 def zip_members(rows: DataFrame) -> DataFrame:
     """(path, content): an archive of the (member, text) rows of each path; a path's members are one archive's worth."""
 

@@ -1,0 +1,93 @@
+import io
+import json
+import zipfile
+
+import pytest
+
+from loomline.plans import runner
+from loomline.plans.registry import Pipeline, Registry
+from loomline.sources import readers
+from loomline.sources.marks import Marks
+
+
+def bytes_read(spark):
+    return sum(s.getBytesRead() for s in spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics())
+
+
+@pytest.fixture
+def store(tmp_path):
+    big = b"x" * 3_000_000
+    for key, data in {
+        "raw/2024-01-01/a.json": b'{"k": 1}', "raw/2024-01-01/big.bin": big, "raw/2024-01-02/b.json": b'{"k": 2}', "raw/2024-01-02/deep/er/c.json": b'{"k": 3}',
+        "raw/2024-02-01/d.json": big, "other/2024-01-01/e.json": big, "raw/odd {x} +ü %41/f.json": b'{"k": 4}', "raw/2024-01-01/a.json.bak": big,
+    }.items():
+        file = tmp_path / key
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_bytes(data)
+    return f"file://{tmp_path}"
+
+
+@pytest.mark.parametrize("prefix, glob, want", [
+    ("raw", "2024-01-*/*.json", ["raw/2024-01-01/a.json", "raw/2024-01-02/b.json"]),
+    ("raw/2024-01-02", "**/*.json", ["raw/2024-01-02/b.json", "raw/2024-01-02/deep/er/c.json"]),
+    ("", "raw/2024-01-0[!1]/**/?.json", ["raw/2024-01-02/b.json", "raw/2024-01-02/deep/er/c.json"]),
+    ("raw", "odd {x} +ü %41/*", ["raw/odd {x} +ü %41/f.json"]),
+    ("raw/nowhere", "**", []), ("raw", "*.none", []),
+])
+def test_only_what_matches_is_opened(spark, store, prefix, glob, want):
+    before = bytes_read(spark)
+    got = readers.read_blocks(spark, store, prefix, glob).collect()
+    assert sorted(r.key for r in got) == want
+    assert all(json.loads(r.content)["k"] for r in got)
+    assert bytes_read(spark) - before < 100_000
+
+
+def test_keys_alone_open_nothing(spark, store):
+    before = bytes_read(spark)
+    rows = readers.list_blocks(spark, store, "raw").select("key", "length").collect()
+    assert len(rows) == 7 and sum(r.length for r in rows) > 9_000_000 and bytes_read(spark) - before < 1000
+
+
+def archive(tmp_path, name, members):
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_STORED) as z:
+        for member, text in members.items():
+            z.writestr(member, text)
+    file = tmp_path / name
+    file.parent.mkdir(parents=True, exist_ok=True)
+    file.write_bytes(data.getvalue())
+
+
+def test_members_of_changed_archives(spark, tmp_path):
+    big = "y" * 2_000_000
+    archive(tmp_path, "zips/one.zip", {"big.txt": big, "x/a.json": '{"k": 1}', "b.json": '{"k": 2}'})
+    archive(tmp_path, "zips/two.zip", {"a.json": '{"k": 3}', "big.json": big})
+    archive(tmp_path, "zips/three.zip", {"a.json": '{"k": 4}'})
+    root = f"file://{tmp_path}/zips"
+    changes = spark.createDataFrame([(1, "one.zip"), (2, "two.zip"), (3, "one.zip"), (4, None)], "seq int, path string")
+    got = readers.read_members(changes, root, r"(^|/)[ab]\.json$").collect()
+    assert sorted((r.seq, r.member, json.loads(r.text)["k"]) for r in got) == [(1, "b.json", 2), (1, "x/a.json", 1), (2, "a.json", 3), (3, "b.json", 2), (3, "x/a.json", 1)]
+    assert max(r.archive_read for r in got) < 20_000
+    assert [r.member for r in readers.read_members(changes.filter("seq = 2"), root, ["a.json", "none.json"]).collect()] == ["a.json"]
+    lost = changes.limit(0).unionByName(spark.createDataFrame([(9, "lost.zip")], "seq int, path string"))
+    assert readers.read_members(lost, root, "json", missing="skip").count() == 0
+    with pytest.raises(Exception, match="lost.zip"):
+        readers.read_members(lost, root, "json").collect()
+
+
+def test_a_pipeline_over_a_change_table(spark, tmp_path):
+    for k in range(4):
+        archive(tmp_path, f"zips/{k}.zip", {"item.json": json.dumps({"k": k}), "other.txt": "no"})
+    r = Registry(spark)
+    r.add_ext("cdc", "gcpStorageCdc", {"table": "cdc_rows", "pathField": "file", "members": r"\.json$", "root": f"file://{tmp_path}/zips", "incrementalField": "seq"})
+    r.add_loader("out", "local", {"folder": f"file://{tmp_path}/out"})
+    r.add_pipeline(Pipeline("p", "cdc", "out", transform_sql="select seq, get_json_object(text, '$.k') as k from data"))
+    marks = Marks(spark, f"file://{tmp_path}/marks")
+    table = lambda n: spark.createDataFrame([(k, f"{k}.zip") for k in range(n)], "seq int, file string").createOrReplaceTempView("cdc_rows")
+    table(2)
+    assert sorted(map(tuple, runner.run_pipeline(spark, r, "p", marks=marks).collect())) == [(0, "0"), (1, "1")]
+    (tmp_path / "zips/0.zip").unlink()  # what has been read is not opened again
+    table(4)
+    assert sorted(map(tuple, runner.run_pipeline(spark, r, "p", marks=marks).collect())) == [(2, "2"), (3, "3")]
+    assert runner.run_pipeline(spark, r, "p", marks=marks) is None
+    spark.catalog.dropTempView("cdc_rows")
