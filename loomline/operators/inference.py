@@ -8,11 +8,13 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.operators.predicates import numbered
 from loomline.session import reread
+from loomline.streaming.increments import read_new_files, run_available
 
 Responder = Callable[[list[str]], list[str]]
 #: What a request body of the provider's batch format calls its version.
@@ -70,7 +72,11 @@ def infer(prompts: DataFrame, responder: Responder, size: int = 20, retries: int
     A batch whose responder fails or returns another number of answers is tried again; then its rows have status 400.
     """
     placed = numbered(prompts.select("id", "content"), [F.col("id")], "at").withColumn("batch", F.floor(F.col("at") / size))
-    dealt = placed.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
+    return _asked(placed.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs)))), responder, retries)
+
+
+def _asked(dealt: DataFrame, responder: Responder, retries: int) -> DataFrame:
+    """Answers to prompts (id, content, at, batch, epoch), a batch at a time."""
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values("at")
@@ -86,8 +92,7 @@ def infer(prompts: DataFrame, responder: Responder, size: int = 20, retries: int
         return pd.DataFrame({"id": batch["id"], "epoch": batch["epoch"], "status": 400 if answers is None else 200, "answer": answers if answers is not None else [None] * len(batch), "batch": batch["batch"]})
 
     # a group is one batch of at most ``size`` rows
-    kind = dict(prompts.dtypes)["id"]
-    return dealt.groupBy("epoch", "batch").applyInPandas(run, f"id {kind}, epoch int, status int, answer string, batch long")
+    return dealt.groupBy("epoch", "batch").applyInPandas(run, f"id {dict(dealt.dtypes)['id']}, epoch int, status int, answer string, batch long")
 
 
 def batch_text(rows: DataFrame, size: int, mark: str = "\n") -> DataFrame:
@@ -130,27 +135,61 @@ def responder(name: str) -> Responder:
     return RESPONDERS[name]
 
 
-def infer_resumable(spark: SparkSession, prompts: DataFrame, responder: Responder, folder: str, size: int = 25, retries: int = 5, flush: int = 10, stop_after: int = 3) -> bool:
-    """Answer prompts (id, content) and append the answers to ``folder``, ``flush`` batches at a time; whether all are done.
+class _Stopped(RuntimeError):
+    """Too many batches in a row have failed."""
 
-    What the folder has is not asked again, so a run goes on where the last one ended; that is the only progress kept. After
-    ``stop_after`` batches in a row that failed the run stops, and what had been answered before stays."""
-    schema = "id string, epoch int, status int, answer string"
-    system = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+def infer_resumable(spark: SparkSession, prompts: DataFrame, responder: Responder, folder: str, size: int = 25, retries: int = 5, flush: int = 10, stop_after: int = 3) -> bool:
+    """Answer prompts (id, content) into ``folder``, ``flush`` batches at a time; whether all are answered.
+
+    Prompts are numbered and filed once, ``flush`` batches a file (a wave); later calls file only ids that are new. The files are
+    a stream that is read a wave at a time, and its checkpoint is what has been done: a run goes on with the wave in which the last
+    one ended, reads no other, and asks only what that wave has no answer to. After ``stop_after`` batches in a row that failed
+    the run stops, and the wave is taken up again by the next; prompts of single failed batches are filed behind all others, for the
+    next run. Answers lie in a folder a wave, which is added to before the wave counts as done."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    filed, schema, known = f"{folder}/_prompts", "id string, content string, at long, batch long", "id string, epoch int, status int, answer string"
+    there = lambda p: system.exists(path(p)) and any(not s.getPath().getName().startswith(("_", ".")) for s in system.listStatus(path(p)))
+    waves = [int(s.getPath().getName().split("=")[1]) for s in system.listStatus(path(filed)) if s.getPath().getName().startswith("wave=")] if system.exists(path(filed)) else []
+
+    def file(rows: DataFrame, first: int) -> None:
+        placed = numbered(rows.select("id", "content"), [F.col("id")], "at").withColumn("batch", F.floor(F.col("at") / size))
+        placed.withColumn("wave", F.lit(first).cast("long") + F.floor(F.col("batch") / flush)).repartition("wave").write.mode("append").partitionBy("wave").parquet(filed)
+
+    new = prompts.select(F.col("id").cast("string").alias("id"), "content")
+    if waves:
+        new = new.join(spark.read.parquet(filed).select("id").distinct(), "id", "left_anti")
+    file(new, max(waves, default=-1) + 1)
+    if not there(filed):
+        return True
     failed = 0
-    while True:
-        done = spark.read.schema(schema).json(folder) if system.exists(spark._jvm.org.apache.hadoop.fs.Path(folder)) else spark.createDataFrame([], schema)
-        todo = prompts.withColumn("id", F.col("id").cast("string")).join(done.filter("status = 200").select("id").distinct(), "id", "left_anti")
-        wave = reread(spark, todo.orderBy("id").limit(size * flush), "wave")
-        if not wave.limit(1).count():
-            return True
-        answers = reread(spark, infer(wave, responder, size, retries), "answers")
-        answers.filter("status = 200").select("id", "epoch", "status", "answer").write.mode("append").json(folder)
+
+    def answer(wave: DataFrame, number: int) -> None:
+        nonlocal failed
+        place = f"{folder}/wave={number:09d}"
+        if there(place):
+            wave = wave.join(spark.read.schema(known).json(place).select("id"), "id", "left_anti")
+        answers = reread(spark, _asked(wave.withColumn("epoch", F.lit(1)), responder, retries), "answers")
+        answers.filter("status = 200").select("id", "epoch", "status", "answer").write.mode("append").json(place)
         # a wave has ``flush`` batches, which is what the driver looks at
         for row in answers.groupBy("batch").agg(F.min("status").alias("status")).orderBy("batch").collect():
             failed = failed + 1 if row.status != 200 else 0
             if failed >= stop_after:
-                return False
+                raise _Stopped(f"{failed} batches in a row have failed")
+        again = wave.join(answers.filter("status <> 200").select("id"), "id", "left_semi")
+        if again.limit(1).count():
+            top = max(int(s.getPath().getName().split("=")[1]) for s in system.listStatus(path(filed)) if s.getPath().getName().startswith("wave="))
+            file(again, top + 1)
+
+    try:
+        run_available(read_new_files(spark, filed, schema, files=1), f"{folder}/_offsets", answer)
+    except StreamingQueryException as error:
+        if _Stopped.__name__ not in str(error):
+            raise
+        return False
+    answered = spark.read.schema(known).json(folder).filter("status = 200").select("id").distinct() if there(folder) else spark.createDataFrame([], "id string")
+    return not spark.read.parquet(filed).select("id").join(answered, "id", "left_anti").limit(1).count()
 
 
 def write_epochs(answers: DataFrame, folder: str) -> None:
@@ -158,7 +197,7 @@ def write_epochs(answers: DataFrame, folder: str) -> None:
     answers.write.mode("overwrite").partitionBy("epoch").json(folder)
 
 
-def forced_choices(prompts: DataFrame, think: Responder, choose: Responder, samples: int = 1, guide: str = "So the final choice (A, B, C, D,...) is: ") -> DataFrame:
+def forced_choices(prompts: DataFrame, think: Responder, choose: Responder, samples: int = 1, *, guide: str) -> DataFrame:
     """(id, answer0, thought0, answer1, ...): each prompt is thought about ``samples`` times, and each thought, with the guide
     behind it, is completed by a choice."""
     names = [f"{what}{k}" for k in range(samples) for what in ("answer", "thought")]

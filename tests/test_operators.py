@@ -178,6 +178,39 @@ def test_resumable_inference(spark, tmp_path):
     assert sorted(r.id for r in rows) == [f"q{k:03d}" for k in range(60)] and all(r.answer == f"PROMPT {int(r.id[1:])}" for r in rows)
 
 
+def test_resumed_inference_asks_nothing_twice(spark, tmp_path):
+    folder, log = f"file://{tmp_path}/answers", str(tmp_path / "log")
+    prompts = spark.createDataFrame([(f"q{k:03d}", f"prompt {k}") for k in range(40)], "id string, content string")
+
+    def responder(fails):
+        def run(batch):
+            import os
+            import uuid
+
+            if any(int(p.split()[1]) in fails for p in batch):
+                raise RuntimeError("limit")
+            os.makedirs(log, exist_ok=True)
+            with open(f"{log}/{uuid.uuid4().hex}", "w") as out:
+                out.write("\n".join(batch))
+            return [p.upper() for p in batch]
+
+        return run
+
+    run = lambda some, fails, **kw: inference.infer_resumable(spark, some, responder(fails), folder, size=5, retries=0, flush=2, **kw)
+    asked = lambda: sorted(int(x.split()[1]) for f in (tmp_path / "log").iterdir() for x in f.read_text().split("\n"))
+    # one batch fails and is filed behind the others; no three in a row
+    assert not run(prompts, {7}) and asked() == [k for k in range(40) if not 5 <= k < 10]
+    assert run(prompts, set()) and asked() == list(range(40))
+    assert run(prompts, set()) and asked() == list(range(40))
+    # new prompts are filed behind; a run that stops in the second of their waves goes on there
+    more = prompts.unionByName(spark.createDataFrame([(f"r{k:03d}", f"prompt {k}") for k in range(40, 90)], "id string, content string"))
+    assert not run(more, set(range(55, 90)), stop_after=2) and asked() == list(range(55))
+    assert run(more, set()) and asked() == list(range(90))
+    rows = spark.read.json(folder).collect()
+    assert len(rows) == 90 and all(r.answer == f"PROMPT {int(r.id[1:])}" for r in rows)
+    assert inference.infer_resumable(spark, prompts.limit(0), responder(set()), f"file://{tmp_path}/none")
+
+
 def test_answers_of_the_fake_responder(spark, sf_dir):
     from loomline.plans.catalog import QUERIES
 
@@ -193,7 +226,7 @@ def test_forced_choices_and_batch_jobs(spark, tmp_path):
     prompts = spark.createDataFrame([(1, "one"), (2, "two")], "id long, content string")
     think = lambda batch: [f"hm {p}. " for p in batch]
     choose = lambda batch: [" A " if "one" in p else "B" for p in batch]
-    rows = inference.forced_choices(prompts, think, choose, 2, "So: ").orderBy("id").collect()
+    rows = inference.forced_choices(prompts, think, choose, 2, guide="So: ").orderBy("id").collect()
     assert [tuple(r) for r in rows] == [(1, "A", "hm one. So: ", "A", "hm one. So: "), (2, "B", "hm two. So: ", "B", "hm two. So: ")]
     waits = []
     lines = inference.request_lines(prompts, "openai", "m", "You answer.")
