@@ -68,10 +68,22 @@ def test_items_have_ids_of_their_own_and_rejects_stay_verbatim(spark, tmp_path):
 
 
 def test_containments(spark):
-    docs = spark.createDataFrame([(1, "the quick brown fox"), (2, "a xquick browny thing"), (3, None), (4, "fox"), (5, "the  quick brown fox")], "doc_id long, text string")
-    items = spark.createDataFrame([(1, "quick brown fox"), (2, "fox"), (3, "quick brown"), (4, "ick brown fo"), (5, ""), (6, None), (7, "thing "), (8, "fox")], "item_id long, text string")
-    want = sorted((i.item_id, d.doc_id) for i in items.collect() for d in docs.collect() if i.text and i.text.strip() and d.text and i.text in d.text)
-    assert sorted(map(tuple, dedup.containments(docs, items).collect())) == want and len(want) > 8
+    docs = spark.createDataFrame([(1, "the quick brown fox"), (2, "a xquick browny thing"), (3, None), (4, "fox"), (5, "the  quick brown fox"), (5, "in a word, rare things of the quick brown"), (None, "the quick brown fox")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "quick brown fox"), (2, "fox"), (3, "quick brown"), (4, "ick brown fo"), (5, ""), (6, None), (7, "thing "), (8, "fox"), (9, "\n"), (10, " \t "), (11, "the quick brown"), (12, "the absent fox"), (12, "quick brown fox"), (12, "word, rare things"), (None, "rare things of")], "item_id long, text string")
+    want = sorted(((i.item_id, d.doc_id) for i in items.collect() for d in docs.collect() if i.text and i.text.strip() and d.text and i.text in d.text), key=repr)
+    assert sorted(map(tuple, dedup.containments(docs, items).collect()), key=repr) == want and len(want) > 8
+
+
+def test_texts_are_fetched_for_candidates_only(spark):
+    docs = spark.range(0, 3000, 1, 4).select(F.col("id").alias("doc_id"), F.concat(F.lit("of the end "), F.repeat(F.md5(F.col("id").cast("string")), F.lit(120)), F.lit(" of the end ra"), F.col("id"), F.lit(" of the end")).alias("text"))
+    docs.write.mode("overwrite").parquet("/tmp/checkpoints/loomline/texts-of-test")
+    docs = spark.read.parquet("/tmp/checkpoints/loomline/texts-of-test")
+    items = spark.createDataFrame([(k, f"the end ra{k} of the") for k in range(40)] + [(90, "the end ra7777 of the")], "item_id long, text string")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+    before = written()
+    got = sorted(map(tuple, dedup.containments(docs, items).collect()))
+    assert got == [(k, k) for k in range(40)]
+    assert written() - before < 3000 * 3900 / 10
 
 
 def test_json_and_nulls(spark):
