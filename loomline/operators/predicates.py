@@ -132,7 +132,8 @@ def head_sample(frame: DataFrame, keys: list[Column], n: int) -> DataFrame:
 
 
 def is_uuid4(value: Column) -> Column:
-    return value.rlike("(?i)^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$")
+    """With hyphens or without."""
+    return value.rlike(r"(?i)^[0-9a-f]{8}(-?)[0-9a-f]{4}\1[4][0-9a-f]{3}\1[89ab][0-9a-f]{3}\1[0-9a-f]{12}$")
 
 
 def is_digits(value: Column) -> Column:

@@ -148,16 +148,19 @@ def agg21_f1(spark, d):
     return evaluate.f1_scores(fixtures.answers(spark, d))
 
 
-@query("select * from (select unnest(['o3-mini', 'qwen3', 'none']) model) left join (values " + ", ".join(f"('{m}', {i}::double, {o}::double)" for m, (i, o) in evaluate.PRICES.items()) + ") p(model, price_in, price_out) using (model)")
+@query("select * from (select distinct case user_id % 3 when 0 then 'o3-mini' when 1 then 'qwen3' else 'none' end as model from events) left join (values " + ", ".join(f"('{m}', {i}::double, {o}::double)" for m, (i, o) in evaluate.PRICES.items()) + ") p(model, price_in, price_out) using (model)")
 def cst4_accuracy_and_cost(spark, d):
-    models = spark.createDataFrame([("o3-mini",), ("qwen3",), ("none",)], "model string")
+    models = table(spark, d, "events").select(F.when(F.col("user_id") % 3 == 0, "o3-mini").when(F.col("user_id") % 3 == 1, "qwen3").otherwise("none").alias("model")).distinct()
     return evaluate.accuracy_and_cost(models, evaluate.price_list(spark))
 
 
-@query("select round(242.3569140788191 / 1e3 * 1.35 + 604.4085781924523 / 1e3 * 5.4, 6) cost_per_1k_answers")
+@query("with t as (select conv_id % 5 as part, avg(len(string_split(text, ' '))) filter (role = 'user') as i, avg(len(string_split(text, ' '))) filter (role <> 'user') as o from conversations group by 1) select part, round(i / 1e3 * 1.35 + o / 1e3 * 5.4, 6) cost_per_1k_answers from t")
 def cst3_literal_cost(spark, d):
-    mean_in, mean_out = map(F.lit, evaluate.MEAN_TOKENS)
-    return spark.range(1).select(F.round(evaluate.cost_per_1k(mean_in, mean_out, *map(F.lit, evaluate.PRICES["deepseek-r1"])), 6).alias("cost_per_1k_answers"))
+    """The cost of a thousand answers at the mean lengths, in words, of what is asked and said in a fifth of the conversations each."""
+    words = lambda who: F.avg(F.when(who, text.word_count("text")))
+    user = F.col("role") == "user"
+    means = table(spark, d, "conversations").groupBy((F.col("conv_id") % 5).alias("part")).agg(words(user).alias("i"), words(~user).alias("o"))
+    return means.select("part", F.round(evaluate.cost_per_1k(F.col("i"), F.col("o"), *map(F.lit, evaluate.PRICES["deepseek-r1"])), 6).alias("cost_per_1k_answers"))
 
 
 # -- joins
@@ -296,13 +299,17 @@ def prd9_off_topic(spark, d):
     return docs.filter(~F.col("source").eqNullSafe(dedup.OFF_TOPIC))
 
 
-@query("select page_id, regexp_full_match(cast(page_id as varchar), '[0-9]+') digits, length(trim(url)) > 0 and length(url) <= 64 named, url like 'http%' allowed, length(url) >= 8 and regexp_matches(url, '[A-Za-z]') and regexp_matches(url, '[0-9]') as password, page_id < 10000000000 as email, page_id % 3 < 2 as chosen, page_id % 2 = 0 as timed, false as uuid from pages")
+@query("select page_id, regexp_full_match(cast(page_id as varchar), '[0-9]+') digits, length(trim(url)) > 0 and length(url) <= 64 named, url like 'http%' allowed, length(url) >= 8 and regexp_matches(url, '[A-Za-z]') and regexp_matches(url, '[0-9]') as password, page_id % 2 = 0 as email, page_id % 3 < 2 as chosen, page_id % 2 = 0 as timed, page_id % 4 < 2 or regexp_full_match(h, '.{12}4.{3}[89ab].{15}') as uuid from (select *, md5(cast(page_id as varchar)) h from pages)")
 def prd13_validators(spark, d):
     pages, key = table(spark, d, "pages"), F.col("page_id").cast("string")
+    plain = F.md5(key.cast("binary"))
+    made = F.concat(F.substring(plain, 1, 12), F.lit("4"), F.substring(plain, 14, 3), F.lit("A"), F.substring(plain, 18, 15))
+    parts = F.concat_ws("-", *[F.substring(made, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    uuid = F.when(F.col("page_id") % 4 == 0, made).when(F.col("page_id") % 4 == 1, parts).otherwise(plain)
     return pages.select(
         "page_id", predicates.is_digits(key).alias("digits"), predicates.is_name(F.col("url")).alias("named"), F.startswith("url", F.lit("http")).alias("allowed"), predicates.is_password(F.col("url")).alias("password"),
-        predicates.is_email(F.concat(key, F.lit("@example.org"))).alias("email"), predicates.is_one_of(F.col("page_id") % 3, [0, 1]).alias("chosen"),
-        predicates.is_time(F.concat(F.lit("2024-02-"), F.when(F.col("page_id") % 2 == 0, "28").otherwise("31"), F.lit("T00:00:00Z"))).alias("timed"), predicates.is_uuid4(key).alias("uuid"),
+        predicates.is_email(F.concat(key, F.when(F.col("page_id") % 2 == 0, "@example.org").otherwise("@example..org"))).alias("email"), predicates.is_one_of(F.col("page_id") % 3, [0, 1]).alias("chosen"),
+        predicates.is_time(F.concat(F.lit("2024-02-"), F.when(F.col("page_id") % 2 == 0, "28").otherwise("31"), F.lit("T00:00:00Z"))).alias("timed"), predicates.is_uuid4(uuid).alias("uuid"),
     )
 
 
@@ -672,6 +679,14 @@ def src3_pruned_listing(spark, d):
     return lines.filter("value <> ''").select(F.from_json("value", "p_partkey long, p_name string").alias("row")).select("row.*")
 
 
+@query("with c as (select conv_id, list(struct_pack(turn := turn, role := role, text := text)) turns from conversations group by conv_id) select conv_id from c where len(list_filter(turns, lambda x: x.role = 'assistant' and x.turn >= 3)) > 0 and not (len(list_filter(turns, lambda x: x.turn = 6)) > 0 or conv_id % 10 = 3 and conv_id < 40)")
+def src9_nested_filter(spark, d):
+    """Conversations as documents with an array of turns, by a document store's filter over it."""
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role", "text")).alias("turns")).withColumn("last", F.struct((F.col("conv_id") % 10).alias("digit")))
+    match = {"turns": {"$elemMatch": {"role": "assistant", "turn": {"$gte": 3}}}, "$nor": [{"turns.turn": 6}, {"last.digit": 3, "conv_id": {"$not": {"$gte": 40}}}]}
+    return readers.scan_documents(turns, {"match": match, "project": {"conv_id": 1}})
+
+
 @query("select page_id, url from pages where page_id % 16 >= 8")
 def src8_changed_members(spark, d):
     """Pages in archives of 16; a change table names archives, and of those past the mark the JSON members are read."""

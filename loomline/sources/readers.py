@@ -6,17 +6,21 @@ import bz2
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from datetime import date, datetime
+from decimal import Decimal
+from functools import reduce
+from operator import and_, ge, gt, le, lt, or_
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.operators.predicates import limit_offset, numbered, order_by, since, where
+from loomline.operators.predicates import limit_offset, numbered, order_by, quoted, since, where
 from loomline.plans.templates import render
 from loomline.sources.writers import _file_system
 
@@ -267,29 +271,130 @@ def scan_table(table: DataFrame, select: list[str] | None = None, incremental: s
 
 
 #: What a filter of a document store calls a comparison.
-MATCHES = {"$eq": "=", "$ne": "!=", "$gt": ">", "$gte": ">=", "$lt": "<", "$lte": "<=", "$in": "IN", "$nin": "NOT IN"}
+MATCHES = ("$eq", "$ne", "$gt", "$gte", "$lt", "$lte", "$in", "$nin", "$exists", "$not", "$regex", "$size", "$all", "$elemMatch")
+Test = Callable[[Column, T.DataType], Column]
+
+
+def _along(value: Column, kind: T.DataType, path: list[str], test: Test) -> Column:
+    """Whether what lies at a dotted path passes a test: through arrays any element may, at its end the array itself, too."""
+    if isinstance(kind, T.ArrayType):
+        found = F.exists(value, lambda x: F.coalesce(_along(x, kind.elementType, path, test), F.lit(False)))
+        if not path:
+            return found | F.coalesce(test(value, kind), F.lit(False))
+        if path[0].isdigit():
+            found = found | F.coalesce(_along(F.get(value, F.lit(int(path[0]))), kind.elementType, path[1:], test), F.lit(False))
+        return found
+    if not path:
+        return test(value, kind)
+    if isinstance(kind, T.StructType) and path[0] in kind.names:
+        return _along(value.getField(path[0]), kind[path[0]].dataType, path[1:], test)
+    if isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
+        return _along(F.try_element_at(value, F.lit(path[0])), kind.valueType, path[1:], test)
+    return test(F.lit(None), T.NullType())
+
+
+def _comparable(kind: T.DataType, value) -> bool:
+    """Values of other types are not compared, and so never match."""
+    if isinstance(value, bool) or isinstance(kind, T.BooleanType):
+        return isinstance(value, bool) and isinstance(kind, T.BooleanType)
+    if isinstance(value, (int, float, Decimal)):
+        return isinstance(kind, T.NumericType)
+    if isinstance(value, (date, datetime)):
+        return isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType))
+    return isinstance(value, str) and isinstance(kind, T.StringType) or isinstance(value, (bytes, bytearray)) and isinstance(kind, T.BinaryType)
+
+
+def _equals(value: Column, kind: T.DataType, wanted) -> Column:
+    if wanted is None:
+        return value.isNull()
+    if isinstance(wanted, (list, tuple)):
+        if not isinstance(kind, T.ArrayType):
+            return F.lit(False)
+        each = [F.coalesce(_equals(F.get(value, F.lit(k)), kind.elementType, w), F.lit(False)) for k, w in enumerate(wanted)]
+        return reduce(and_, each, F.size(value) == len(wanted))
+    if isinstance(wanted, dict):
+        if not isinstance(kind, T.StructType) or set(wanted) - set(kind.names):
+            return F.lit(False)
+        return reduce(and_, [F.coalesce(_equals(value.getField(f.name), f.dataType, wanted.get(f.name)), F.lit(False)) for f in kind], value.isNotNull())
+    return value == F.lit(wanted) if _comparable(kind, wanted) else F.lit(False)
+
+
+def _compares(sign: str, wanted) -> Test:
+    call = {"$gt": gt, "$gte": ge, "$lt": lt, "$lte": le}[sign]
+    return lambda value, kind: call(value, F.lit(wanted)) if _comparable(kind, wanted) else F.lit(False)
+
+
+def _no(found: Column) -> Column:
+    return ~F.coalesce(found, F.lit(False))
+
+
+def _operator(value: Column, kind: T.DataType, path: list[str], name: str, wanted) -> Column:
+    """One comparison of a document store at a path."""
+    at = lambda test: _along(value, kind, path, test)
+    any_of = lambda values, join=or_: reduce(join, [at(lambda v, k, w=w: _equals(v, k, w)) for w in values], F.lit(join is and_))
+    whole = lambda test: lambda v, k: test(v, k) if isinstance(k, T.ArrayType) else F.lit(False)
+    if name in ("$eq", "$ne"):
+        return any_of([wanted]) if name == "$eq" else _no(any_of([wanted]))
+    if name in ("$in", "$nin"):
+        return any_of(wanted) if name == "$in" else _no(any_of(wanted))
+    if name == "$all":
+        return any_of(wanted, and_) if wanted else F.lit(False)
+    if name == "$exists":
+        there = at(lambda v, k: v.isNotNull())
+        return there if wanted else _no(there)
+    if name == "$not":
+        return _no(reduce(and_, [_operator(value, kind, path, n, w) for n, w in wanted.items()]))
+    if name == "$regex":
+        return at(lambda v, k: v.rlike(wanted) if isinstance(k, T.StringType) else F.lit(False))
+    if name == "$size":
+        return at(whole(lambda v, k: F.size(v) == wanted))
+    if name == "$elemMatch":
+        if any(n.startswith("$") and n not in ("$and", "$or", "$nor") for n in wanted):
+            inside = lambda x, k: reduce(and_, [_operator(x, k, [], n, w) for n, w in wanted.items()])
+        else:
+            inside = lambda x, k: _document(x, k, wanted)
+        return at(whole(lambda v, k: F.exists(v, lambda x: F.coalesce(inside(x, k.elementType), F.lit(False)))))
+    if name not in MATCHES:
+        raise ValueError(f"unknown comparison {name}")
+    return at(_compares(name, wanted))
 
 
-def match_tree(match: dict) -> dict:
-    """A document store's filter as a condition tree."""
+def _document(value: Column | None, kind: T.DataType, match: dict) -> Column:
     conditions = []
-    for field, value in match.items():
-        if field in ("$and", "$or"):
-            conditions.append({"logical": field[1:], "conditions": [match_tree(x) for x in value]})
-        elif isinstance(value, dict):
-            if unknown := set(value) - set(MATCHES):
-                raise ValueError(f"unknown comparison {sorted(unknown)[0]}")
-            conditions += [{"field": field, "operator": MATCHES[k], "value": v} for k, v in value.items()]
+    for name, wanted in match.items():
+        if name in ("$and", "$or", "$nor"):
+            parts = [_document(value, kind, x) for x in wanted]
+            conditions.append(reduce(and_, parts) if name == "$and" else reduce(or_, parts) if name == "$or" else _no(reduce(or_, parts)))
+            continue
+        if name.startswith("$"):
+            raise ValueError(f"unknown comparison {name}")
+        path = name.split(".")
+        if value is not None:
+            start, inner, rest = value, kind, path
+        elif path[0] in kind.names:
+            start, inner, rest = F.col(quoted(path[0])), kind[path[0]].dataType, path[1:]
         else:
-            conditions.append({"field": field, "operator": "=", "value": value})
-    return {"logical": "and", "conditions": conditions}
+            start, inner, rest = F.lit(None), T.NullType(), []
+        tests = wanted if isinstance(wanted, dict) and wanted and all(k.startswith("$") for k in wanted) else {"$eq": wanted}
+        conditions += [_operator(start, inner, rest, n, w) for n, w in tests.items()]
+    return reduce(and_, conditions, F.lit(True)) if len(conditions) != 1 else conditions[0]
+
+
+def match_filter(match: dict, schema: T.StructType) -> Column:
+    """A document store's filter over rows of ``schema`` as a Column.
+
+    ``$and``, ``$or``, ``$nor``, ``$not``, the comparisons of ``MATCHES``, dotted paths through structs, maps and arrays, of which any
+    element may match, and whole arrays and documents. A field that is null is one that is not there. Values of different types
+    never match. Comparisons of plain columns stay what the optimizer pushes down to the scan."""
+    return _document(None, schema, match)
 
 
 def scan_documents(table: DataFrame, config: dict, mark=None, mode: str = ">") -> DataFrame:
     """A collection by its extractor's ``project``, ``sort`` ([field, 1 or -1] each) and ``match``, from a mark on."""
     select = [k for k, on in config["project"].items() if on] if config.get("project") else None
     order = [{"field": f, "direction": "DESC" if way < 0 else "ASC"} for f, way in config.get("sort") or []]
-    return scan_table(table, select, config.get("incrementalField"), mark, mode, match_tree(config["match"]) if config.get("match") else None, order)
+    frame = table.filter(match_filter(config["match"], table.schema)) if config.get("match") else table
+    return scan_table(frame, select, config.get("incrementalField"), mark, mode, None, order)
 
 
 def literal(value) -> str:

@@ -9,6 +9,7 @@ import posixpath
 import tarfile
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -121,9 +122,10 @@ def append_to_json_array(spark: SparkSession, path: str, items: list[dict]) -> i
     out = system.create(draft, False)
     out.write(bytearray(("[\n" + ",\n".join(json.dumps(x, ensure_ascii=False) for x in [*known, *items]) + "\n]").encode()))
     out.close()
-    system.delete(file, False)
-    if not system.rename(draft, file):
-        raise OSError(f"could not write {path}")
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(system.getUri(), spark._jsc.hadoopConfiguration()).rename(draft, file, options)
     return len(known) + len(items)
 
 
@@ -150,13 +152,16 @@ def write_named_batches(frame: DataFrame, folder: str, etl: str, field: str, kin
     ends = paged.groupBy("__page").agg(F.max(field).cast("string").alias("last")).orderBy("__page").collect()
     writer = paged.repartition("__page").sortWithinPartitions("__page", field).write.partitionBy("__page")
     (writer.option("header", "true").csv(staged) if kind == "csv" else writer.option("ignoreNullFields", "false").json(staged))
-    names, before = [], mark or ""
-    for end in ends:
-        (found,) = [s.getPath() for s in system.listStatus(path(f"{staged}/__page={end['__page']}")) if s.getPath().getName().startswith("part-")]
-        names.append(f"ETL_{etl}_IV_{before}_{named(len(names))}.{kind}")
-        if not system.rename(found, path(f"{folder}/{names[-1]}")):
-            raise OSError(f"could not write {names[-1]}")
-        before = end["last"]
+    befores = [mark or "", *(end["last"] for end in ends)]
+    names = [f"ETL_{etl}_IV_{before}_{named(k)}.{kind}" for k, before in enumerate(befores[:-1])]
+
+    def move(page, name: str) -> None:
+        (found,) = [s.getPath() for s in system.listStatus(path(f"{staged}/__page={page}")) if s.getPath().getName().startswith("part-")]
+        if not system.rename(found, path(f"{folder}/{name}")):
+            raise OSError(f"could not write {name}")
+
+    with ThreadPoolExecutor(16) as pool:
+        list(pool.map(move, [end["__page"] for end in ends], names))
     return names
 
 

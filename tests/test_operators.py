@@ -4,6 +4,7 @@ import tarfile
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomline.functions import arrays
 from loomline.operators import clean, dedup, dml, evaluate, inference, predicates
@@ -176,7 +177,7 @@ def test_document_extractor(spark):
     assert [tuple(r) for r in runner.extract(spark, registry, "m").collect()] == [(10, 100), (9, 90), (1, 10)]
     assert [r.id for r in runner.extract(spark, registry, "m", mark=90).collect()] == [10] and [r.id for r in runner.extract(spark, registry, "m", mark=90, mode=">=").collect()] == [10, 9]
     with pytest.raises(ValueError):
-        readers.match_tree({"a": {"$near": 1}})
+        readers.match_filter({"a": {"$near": 1}}, T.StructType())
 
 
 def test_resumable_inference(spark, tmp_path):
