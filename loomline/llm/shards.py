@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import contextlib
 import json
+import re
 import time
 import uuid
 from collections.abc import Iterator
@@ -132,6 +133,11 @@ def cut_by_bytes(frame: DataFrame, name: str, cut: int) -> DataFrame:
     return frame.mapInArrow(run, T.StructType([*frame.schema.fields, T.StructField(name, T.IntegerType())]))
 
 
+def _exactly(path: str) -> str:
+    """A path that Spark takes as it is written, not as a pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 class ShardStore:
     """A folder of shards and manifests in any file system that Spark reaches."""
 
@@ -220,8 +226,10 @@ class ShardStore:
     def _listed(self, folder: str) -> list[Shard]:
         """The files below a folder of the store."""
         base = self.fs.makeQualified(self._path(self.root)).toString()
-        files = self.spark.read.option("recursiveFileLookup", "true").schema("a int").parquet(f"{self.root}/{folder}")
-        found = files.groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")).count().collect()
+        files = self.spark.read.option("recursiveFileLookup", "true").schema("a int").parquet(_exactly(f"{self.root}/{folder}"))
+        # a file's path comes percent-encoded, the root does not
+        path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+        found = files.groupBy(path.alias("path"), F.col("_metadata.file_size").alias("size")).count().collect()
         plain = lambda p: p.split(":", 1)[-1].lstrip("/")
         return [Shard(plain(r["path"])[len(plain(base)) + 1 :], r["count"], r["size"]) for r in sorted(found, key=lambda r: r["path"]) if r["count"]]
 
@@ -273,7 +281,7 @@ class ShardStore:
         return [run for group in full for run in runs_of(group, self.target) if len(run) > 1]
 
     def _read(self, shards: list[Shard], schema: T.StructType) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{s.path}" for s in shards])
+        return self.spark.read.schema(schema).parquet(*[_exactly(f"{self.root}/{s.path}") for s in shards])
 
     @contextlib.contextmanager
     def _apart(self) -> Iterator[None]:
@@ -328,17 +336,22 @@ class ShardStore:
 
     def vacuum(self, young: float = 3600.0) -> int:
         """Delete files that the newest version does not list and that are older than ``young`` seconds; how many went.
-        Readers of older versions, and writers slower than that, lose theirs."""
+        Readers of older versions, and writers slower than that, lose theirs. Nothing is deleted where a shard that the version
+        lists is not found: its name may be read wrongly, and then it is among those that seem to be listed nowhere."""
         live, now = {s.path for s in self.manifest().shards}, time.time()
-        gone = 0
         base = len(self.fs.makeQualified(self._path(self.root)).toString()) + 1
-        if not self.fs.exists(self._path(f"{self.root}/shards")):
-            return 0
-        files = self.fs.listFiles(self._path(f"{self.root}/shards"), True)
-        while files.hasNext():
-            status = files.next()
-            if self.fs.makeQualified(status.getPath()).toString()[base:] not in live and now - status.getModificationTime() / 1000 >= young:
-                gone += self.fs.delete(status.getPath(), False) and status.getPath().getName().endswith(".parquet")
+        found = {}
+        if self.fs.exists(self._path(f"{self.root}/shards")):
+            files = self.fs.listFiles(self._path(f"{self.root}/shards"), True)
+            while files.hasNext():
+                status = files.next()
+                found[self.fs.makeQualified(status.getPath()).toString()[base:]] = status
+        if lost := live - set(found):
+            raise FileNotFoundError(f"{len(lost)} shards of the newest version are not there, {min(lost)} among them")
+        gone = 0
+        for name, status in found.items():
+            if name not in live and now - status.getModificationTime() / 1000 >= young:
+                gone += self.fs.delete(status.getPath(), False) and name.endswith(".parquet")
         return gone
 
 

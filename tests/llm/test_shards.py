@@ -26,6 +26,28 @@ def test_tiers_and_runs():
     assert shards.runs_of([], 5) == []
 
 
+@pytest.mark.parametrize("name", ["my store", "50% ü+1 %20", "a[1]{b}"])
+def test_paths_that_have_to_be_escaped(spark, tmp_path, name):
+    s = ShardStore(spark, f"file://{tmp_path}/{name}", target=60_000, smallest=2_000, fan=3, cut=6_000)
+    for k in range(4):
+        s.append(rows(spark, k * 100, 100).repartition(2))
+    want = sorted(map(tuple, rows(spark, 0, 400).collect()))
+    assert sorted(map(tuple, s.read().collect())) == want and all(x.path.startswith("shards/") for x in s.manifest().shards)
+    s.compact()
+    assert s.vacuum(0) >= 8 and sorted(map(tuple, s.read().collect())) == want
+
+
+def test_vacuum_refuses_where_a_listed_shard_is_missing(spark, tmp_path):
+    s = ShardStore(spark, f"file://{tmp_path}/s", target=60_000, smallest=2_000, fan=3, cut=6_000)
+    s.append(rows(spark, 0, 100).repartition(2))
+    lost = s.manifest().shards[0].path
+    (tmp_path / "s" / lost).rename(tmp_path / "elsewhere")
+    left = len(list((tmp_path / "s/shards").rglob("*.parquet")))
+    with pytest.raises(FileNotFoundError):
+        s.vacuum(0)
+    assert len(list((tmp_path / "s/shards").rglob("*.parquet"))) == left
+
+
 def test_append_compact_read(spark):
     s = store(spark)
     for k in range(12):
