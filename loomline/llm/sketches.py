@@ -16,11 +16,15 @@ it travels on, beside its sketch.
 
 Rows: a null text is an empty one; null ids come last; rows that share an id follow each other by the hash of their content;
 rows that repeat id and text each get their result (the one behind the last of them is the next other row); other columns,
-however they are called, are ignored; an empty table gives an empty one. A text is split in memory, some 120 bytes a word.
+however they are called, are ignored; an empty table gives an empty one. A text is split in slices of ``SLICE`` characters, whose
+sketches are merged, so its words are never all in memory at once. A slice sees ``BEYOND`` characters of the next one, to end
+the shingles that begin in it; a word that reaches further is cut there.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +33,8 @@ from loomline.operators.predicates import numbered
 
 #: Words of a shingle, the share of hashes that are retained, as one in so many, and how many are at least.
 WORDS, SCALE, FEWEST = 5, 8, 16
+#: Characters of a text that are split at once, and how far a slice looks into the next.
+SLICE, BEYOND = 1 << 20, 1 << 16
 _SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -37,21 +43,60 @@ def _once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-def with_sketch(frame: DataFrame, text: str, name: str, words: int = WORDS, scale: int = SCALE) -> DataFrame:
-    """``frame`` with the sketch of a text column, an ascending array of longs; null of a null text."""
-    bare = F.btrim(F.col(text), F.lit(_SPACE))
-    split = frame.select("*", _once(F.transform(F.split(bare, "[ \\t-\\r]+"), lambda w: F.xxhash64(w))).alias("__words"))
-    n = F.size("__words")
-    at = lambda k: F.get("__words", k)
-    shingle = lambda _, i: F.shiftrightunsigned(F.xxhash64(*[at(i + d) for d in range(words)]), 1)
-    short = F.array(F.shiftrightunsigned(F.aggregate("__words", F.lit(42).cast("long"), lambda a, w: F.xxhash64(a, w)), 1))
-    starts = F.slice("__words", 1, F.greatest(n - words + 1, F.lit(0)))
-    hashed = split.select("*", _once(F.when(n < words, short).otherwise(F.transform(starts, shingle))).alias("__hashes"), bare.alias("__bare"))
-    below = hashed.select("*", _once(F.array_distinct(F.filter("__hashes", lambda h: h < (1 << 63) // scale))).alias("__below"))
-    small = F.slice(F.sort_array(F.array_distinct("__hashes")), 1, FEWEST)
-    kept = F.when(F.size("__below") >= FEWEST, F.sort_array("__below")).otherwise(small)
-    blank = F.when(F.col(text).isNotNull(), F.array().cast("array<long>"))
-    return below.withColumn(name, F.when(F.col("__bare") != "", kept).otherwise(blank)).drop("__words", "__hashes", "__bare", "__below")
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often it is referred to."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _words(text: Column) -> Column:
+    """What stands between white space; no text, no words."""
+    bare = F.btrim(text, F.lit(_SPACE))
+    return F.when(bare != "", F.split(bare, "[ \\t-\\r]+")).otherwise(F.array().cast("array<string>"))
+
+
+def _lowest(hashes: Column, scale: int) -> Column:
+    """What a sketch retains of hashes, in any order: those below the threshold, or the smallest where these are few."""
+    below = F.array_distinct(F.filter(hashes, lambda h: h < (1 << 63) // scale))
+    return _let(below, lambda b: F.when(F.size(b) >= FEWEST, b).otherwise(F.slice(F.sort_array(F.array_distinct(hashes)), 1, FEWEST)))
+
+
+def _hashes(words: Column, first: Column, words_of: int, whole: Column, scale: int) -> Column:
+    """What is retained of the shingles that begin in the ``first`` words; ``whole``: these are all, and if few one shingle."""
+    shift = lambda h: F.shiftrightunsigned(h, 1)
+
+    def of(h: Column) -> Column:
+        at = lambda k: F.get(h, k)
+        starts = F.slice(h, F.lit(1), F.greatest(F.least(first, F.size(h) - words_of + 1), F.lit(0)))
+        long = _let(F.transform(starts, lambda x, i: shift(F.xxhash64(x, *[at(i + d) for d in range(1, words_of)]))), lambda s: _lowest(s, scale))
+        short = F.array(shift(F.aggregate(h, F.lit(42).cast("long"), lambda a, w: F.xxhash64(a, w))))
+        return F.when(whole & (F.size(h) < words_of) & (F.size(h) > 0), short).otherwise(long)
+
+    return _let(F.transform(words, lambda w: F.xxhash64(w)), of)
+
+
+def sketch(text: Column, words: int = WORDS, scale: int = SCALE, size: int | None = None, beyond: int | None = None) -> Column:
+    """The sketch of a text, an ascending array of longs; null of a null text."""
+    size, beyond = size or SLICE, beyond or BEYOND
+
+    def part(k: Column) -> Column:
+        # one character before the slice tells whether its first word has begun before it
+        start = k * size
+        before = F.when(k == 0, F.lit(" ")).otherwise(F.substring(text, start, F.lit(1)))
+        inside = F.when(before.rlike("^[ \\t-\\r]$"), F.substring(text, start + 1, F.lit(size))).otherwise(F.regexp_replace(F.substring(text, start + 1, F.lit(size)), "^[^ \\t-\\r]+", ""))
+        after = F.substring(text, start + size + 1, F.lit(beyond))
+        return _let(inside, lambda own: _hashes(_words(F.concat(own, after)), F.size(_words(own)), words, F.lit(False), scale))
+
+    n = F.char_length(text)
+    few = _let(_words(text), lambda w: _hashes(w, F.size(w), words, F.lit(True), scale))
+    many = F.flatten(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")), part))
+    # a text of few words in many slices is one shingle, as any other
+    sliced = _let(many, lambda m: F.when(F.size(m) > 0, _lowest(m, scale)).otherwise(few))
+    return F.when(text.isNotNull(), F.sort_array(F.when(n <= size, few).otherwise(sliced)))
+
+
+def with_sketch(frame: DataFrame, text: str, name: str, words: int = WORDS, scale: int = SCALE, size: int | None = None, beyond: int | None = None) -> DataFrame:
+    """``frame`` with the sketch of a text column; a generator keeps what refers to it from computing it anew."""
+    return frame.select("*", _once(sketch(F.col(text), words, scale, size, beyond)).alias(name))
 
 
 def merged(one: Column, other: Column, scale: int = SCALE) -> Column:

@@ -104,6 +104,15 @@ def test_containment_of_unequal_texts(spark, part):
     assert abs(made.select(sketches.containment(F.col("sb"), F.col("sa"))).first()[0] - part) < 0.1
 
 
+@pytest.mark.parametrize("size, beyond", [(7, 900), (50, 900), (1000, 900)])
+def test_slices_give_the_same_sketch(spark, sf_dir, size, beyond):
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect()]
+    texts += ["one  two three " * 40, " lead and trail \n" * 9, "a b c d", "x" * 30, "tie " * 2000, "déjà 𝒳 vu " * 30]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    made = sketches.with_sketch(sketches.with_sketch(frame, "text", "whole"), "text", "sliced", size=size, beyond=beyond)
+    assert all(r.whole == r.sliced == sketch(shingles(r.text)) for r in made.collect())
+
+
 def test_no_python_in_the_plan(spark, sf_dir):
     frame = sketches.fingerprints(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
     plan = frame._jdf.queryExecution().executedPlan().toString()
