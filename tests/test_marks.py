@@ -11,6 +11,11 @@ from loomline.sources.marks import Conflict, Marks
 DRIVER = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
 
 
+@pytest.fixture(autouse=True)
+def quiet(spark):
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
+
+
 @pytest.fixture
 def store(spark, tmp_path):
     return Marks(spark, f"file://{tmp_path}/loads of % ü")
