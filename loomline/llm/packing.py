@@ -3,9 +3,10 @@
 A document's ids are cut into full windows and one remainder. Within a block of remainders only their lengths matter:
 a bitset subset-sum program over the multiset of lengths finds, for the longest length left, the partners that fill
 the window closest to its capacity; backtracking through the bitsets gives how many of each length it takes, and that
-pattern is used as often as the counts allow. Windows that no pattern fills are carried into the next block. What a
-partition has left at its end is cut freely into full windows and, last, into windows whose lengths are powers of two,
-which need no padding.
+pattern is used as often as the counts allow. Windows that no pattern fills are carried into the next block, up to half a
+block; what is more is closed at once, the closest fills first, their slack filled by pieces cut from the worst. At a
+partition's end all are closed so, and less than a window is cut into windows whose lengths are powers of two, which need no
+padding.
 
 Each task packs its own partition, so nothing is shuffled and no plan grows with the corpus; a block holds at most
 ``BLOCK`` ids. Sequence numbers carry the partition number in their upper bits.
@@ -16,8 +17,9 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -150,30 +152,53 @@ class Packer:
             self.held[len(rest) // 4].append((doc_id, whole // 4, rest, total))
             self.tokens += len(rest) // 4
 
-    def pack(self) -> None:
-        """Pack what is held; windows with slack keep their pieces for later."""
-        kept = defaultdict(list)
-        for pattern, times, slack in fill_windows({k: len(v) for k, v in self.held.items()}, self.capacity):
+    def _close(self, pieces: list[tuple]) -> None:
+        """A sequence of these pieces."""
+        offset = 0
+        for doc_id, start, ids, total in pieces:
+            self._emit(doc_id, start, ids, total, self.next, offset)
+            offset += len(ids) // 4
+        self.next += 1
+
+    def pack(self, keep: int) -> None:
+        """Pack what is held until at most ``keep`` ids are left, or less than a window.
+
+        Windows that a pattern fills are done. Of the others those closest to their capacity are closed first: pieces of the
+        windows furthest from it are cut to fill their slack. So a call that starts at twice ``keep`` ids or more gets rid of
+        half of them, whatever their lengths are."""
+        patterns = fill_windows({k: len(v) for k, v in self.held.items()}, self.capacity)
+        open_windows = []
+        for pattern, times, slack in patterns:
             for _ in range(times):
-                offset = 0
-                for length, n in pattern.items():
-                    for _ in range(n):
-                        piece = self.held[length].pop()
-                        if slack:
-                            kept[length].append(piece)
-                            continue
-                        doc_id, start, ids, total = piece
-                        self._emit(doc_id, start, ids, total, self.next, offset)
-                        offset += length
-                self.next += not slack
-        self.held, self.tokens = kept, sum(k * len(v) for k, v in kept.items())
+                pieces = [self.held[length].pop() for length, n in pattern.items() for _ in range(n)]
+                if slack:
+                    open_windows.append((slack, pieces))
+                else:
+                    self._close(pieces)
+        waiting = deque(sorted(open_windows, key=lambda w: w[0]))
+        self.tokens = sum(self.capacity - slack for slack, _ in waiting)
+        spare: list[tuple] = []  # pieces of one dissolved window, less than a window's ids
+        while self.tokens > keep and self.tokens >= self.capacity:
+            slack, pieces = waiting.popleft()
+            while slack:
+                if not spare:
+                    spare = waiting.pop()[1]
+                doc_id, start, ids, total = spare.pop()
+                pieces.append((doc_id, start, ids[: slack * 4], total))
+                if len(ids) > slack * 4:
+                    spare.append((doc_id, start + slack, ids[slack * 4 :], total))
+                slack -= len(pieces[-1][2]) // 4
+            self._close(pieces)
+            self.tokens -= self.capacity
+        self.held = defaultdict(list)
+        for piece in chain(spare, *(pieces for _, pieces in waiting)):
+            self.held[len(piece[2]) // 4].append(piece)
 
     def finish(self) -> None:
-        """Cut what is left into full windows and then into windows of a power of two."""
-        self.pack()
+        """Pack all full windows, then cut what is left into windows of a power of two."""
+        self.pack(0)
         left = self.tokens
-        room = min(self.capacity, 1 << max(0, left.bit_length() - 1))
-        offset = 0
+        room, offset = 1 << max(0, left.bit_length() - 1), 0
         for length in sorted(self.held, reverse=True):
             for doc_id, start, ids, total in self.held[length]:
                 at = 0
@@ -183,7 +208,7 @@ class Packer:
                     at, offset, left = at + take, offset + take, left - take
                     if offset == room:
                         self.next, offset = self.next + 1, 0
-                        room = min(self.capacity, 1 << max(0, left.bit_length() - 1))
+                        room = 1 << max(0, left.bit_length() - 1)
         self.held, self.tokens = defaultdict(list), 0
 
     def drain(self) -> list[tuple]:
@@ -197,7 +222,7 @@ def pack_stream(rows: Iterable[tuple[int | None, bytes]], first: int = 0, capaci
     for doc_id, ids in rows:
         packer.add(doc_id, ids)
         if packer.tokens >= block:
-            packer.pack()
+            packer.pack(block // 2)
         if len(packer.out) >= 20_000:
             yield packer.drain()
     packer.finish()

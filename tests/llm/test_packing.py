@@ -58,6 +58,20 @@ def test_stream(block):
     assert check(docs, pieces, 64) == 0
 
 
+@pytest.mark.parametrize("length", [33, 40, 43, 63])
+def test_equal_lengths_take_linear_time(length, monkeypatch):
+    """No pattern fills a window, and still a block is gone over once: a call of ``pack`` for each half block."""
+    calls, filled = [], packing.fill_windows
+    monkeypatch.setattr(packing, "fill_windows", lambda *a: calls.append(1) or filled(*a))
+    docs = {i: as_ids(length, i) for i in range(3000)}
+    pieces = [p for x in packing.pack_stream(docs.items(), 0, 64, 6400) for p in x]
+    assert check(docs, pieces, 64) == 0
+    assert len(calls) <= 3000 * length / 3200 + 2
+    # the first piece of a window is still whole in most: patterns stay, slack alone is cut
+    whole = sum(p[2] == length for p in pieces)
+    assert whole >= 3000 * length // 64 * 0.9
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 70), max_size=40))
 def test_any_lengths(lengths):
