@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import product
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +52,15 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(d)
 
 
+@cache
+def choices(axes: int, hashes: int, count: int) -> list[tuple[int, ...]]:
+    """Places in ``hashes`` sorted lists that can be among the ``count`` smallest sums: a sum is preceded by all those whose
+    places are no later in any list, so the product of places, from one, is at most ``count``."""
+    if not hashes:
+        return [()]
+    return [(c, *rest) for c in range(min(axes, count)) for rest in choices(axes, hashes - 1, count // (c + 1))]
+
+
 @dataclass(frozen=True)
 class CrossPolytope:
     """The hash functions: they depend on nothing but these numbers."""
@@ -104,10 +113,7 @@ class CrossPolytope:
             lost = np.take_along_axis(signed, best[:, :1], 1) - np.take_along_axis(signed, best, 1)
             each.append((best, lost**2))
         code, lost = [], []
-        for choice in product(range(axes), repeat=self.hashes):
-            # of sorted lists the best sums take no more than ``count`` places below their own
-            if np.prod(np.add(choice, 1)) > count:
-                continue
+        for choice in choices(axes, self.hashes, count):
             total = np.zeros(len(x), np.int64)
             for (best, _), c in zip(each, choice, strict=True):
                 total = total * 2 * self.width + best[:, c]

@@ -132,3 +132,16 @@ def test_small_and_repeated_tables(spark):
     many = [(7, (np.array(rows[0][1]) + rng.normal(size=64) / 100).tolist()) for _ in range(60)] + rows
     got = ann.search(spark, spark.createDataFrame(many, "vec_id long, embedding array<double>"))
     assert sorted((r.query_id, r.rank, r.vec_id) for r in got.collect()) == sorted((q, k + 1, i) for q, near in brute(many).items() for k, (_, i) in enumerate(near))
+
+
+@pytest.mark.parametrize("axes, hashes, count", [(1, 3, 5), (6, 1, 4), (8, 2, 16), (5, 3, 20), (3, 4, 64)])
+def test_choices_hold_every_smallest_sum(axes, hashes, count):
+    from itertools import product
+
+    got = ann.choices(axes, hashes, count)
+    assert got == [c for c in product(range(axes), repeat=hashes) if np.prod(np.add(c, 1)) <= count]
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        lists = np.sort(rng.random((hashes, axes)), axis=1)
+        cost = lambda c: sum(lists[k][x] for k, x in enumerate(c))
+        assert set(sorted(product(range(axes), repeat=hashes), key=cost)[:count]) <= set(got)
