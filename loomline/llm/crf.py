@@ -7,7 +7,8 @@ the mean over lines, weighted by length, is the text's score.
 Training: each line of a labelled document takes the document's label. At most ``SAMPLE`` labelled documents are used,
 those with the smallest hash of their id, so the sample is spread evenly and the same at each run, and of each at most
 ``LINES`` lines that follow one another, from a place that its id's hash names; only their measures reach the driver, 125 MB
-at most. The model is a fixed number of weights. Every text is scored whole, on its own partition.
+at most. The model is a fixed number of weights. Every text is scored whole, on its own partition; one of many lines by blocks
+of them, for which some 40 bytes a line are held beside the text.
 
 Rows: null and empty texts are one empty line; repeated rows get equal scores, and of rows that repeat an id the smallest text
 trains; a null id is not held out; labels that are null are ignored and of several labels of an id the largest counts;
@@ -16,11 +17,15 @@ without a label of each kind the score is the share of good labels, or one half
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
+from math import exp, log1p
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +37,8 @@ SAMPLE = 4000
 #: Lines of a document that training uses at most.
 LINES = 100
 STEPS, RATE, RIDGE = 150, 0.1, 1e-4
+#: Bytes of a text whose lines are measured at once, and lines of all texts that are taken together.
+SLICE, TOGETHER = 1 << 15, 1 << 14
 
 UPPER = bytes(range(65, 91))
 LOWER = bytes(range(97, 123))
@@ -60,15 +67,60 @@ def line_measures(line: bytes, repeated: bool) -> list[float]:
     return [*out, np.log1p(size), np.log1p(n), letters / 8, float(letters > 8), different, float(different < 0.5), again, marked, float(repeated), float(start in UPPER if start else 0), float(end in b".!?" if end else 0), float(not n)]
 
 
+def line_blocks(data: bytes, size: int = 0) -> Iterator[list[bytes]]:
+    """The lines of a text, in lists of some ``size`` bytes (``SLICE`` if 0)."""
+    at = 0
+    while True:
+        end = data.find(b"\n", at + (size or SLICE))
+        if end < 0:
+            yield data[at:].split(b"\n")
+            return
+        yield data[at:end].split(b"\n")
+        at = end + 1
+
+
+def repeats(data: bytes) -> np.ndarray:
+    """Whether each line of a text equals an earlier one, by 64-bit hashes: eight bytes a line are held, whatever lines hold."""
+    codes = array("Q")
+    for lines in line_blocks(data):
+        codes.extend([xxhash.xxh3_64_intdigest(line) for line in lines])
+    codes = np.frombuffer(codes, np.uint64)
+    part, again = codes.view(np.uint8)[::8] & 15, np.ones(len(codes), bool)
+    for k in range(16):  # a sixteenth at a time is sorted
+        at = np.flatnonzero(part == k)
+        again[at[np.unique(codes[at], return_index=True)[1]]] = False
+    return again
+
+
+def block_measures(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(lines, measures) and the lines' lengths of a text, block by block."""
+    again, at = repeats(data), 0
+    for lines in line_blocks(data):
+        rows = np.empty((len(lines), N_MEASURES))
+        for k, line in enumerate(lines):
+            rows[k] = line_measures(line, bool(again[at + k]))
+        at += len(lines)
+        yield rows, np.array([len(x) + 1 for x in lines], np.float64)
+
+
 def text_measures(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(lines, measures) and the lines' lengths."""
-    lines = (text or "").encode().split(b"\n")
-    seen: set[bytes] = set()
-    rows = []
-    for line in lines:
-        rows.append(line_measures(line, line in seen))
-        seen.add(line)
-    return np.array(rows, np.float64), np.array([len(x) + 1 for x in lines], np.float64)
+    """(lines, measures) and the lines' lengths of a whole text, which has to be a short one."""
+    rows, sizes = zip(*block_measures((text or "").encode()), strict=True)
+    return np.concatenate(rows), np.concatenate(sizes)
+
+
+def some_measures(text: str | None, place: int) -> np.ndarray:
+    """Measures of at most ``LINES`` lines that follow one another, from a line that ``place`` names."""
+    data = (text or "").encode()
+    start, at, out = place % max(1, data.count(b"\n") + 2 - LINES), 0, []
+    again = repeats(data)
+    for lines in line_blocks(data):
+        for k in range(max(at, start), min(at + len(lines), start + LINES)):
+            out.append(line_measures(lines[k - at], bool(again[k])))
+        at += len(lines)
+        if at >= start + LINES:
+            break
+    return np.array(out, np.float64)
 
 
 def with_neighbours(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -119,6 +171,32 @@ def forward_backward(gain: np.ndarray, starts: np.ndarray, pair: np.ndarray) ->
     return good, pairs, float(norm[starts[1:] - 1].sum())
 
 
+def _step(r: float, a: float, b: float, c: float, d: float) -> float:
+    """log((e^b + e^(d+r)) / (e^a + e^(c+r)))"""
+    p, q = d + r - b, c + r - a
+    return b - a + (p + log1p(exp(-p)) if p > 0 else log1p(exp(p))) - (q + log1p(exp(-q)) if q > 0 else log1p(exp(q)))
+
+
+def chain_probabilities(gain: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """Probability of good of every line of one text, as by ``forward_backward``; of a message only the odds are kept, so two
+    numbers a line are held. They take the place of ``gain``."""
+    (p00, p01), (p10, p11) = pair.tolist()
+    total, r = gain, 0.0
+    gains = array("d", gain.tobytes())
+    for t, g in enumerate(gains):  # from the line before: good's odds
+        r = g + (_step(r, p00, p01, p10, p11) if t else 0.0)
+        total[t] = r
+    r = 0.0
+    for t in range(len(gains) - 2, -1, -1):
+        r = _step(r + gains[t + 1], p00, p10, p01, p11)
+        total[t] += r
+    np.clip(total, -700, 700, out=total)
+    np.negative(total, out=total)
+    np.exp(total, out=total)
+    total += 1
+    return np.reciprocal(total, out=total)
+
+
 @dataclass
 class LineModel:
     """Weights of a trained field."""
@@ -137,12 +215,51 @@ class LineModel:
         return forward_backward(gain, starts, self.pair)[0]
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        """A text's score: the mean of its lines' probabilities, weighted by their lengths."""
+        """A text's score: the mean of its lines' probabilities, weighted by their lengths.
+
+        Texts are taken together up to ``TOGETHER`` lines; one that has more is taken by blocks of lines."""
+        out, group, lines = np.empty(len(texts)), [], 0
+        for k, text in enumerate(texts):
+            n = (text or "").count("\n") + 1
+            if group and lines + n > TOGETHER:
+                out[group] = self._scores([texts[x] for x in group])
+                group, lines = [], 0
+            if n > TOGETHER:
+                out[k] = self._long(text.encode())
+            else:
+                group.append(k)
+                lines += n
+        if group:
+            out[group] = self._scores([texts[x] for x in group])
+        return np.clip(out, 0, 1)
+
+    def _scores(self, texts: list[str | None]) -> np.ndarray:
         found = [text_measures(t) for t in texts]
         starts = np.cumsum([0, *(len(s) for _, s in found)])
         sizes = np.concatenate([s for _, s in found])
         good = self.line_probabilities(np.concatenate([r for r, _ in found]), starts)
-        return np.clip(np.add.reduceat(good * sizes, starts[:-1]) / np.add.reduceat(sizes, starts[:-1]), 0, 1)
+        return np.add.reduceat(good * sizes, starts[:-1]) / np.add.reduceat(sizes, starts[:-1])
+
+    def _long(self, data: bytes) -> float:
+        """The score of one text of many lines."""
+        if self.prior is not None:
+            return self.prior
+        gain, at, before, rows = np.empty(data.count(b"\n") + 1), 0, None, None
+        for after, _ in chain(block_measures(data), [(None, None)]):
+            if after is not None:
+                after = (after - self.centre) / self.scale
+            if rows is not None:
+                # a line of each neighbouring block goes along and is left out again
+                own = np.concatenate([x for x in (before, rows, None if after is None else after[:1]) if x is not None])
+                skip = 0 if before is None else 1
+                gain[at : at + len(rows)] = (with_neighbours(own, np.array([0, len(own)])) @ self.weights)[skip : skip + len(rows)]
+                at, before = at + len(rows), rows[-1:]
+            rows = after
+        good, total, at = chain_probabilities(gain, self.pair), 0.0, 0
+        for lines in line_blocks(data):
+            total += good[at : at + len(lines)] @ np.array([len(x) + 1 for x in lines], np.float64)
+            at += len(lines)
+        return total / (len(data) + 1)
 
 
 def objective(x: np.ndarray, labels: np.ndarray, starts: np.ndarray, weights: np.ndarray, pair: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -190,9 +307,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
         for batch in batches:
             data = []
             for text, place in zip(batch.column("text"), batch.column("place").to_pylist(), strict=True):
-                rows = text_measures(text.as_py())[0]
-                start = place % max(1, len(rows) - LINES + 1)
-                data.append(rows[start : start + LINES].tobytes())
+                data.append(some_measures(text.as_py(), place).tobytes())
             yield pa.record_batch([batch.column("doc_id"), batch.column("quality"), pa.array(data, pa.binary())], ["doc_id", "quality", "data"])
 
     # ``chosen`` has at most ``sample`` rows of two numbers, so every task can hold it

@@ -52,6 +52,59 @@ def test_neighbours_stay_inside_a_text():
     assert got[1].tolist() == [3, 4, 0, 0, 5, 6, 1, 0, 1] and got[2].tolist() == [5, 6, 3, 4, 0, 0, 0, 1, 1]
 
 
+def _model(seed=4):
+    rng = np.random.default_rng(seed)
+    n = crf.N_MEASURES
+    return crf.LineModel(rng.normal(size=n), rng.random(n) + 0.5, rng.normal(size=3 * n + 3) / 4, rng.normal(size=(2, 2)))
+
+
+LONG = ["", "\n", "\n\n\n", "a\nb\na\n", "one line", "x y z\n" * 50 + "é!", "\n".join(f"line {i % 7} of it {'#' * (i % 5)}" for i in range(300))]
+
+
+@pytest.mark.parametrize("size", [1, 5, 64, 1 << 15])
+def test_long_texts_by_blocks(monkeypatch, size):
+    model = _model()
+    want = model.scores(LONG)
+    monkeypatch.setattr(crf, "SLICE", size)
+    for text, score in zip(LONG, want, strict=True):
+        assert model._long(text.encode()) == pytest.approx(score, abs=1e-12)
+        assert [x for b in crf.line_blocks(text.encode()) for x in b] == text.encode().split(b"\n")
+    monkeypatch.setattr(crf, "TOGETHER", 3)
+    assert model.scores([*LONG, None, *LONG]) == pytest.approx([*want, want[0], *want], abs=1e-12)
+
+
+def test_repeats():
+    lines = ["", "a", "b", "a", "", "c", "b"] * 3
+    seen = set()
+    want = [x in seen or seen.add(x) or False for x in lines]
+    assert crf.repeats("\n".join(lines).encode()).tolist() == want
+
+
+def test_odds_of_extreme_gains():
+    gain = np.array([900.0, -900.0, 0.0, 900.0, -2.0])
+    pair = np.array([[2.0, -3.0], [-50.0, 4.0]])
+    want = crf.forward_backward(gain, np.array([0, 5]), pair)[0]
+    assert crf.chain_probabilities(gain.copy(), pair) == pytest.approx(want, abs=1e-12)
+
+
+def test_memory_of_a_long_text():
+    """600,000 short lines: what they take beside the text grows by some 40 bytes a line."""
+    import subprocess
+    import sys
+
+    code = """
+import resource
+from tests.llm.test_crf import _model
+model, text = _model(), "".join(f"{i % 1000}\\n" for i in range(600_000))
+model.scores(["a"])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+model.scores([text])
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+    grown = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()[-1])
+    assert grown < 100_000
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
