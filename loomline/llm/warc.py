@@ -95,7 +95,8 @@ def write_archive(pages: DataFrame, path: str, least: int = 0) -> None:
     revisit = (F.col("payload_bytes") >= least) & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     named = facts.join(first, "sha256").withColumn("refers_to", F.when(revisit, F.col("first_id")))
     records = reread(spark, named.select("sha256", _header().alias("header"), F.col("refers_to").isNull().alias("response")), "records")
-    _store(records.filter("response").drop("response"), f"{path}/responses", buckets)
+    # by digest first, so that a bucket is written by one task, as one file
+    _store(records.filter("response").drop("response").repartition(buckets, "sha256"), f"{path}/responses", buckets)
     records.filter("not response").drop("response").write.parquet(f"{path}/revisits")
     spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(f"{path}/layout")
 

@@ -78,6 +78,17 @@ def test_payloads_are_joined_where_they_lie(spark):
     assert "SortMergeJoin" in plan and "Exchange" not in plan
 
 
+def test_a_bucket_is_a_file(spark):
+    path = work_path(spark, "warc")
+    rows = [(i, "u", f"page {i % 400}", None) for i in range(1000)]
+    warc.write_archive(spark.createDataFrame(rows, SCHEMA).repartition(16), path)
+    buckets = spark.read.parquet(f"{path}/layout").first().buckets
+    for part in ("responses", "payloads"):
+        names = {r.n for r in spark.read.parquet(f"{path}/{part}").selectExpr("_metadata.file_name as n").distinct().collect()}
+        assert len(names) <= buckets, part
+    assert warc.read_responses(spark, path).count() == 400
+
+
 def test_empty(spark):
     assert warc.archive_facts(spark, spark.createDataFrame([], SCHEMA)).count() == 0
 
