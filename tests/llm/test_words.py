@@ -126,6 +126,21 @@ def test_numbers_of_classes():
     assert found.tolist() == [0, 1, 2] and n[:2].tolist() == [1, 5] and abs(n[2] - 20_000) < 600
 
 
+@pytest.mark.parametrize("n", [5000, 1_000_000, 5_000_000])
+def test_very_many_classes(n):
+    """A bigram that ends up with more classes than 16 bits can tell apart, beside small ones, over several blocks."""
+    rng = np.random.default_rng(n)
+    size, blocks = 1 << 15, []
+    for at in range(0, n, size):
+        texts = np.arange(min(size, n - at))
+        classes = [rng.integers(0, 1 << bits, len(texts)).astype(np.uint64) for bits in (16, 8, 8, 8)]
+        gram = np.concatenate([np.full(3 if not at else 0, 4, np.uint64), np.full(len(texts), 9, np.uint64)])
+        blocks.append([gram, np.concatenate([texts[: len(gram) - len(texts)], texts]), None, *classes])
+    found, got = words.counted(blocks)
+    assert found.tolist() == [4, 9] and got[0] == 3
+    assert abs(got[1] - n) <= max(5, 0.001 * n)
+
+
 def test_word_salad_goes(spark, tmp_path, language):
     """The order of words counts: the same words, shuffled, are no prose."""
     rng = random.Random(2)
