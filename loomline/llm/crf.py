@@ -85,8 +85,9 @@ def repeats(data: bytes) -> np.ndarray:
     for lines in line_blocks(data):
         codes.extend([xxhash.xxh3_64_intdigest(line) for line in lines])
     codes = np.frombuffer(codes, np.uint64)
-    part, again = codes.view(np.uint8)[::8] & 15, np.ones(len(codes), bool)
-    for k in range(16):  # a sixteenth at a time is sorted
+    parts = 1 if len(codes) <= TOGETHER else 16  # of many, a sixteenth at a time is sorted
+    part, again = codes.view(np.uint8)[::8] % parts, np.ones(len(codes), bool)
+    for k in range(parts):
         at = np.flatnonzero(part == k)
         again[at[np.unique(codes[at], return_index=True)[1]]] = False
     return again
