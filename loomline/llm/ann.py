@@ -37,8 +37,8 @@ from loomline.llm.common import reread, work_path
 NEAREST = 10
 EVERY = 100
 BLOCK = 2048
-#: Rows that a task hashes at once, and queries that are broadcast at most.
-BATCH, FEW = 8192, 20_000
+#: Rows that a task hashes at once, and components of queries that are broadcast at most.
+BATCH, FEW = 8192, 1 << 20
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -170,9 +170,17 @@ def _filed(rows: DataFrame, name: str, index: CrossPolytope, probes: int) -> Dat
     return rows.select(name, "embedding").mapInArrow(run, f"bucket long, {name} long")
 
 
-def _small(frame: DataFrame, rows: int) -> DataFrame:
-    """``frame``, to be broadcast if it has few rows; larger ones are joined by a shuffle."""
-    return F.broadcast(frame) if rows <= FEW else frame
+def _small(frame: DataFrame, components: int) -> DataFrame:
+    """``frame``, to be broadcast if its vectors have few components; larger ones are joined by a shuffle."""
+    return F.broadcast(frame) if components <= FEW else frame.hint("merge")
+
+
+def _met(held: DataFrame, probed: DataFrame, meetings: int) -> DataFrame:
+    """query_id and vid of what ``meetings`` tables hold in a probed bucket.
+
+    The plan takes probes, a thousand or more to a query, for as small as the queries that they are made of, and would send
+    them whole by way of the driver; they are merged instead, whatever the size of either side."""
+    return held.join(probed.hint("merge"), "bucket").groupBy("query_id", "vid").count().filter(F.col("count") >= meetings).select("query_id", "vid")
 
 
 def best_of(ids: np.ndarray, far: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -239,8 +247,7 @@ def search(spark: SparkSession, vectors: DataFrame, nearest: int = NEAREST, ever
     hashes, tables, probes, meetings = chosen or settings(n, CrossPolytope(dim).width)
     index = CrossPolytope(dim, tables, hashes)
     held = reread(spark, _filed(stored, "vid", index, 0), "index")
-    met = held.join(_filed(asked, "query_id", index, probes), "bucket").groupBy("query_id", "vid").count().filter(F.col("count") >= meetings).select("query_id", "vid")
-    met = reread(spark, met, "candidates")
+    met = reread(spark, _met(held, _filed(asked, "query_id", index, probes), meetings), "candidates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -249,7 +256,7 @@ def search(spark: SparkSession, vectors: DataFrame, nearest: int = NEAREST, ever
                 far = np.sqrt(((_matrix(batch.column("embedding"), dim) - _matrix(batch.column("query"), dim)) ** 2).sum(axis=1))
                 yield pa.record_batch([batch.column("query_id"), batch.column("ids"), pa.array(far)], ["query_id", "ids", "score"])
 
-    sides = met.join(stored, "vid").join(_small(asked.withColumnRenamed("embedding", "query"), n_asked), "query_id")
+    sides = met.join(stored.hint("merge"), "vid").join(_small(asked.withColumnRenamed("embedding", "query"), n_asked * dim), "query_id")
     scored = sides.select("query_id", "ids", "embedding", "query").mapInArrow(run, "query_id long, ids array<long>, score double")
     # a query's own id is left out; an id that stands for several vectors counts by its nearest
     named = scored.select("query_id", F.explode("ids").alias("vec_id"), "score").filter("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))

@@ -145,3 +145,16 @@ def test_choices_hold_every_smallest_sum(axes, hashes, count):
         lists = np.sort(rng.random((hashes, axes)), axis=1)
         cost = lambda c: sum(lists[k][x] for k, x in enumerate(c))
         assert set(sorted(product(range(axes), repeat=hashes), key=cost)[:count]) <= set(got)
+
+
+def test_probes_do_not_pass_the_driver(spark, monkeypatch):
+    """Probes and candidates are merged with the index, however small the queries' file; only bounded queries are broadcast."""
+    plans, keep = {}, ann.reread
+    monkeypatch.setattr(ann, "reread", lambda s, frame, label: plans.setdefault(label, frame._jdf.queryExecution().executedPlan().toString()) and keep(s, frame, label))
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    found = [ann.search(spark, rows).collect()]
+    assert "Broadcast" not in plans["candidates"] and "SortMergeJoin" in plans["candidates"]
+    plans.clear()
+    monkeypatch.setattr(ann, "FEW", 0)
+    found.append(ann.search(spark, rows).collect())
+    assert plans["nearest"].count("BroadcastExchange") == 0 and sorted(found[0]) == sorted(found[1])
