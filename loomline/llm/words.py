@@ -9,7 +9,9 @@ that is, less one. Words without a letter or digit are context, but are not them
 
 First every text's words are counted. A word that two classes hold is known and gets a number, its place in the sorted array
 of the words' hashes; the others are unknown words of their language, of which only the number is kept. At most
-``VOCABULARY`` words are known, the most frequent ones, so the array is small enough to send to every task.
+``VOCABULARY`` words, the most frequent ones, have a number, so the array is small enough to send to every task. Known words
+beyond these are rare words: the texts that hold them get them by a join, and bigrams with a rare word are rows, which Spark
+counts and prices by grouping and joining. The result is that of one vocabulary, whatever its size.
 
 Then a task sends the bigrams of a block of texts to their shards. A shard gets, for each block, one packed array of sorted
 bigrams beside the texts of the block that hold them, so a bigram costs four bytes or so where a row would cost thirty. It
@@ -38,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.common import forget, reread, small_batches
+from loomline.llm.common import forget, reread, row_key, small_batches, work_path
 
 VIEWS = 3
 #: Words that have a number at most, and how many of the most frequent count as very frequent.
@@ -56,10 +58,12 @@ ID_BITS, SMALL = 24, 16
 ID_MASK, SMALL_MASK = np.uint64((1 << ID_BITS) - 1), np.uint64((1 << SMALL) - 1)
 #: Words whose numbers share the upper bits are added up together.
 RANGE = 1 << 16
-#: Numbers of classes that are checked in all views, and those that are counted again by 24 bits.
+#: Classes that several texts have, of which all tasks are told.
+SHARED = 1 << 22
+#: Of estimates: numbers of classes that are checked in all views, and those that are counted again by 24 bits.
 FINE, MANY = 16, 4096
 UPPER = 8
-START, UNKNOWN = 0x5BD1E995A5A4, 0x2545F4914F6C
+START, UNKNOWN, RARE = 0x5BD1E995A5A4, 0x2545F4914F6C, 0x1B873593CC9E
 FIELDS = ("total", "types", "n1", "n2", "n3", "n4", "before")
 
 
@@ -214,7 +218,7 @@ def _merge_words(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
 
 def count_words(docs: DataFrame) -> DataFrame:
     """``lang``, ``word`` and ``n``, its texts, of every word that two classes hold; a null word beside the number of the
-    others. Each task merges its own words first. Of a class 16 bits are compared."""
+    others. Each task merges its own words first."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -225,13 +229,13 @@ def count_words(docs: DataFrame) -> DataFrame:
                 ends = np.searchsorted(words >> np.uint64(40), np.arange(257))
                 for k in np.flatnonzero(np.diff(ends)).tolist():
                     s = slice(ends[k], ends[k + 1])
-                    data = packed(np.diff(words[s], prepend=np.uint64(0)), np.where(several[s], 0, of[s]).astype(np.uint16), several[s], texts[s])
+                    data = packed(np.diff(words[s], prepend=np.uint64(0)), np.where(several[s], 0, of[s]).astype(np.uint32), several[s], texts[s])
                     yield pa.record_batch([pa.array([lang], pa.string()), pa.array([k], pa.int32()), pa.array([data], pa.binary())], ["lang", "part", "data"])
             found.clear()
 
         for langs, texts, _ in _texts(batches):
             codes, counts = word_codes(texts)
-            classes = mix(copy_classes(codes, counts, 1)[:, 0]) & SMALL_MASK
+            classes = copy_classes(codes, counts, 1)[:, 0]
             by_lang = np.array([lang_code(x) for x in langs], np.uint64)
             text = np.repeat(np.arange(len(texts), dtype=np.uint64), counts)
             some = np.flatnonzero(counts)
@@ -247,7 +251,7 @@ def count_words(docs: DataFrame) -> DataFrame:
             for lang, k in kinds.items():
                 at = np.flatnonzero(kind == k)
                 if len(at):
-                    found[lang].append((words[at], classes[text[at].astype(np.int64)].astype(np.uint16), np.zeros(len(at), bool), np.ones(len(at), np.uint32)))
+                    found[lang].append((words[at], classes[text[at].astype(np.int64)], np.zeros(len(at), bool), np.ones(len(at), np.uint32)))
                     held += len(at)
             if held >= HELD:
                 for lang, parts in found.items():
@@ -273,7 +277,7 @@ def count_words(docs: DataFrame) -> DataFrame:
                     yield from done()
                     parts = []
                 step, of, several, texts = unpacked(data)
-                key, parts = (lang, part), [*parts, (np.cumsum(step, dtype=np.uint64), np.where(several, 0, of).astype(np.uint16), several, texts)]
+                key, parts = (lang, part), [*parts, (np.cumsum(step, dtype=np.uint64), np.where(several, 0, of).astype(np.uint32), several, texts)]
                 if sum(len(x[0]) for x in parts) > 2 * HELD:
                     parts = [_merge_words(parts)]
         if parts:
@@ -283,6 +287,31 @@ def count_words(docs: DataFrame) -> DataFrame:
     return sent.repartition("lang", "part").sortWithinPartitions("lang", "part").mapInArrow(settle, "lang string, word long, n long")
 
 
+def shared_classes(spark: SparkSession, docs: DataFrame, most: int = SHARED) -> np.ndarray | None:
+    """The classes that two texts or more have, sorted, a view and its 32 bits each; none where there are more than ``most``.
+    A class of one text needs no name to be counted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        for _, texts, _ in _texts(batches):
+            codes, counts = word_codes(texts)
+            yield pa.record_batch([pa.array(class_keys(copy_classes(codes, counts)[counts > 0]).ravel().astype(np.int64))], ["key"])
+
+    found = reread(spark, docs.select("lang", "text").mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "shared")
+    return None if found.count() > most else np.sort(found.toArrow()["key"].to_numpy()).astype(np.uint64)
+
+
+def class_keys(classes: np.ndarray) -> np.ndarray:
+    """Classes (texts, views) with their view above their 32 bits."""
+    return classes.astype(np.uint64) | np.arange(classes.shape[1], dtype=np.uint64) << np.uint64(32)
+
+
+def named_classes(classes: np.ndarray, shared: np.ndarray | None) -> np.ndarray:
+    """Of each class (texts, views) a number that is its own, from 1 on; 0 where no other text has it."""
+    names = classes.astype(np.uint64) + np.uint64(1)
+    return names if shared is None else np.where(np.isin(class_keys(classes), shared), names, np.uint64(0))
+
+
 def _empty(kind) -> np.ndarray:
     return field(default_factory=lambda: np.empty(0, kind))
 
@@ -301,6 +330,8 @@ class Vocabulary(Sent):
     langs: dict = field(default_factory=dict)
     pairs: int = 0
     common: int = COMMON
+    #: Where the rare words lie, if there are any.
+    rare: str = ""
 
     @cached_property
     def words(self) -> np.ndarray:
@@ -322,8 +353,13 @@ class Vocabulary(Sent):
 def vocabulary(spark: SparkSession, docs: DataFrame, most: int = VOCABULARY, common: int = COMMON) -> Vocabulary:
     counted = reread(spark, count_words(docs), "words")
     known = counted.filter("word is not null")
+    rare, special = "", (START, UNKNOWN)
     if (n := known.count()) > most:
-        known = reread(spark, known.orderBy(F.desc("n"), "word").limit(most), "words")
+        numbered = reread(spark, known.orderBy(F.desc("n"), "word").limit(most), "words")
+        rare, special = work_path(spark, "rare"), (START, UNKNOWN, RARE)
+        of = numbered.select(F.col("lang").alias("of_lang"), F.col("word").alias("of_word"))
+        known.join(of, (F.col("word") == F.col("of_word")) & F.col("lang").eqNullSafe(F.col("of_lang")), "left_anti").select("lang", "word").write.parquet(rare)
+        known = numbered
     by_lang = counted.groupBy("lang").agg(F.sum(F.when(F.col("word").isNull(), F.col("n")).otherwise(1)).alias("types"), F.sum("n").alias("texts"), F.count("word").alias("known")).filter("known > 0")
     rows = known.toArrow()
     if not n:
@@ -335,19 +371,39 @@ def vocabulary(spark: SparkSession, docs: DataFrame, most: int = VOCABULARY, com
     names = rows["lang"].combine_chunks().dictionary_encode(null_encoding="encode")
     of = np.array([langs[x] for x in names.dictionary.to_pylist()], np.int32)[names.indices.to_numpy()]
     del rows, names
-    kept = np.bincount(of, minlength=len(langs))
-    markers = np.array([lang_code(x) ^ which for x in langs for which in (START, UNKNOWN)], np.uint64)
+    markers = np.array([lang_code(x) ^ which for x in langs for which in special], np.uint64)
     new = ~np.isin(markers, words)
-    words, of, texts = np.append(words, markers[new]), np.append(of, np.repeat(np.arange(len(langs), dtype=np.int32), 2)[new]), np.append(texts, np.full(new.sum(), np.iinfo(np.int64).max))
+    words, of, texts = np.append(words, markers[new]), np.append(of, np.repeat(np.arange(len(langs), dtype=np.int32), len(special))[new]), np.append(texts, np.full(new.sum(), np.iinfo(np.int64).max))
     order = np.lexsort((words, -texts))
     words, of = words[order], of[order]
     unknown = np.isin(words, np.array([lang_code(x) ^ UNKNOWN for x in langs], np.uint64))
     proper = (words & np.uint64(1)).astype(bool) | unknown
     n_unknown = np.zeros(len(langs), np.int64)
     for r in sides:
-        n_unknown[langs[r.lang]] = r.types - kept[langs[r.lang]]
+        n_unknown[langs[r.lang]] = r.types - r.known
     number = np.argsort(words)
-    return Vocabulary(np.diff(words[number], prepend=np.uint64(0)), number.astype(np.int32), of.astype(np.int32), unknown, proper, n_unknown, langs, int(sum(r.texts for r in sides)), common)
+    return Vocabulary(np.diff(words[number], prepend=np.uint64(0)), number.astype(np.int32), of.astype(np.int32), unknown, proper, n_unknown, langs, int(sum(r.texts for r in sides)), common, rare)
+
+
+def with_rare_words(docs: DataFrame, sent, rare: str) -> DataFrame:
+    """``docs`` with ``rare``: those of the rare words that each text holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for langs, texts, keys in _texts(batches, "key"):
+            codes, counts = word_codes(texts)
+            text = np.repeat(np.arange(len(texts)), counts)
+            said = lang_words(codes, np.array([lang_code(x) for x in langs], np.uint64)[text])
+            new = known.numbers(said, np.full(len(said), -1)) < 0
+            text, said = np.unique(np.stack([text[new].astype(np.uint64), said[new]]), axis=1)
+            at = text.astype(np.int64).tolist()
+            yield pa.record_batch([pa.array([keys[k][0] for k in at], pa.binary()), pa.array([langs[k] for k in at], pa.string()), pa.array(said.astype(np.int64))], ["key", "of_lang", "of_word"])
+
+    keyed = docs.withColumn("key", row_key("lang", "text"))
+    new = keyed.select("lang", "text", "key").mapInArrow(run, "key binary, of_lang string, of_word long")
+    words = docs.sparkSession.read.schema("lang string, word long").parquet(rare)
+    held = new.join(words, (F.col("word") == F.col("of_word")) & F.col("lang").eqNullSafe(F.col("of_lang"))).groupBy("key").agg(F.collect_set("word").alias("rare"))
+    return keyed.join(held, "key", "left").drop("key")
 
 
 # -- bigrams, to their shards
@@ -356,13 +412,14 @@ def vocabulary(spark: SparkSession, docs: DataFrame, most: int = VOCABULARY, com
 class Block:
     """Texts of a task whose bigrams leave it together."""
 
-    def __init__(self, number: int, words: Vocabulary, shards: int, common_shards: int):
-        self.number, self.words, self.shards, self.common_shards = number, words, shards, common_shards
-        self.codes, self.sizes, self.langs, self.classes, self.facts = [], [], [], [], []
+    def __init__(self, number: int, words: Vocabulary, shards: int, common_shards: int, shared: np.ndarray | None):
+        self.number, self.words, self.shards, self.common_shards, self.shared = number, words, shards, common_shards, shared
+        self.codes, self.sizes, self.langs, self.classes, self.facts, self.rare = [], [], [], [], [], []
         self.held = 0
 
-    def add(self, codes: np.ndarray, counts: np.ndarray, langs: list, facts: list[tuple]) -> None:
-        """Texts; those with a count of 0 have no bigrams to be counted."""
+    def add(self, codes: np.ndarray, counts: np.ndarray, langs: list, facts: list[tuple], rare: list) -> None:
+        """Texts; those with a count of 0 have no bigrams to be counted. ``rare``: rare words that they hold."""
+        self.rare += rare
         self.codes.append(codes)
         self.sizes.append(counts)
         self.langs += langs
@@ -374,20 +431,32 @@ class Block:
     def full(self) -> bool:
         return self.held >= BLOCK_WORDS or len(self.facts) >= BLOCK_TEXTS // 2
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Bigram, text and how often the text holds it, sorted by both."""
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+        """Bigram, text and how often the text holds it, sorted by both; and text, language and both words of every place of a
+        bigram with a rare word, which stands as the negative of itself and 1."""
         sizes = np.concatenate(self.sizes)
-        place = {x: (lang_code(x), self.words.special(x, START), self.words.special(x, UNKNOWN)) for x in set(self.langs) & set(self.words.langs)}
-        code, start, unknown = (np.array([place[x][k] if x in place else 0 for x in self.langs], kind) for k, kind in enumerate((np.uint64, np.int64, np.int64)))
+        special = (START, UNKNOWN, RARE) if self.words.rare else (START, UNKNOWN)
+        place = {x: (lang_code(x), self.words.langs[x], *(self.words.special(x, which) for which in special)) for x in set(self.langs) & set(self.words.langs)}
+        code, lang, start, unknown, *other = (np.array([place[x][k] if x in place else 0 for x in self.langs], np.int64 if k else np.uint64) for k in range(2 + len(special)))
         text = np.repeat(np.arange(len(sizes)), sizes)
-        v = self.words.numbers(lang_words(np.concatenate(self.codes), code[text]), unknown[text])
+        said = lang_words(np.concatenate(self.codes), code[text])
+        v = self.words.numbers(said, unknown[text])
+        begin = (np.cumsum(sizes) - sizes)[sizes > 0]
+        if self.rare:
+            # only what has no number is looked for among the rare words
+            rare = (v == unknown[text]) & np.isin(said, np.array(self.rare, np.uint64))
+            v = np.where(rare, -1 - said.astype(np.int64), v)
         u = np.empty_like(v)
         u[1:] = v[:-1]
-        begin = (np.cumsum(sizes) - sizes)[sizes > 0]
         u[begin] = start[sizes > 0]
+        rows = np.flatnonzero((u < 0) | (v < 0))
+        rows = text[rows], lang[text[rows]], u[rows], v[rows]
+        if len(rows[0]):
+            plain = (u >= 0) & (v >= 0)
+            u, v, text = u[plain], v[plain], text[plain]
         key = np.sort(((u << ID_BITS | v) << SMALL | text).astype(np.uint64))
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        return key[first] >> np.uint64(SMALL), key[first] & SMALL_MASK, np.diff(np.append(first, len(key)))
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+        return key[first] >> np.uint64(SMALL), key[first] & SMALL_MASK, np.diff(np.append(first, len(key))), rows
 
     def shard_of(self, gram: np.ndarray, of: np.ndarray) -> np.ndarray:
         u, most = gram >> np.uint64(ID_BITS), np.uint64(self.words.common)
@@ -398,22 +467,22 @@ class Block:
         """part, block and data: the facts of the texts, and for each part the classes of the texts and its shards' bigrams."""
         rows = [(-1 - self.number % self.shards, pickle.dumps(self.facts))]
         if self.held:
-            gram, text, times = self.pairs()
-            classes = mix(np.concatenate(self.classes))
+            gram, text, times, rare = self.pairs()
+            of = np.concatenate(self.classes)
+            classes, names = mix(of), named_classes(of, self.shared)
+            if len(rare[0]):
+                rows.append((-1 - self.shards - self.number % self.shards, packed(*rare, *(of[rare[0], k] for k in range(VIEWS)))))
             shard = self.shard_of(gram, classes[text, 0] >> np.uint64(SMALL))
-            # small counts are checked in the other views, so there eight bits do
-            small = [(classes[:, k] & (SMALL_MASK if not k else np.uint64(255))).astype(np.uint8 if k else np.uint16) for k in range(VIEWS)]
-            small.append((classes[:, 0] >> np.uint64(40) & np.uint64(255)).astype(np.uint8))
             order = np.argsort(shard, kind="stable")
             parts, there = defaultdict(dict), defaultdict(list)
-            for at in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+            for at in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(order) else []:
                 own = int(shard[at[0]])
                 parts[own // TOGETHER][own] = packed(np.diff(gram[at], prepend=np.uint64(0)), text[at].astype(np.uint16), (times[at] - 1).astype(np.uint32))
                 there[own // TOGETHER].append(text[at])
             # a part gets the classes of the texts that it has bigrams of, so however many parts there are, no more than a pair a class
             for part, found in parts.items():
                 texts = np.unique(np.concatenate(there[part])).astype(np.int64)
-                rows.append((part, pickle.dumps((packed(np.diff(texts, prepend=0).astype(np.uint16), *(x[texts] for x in small)), found))))
+                rows.append((part, pickle.dumps((packed(np.diff(texts, prepend=0).astype(np.uint16), *names[texts].T), found))))
         parts, data = zip(*rows, strict=True)
         return pa.record_batch([pa.array(parts, pa.int32()), pa.array([self.number] * len(parts), pa.int64()), pa.array(data, pa.binary())], ["part", "block", "data"])
 
@@ -421,8 +490,25 @@ class Block:
 # -- shards
 
 
+def held_by(blocks: list[list[np.ndarray]], views: int = VIEWS) -> tuple[np.ndarray, np.ndarray]:
+    """The bigrams of a shard, sorted, and in how many classes each is, the least of the views. Texts whose class no other has
+    are counted as they are, of the other classes the different ones."""
+    grams = np.concatenate([x[0] for x in blocks])
+    found, n = np.unique(grams), None
+    at = np.searchsorted(found, grams)
+    del grams
+    for k in range(views):
+        of = np.concatenate([x[3 + k][x[1]] for x in blocks])
+        seen = np.bincount(at[of == 0], minlength=len(found))
+        several = np.unique(at[of > 0].astype(np.uint64) << np.uint64(33) | of[of > 0])
+        seen = seen + np.bincount((several >> np.uint64(33)).astype(np.int64), minlength=len(found))
+        n = seen if n is None else np.minimum(n, seen)
+    return found, n
+
+
 def counted(blocks: list[list[np.ndarray]], views: int = VIEWS) -> tuple[np.ndarray, np.ndarray]:
-    """The bigrams of a shard, sorted, and in how many classes each is.
+    """The bigrams of a shard, sorted, and an estimate of how many classes each is in, where no more than bits of classes are
+    there; the model counts by ``held_by``.
 
     Classes are told apart by 16 bits, and their number is taken from how many of these occur: for small numbers, up to
     ``FINE`` of which the other views check, exactly, for ``MANY`` within 0.3 %. Bigrams of ``MANY`` classes or more are
@@ -529,6 +615,9 @@ class Model(Sent):
     low: np.ndarray
     cuts: np.ndarray
     both_common: np.ndarray
+    low_cuts: np.ndarray
+    whole: np.ndarray
+    new: np.ndarray
 
     def cost(self, words: Vocabulary, gram: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Negative log probabilities, in millionths, of bigrams that ``n`` classes hold, one of them the text's own."""
@@ -549,8 +638,9 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return np.stack([np.zeros(len(n)), *(np.clip(np.where(np.isfinite(d), d, k - 0.5), 0.1, k - 0.1) for k, d in enumerate(raw, 1))], axis=1)
 
 
-def settle(words: Vocabulary, sums: np.ndarray, both_common: np.ndarray) -> Model:
-    """The model from the sums of all shards; ``sums``: of ``FIELDS`` the numbers of each word, to which is added."""
+def settle(words: Vocabulary, sums: np.ndarray, both_common: np.ndarray, rare: dict[str, np.ndarray]) -> Model:
+    """The model from the sums of all shards; ``sums``: of ``FIELDS`` the numbers of each word, to which is added; ``rare``: what
+    the rare words of each language add."""
     grid = np.flatnonzero(both_common)
     gram = (grid // COMMON << ID_BITS | grid % COMMON).astype(np.uint64)
     at, more = tallies(gram, both_common[grid], words.unknown)
@@ -559,16 +649,90 @@ def settle(words: Vocabulary, sums: np.ndarray, both_common: np.ndarray) -> Mode
     total, types, n1, n2, n3, n4, before = sums
     n_langs, lang, real = len(words.langs), words.lang, ~words.unknown
     by_lang = lambda x: np.bincount(lang, x, n_langs)
-    cuts = discounts(np.stack([by_lang(x) for x in (n1, n2, n3, n4)], axis=1))
-    low_cuts = discounts(np.stack([by_lang(real & (before == k)) + (k == 1) * words.n_unknown for k in (1, 2, 3, 4)], axis=1))
-    whole = by_lang(np.where(real, before, 0)) + words.n_unknown
+    more = lambda name: rare.get(name, 0)
+    cuts = discounts(np.stack([by_lang(x) + more(f"n{k}") for k, x in enumerate((n1, n2, n3, n4), 1)], axis=1))
+    low_cuts = discounts(np.stack([by_lang(real & (before == k)) + (k == 1) * words.n_unknown + more(f"b{k}") for k in (1, 2, 3, 4)], axis=1))
+    whole = by_lang(np.where(real, before, 0)) + words.n_unknown + more("before")
     part = np.where(real, before - low_cuts[lang, np.clip(before, 0, 3)], 0.0)
-    n_types = by_lang(real & (before > 0)) + words.n_unknown
-    new = (1 - by_lang(part) / np.maximum(whole, 1)) / (n_types + 1)
+    n_types = by_lang(real & (before > 0)) + words.n_unknown + more("types")
+    parts = by_lang(part) + more("before") - low_cuts[:, 1] * more("b1") - low_cuts[:, 2] * more("b2") - low_cuts[:, 3] * (more("types") - more("b1") - more("b2"))
+    new = (1 - parts / np.maximum(whole, 1)) / (n_types + 1)
     mass = cuts[lang, 1] * n1 + cuts[lang, 2] * n2 + cuts[lang, 3] * (types - n1 - n2)
     back = np.where(total > 0, mass / np.maximum(total, 1), 1.0)
     low = part / np.maximum(whole, 1)[lang] + new[lang]
-    return Model(total, back.astype(np.float32), low.astype(np.float32), cuts, both_common)
+    return Model(total, back.astype(np.float32), low.astype(np.float32), cuts, both_common, low_cuts, whole, new)
+
+
+# -- bigrams with a rare word
+
+
+@dataclass
+class Rare:
+    """Places of bigrams with a rare word (block, text, lang, u, v and the classes of the text), in how many classes each bigram
+    is, and ``FIELDS`` of their first and second words. Rare words are negative, others have their number."""
+
+    places: DataFrame
+    grams: DataFrame
+    contexts: DataFrame
+    ends: DataFrame
+
+    @classmethod
+    def of(cls, spark: SparkSession, dealt: DataFrame, words: Vocabulary, shards: int) -> Rare:
+        names = ["block", "text", "lang", "u", "v", *(f"c{k}" for k in range(VIEWS))]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, block, data in _rows(batches, "part", "block", "data"):
+                if part < -shards:
+                    columns = unpacked(data)
+                    yield pa.record_batch([pa.array(x.astype(np.int64)) for x in (np.full(len(columns[0]), block), *columns)], names)
+
+        places = dealt.mapInArrow(run, ", ".join(f"{x} long" for x in names))
+        n, unknown = F.col("n"), np.flatnonzero(words.unknown).tolist()
+        grams = reread(spark, places.groupBy("lang", "u", "v").agg(F.least(*(F.count_distinct(f"c{k}") for k in range(VIEWS))).alias("n")), "rare-grams")
+        many, whole = F.col("v").isin(unknown), lambda c: F.sum(c.cast("long"))
+        fields = {"total": n, "types": F.when(many, n).otherwise(1), "n1": F.when(many, n).otherwise((n == 1).cast("long")), **{f"n{k}": ~many & (n == k) for k in (2, 3, 4)}}
+        contexts = grams.groupBy("lang", "u").agg(*(whole(c).alias(name) for name, c in fields.items()))
+        ends = grams.groupBy("lang", "v").agg(whole(F.when(F.col("u").isin(unknown), n).otherwise(1)).alias("before"))
+        return cls(places, grams, reread(spark, contexts, "rare-contexts"), reread(spark, ends, "rare-ends"))
+
+    def add_to(self, sums: np.ndarray, n_langs: int) -> dict[str, np.ndarray]:
+        """Adds what words with a number get to ``sums``; what rare words add to their languages."""
+        for frame, word in ((self.contexts, "u"), (self.ends, "v")):
+            rows = frame.filter(F.col(word) >= 0).toArrow()
+            for k, name in enumerate(FIELDS):
+                if name in rows.column_names:
+                    np.add.at(sums[k], rows[word].to_numpy(), rows[name].to_numpy())
+        before = F.col("before")
+        said = [
+            self.contexts.filter("u < 0").groupBy("lang").agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in (1, 2, 3, 4))),
+            self.ends.filter("v < 0").groupBy("lang").agg(F.sum("before").alias("before"), F.count("*").alias("types"), *(F.count_if(before == k).alias(f"b{k}") for k in (1, 2, 3, 4))),
+        ]
+        out: dict[str, np.ndarray] = {}
+        for frame in said:
+            rows = frame.toArrow()
+            for name in rows.column_names[1:]:
+                out[name] = np.zeros(n_langs, np.int64)
+                out[name][rows["lang"].to_numpy()] = rows[name].to_numpy()
+        return out
+
+    def costs(self, sent, model) -> DataFrame:
+        """(block, text, cost) of the bigrams with a rare word that each text holds."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, m = sent.value, model.value
+            for batch in batches:
+                lang, u, v, n, total, types, n1, n2, before = (batch.column(x).to_numpy() for x in ("lang", "u", "v", "n", "total", "types", "n1", "n2", "before"))
+                own_u, own_v, to_u, to_v, cuts, others = u < 0, v < 0, np.maximum(u, 0), np.maximum(v, 0), m.cuts[lang], n - 1
+                back = np.where(own_u, (cuts[:, 1] * n1 + cuts[:, 2] * n2 + cuts[:, 3] * (types - n1 - n2)) / np.maximum(total, 1), m.back[to_u])
+                low = np.where(own_v, (before - m.low_cuts[lang, np.clip(before, 0, 3)]) / np.maximum(m.whole[lang], 1) + m.new[lang], m.low[to_v])
+                seen = np.where((others > 0) & (own_v | ~known.unknown[to_v]), (others - m.cuts[lang, np.clip(others, 0, 3)]) / np.maximum(np.where(own_u, total, m.total[to_u]), 1), 0.0)
+                p = np.where(~own_u & known.unknown[to_u], low, seen + back * low)
+                cost = np.where(np.where(own_v, (-1 - v) & 1 == 1, known.proper[to_v]), np.rint(-1e6 * np.log(np.maximum(p, 1e-12))), 0)
+                yield pa.record_batch([pa.array(x.astype(np.int64)) for x in (lang, u, v, cost)], ["lang", "u", "v", "cost"])
+
+        whole = self.grams.join(self.contexts.filter("u < 0"), ["lang", "u"], "left").join(self.ends.filter("v < 0"), ["lang", "v"], "left").na.fill(0)
+        priced = whole.mapInArrow(run, "lang long, u long, v long, cost long")
+        return self.places.join(priced, ["lang", "u", "v"]).groupBy("block", "text").agg(F.sum("cost").alias("cost"))
 
 
 def text_costs(spark: SparkSession, docs: DataFrame, facts_of, most: int = VOCABULARY, pairs: int = PAIRS) -> DataFrame:
@@ -584,21 +748,28 @@ def text_costs(spark: SparkSession, docs: DataFrame, facts_of, most: int = VOCAB
     common_shards = -(-shards // 2)
     sent = spark.sparkContext.broadcast(words)
     names = [c for c in docs.columns if c not in ("lang", "text")]
+    shared = shared_classes(spark, docs)
+    told = spark.sparkContext.broadcast(None if shared is None else packed(np.diff(shared, prepend=np.uint64(0))))
+    if words.rare:
+        docs = with_rare_words(docs, sent, words.rare)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         known, number = sent.value, TaskContext.get().partitionId() << 32
-        block = Block(number, known, shards, common_shards)
-        for langs, texts, rows in _texts(batches, *names):
+        several = None if told.value is None else np.cumsum(unpacked(told.value)[0], dtype=np.uint64)
+        block = Block(number, known, shards, common_shards, several)
+        for langs, texts, rows in _texts(batches, *names, *(["rare"] if known.rare else [])):
+            rare = [w for row in rows for w in row[-1] or ()] if known.rare else []
+            rows = [row[: len(names)] for row in rows]
             codes, counts = word_codes(texts)
             facts, fine = facts_of(texts, codes, counts, rows)
             counts_of = np.where(fine & np.array([x in known.langs for x in langs], bool), counts, 0)
             codes = codes[np.repeat(counts_of > 0, counts)]
             scored = np.diff(np.concatenate([[0], np.cumsum(codes & np.uint64(1))])[np.concatenate([[0], np.cumsum(counts_of)])].astype(np.int64))
-            block.add(codes, counts_of, langs, [(lang, *f, n) for lang, f, n in zip(langs, facts, scored.tolist(), strict=True)])
+            block.add(codes, counts_of, langs, [(lang, *f, n) for lang, f, n in zip(langs, facts, scored.tolist(), strict=True)], rare)
             if block.full:
                 yield block.rows()
-                block = Block(block.number + 1, known, shards, common_shards)
+                block = Block(block.number + 1, known, shards, common_shards, several)
         if block.facts:
             yield block.rows()
 
@@ -607,7 +778,7 @@ def text_costs(spark: SparkSession, docs: DataFrame, facts_of, most: int = VOCAB
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         for shard, blocks in _shards((block, data) for part, block, data in _rows(batches, "part", "block", "data") if part >= 0):
-            gram, n = counted([x for _, x in blocks], VIEWS if shard < shards else 1)
+            gram, n = held_by([x for _, x in blocks], VIEWS if shard < shards else 1)
             if shard >= shards:
                 out = [(-1, packed((gram >> np.uint64(ID_BITS)) * np.uint64(COMMON) + (gram & ID_MASK), n))]
             else:
@@ -626,13 +797,17 @@ def text_costs(spark: SparkSession, docs: DataFrame, facts_of, most: int = VOCAB
             both_common = unpacked(data)[0]
         else:
             sums[:, part * RANGE : (part + 1) * RANGE] = np.stack(unpacked(data))
-    model = spark.sparkContext.broadcast(settle(words, sums[:, : len(words.words)], both_common))
+    rare = Rare.of(spark, dealt, words, shards) if words.rare else None
+    added = rare.add_to(sums, len(words.langs)) if rare else {}
+    model = spark.sparkContext.broadcast(settle(words, sums[:, : len(words.words)], both_common, added))
     del sums, both_common
 
     def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, m, held = sent.value, model.value, []
         row = lambda block, facts, data: pa.record_batch([pa.array([block], pa.int64()), pa.array([facts]), pa.array([data], pa.binary())], ["block", "facts", "data"])
         for part, block, data in _rows(batches, "part", "block", "data"):
+            if part < -shards:
+                continue
             if part < 0:
                 yield row(block, True, data)
             else:
@@ -642,7 +817,7 @@ def text_costs(spark: SparkSession, docs: DataFrame, facts_of, most: int = VOCAB
                 gram = np.unique(np.concatenate([x[0] for _, x in blocks]))
                 n = m.both_common[(gram >> np.uint64(ID_BITS)) * np.uint64(COMMON) + (gram & ID_MASK)]
             else:
-                gram, n = counted([x for _, x in blocks])
+                gram, n = held_by([x for _, x in blocks])
             each = m.cost(known, gram, n)
             for block, (own, text, times, *_) in blocks:
                 cost = each[np.searchsorted(gram, own)] * (times.astype(np.int64) + 1)
@@ -666,8 +841,18 @@ def text_costs(spark: SparkSession, docs: DataFrame, facts_of, most: int = VOCAB
             cost = had + [0] * (len(texts) - len(had))
             yield pa.record_batch([pa.array([pickle.dumps([(*f, c if f[-1] else None) for f, c in zip(texts, cost, strict=True)])], pa.binary())], ["data"])
 
-    priced = dealt.mapInArrow(price, "block long, facts boolean, data binary").repartition("block")
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block, text, cost = (batch.column(c).to_numpy() for c in ("block", "text", "cost"))
+            order = np.lexsort((text, block))
+            for at in np.split(order, np.flatnonzero(np.diff(block[order])) + 1) if len(order) else []:
+                yield pa.record_batch([pa.array(block[at[:1]]), pa.array([False]), pa.array([packed(np.diff(text[at], prepend=0).astype(np.uint16), cost[at])])], ["block", "facts", "data"])
+
+    priced = dealt.mapInArrow(price, "block long, facts boolean, data binary")
+    if rare:
+        priced = priced.unionByName(rare.costs(sent, model).mapInArrow(gathered, "block long, facts boolean, data binary"))
+    priced = priced.repartition("block")
     found = reread(spark, priced.mapInArrow(meet, "data binary"), "costs")
-    for held in (sent, model):
+    for held in (sent, model, told):
         held.unpersist()
     return found

@@ -192,3 +192,38 @@ def test_labelled_junk_goes_and_prose_stays(spark, sf):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
     good, bad = ([rows[x] for x, q in labels.items() if q == k and x in rows] for k in (1, 0))
     assert sum(r.kept for r in good) >= 0.98 * len(good) and sum(r.kept for r in bad) <= 0.12 * len(bad)
+
+
+@pytest.mark.parametrize("most", [1, 7])
+def test_words_beyond_the_vocabulary_count_like_others(spark, tmp_path, monkeypatch, most):
+    """Rare words, as contexts, behind each other, behind unknown ones and at the start, give what the definition gives."""
+    rng = random.Random(8)
+    known = [f"w{k}" for k in range(30)] + ["|", "--", "ünder"]
+    rows = [(i, rng.choice(["en", "de", None]), " ".join(rng.choice(known) if rng.random() < 0.9 else f"q{rng.getrandbits(20)}" for _ in range(rng.choice([10, 60, 90])))) for i in range(40)]
+    rows += [(100, "en", None), (101, *rows[0][1:]), (102, "en", "the new\tthing\nof " + rows[1][2]), (103, "xx", " ".join(f"a{k}" for k in range(60)))]
+    whole = words.vocabulary
+    monkeypatch.setattr(words, "vocabulary", lambda s, docs, most: whole(s, docs, most, 1))
+    monkeypatch.setattr(words.text_costs, "__defaults__", (most, words.PAIRS))
+    got = op6(spark, tmp_path, rows)
+    wanted = brute(rows)
+    assert sum(x is not None for x in wanted) > 10
+    for (d, _, _), want in zip(rows, wanted, strict=True):
+        assert got[d].log_perplexity == (want if want is None else pytest.approx(want, abs=2e-3)), d
+
+
+@pytest.mark.parametrize("most", [10, words.SHARED])
+def test_classes_are_counted_exactly(spark, most):
+    """Of 70,000 classes, more than 16 bits tell apart, some have two texts in one view or all."""
+    rng = np.random.default_rng(1)
+    classes = rng.permutation(1 << 20)[: 70_000 * words.VIEWS].reshape(-1, words.VIEWS).astype(np.uint32)
+    classes[:500] = classes[500:1000]
+    classes[2000:2100, 1] = classes[2100:2200, 1]
+    keys, times = np.unique(words.class_keys(classes), return_counts=True)
+    shared = keys[times > 1] if (times > 1).sum() <= most else None
+    names = words.named_classes(classes, shared)
+    blocks = [[np.full(35_000, 9, np.uint64), np.arange(35_000), None, *names[half].T] for half in (slice(0, 35_000), slice(35_000, None))]
+    blocks[0][0][:3] = 4
+    found, n = words.held_by(blocks)
+    assert found.tolist() == [4, 9] and n.tolist() == [3, min(len(set(classes[3:, k].tolist())) for k in range(words.VIEWS))] and n[1] == 70_000 - 500 - 100
+    docs = spark.createDataFrame([("en", f"a{k} b c d e") for k in range(20)] + [("en", "a1 b c d e")], "lang string, text string")
+    assert len(words.shared_classes(spark, docs)) >= words.VIEWS and words.shared_classes(spark, docs, 2) is None
