@@ -309,7 +309,10 @@ def class_keys(classes: np.ndarray) -> np.ndarray:
 def named_classes(classes: np.ndarray, shared: np.ndarray | None) -> np.ndarray:
     """Of each class (texts, views) a number that is its own, from 1 on; 0 where no other text has it."""
     names = classes.astype(np.uint64) + np.uint64(1)
-    return names if shared is None else np.where(np.isin(class_keys(classes), shared), names, np.uint64(0))
+    if shared is None or not len(shared):
+        return names if shared is None else np.zeros_like(names)
+    keys = class_keys(classes)
+    return np.where(shared[np.minimum(np.searchsorted(shared, keys), len(shared) - 1)] == keys, names, np.uint64(0))
 
 
 def _empty(kind) -> np.ndarray:
@@ -494,14 +497,18 @@ def held_by(blocks: list[list[np.ndarray]], views: int = VIEWS) -> tuple[np.ndar
     """The bigrams of a shard, sorted, and in how many classes each is, the least of the views. Texts whose class no other has
     are counted as they are, of the other classes the different ones."""
     grams = np.concatenate([x[0] for x in blocks])
-    found, n = np.unique(grams), None
-    at = np.searchsorted(found, grams)
+    found = np.sort(grams)
+    found = found[np.concatenate([[True], found[1:] != found[:-1]])[: len(found)]]
+    at, n = np.searchsorted(found, grams), None
     del grams
+    texts = np.bincount(at, minlength=len(found))
     for k in range(views):
         of = np.concatenate([x[3 + k][x[1]] for x in blocks])
-        seen = np.bincount(at[of == 0], minlength=len(found))
-        several = np.unique(at[of > 0].astype(np.uint64) << np.uint64(33) | of[of > 0])
-        seen = seen + np.bincount((several >> np.uint64(33)).astype(np.int64), minlength=len(found))
+        some = np.flatnonzero(of)
+        where = at[some]
+        several = np.sort(where.astype(np.uint64) << np.uint64(33) | of[some])
+        several = several[np.concatenate([[True], several[1:] != several[:-1]])[: len(several)]]
+        seen = texts - np.bincount(where, minlength=len(found)) + np.bincount((several >> np.uint64(33)).astype(np.int64), minlength=len(found))
         n = seen if n is None else np.minimum(n, seen)
     return found, n
 
